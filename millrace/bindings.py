@@ -7,11 +7,18 @@ constants let an oracle query start from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    """A provided table; zone-less timestamps become instants (the session is UTC)."""
+    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    for field in df.schema:
+        if isinstance(field.dataType, T.TimestampNTZType):
+            df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
+    return df
 
 
 # -- points -------------------------------------------------------------------
@@ -45,3 +52,232 @@ LINEITEM_CENTERS = [
     [35.0, 60.0, 0.06, 0.04],
     [45.0, 90.0, 0.08, 0.06],
 ]
+
+
+# -- federated rounds ---------------------------------------------------------
+
+
+def contributions(spark: SparkSession, sf: str) -> DataFrame:
+    """One update per embedding, split into a 6x8 matrix and a bias of 16.
+
+    Every seventeenth one is a thousand times too large, so the cap has work.
+    """
+    e = table(spark, sf, "embeddings").select(
+        F.col("label").alias("round"),
+        F.col("vec_id").alias("position"),
+        F.concat(F.lit("task-"), F.col("vec_id")).alias("task_id"),
+        (F.lit(1) + F.col("vec_id") % 50).alias("samples"),
+        ((F.col("vec_id") % 100) / 100.0).alias("loss"),
+        F.transform(
+            F.col("embedding").cast("array<double>"),
+            lambda x: F.when(F.col("vec_id") % 17 == 0, x * 1000.0).otherwise(x),
+        ).alias("_v"),
+    )
+    params = F.array(
+        F.struct(
+            F.lit("w").alias("param"),
+            F.array(F.lit(6), F.lit(8)).alias("shape"),
+            F.slice("_v", 1, 48).alias("data"),
+        ),
+        F.struct(
+            F.lit("b").alias("param"),
+            F.array(F.lit(16)).alias("shape"),
+            F.slice("_v", 49, 16).alias("data"),
+        ),
+    )
+    return e.select("*", F.inline(params)).drop("_v")
+
+
+CONTRIBUTIONS_SQL = """
+con AS (SELECT label AS round, vec_id AS position, 'task-' || vec_id AS task_id,
+               1 + vec_id % 50 AS samples, (vec_id % 100) / 100.0::DOUBLE AS loss,
+               list_transform(CAST(embedding AS DOUBLE[]),
+                 lambda x: CASE WHEN vec_id % 17 = 0 THEN x * 1000.0::DOUBLE ELSE x END) AS v
+        FROM embeddings),
+nrm AS (SELECT round, position, task_id, samples, loss, v,
+               sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM con),
+cap AS (SELECT round, 3.0::DOUBLE * quantile_cont(norm, 0.5) AS cap,
+               sum(samples) AS total FROM nrm GROUP BY round),
+clp AS (SELECT n.*, c.cap, c.total,
+               CASE WHEN norm > cap THEN cap / norm ELSE 1.0::DOUBLE END AS scale
+        FROM nrm n JOIN cap c USING (round))
+"""
+
+
+def round_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks of five events each, twenty to a job; a job is one round."""
+    task = F.expr("event_id div 5")
+    return (
+        table(spark, sf, "events")
+        .select(task.alias("t"))
+        .distinct()
+        .select(
+            F.expr("t div 20").alias("round"),
+            F.concat(F.lit("job-"), F.expr("t div 20")).alias("job_id"),
+            F.concat(F.lit("task-"), F.col("t")).alias("task_id"),
+            F.when(F.col("t") % 9 == 0, "FAILED").otherwise("COMPLETED").alias("state"),
+        )
+    )
+
+
+def round_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploads: sign-up events, some of them below the task's own folder."""
+    t = F.expr("event_id div 5")
+    job = F.concat(F.lit("job-"), F.expr("event_id div 5 div 20"))
+    folder = F.concat(F.lit("jobs/"), job, F.lit("/task-"), t)
+    return (
+        table(spark, sf, "events")
+        .filter(F.col("event_type") == "signup")
+        .select(
+            job.alias("job_id"),
+            F.when(F.col("user_id") % 7 == 0, F.concat(folder, F.lit("/extra/metrics.json")))
+            .otherwise(F.concat(folder, F.lit("/metrics.json")))
+            .alias("key"),
+            "ts",
+        )
+    )
+
+
+COMMITS_SQL = """
+tk AS (SELECT DISTINCT event_id // 5 AS t FROM events),
+tasks AS (SELECT t // 20 AS round, 'job-' || (t // 20) AS job_id, 'task-' || t AS task_id,
+                 CASE WHEN t % 9 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS state,
+                 'jobs/job-' || (t // 20) || '/task-' || t || '/metrics.json' AS key FROM tk),
+ups AS (SELECT 'job-' || (event_id // 5 // 20) AS job_id,
+               'jobs/job-' || (event_id // 5 // 20) || '/task-' || (event_id // 5) ||
+               CASE WHEN user_id % 7 = 0 THEN '/extra/metrics.json' ELSE '/metrics.json' END AS key,
+               ts FROM events WHERE event_type = 'signup'),
+com AS (SELECT t.round, t.job_id, t.task_id, t.key, min(u.ts) AS ts
+        FROM tasks t JOIN ups u USING (job_id, key) WHERE t.state = 'COMPLETED'
+        GROUP BY ALL)
+"""
+
+
+# -- lease ledger -------------------------------------------------------------
+
+#: End of the data: every event is visible.
+AS_OF = "2024-01-31 00:00:00"
+#: Lease length of even tasks and of odd ones.
+LEASE_SECONDS = (7200.0, 60.0)
+
+
+def ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as ledger rows: five events to a task, twenty tasks to a job.
+
+    view claims, click renews, signup offers a commit, error reports a failure.
+    A request names the task's newest claim; a task never has more than five
+    rows, so the window below stays that small.
+    """
+    e = table(spark, sf, "events")
+    task = F.expr("event_id div 5")
+    newest_claim = F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).over(
+        Window.partitionBy("_t").orderBy("event_id")
+    )
+    return (
+        e.withColumn("_t", task)
+        .withColumn("lease_id", F.concat(F.lit("ls-"), newest_claim))
+        .filter("event_type <> 'purchase'")
+        .select(*_ledger_columns(), "lease_id")
+    )
+
+
+def _ledger_columns():
+    kind = (
+        F.when(F.col("event_type") == "view", "LEASE_CLAIMED")
+        .when(F.col("event_type") == "click", "LEASE_RENEWED")
+        .when(F.col("event_type") == "signup", "COMMIT_OFFERED")
+        .when(F.col("event_type") == "error", "TASK_ATTEMPT_FAILED")
+        .otherwise("NODE_HEARTBEAT")
+    )
+    return [
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("job-"), F.expr("event_id div 100")).alias("job_id"),
+        F.concat(F.lit("task-"), F.expr("(event_id div 5) % 20")).alias("task_id"),
+        F.concat(F.lit("node-"), F.col("user_id")).alias("node_id"),
+        kind.alias("type"),
+        F.col("ts"),
+        (F.col("event_id") % 11 != 0).alias("output_valid"),
+    ]
+
+
+def ledger_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("t")
+    return (
+        table(spark, sf, "events")
+        .select(F.expr("event_id div 5").alias("t"))
+        .distinct()
+        .select(
+            F.concat(F.lit("job-"), F.expr("t div 20")).alias("job_id"),
+            F.concat(F.lit("task-"), t % 20).alias("task_id"),
+            (F.lit(1) + t % 3).cast("int").alias("max_attempts"),
+            F.when(t % 2 == 0, LEASE_SECONDS[0])
+            .otherwise(LEASE_SECONDS[1])
+            .alias("lease_seconds"),
+        )
+    )
+
+
+def node_beats(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases as heartbeats of the buying node."""
+    return (
+        table(spark, sf, "events")
+        .filter("event_type = 'purchase'")
+        .select(
+            F.concat(F.lit("node-"), F.col("user_id")).alias("node_id"),
+            "ts",
+            F.col("event_id").alias("seq"),
+        )
+    )
+
+
+LEDGER_SQL = """
+ledger AS (SELECT event_id AS seq, 'job-' || (event_id // 100) AS job_id,
+  'task-' || ((event_id // 5) % 20) AS task_id, 'node-' || user_id AS node_id, ts,
+  CASE event_type WHEN 'view' THEN 'LEASE_CLAIMED' WHEN 'click' THEN 'LEASE_RENEWED'
+    WHEN 'signup' THEN 'COMMIT_OFFERED' WHEN 'error' THEN 'TASK_ATTEMPT_FAILED'
+    ELSE 'NODE_HEARTBEAT' END AS type,
+  event_id % 11 <> 0 AS output_valid,
+  'ls-' || max(CASE WHEN event_type = 'view' THEN event_id END)
+    OVER (PARTITION BY event_id // 5 ORDER BY event_id) AS lease_id
+  FROM events),
+tasks AS (SELECT DISTINCT 'job-' || (event_id // 100) AS job_id,
+  'task-' || ((event_id // 5) % 20) AS task_id,
+  CAST(1 + (event_id // 5) % 3 AS INTEGER) AS max_attempts,
+  CASE WHEN (event_id // 5) % 2 = 0 THEN 7200 ELSE 60 END AS lease_s FROM events),
+cl AS (SELECT l.*, row_number() OVER w AS attempt FROM ledger l WHERE type = 'LEASE_CLAIMED'
+       WINDOW w AS (PARTITION BY job_id, task_id ORDER BY seq)),
+gr AS (SELECT c.job_id, c.task_id, c.lease_id, c.node_id, c.ts AS claim_ts, c.seq AS claim_seq,
+         c.attempt, t.max_attempts, t.lease_s,
+         lead(c.seq) OVER w AS next_seq, lead(c.ts) OVER w AS next_ts
+       FROM cl c JOIN tasks t USING (job_id, task_id) WHERE c.attempt <= t.max_attempts
+       WINDOW w AS (PARTITION BY c.job_id, c.task_id ORDER BY c.seq)),
+bt AS (SELECT g.lease_id, g.lease_s, b.ts, lag(b.ts) OVER (PARTITION BY g.lease_id ORDER BY b.seq) AS pts
+       FROM gr g JOIN ledger b USING (lease_id) WHERE b.type IN ('LEASE_CLAIMED', 'LEASE_RENEWED')),
+dl AS (SELECT lease_id, coalesce(min(CASE WHEN ts >= pts + to_seconds(lease_s) THEN pts END), max(ts))
+         AS last_beat FROM bt GROUP BY lease_id),
+cz AS (SELECT lease_id, arg_min(type, seq) AS ctype, arg_min(output_valid, seq) AS cvalid,
+         min(seq) AS cseq, arg_min(ts, seq) AS cts, count_if(type = 'COMMIT_OFFERED') AS offers
+       FROM ledger WHERE type IN ('COMMIT_OFFERED', 'TASK_ATTEMPT_FAILED') AND lease_id IS NOT NULL
+       GROUP BY lease_id),
+ls0 AS (SELECT g.*, d.last_beat, d.last_beat + to_seconds(g.lease_s) AS deadline, c.*EXCLUDE lease_id,
+          coalesce(c.cts < d.last_beat + to_seconds(g.lease_s)
+                   AND (g.next_seq IS NULL OR c.cseq < g.next_seq), false) AS closed
+        FROM gr g JOIN dl d USING (lease_id) LEFT JOIN cz c USING (lease_id)),
+ls1 AS (SELECT *, CASE WHEN closed AND ctype = 'COMMIT_OFFERED' AND cvalid THEN 'committed'
+          WHEN closed THEN 'failed' WHEN coalesce(offers, 0) > 0 THEN 'rejected'
+          WHEN next_seq IS NOT NULL OR deadline <= TIMESTAMP '2024-01-31 00:00:00' THEN 'expired'
+          ELSE 'running' END AS outcome,
+          CASE WHEN closed THEN cts ELSE least(deadline, coalesce(next_ts, deadline)) END AS end_ts
+        FROM ls0),
+ls AS (SELECT * FROM (SELECT *, min(CASE WHEN outcome = 'committed' THEN attempt END)
+         OVER (PARTITION BY job_id, task_id) AS won FROM ls1)
+       WHERE won IS NULL OR attempt <= won),
+st AS (SELECT t.job_id, t.task_id, t.max_attempts, count(l.attempt) AS attempts,
+         max(l.won) AS won, arg_max(l.outcome, l.attempt) AS last_outcome,
+         arg_max(l.node_id, l.attempt) AS last_node, arg_max(l.deadline, l.attempt) AS last_deadline,
+         arg_max(l.deadline > TIMESTAMP '2024-01-31 00:00:00' AND NOT l.closed, l.attempt) AS live
+       FROM tasks t LEFT JOIN ls l USING (job_id, task_id) GROUP BY ALL),
+states AS (SELECT *, CASE WHEN won IS NOT NULL THEN 'COMPLETED'
+         WHEN attempts > 0 AND live THEN 'LEASED'
+         WHEN attempts >= max_attempts THEN 'FAILED' ELSE 'PENDING' END AS state FROM st)
+"""

@@ -89,6 +89,7 @@ if __name__ == "__main__":
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -102,7 +103,7 @@ if __name__ == "__main__":
             diff = compare(session, sf, fn, sql)
         except Exception as exc:  # noqa: BLE001 - report and go on
             text = str(exc)
-            diff = f"{type(exc).__name__}: {text[:1500]}"
+            diff = f"{type(exc).__name__}: {text[:700]}"
         bad += diff is not None
         status = "ok  " if diff is None else "FAIL"
         print(f"{status} {name:34s} {time.time() - t:6.2f}s {'' if sql else '(rows only)'}", flush=True)
