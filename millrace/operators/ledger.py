@@ -15,7 +15,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import epoch_seconds, previous_row, time_bucket
+from millrace.operators.ordered import epoch_seconds, time_bucket
 from millrace.operators.quantiles import exact_percentiles
 
 TASK = ["job_id", "task_id"]
@@ -49,57 +49,89 @@ def is_online(last_beat: Column, now: Column) -> Column:
 # -- leases -------------------------------------------------------------------
 
 
-def granted_claims(events: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The first ``max_attempts`` claims of each task, numbered, with the next one.
+def last_beats(events: DataFrame, tasks: DataFrame, slice_s: float = SLICE_S) -> DataFrame:
+    """Last beat of each lease that still counted: a renewal after a silence as long
+    as the lease comes too late and extends nothing.
+
+    Beats are ordered inside slices of time, then slices are compared by their
+    first and last beat, so a lease with endless renewals is not one sort.
+    """
+    slice_ = [*LEASE, "_b"]
+    inside = Window.partitionBy(*slice_).orderBy("ts", "seq")
+    across = Window.partitionBy(*LEASE).orderBy("_b")
+
+    def late(prev: Column, ts: Column) -> Column:
+        return F.unix_micros(ts) - F.unix_micros(prev) >= F.col("lease_seconds") * 1_000_000
+
+    beats = (
+        events.filter(F.col("type").isin("LEASE_CLAIMED", "LEASE_RENEWED"))
+        .join(tasks.select(*TASK, "lease_seconds"), TASK)
+        .select(*LEASE, "lease_seconds", "ts", "seq", time_bucket(F.col("ts"), slice_s).alias("_b"))
+        .withColumn("_p", F.lag("ts").over(inside))
+    )
+    slices = (
+        beats.groupBy(*slice_)
+        .agg(
+            F.first("lease_seconds").alias("lease_seconds"),
+            F.min("ts").alias("_first"),
+            F.max("ts").alias("_last"),
+            F.min(F.when(late(F.col("_p"), F.col("ts")), F.col("_p"))).alias("_gap"),
+        )
+        .withColumn("_p", F.lag("_last").over(across))
+    )
+    gap = F.least("_gap", F.when(late(F.col("_p"), F.col("_first")), F.col("_p")))
+    return slices.groupBy(*LEASE).agg(
+        F.coalesce(F.min(gap), F.max("_last")).alias("last_beat"),
+        F.first("lease_seconds").alias("lease_seconds"),
+    )
+
+
+def granted_leases(events: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The first ``max_attempts`` claims of each task with everything said about them.
 
     One number (the largest attempt limit) is read up front: a constant bound
-    lets Spark drop surplus claims before the shuffle.
+    lets Spark drop surplus claims before they are shuffled by task.
     """
     bound = tasks.agg(F.max("max_attempts")).first()[0] or 0
-    order = Window.partitionBy(*TASK).orderBy("claim_ts", "claim_seq")
-    claims = events.filter(F.col("type") == "LEASE_CLAIMED").select(
-        *LEASE, "node_id", F.col("ts").alias("claim_ts"), F.col("seq").alias("claim_seq")
+    kind = F.col("type")
+    closing = kind.isin("COMMIT_OFFERED", "TASK_ATTEMPT_FAILED")
+    per_lease = (
+        events.filter(F.col("lease_id").isNotNull())
+        .groupBy(*LEASE)
+        .agg(
+            F.min(F.when(kind == "LEASE_CLAIMED", F.struct("ts", "seq", "node_id"))).alias("claim"),
+            F.min(F.when(closing, F.struct("ts", "seq", "type", "output_valid"))).alias("c"),
+            F.count_if(kind == "COMMIT_OFFERED").alias("offers"),
+        )
+        .filter(F.col("claim").isNotNull())
+        .join(last_beats(events, tasks), LEASE)
     )
+    order = Window.partitionBy(*TASK).orderBy("claim.ts", "claim.seq")
     return (
-        claims.withColumn("attempt", F.row_number().over(order))
+        per_lease.withColumn("attempt", F.row_number().over(order))
         .filter(F.col("attempt") <= bound)
-        .join(tasks.select(*TASK, "max_attempts", "lease_seconds"), TASK)
+        .join(tasks.select(*TASK, "max_attempts"), TASK)
         .filter(F.col("attempt") <= F.col("max_attempts"))
-        .withColumn("next_ts", F.lead("claim_ts").over(order))
-        .withColumn("next_seq", F.lead("claim_seq").over(order))
-    )
-
-
-def last_beats(events: DataFrame, granted: DataFrame, slice_s: float = SLICE_S) -> DataFrame:
-    """Last beat that still counted: a renewal after a silence as long as the lease
-    comes too late and extends nothing."""
-    starts = granted.select(
-        *LEASE, "lease_seconds", F.col("claim_ts").alias("ts"), F.col("claim_seq").alias("seq")
-    )
-    renewals = (
-        events.filter(F.col("type") == "LEASE_RENEWED")
-        .select(*LEASE, "ts", "seq")
-        .join(granted.select(*LEASE, "lease_seconds"), LEASE)
-    )
-    beats = previous_row(
-        starts.unionByName(renewals),
-        LEASE,
-        ["ts", "seq"],
-        ["ts"],
-        time_bucket(F.col("ts"), slice_s),
-    )
-    late = F.col("ts") >= plus_seconds(F.col("prev_ts"), F.col("lease_seconds"))
-    return beats.groupBy(*LEASE).agg(
-        F.coalesce(F.min(F.when(late, F.col("prev_ts"))), F.max("ts")).alias("last_beat")
+        .select(
+            *LEASE,
+            "claim.node_id",
+            "attempt",
+            "max_attempts",
+            "lease_seconds",
+            F.col("claim.ts").alias("claim_ts"),
+            F.col("claim.seq").alias("claim_seq"),
+            "last_beat",
+            plus_seconds(F.col("last_beat"), F.col("lease_seconds")).alias("deadline"),
+            "c",
+            "offers",
+            F.lead(F.struct("claim.ts", "claim.seq")).over(order).alias("next"),
+        )
     )
 
 
 def deadlines(events: DataFrame, tasks: DataFrame) -> DataFrame:
     """Deadline of every lease: last beat that counted plus ``lease_seconds``."""
-    granted = granted_claims(events, tasks)
-    return granted.join(last_beats(events, granted), LEASE).withColumn(
-        "deadline", plus_seconds(F.col("last_beat"), F.col("lease_seconds"))
-    )
+    return granted_leases(events, tasks).drop("c", "offers", "next")
 
 
 def leases(events: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
@@ -109,83 +141,71 @@ def leases(events: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
     rejected (a commit was offered, but not in time), expired, or running.
     Attempts of a task that was already finished are left out.
     """
+    every = judged_leases(events, tasks, as_of)
+    return every.filter(F.col("won").isNull() | (F.col("attempt") <= F.col("won")))
+
+
+def judged_leases(events: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
+    """As :func:`leases`, with the claims made after a task had its result."""
     now = instant(as_of)
     seen = events.filter(F.col("ts") <= now)
-    held = deadlines(seen, tasks)
-    closing = F.col("type").isin("COMMIT_OFFERED", "TASK_ATTEMPT_FAILED")
-    closers = (
-        seen.filter(closing & F.col("lease_id").isNotNull())
-        .groupBy(*LEASE)
-        .agg(
-            F.min(F.struct("ts", "seq", "type", "output_valid")).alias("c"),
-            F.count_if(F.col("type") == "COMMIT_OFFERED").alias("offers"),
-        )
-    )
     cancels = (
         seen.filter(F.col("type") == "TASK_CANCELLED")
         .groupBy(*TASK)
         .agg(F.min(F.struct("ts", "seq")).alias("cancel"))
     )
-    joined = held.join(closers, LEASE, "left").join(cancels, TASK, "left")
-    close_at = F.struct(F.col("c.ts"), F.col("c.seq"))
-    next_at = F.struct(F.col("next_ts").alias("ts"), F.col("next_seq").alias("seq"))
-    claim_at = F.struct(F.col("claim_ts").alias("ts"), F.col("claim_seq").alias("seq"))
-    closed = (
-        F.col("c").isNotNull()
-        & (F.col("c.ts") < F.col("deadline"))
-        & (F.col("next_ts").isNull() | (close_at < next_at))
-        & (F.col("cancel").isNull() | (close_at < F.col("cancel")))
+    joined = granted_leases(seen, tasks).join(cancels, TASK, "left")
+    close_at = F.struct("c.ts", "c.seq")
+    closed = F.coalesce(
+        (F.col("c.ts") < F.col("deadline"))
+        & (F.col("next").isNull() | (close_at < F.col("next")))
+        & (F.col("cancel").isNull() | (close_at < F.col("cancel"))),
+        F.lit(False),
+    )
+    committed = (F.col("c.type") == "COMMIT_OFFERED") & F.coalesce("c.output_valid", F.lit(True))
+    outcome = (
+        F.when(F.col("closed") & committed, "committed")
+        .when(F.col("closed"), "failed")
+        .when(F.col("offers") > 0, "rejected")
+        .when(
+            F.col("next").isNotNull() | (F.col("deadline") <= now) | F.col("cancel").isNotNull(),
+            "expired",
+        )
+        .otherwise("running")
     )
-    committed = (F.col("c.type") == "COMMIT_OFFERED") & F.coalesce(
-        F.col("c.output_valid"), F.lit(True)
+    claim_at = F.struct(F.col("claim_ts").alias("ts"), F.col("claim_seq").alias("seq"))
+    ended_at = F.when(F.col("closed"), F.col("c.ts")).when(
+        F.col("outcome") != "running", F.least("deadline", "next.ts", "cancel.ts")
     )
     judged = (
         joined.filter(F.col("cancel").isNull() | (claim_at < F.col("cancel")))
-        .withColumn("closed", F.coalesce(closed, F.lit(False)))
-        .withColumn(
-            "outcome",
-            F.when(F.col("closed") & committed, "committed")
-            .when(F.col("closed"), "failed")
-            .when(F.coalesce(F.col("offers"), F.lit(0)) > 0, "rejected")
-            .when(
-                F.col("next_ts").isNotNull()
-                | (F.col("deadline") <= now)
-                | F.col("cancel").isNotNull(),
-                "expired",
-            )
-            .otherwise("running"),
-        )
-        .withColumn(
-            "ended_at",
-            F.when(F.col("closed"), F.col("c.ts")).when(
-                F.col("outcome") != "running",
-                F.least("deadline", "next_ts", F.col("cancel.ts")),
-            ),
-        )
-    )
-    won = F.min(F.when(F.col("outcome") == "committed", F.col("attempt"))).over(
-        Window.partitionBy(*TASK)
+        .withColumn("closed", closed)
+        .withColumn("outcome", outcome)
+        .withColumn("ended_at", ended_at)
     )
-    return (
-        judged.withColumn("won", won)
-        .filter(F.col("won").isNull() | (F.col("attempt") <= F.col("won")))
-        .select(
-            *LEASE,
-            "node_id",
-            "attempt",
-            "max_attempts",
-            "lease_seconds",
-            "claim_ts",
-            "claim_seq",
-            "last_beat",
-            "deadline",
-            "outcome",
-            "ended_at",
-            "closed",
-            "won",
-            F.when(F.col("closed"), F.col("c.seq")).alias("closing_seq"),
-            F.col("cancel.ts").alias("cancelled_at"),
+    winner = F.min(
+        F.when(
+            F.col("outcome") == "committed",
+            F.struct("attempt", F.col("ended_at").alias("ts"), F.col("c.seq").alias("seq")),
         )
+    ).over(Window.partitionBy(*TASK))
+    return judged.withColumn("_won", winner).select(
+        *LEASE,
+        "node_id",
+        "attempt",
+        "max_attempts",
+        "lease_seconds",
+        "claim_ts",
+        "claim_seq",
+        "last_beat",
+        "deadline",
+        "outcome",
+        "ended_at",
+        "closed",
+        F.col("_won.attempt").alias("won"),
+        F.struct(F.col("_won.ts"), F.col("_won.seq")).alias("won_at"),
+        F.when(F.col("closed"), F.col("c.seq")).alias("closing_seq"),
+        F.col("cancel.ts").alias("cancelled_at"),
     )
 
 
@@ -224,30 +244,18 @@ def live_scope(leased: DataFrame, as_of) -> DataFrame:
 # -- commits ------------------------------------------------------------------
 
 
-def commits(events: DataFrame, leased: DataFrame) -> DataFrame:
+def commits(events: DataFrame, judged: DataFrame) -> DataFrame:
     """Every offered commit, accepted or rejected with a reason.
 
-    At most one commit per task is accepted. Reasons: ``unknown_lease``,
-    ``invalid_output``, ``duplicate`` (the task already has its result), ``late``.
+    ``judged`` comes from :func:`judged_leases`. At most one commit per task is
+    accepted. Reasons: ``unknown_lease`` (never granted), ``duplicate`` (the task
+    already has its result), ``invalid_output``, ``late``.
     """
-    won = leased.filter(F.col("outcome") == "committed").select(
-        *TASK, F.col("closing_seq").alias("_won_seq"), F.col("ended_at").alias("_won_ts")
-    )
-    offered = events.filter(F.col("type") == "COMMIT_OFFERED")
-    by_lease = leased.select(*LEASE, "closing_seq", "outcome")
-    claimed = events.filter(F.col("type") == "LEASE_CLAIMED").select(
-        *LEASE, F.lit(True).alias("_known")
-    )
-    joined = (
-        offered.join(by_lease, LEASE, "left")
-        .join(claimed, LEASE, "left")
-        .join(won, TASK, "left")
-    )
-    accepted = F.coalesce(F.col("seq") == F.col("_won_seq"), F.lit(False))
-    after = F.struct("ts", "seq") > F.struct(
-        F.col("_won_ts").alias("ts"), F.col("_won_seq").alias("seq")
-    )
-    return joined.select(
+    known = judged.select(*LEASE, "closing_seq", "won", "won_at", F.lit(True).alias("_known"))
+    offered = events.filter(F.col("type") == "COMMIT_OFFERED").join(known, LEASE, "left")
+    accepted = F.coalesce(F.col("seq") == F.col("won_at.seq"), F.lit(False))
+    after = F.struct("ts", "seq") > F.col("won_at")
+    return offered.select(
         "seq",
         *LEASE,
         "node_id",
@@ -255,7 +263,7 @@ def commits(events: DataFrame, leased: DataFrame) -> DataFrame:
         accepted.alias("accepted"),
         F.when(accepted, F.lit(None))
         .when(F.col("_known").isNull(), "unknown_lease")
-        .when(F.col("_won_seq").isNotNull() & after, "duplicate")
+        .when(F.col("won").isNotNull() & after, "duplicate")
         .when(F.col("seq") == F.col("closing_seq"), "invalid_output")
         .otherwise("late")
         .alias("reason"),
@@ -410,38 +418,43 @@ def recoveries(leased: DataFrame) -> DataFrame:
     ``mttd_s``: reclaim minus the dead holder's last beat; ``mttr_s``: commit of
     the new holder minus its claim (NULL if it did not commit).
     """
-    dead = leased.filter(F.col("outcome").isin("expired", "rejected")).select(
-        *TASK,
-        (F.col("attempt") + 1).alias("attempt"),
-        F.col("node_id").alias("dead_node"),
-        F.col("last_beat").alias("_dead_beat"),
-    )
-    return leased.join(dead, [*TASK, "attempt"]).select(
-        *TASK,
-        "attempt",
-        "dead_node",
-        "node_id",
-        (epoch_seconds(F.col("claim_ts")) - epoch_seconds(F.col("_dead_beat"))).alias("mttd_s"),
-        F.when(
-            F.col("outcome") == "committed",
-            epoch_seconds(F.col("ended_at")) - epoch_seconds(F.col("claim_ts")),
-        ).alias("mttr_s"),
+    order = Window.partitionBy(*TASK).orderBy("attempt")
+    before = F.lag(F.struct("outcome", "node_id", "last_beat")).over(order)
+    return (
+        leased.withColumn("_d", before)
+        .filter(F.col("_d.outcome").isin("expired", "rejected"))
+        .select(
+            *TASK,
+            "attempt",
+            F.col("_d.node_id").alias("dead_node"),
+            "node_id",
+            (epoch_seconds(F.col("claim_ts")) - epoch_seconds(F.col("_d.last_beat"))).alias(
+                "mttd_s"
+            ),
+            F.when(
+                F.col("outcome") == "committed",
+                epoch_seconds(F.col("ended_at")) - epoch_seconds(F.col("claim_ts")),
+            ).alias("mttr_s"),
+        )
     )
 
 
-def recovery_latency(leased: DataFrame, sweep_s: float = 2.0) -> DataFrame:
+def recovery_latency(leased: DataFrame, tasks: DataFrame, sweep_s: float = 2.0) -> DataFrame:
     """Percentiles of detection and repair times, with the bound lease + sweep."""
-    found = recoveries(leased)
-    probs = {"p50": 0.5, "p95": 0.95}
-    parts = []
-    for metric in ("mttd_s", "mttr_s"):
-        p = exact_percentiles(found, [], metric, probs)
-        parts.append(p.select(F.lit(metric).alias("metric"), "repeats", "p50", "p95"))
-    bound = leased.agg((F.max("lease_seconds") + F.lit(sweep_s)).alias("mttd_bound_s"))
+    long = recoveries(leased).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                    for m in ("mttd_s", "mttr_s")
+                ]
+            )
+        )
+    )
+    found = exact_percentiles(long, ["metric"], "value", {"p50": 0.5, "p95": 0.95})
+    bound = tasks.agg((F.max("lease_seconds") + F.lit(sweep_s)).alias("mttd_bound_s"))
     return (
-        parts[0]
-        .unionByName(parts[1])
-        .withColumn("_one", F.lit(1))
+        found.withColumn("_one", F.lit(1))
         .join(bound.withColumn("_one", F.lit(1)), "_one")
         .drop("_one")
     )

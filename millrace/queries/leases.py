@@ -17,6 +17,11 @@ def _leased(spark, sf):
     return events, tasks, L.leases(events, tasks, B.AS_OF)
 
 
+def _commits(spark, sf):
+    events, tasks = B.ledger(spark, sf), B.ledger_tasks(spark, sf)
+    return L.commits(events, L.judged_leases(events, tasks, B.AS_OF))
+
+
 def _us(column: str):
     return F.unix_micros(column).alias(column + "_us")
 
@@ -90,10 +95,10 @@ wn AS (SELECT job_id, task_id, cseq AS wseq FROM ls WHERE outcome = 'committed')
 cm AS (SELECT o.seq, o.job_id, o.task_id, o.lease_id, o.node_id, o.ts,
   coalesce(o.seq = w.wseq, false) AS accepted,
   CASE WHEN o.seq = w.wseq THEN NULL
-       WHEN o.lease_id IS NULL THEN 'unknown_lease'
+       WHEN l.lease_id IS NULL THEN 'unknown_lease'
        WHEN w.wseq IS NOT NULL AND o.seq > w.wseq THEN 'duplicate'
        WHEN l.closed AND l.cseq = o.seq THEN 'invalid_output' ELSE 'late' END AS reason
-  FROM ledger o LEFT JOIN ls l ON l.lease_id = o.lease_id
+  FROM ledger o LEFT JOIN ls1 l ON l.lease_id = o.lease_id
   LEFT JOIN wn w ON w.job_id = o.job_id AND w.task_id = o.task_id
   WHERE o.type = 'COMMIT_OFFERED')"""
 
@@ -103,8 +108,7 @@ cm AS (SELECT o.seq, o.job_id, o.task_id, o.lease_id, o.node_id, o.ts,
     f"""WITH {_COMMITS} SELECT seq, job_id, task_id, lease_id, node_id, accepted, reason FROM cm""",
 )
 def commits(spark: SparkSession, sf: str) -> DataFrame:
-    events, _, leased = _leased(spark, sf)
-    return L.commits(events, leased).drop("ts")
+    return _commits(spark, sf).drop("ts")
 
 
 @query(
@@ -112,8 +116,7 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {_COMMITS} SELECT node_id, count(*) AS accepted_tasks FROM cm WHERE accepted GROUP BY node_id""",
 )
 def commit_credit(spark: SparkSession, sf: str) -> DataFrame:
-    events, _, leased = _leased(spark, sf)
-    return L.accepted_by_node(L.commits(events, leased))
+    return L.accepted_by_node(_commits(spark, sf))
 
 
 @query(
@@ -130,11 +133,10 @@ SELECT r.node_id, epoch_us(h.last) AS last_heartbeat_us,
 FROM reg r LEFT JOIN hb h USING (node_id) LEFT JOIN cr c USING (node_id)""",
 )
 def node_view(spark: SparkSession, sf: str) -> DataFrame:
-    events, _, leased = _leased(spark, sf)
     registered = B.table(spark, sf, "events").select(
         F.concat(F.lit("node-"), F.col("user_id")).alias("node_id")
     ).distinct()
-    view = L.node_view(registered, B.node_beats(spark, sf), L.commits(events, leased), B.AS_OF)
+    view = L.node_view(registered, B.node_beats(spark, sf), _commits(spark, sf), B.AS_OF)
     return view.select(
         "node_id", _us("last_heartbeat"), "online", "last_heartbeat_age_s", "accepted_tasks"
     )
@@ -160,7 +162,7 @@ rec AS (SELECT n.job_id, n.task_id, n.attempt, d.node_id AS dead_node, n.node_id
 @query(
     "lease_recoveries",
     f"""WITH {_REC} SELECT job_id, task_id, CAST(attempt AS INTEGER) AS attempt, dead_node, node_id,
-    round(mttd_s, 5) AS mttd_s, round(mttr_s, 5) AS mttr_s FROM rec""",
+    round(mttd_s, 6) AS mttd_s, round(mttr_s, 6) AS mttr_s FROM rec""",
 )
 def lease_recoveries(spark: SparkSession, sf: str) -> DataFrame:
     _, _, leased = _leased(spark, sf)
@@ -170,8 +172,8 @@ def lease_recoveries(spark: SparkSession, sf: str) -> DataFrame:
         "attempt",
         "dead_node",
         "node_id",
-        F.round("mttd_s", 5).alias("mttd_s"),
-        F.round("mttr_s", 5).alias("mttr_s"),
+        F.round("mttd_s", 6).alias("mttd_s"),
+        F.round("mttr_s", 6).alias("mttr_s"),
     )
 
 
@@ -183,8 +185,8 @@ def lease_recoveries(spark: SparkSession, sf: str) -> DataFrame:
       round(quantile_cont(v, 0.95), 4) AS p95, 7202.0::DOUBLE AS mttd_bound_s FROM u GROUP BY metric""",
 )
 def lease_recovery_latency(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, leased = _leased(spark, sf)
-    r = L.recovery_latency(leased)
+    _, tasks, leased = _leased(spark, sf)
+    r = L.recovery_latency(leased, tasks)
     return r.select(
         "metric", "repeats", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "mttd_bound_s"
     )
