@@ -281,3 +281,323 @@ states AS (SELECT *, CASE WHEN won IS NOT NULL THEN 'COMPLETED'
          WHEN attempts > 0 AND live THEN 'LEASED'
          WHEN attempts >= max_attempts THEN 'FAILED' ELSE 'PENDING' END AS state FROM st)
 """
+
+
+# -- failures -----------------------------------------------------------------
+
+#: First lines put before document text, chosen by ``event_id % 6``.
+LOG_HEADS = [
+    "NameError: name x is not defined",
+    "2026 WARNING ImportError: x",
+    "Traceback (most recent call last):",
+    "Traceback (most recent call last): ChildFailedError",
+    "worker lost",
+    "pkg.mod.ModuleNotFoundError: No module named y",
+]
+MESSAGES = ["", "", "NCCL watchdog timeout on rank 3", "S3 slowdown", "training loss is nan", ""]
+
+
+def failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Error events with a log: a head line and the whole text of a document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    errors = table(spark, sf, "events").filter("event_type = 'error'")
+    n = table(spark, sf, "documents").count()
+    keyed = errors.withColumn("doc_id", F.col("event_id") % n)
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % 6).cast("int"))
+    every = lambda k: F.col("event_id") % k == 0
+    return keyed.join(docs, "doc_id", "left").select(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("pool-"), F.col("user_id") % 5).alias("pool"),
+        "ts",
+        (F.col("event_id") % 4).cast("int").alias("exit_code"),
+        F.concat_ws("\n", pick(LOG_HEADS), "text").alias("log"),
+        pick(MESSAGES).alias("message"),
+        every(13).alias("heartbeat_lost"),
+        every(29).alias("preemption_notice"),
+        every(31).alias("xid_event"),
+        every(37).alias("control_plane_unreachable"),
+        every(41).alias("hash_mismatch"),
+        F.when(every(2), "independent_tasks").otherwise("coordinated_training").alias("mode"),
+    )
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+FAILURES_SQL = f"""
+err AS (SELECT e.*, e.event_id % (SELECT count(*) FROM documents) AS doc_id FROM events e
+        WHERE event_type = 'error'),
+fl AS (SELECT e.event_id AS id, 'pool-' || (e.user_id % 5) AS pool, e.ts,
+  CAST(e.event_id % 4 AS INTEGER) AS exit_code,
+  ({_sql_list(LOG_HEADS)})[e.event_id % 6 + 1] || coalesce(chr(10) || d.text, '') AS log,
+  ({_sql_list(MESSAGES)})[e.event_id % 6 + 1] AS message,
+  e.event_id % 13 = 0 AS heartbeat_lost, e.event_id % 29 = 0 AS preemption,
+  e.event_id % 31 = 0 AS xid, e.event_id % 37 = 0 AS control, e.event_id % 41 = 0 AS hash,
+  CASE WHEN e.event_id % 2 = 0 THEN 'independent_tasks' ELSE 'coordinated_training' END AS mode
+  FROM err e LEFT JOIN documents d ON d.doc_id = e.doc_id),
+sg AS (SELECT *, exit_code <> 0 AND (
+    regexp_matches(log, '(?m)^(?:\\w+\\.)*(?:SyntaxError|IndentationError|ImportError|ModuleNotFoundError|NameError|AttributeError)(?::|$)')
+    OR (contains(log, 'Traceback (most recent call last):') AND NOT contains(log, 'ChildFailedError'))) AS exit_deterministic,
+  count(*) OVER (PARTITION BY pool ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS concurrent_failures
+  FROM fl),
+kl AS (SELECT *, CASE WHEN concurrent_failures >= 3 THEN 'correlated_incident'
+  WHEN control THEN 'control_plane_failure' WHEN preemption THEN 'preemption'
+  WHEN xid THEN 'accelerator_failure' WHEN heartbeat_lost THEN 'node_loss'
+  WHEN regexp_matches(lower(message), 'nccl|rccl|gloo|rendezvous|allreduce|all_reduce|process group') THEN 'communication_error'
+  WHEN regexp_matches(lower(message), 's3|oss|minio|object store|storage timeout|slowdown') THEN 'storage_timeout'
+  WHEN hash THEN 'artifact_corruption'
+  WHEN exit_code <> 0 AND exit_deterministic THEN 'application_error'
+  WHEN exit_code <> 0 THEN 'worker_crash' ELSE 'unknown' END AS failure_class FROM sg)
+"""
+
+
+# -- checkpoints --------------------------------------------------------------
+
+
+def manifests(spark: SparkSession, sf: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("ck-"), o).alias("manifest_id"),
+        F.concat(F.lit("job-"), F.col("o_custkey")).alias("job_id"),
+        F.concat(F.lit("a"), o % 3).alias("attempt_id"),
+        o.alias("step"),
+        (F.lit(1) + o % 4).cast("int").alias("world_size"),
+        F.when(o % 2 == 0, F.array((F.lit(1) + o % 4).cast("int"), F.lit(8))).alias(
+            "compatible_world_sizes"
+        ),
+        F.col("o_orderdate").alias("created"),
+    )
+
+
+def _line_parts(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("step"),
+        F.concat_ws("-", F.lit("part"), "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
+        F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"),
+        F.col("l_quantity").cast("bigint").alias("size_bytes"),
+        "l_returnflag",
+        "l_suppkey",
+    )
+    ids = manifests(spark, sf).select("manifest_id", "job_id", "attempt_id", "step")
+    return lines.join(ids, "step")
+
+
+def expected_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return _line_parts(spark, sf).select(
+        "manifest_id", "job_id", "attempt_id", "step", "key", "sha256", "size_bytes"
+    ).distinct()
+
+
+def registered_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploads: returned lines never arrive, some arrive damaged and a few of those
+    are uploaded again."""
+    p = _line_parts(spark, sf).filter("l_returnflag <> 'R'")
+    damaged = F.col("l_suppkey") % 37 == 0
+    first = p.withColumn("sha256", F.when(damaged, F.sha2("key", 256)).otherwise(F.col("sha256")))
+    again = p.filter(damaged & (F.col("step") % 2 == 0))
+    columns = ["job_id", "attempt_id", "step", "key", "sha256", "size_bytes"]
+    return first.select(*columns, F.lit(1).cast("bigint").alias("seq")).unionByName(
+        again.select(*columns, F.lit(2).cast("bigint").alias("seq"))
+    )
+
+
+def validation_marks(spark: SparkSession, sf: str) -> DataFrame:
+    return (
+        table(spark, sf, "orders")
+        .filter("o_orderstatus IN ('P', 'F')")
+        .select(
+            F.concat(F.lit("ck-"), F.col("o_orderkey")).alias("manifest_id"),
+            F.when(F.col("o_orderstatus") == "P", "restore_verified")
+            .otherwise("invalid")
+            .alias("mark"),
+            F.col("o_orderkey").alias("seq"),
+        )
+    )
+
+
+MANIFESTS_SQL = """
+mf AS (SELECT 'ck-' || o_orderkey AS manifest_id, 'job-' || o_custkey AS job_id,
+  'a' || (o_orderkey % 3) AS attempt_id, o_orderkey AS step,
+  CAST(1 + o_orderkey % 4 AS INTEGER) AS world_size,
+  CASE WHEN o_orderkey % 2 = 0 THEN [1 + o_orderkey % 4, 8] ELSE [1 + o_orderkey % 4] END AS sizes,
+  o_orderdate AS created, o_orderstatus FROM orders),
+ex AS (SELECT DISTINCT m.manifest_id, m.step, concat_ws('-', 'part', l_linenumber, l_partkey, l_suppkey) AS key,
+  l_partkey, l_suppkey, l_returnflag FROM lineitem l JOIN mf m ON m.step = l.l_orderkey),
+rg AS (SELECT DISTINCT step, key, l_suppkey % 37 = 0 AND step % 2 <> 0 AS bad FROM ex WHERE l_returnflag <> 'R'),
+pp AS (SELECT DISTINCT e.manifest_id, e.step, e.key, r.key IS NULL AS missing, coalesce(r.bad, false) AS bad
+       FROM ex e LEFT JOIN rg r USING (step, key)),
+au AS (SELECT m.*, count(p.key) AS parts, coalesce(count_if(p.missing), 0)::BIGINT AS missing,
+         coalesce(count_if(p.bad), 0)::BIGINT AS mismatched FROM mf m LEFT JOIN pp p USING (manifest_id) GROUP BY ALL),
+va AS (SELECT *, parts > 0 AND missing = 0 AND mismatched = 0 AS committed FROM au),
+vd AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'invalid' WHEN o_orderstatus = 'P' THEN 'restore_verified'
+         ELSE 'hash_verified' END AS validation FROM va WHERE committed),
+lv AS (SELECT * FROM vd WHERE validation <> 'invalid'
+       QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY step DESC,
+         (validation = 'restore_verified') DESC, created DESC, manifest_id DESC) = 1)
+"""
+
+
+# -- trials and samples -------------------------------------------------------
+
+
+def trials(spark: SparkSession, sf: str) -> DataFrame:
+    resumed = F.col("l_linenumber") - 1
+    return table(spark, sf, "lineitem").select(
+        F.concat(F.lit("run-"), F.col("l_suppkey")).alias("run_id"),
+        F.col("l_orderkey").alias("trial"),
+        F.col("l_quantity").cast("bigint").alias("steps"),
+        resumed.cast("bigint").alias("resumed_from"),
+        F.when(F.col("l_partkey") % 5 != 0, resumed + F.col("l_partkey") % 3)
+        .cast("bigint")
+        .alias("crashed_at"),
+    )
+
+
+TRIALS_SQL = """
+tr AS (SELECT 'run-' || l_suppkey AS run_id, CAST(l_quantity AS BIGINT) AS steps,
+  CAST(l_linenumber - 1 AS BIGINT) AS resumed_from,
+  CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_linenumber - 1 + l_partkey % 3 AS BIGINT) END AS crashed_at
+  FROM lineitem)
+"""
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(
+        F.col("event_type").alias("scenario"), F.col("event_id").alias("repeat"), "value"
+    )
+
+
+def paired_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbouring events form a pair; the even one is arm ``a``."""
+    pair = F.expr("event_id div 2")
+    return table(spark, sf, "events").select(
+        F.concat(F.lit("s"), pair % 4).alias("scenario"),
+        pair.alias("repeat"),
+        F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("arm"),
+        "value",
+    )
+
+
+# -- placement ----------------------------------------------------------------
+
+
+def placement_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """One task per order, its payload put together from the order key; some of the
+    values have the wrong type on purpose."""
+    k = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    members = F.array_compact(
+        F.array(
+            F.when(k % 3 == 0, '"argv":["run"]'),
+            F.when(k % 3 == 1, '"module":"m"'),
+            F.when(k % 5 == 1, '"gpus":1')
+            .when(k % 5 == 2, '"gpus":2')
+            .when(k % 15 == 3, '"gpus":true')
+            .when(k % 5 == 4, '"gpus":0'),
+            F.when(k % 4 == 1, '"pool":"pool-1"')
+            .when(k % 4 == 2, '"pool":"pool-2"')
+            .when(k % 8 == 3, '"pool":7'),
+            F.when(k % 6 == 0, text('"local_inputs":["ds-', k % 10, '"]')).when(
+                k % 12 == 1, '"local_inputs":"ds-1"'
+            ),
+            F.when(k % 11 == 0, text('"exclude_nodes":["node-', k % 100, '"]')),
+            F.when(k % 6 == 0, '"isolation":{"tier":"sandboxed","allowFallback":true}')
+            .when(k % 6 == 3, '"isolation":{"tier":"sandboxed"}')
+            .when(k % 3 == 2, '"isolation":{"tier":"standard"}'),
+        )
+    )
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("job-"), F.expr("o_orderkey div 100")).alias("job_id"),
+        F.concat(F.lit("task-"), k).alias("task_id"),
+        k.alias("seq"),
+        F.parse_json(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))).alias("payload"),
+        (k % 7).alias("priority"),
+    )
+
+
+def placement_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    js = lambda c: F.parse_json(c)
+    gpus = F.array_join(F.array_repeat(F.lit('{"name":"g"}'), (s % 4).cast("int")), ",")
+    pools = F.array_join(
+        F.array_compact(F.array(F.when(s % 2 == 0, '"pool-1"'), F.when(s % 3 == 0, '"pool-2"'))), ","
+    )
+    return table(spark, sf, "supplier").select(
+        F.concat(F.lit("node-"), s).alias("node_id"),
+        js(F.when(s % 4 == 0, "true").when(s % 4 == 1, '"true"')).alias("argv_capable"),
+        js(F.when(s % 3 == 0, "true").otherwise("1")).alias("unsandboxed_argv_capable"),
+        js(F.when(s % 5 == 0, "false")).alias("module_capable"),
+        js(
+            F.when(s % 17 == 0, '"ds-1"').otherwise(
+                F.concat(F.lit('["ds-'), s % 10, F.lit('","ds-'), (s + 1) % 10, F.lit('"]'))
+            )
+        ).alias("local_datasets"),
+        js(
+            F.when(s % 19 == 0, '"all"').otherwise(
+                F.concat(F.lit('{"gpus":['), gpus, F.lit('],"pools":['), pools, F.lit("]}"))
+            )
+        ).alias("capabilities"),
+        js(F.when(s % 2 == 0, "true")).alias("sandbox_capable"),
+    )
+
+
+PLACEMENT_SQL = """
+pairs AS (SELECT o_orderkey AS k, s_suppkey AS s,
+  (k % 3 <> 0 OR s % 4 = 0 OR (k % 6 = 0 AND k % 4 = 2 AND s % 3 = 0)) AS g_argv,
+  (k % 3 <> 1 OR s % 5 <> 0) AS g_module,
+  CASE WHEN k % 6 = 0 THEN s % 17 <> 0 AND (s % 10 = k % 10 OR (s + 1) % 10 = k % 10)
+       WHEN k % 12 = 1 THEN false ELSE true END AS g_data,
+  CASE WHEN k % 5 = 1 THEN s % 19 <> 0 AND s % 4 >= 1 WHEN k % 5 = 2 THEN s % 19 <> 0 AND s % 4 >= 2
+       WHEN k % 15 = 3 THEN false ELSE true END AS g_gpus,
+  (k % 11 <> 0 OR s <> k % 100) AS g_exclude,
+  CASE WHEN k % 4 = 1 THEN s % 19 <> 0 AND s % 2 = 0 WHEN k % 4 = 2 THEN s % 19 <> 0 AND s % 3 = 0
+       WHEN k % 8 = 3 THEN false ELSE true END AS g_pool,
+  (k % 6 <> 3 OR s % 2 = 0) AS g_isolation
+  FROM orders, supplier),
+ok AS (SELECT *, g_argv AND g_module AND g_data AND g_gpus AND g_exclude AND g_pool AND g_isolation AS fits
+       FROM pairs)
+"""
+
+
+def capacity_requests(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        k.alias("request_id"),
+        F.when(k % 3 > 0, (k % 5).cast("int")).alias("gpus"),
+        F.when(k % 4 == 0, F.concat(F.lit("TYPE-"), k % 3)).alias("gpu_type"),
+        F.when(k % 2 == 0, (k % 6 * 8).cast("double")).alias("vram_gb"),
+        F.when(k % 7 == 0, (k % 32).cast("int")).alias("cpus"),
+        F.lit(None).cast("double").alias("memory_gb"),
+        F.when(k % 5 == 0, F.concat(F.lit("region-"), k % 4)).alias("region"),
+        F.when(k % 9 == 0, F.lit(900.0) + k % 50).alias("max_hourly_usd"),
+        (k % 2 == 0).alias("spot_ok"),
+    )
+
+
+def capacity_offers(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        F.concat(F.lit("offer-"), p).alias("offer_id"),
+        (p % 9).cast("int").alias("gpus"),
+        F.concat(F.lit("type-"), p % 3).alias("gpu_type"),
+        F.when(p % 10 != 0, (p % 8 * 8).cast("double")).alias("vram_gb"),
+        (p % 40).cast("int").alias("cpus"),
+        F.lit(64.0).alias("memory_gb"),
+        F.concat(F.lit("region-"), p % 4).alias("region"),
+        F.col("p_retailprice").alias("hourly_usd"),
+        (p % 3 == 0).alias("spot"),
+    )
+
+
+OFFERS_SQL = """
+rq AS (SELECT o_orderkey AS k FROM orders),
+m AS (SELECT k, p_partkey AS p, p_retailprice AS usd FROM rq, part
+  WHERE (k % 3 = 0 OR p_partkey % 9 >= k % 5)
+    AND (k % 4 <> 0 OR p_partkey % 3 = k % 3)
+    AND (k % 2 <> 0 OR (p_partkey % 10 <> 0 AND p_partkey % 8 * 8 >= k % 6 * 8))
+    AND (k % 7 <> 0 OR p_partkey % 40 >= k % 32)
+    AND (k % 5 <> 0 OR p_partkey % 4 = k % 4)
+    AND (k % 9 <> 0 OR p_retailprice <= 900.0 + k % 50)
+    AND (k % 2 = 0 OR p_partkey % 3 <> 0))
+"""
