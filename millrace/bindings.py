@@ -601,3 +601,30 @@ m AS (SELECT k, p_partkey AS p, p_retailprice AS usd FROM rq, part
     AND (k % 9 <> 0 OR p_retailprice <= 900.0 + k % 50)
     AND (k % 2 = 0 OR p_partkey % 3 <> 0))
 """
+
+
+# -- labelled rows ------------------------------------------------------------
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents: length, language and source as numbers; label = quality."""
+    return (
+        table(spark, sf, "labels")
+        .join(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+        .select(
+            F.col("doc_id").alias("id"),
+            F.array(
+                F.col("n_chars") / 10000.0,
+                (F.col("lang") == "en").cast("double"),
+                F.col("toxic").cast("double"),
+            ).alias("features"),
+            F.col("quality").cast("double").alias("label"),
+        )
+    )
+
+
+LABELLED_SQL = """
+lab AS (SELECT d.doc_id AS id, row_number() OVER (ORDER BY d.doc_id) - 1 AS idx,
+  d.n_chars / 10000.0::DOUBLE AS x0, (d.lang = 'en')::INTEGER::DOUBLE AS x1, l.toxic::DOUBLE AS x2,
+  l.quality::DOUBLE AS y FROM labels l JOIN documents d USING (doc_id))
+"""

@@ -79,7 +79,8 @@ def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ledger_store",
-    """SELECT event_id AS seq, event_type AS type FROM events WHERE event_id // 100 = 3 ORDER BY event_id""",
+    """SELECT 'job-' || (event_id // 100) AS job_id, count(*) AS events, max(event_id) AS last_seq
+    FROM events GROUP BY event_id // 100""",
 )
 def ledger_store(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "ledger")
@@ -90,7 +91,9 @@ def ledger_store(spark: SparkSession, sf: str) -> DataFrame:
         "ts",
     )
     files.append_events(rows.repartition("job_id"), path)
-    return files.events_for(spark.read.parquet(path), "job-3").select("seq", "type")
+    return spark.read.parquet(path).groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("events"), F.max("seq").alias("last_seq")
+    )
 
 
 @query(
