@@ -628,3 +628,151 @@ lab AS (SELECT d.doc_id AS id, row_number() OVER (ORDER BY d.doc_id) - 1 AS idx,
   d.n_chars / 10000.0::DOUBLE AS x0, (d.lang = 'en')::INTEGER::DOUBLE AS x1, l.toxic::DOUBLE AS x2,
   l.quality::DOUBLE AS y FROM labels l JOIN documents d USING (doc_id))
 """
+
+
+# -- sizing requests ----------------------------------------------------------
+
+
+def _choose(by: str, values: list) -> str:
+    """CASE over ``by % len(values)``; the same text runs in Spark and DuckDB."""
+    shown = ["NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values]
+    arms = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(shown))
+    return f"CASE ({by}) % {len(values)} {arms} END"
+
+
+_LINK_NAMES = ["same_host_nvlink", "same_host_pcie", "multi_node_ib", "multi_node_100g", "multi_node_10g", "wan"]
+
+#: Column, type and expression over ``k`` (order key) and ``j`` (its quarter).
+SIZING_COLUMNS = [
+    ("kind", "string", _choose("k", ["transformer_finetune", "pytorch_training", "classical_ml", "independent_tasks"])),
+    ("model", "string", _choose("j", ["Qwen/Qwen2.5-7B-Instruct", "llama-3.2-1b", "gpt2", "org/custom-13b", "mistral-7b"])),
+    ("parameters_b", "double", "CASE WHEN j % 10 = 8 THEN 13.0 END"),
+    ("method", "string", _choose("j", ["full", "lora", "qlora"])),
+    ("lora_rank", "int", "16"),
+    ("precision", "string", _choose("j", ["bf16", "fp32"])),
+    ("optimizer", "string", _choose("j", ["adamw", "sgd_momentum", "adamw_8bit", "adamw"])),
+    ("seq_len", "int", "2048 * (1 + j % 4)"),
+    ("micro_batch", "int", "1 + j % 3"),
+    ("grad_accum", "int", "8"),
+    ("activation_checkpointing", "boolean", "CASE WHEN j % 7 = 0 THEN true WHEN j % 7 = 1 THEN false END"),
+    ("hidden_size", "int", "CASE WHEN j % 11 = 0 THEN 4096 END"),
+    ("num_layers", "int", "CASE WHEN j % 11 = 0 THEN 32 END"),
+    ("train_tokens_m", "double", "CASE WHEN j % 6 > 0 THEN 10 * (j % 6) END"),
+    ("parameters_m", "double", "10 * (1 + j % 500)"),
+    ("trainable_fraction", "double", "CASE WHEN j % 2 = 1 THEN 0.5 ELSE 1.0 END"),
+    ("activation_gb", "double", "CASE WHEN j % 3 > 0 THEN j % 3 * 4 END"),
+    ("est_gpu_hours", "double", "CASE WHEN j % 4 > 0 THEN j % 4 * 5 END"),
+    ("dataset_mb", "double", "j % 20000 * 5"),
+    ("supports_partial_fit", "boolean", "j % 2 = 0"),
+    ("task_count", "int", "1 + j % 50"),
+    ("est_minutes_per_task", "double", "12.0"),
+    ("needs_gpu", "boolean", "j % 3 = 0"),
+    ("vram_gb_per_task", "double", "j % 5 * 6"),
+    ("gpus", "int", _choose("j + k", [4, 1, 2, 0, 6, 8, 1])),
+    ("gpu_type", "string", _choose("j", ["RTX4090", "a100-80gb", "T4 ", "unheard-of"])),
+    ("vram_gb", "double", "CASE WHEN j % 8 = 3 THEN 48.0 END"),
+    ("hosts", "int", "1 + j % 3"),
+    ("interconnect", "string", _choose("j + 1", _LINK_NAMES)),
+    ("cpu_ram_gb", "double", "64 * (1 + j % 4)"),
+    ("cpu_cores", "int", "8 + j % 9"),
+    ("hourly_cost", "double", "CASE WHEN j % 5 > 0 THEN 0.44 * (j % 5) END"),
+    ("mode", "string", _choose("j", ["cheapest", "fastest", "balanced", "reliable", "balanced"])),
+    ("deadline_minutes", "double", "CASE WHEN j % 9 = 0 THEN 600.0 END"),
+    ("max_cost_usd", "double", "CASE WHEN j % 13 = 0 THEN 50.0 END"),
+    ("allow_quantization", "boolean", "j % 4 <> 2"),
+    ("allow_cpu_offload", "boolean", "j % 7 <> 1"),
+]
+
+
+def sizing_requests(spark: SparkSession, sf: str) -> DataFrame:
+    keyed = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_orderkey div 4 AS j")
+    return keyed.selectExpr(
+        "k AS request_id", *[f"CAST({e} AS {t}) AS {n}" for n, t, e in SIZING_COLUMNS]
+    )
+
+
+_DUCK = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+_REQUESTS = ", ".join(f"CAST({e} AS {_DUCK[t]}) AS {n}" for n, t, e in SIZING_COLUMNS)
+
+SIZING_SQL = f"""
+kj AS (SELECT o_orderkey AS k, o_orderkey // 4 AS j FROM orders),
+rq AS (SELECT k AS request_id, {_REQUESTS} FROM kj),
+mo(mk, mp, mh, ml) AS (VALUES ('qwen2.5-7b', 7.62::DOUBLE, 3584, 28), ('llama-3.2-1b', 1.24, 2048, 16),
+  ('gpt2', 0.124, 768, 12), ('mistral-7b', 7.25, 4096, 32)),
+gp(gk, gv, gt) AS (VALUES ('rtx4090', 24::DOUBLE, 165::DOUBLE), ('a100-80gb', 80, 312), ('t4', 16, 65)),
+lk(link, bw, lat) AS (VALUES ('same_host_nvlink', 250.0::DOUBLE, 0.00001::DOUBLE), ('same_host_pcie', 20.0, 0.00002),
+  ('multi_node_ib', 25.0, 0.00005), ('multi_node_100g', 10.0, 0.0001), ('multi_node_10g', 1.1, 0.0003), ('wan', 0.05, 0.03)),
+rs AS (SELECT rq.*, coalesce(parameters_b, mp) AS pb, coalesce(vram_gb, gv) AS vram, coalesce(gt, 0) AS tf,
+    CASE WHEN hidden_size IS NOT NULL THEN hidden_size WHEN mh IS NOT NULL THEN mh
+      WHEN coalesce(parameters_b, mp) <= 16 THEN 5120 END AS hidden,
+    CASE WHEN num_layers IS NOT NULL THEN num_layers WHEN ml IS NOT NULL THEN ml
+      WHEN coalesce(parameters_b, mp) <= 16 THEN 40 END AS layers,
+    CASE precision WHEN 'fp32' THEN 4.0::DOUBLE ELSE 2.0 END AS pby,
+    CASE optimizer WHEN 'adamw' THEN 12.0::DOUBLE WHEN 'adamw_8bit' THEN 6.0 ELSE 8.0 END AS oby
+  FROM rq LEFT JOIN mo ON mk = CASE model WHEN 'Qwen/Qwen2.5-7B-Instruct' THEN 'qwen2.5-7b' ELSE model END
+  LEFT JOIN gp ON gk = lower(trim(gpu_type))),
+wd AS (SELECT DISTINCT request_id, w FROM (SELECT request_id, gpus, unnest([1, 2, 4, gpus]) AS w FROM rs WHERE gpus >= 1)
+  WHERE w = 1 OR w < gpus OR w = gpus),
+fm(family, fno) AS (VALUES ('single_gpu', 0), ('ddp', 0), ('fsdp2', 1), ('zero3_cpu_offload', 2)),
+tc AS (SELECT rs.*, wd.w AS world, fm.family, fm.fno, v.variant,
+    CASE WHEN v.variant = 1 THEN 'qlora' ELSE method END AS um
+  FROM rs JOIN wd USING (request_id) JOIN fm ON (wd.w = 1) = (fm.family = 'single_gpu')
+  JOIN (VALUES (0), (1)) v(variant) ON v.variant = 0 OR (rs.kind = 'transformer_finetune' AND method = 'lora' AND allow_quantization)
+  WHERE vram IS NOT NULL AND ((kind = 'transformer_finetune' AND pb IS NOT NULL
+      AND (allow_cpu_offload OR family <> 'zero3_cpu_offload'))
+    OR (kind = 'pytorch_training' AND family <> 'zero3_cpu_offload'))),
+t0 AS (SELECT *, pb * 1e9 AS params, CASE WHEN um = 'full' THEN pb * 1e9 ELSE 8.0 * hidden * 16 * layers END AS trn,
+    CASE WHEN family IN ('fsdp2', 'zero3_cpu_offload') THEN world ELSE 1 END AS sh
+  FROM tc WHERE kind = 'transformer_finetune' AND NOT (family = 'fsdp2' AND um = 'qlora')),
+t1 AS (SELECT *, CASE WHEN um = 'full' THEN params * pby ELSE params * CASE WHEN um = 'qlora' THEN 0.55 ELSE pby END + trn * pby END / sh
+      + trn * pby / sh + CASE WHEN family = 'zero3_cpu_offload' THEN 0 ELSE trn * oby / sh END
+      + CASE WHEN family IN ('fsdp2', 'zero3_cpu_offload') THEN params / layers * pby * 2 ELSE 0 END + 2.5e9 AS fixed,
+    CASE WHEN family = 'zero3_cpu_offload' THEN round(trn * oby / sh / 1e9, 2) ELSE 0 END AS offload_gb,
+    seq_len * micro_batch * hidden * 18.0::DOUBLE AS pl FROM t0),
+t2 AS (SELECT *, round((fixed + layers * pl) / 1e9, 2) AS m0,
+    round((fixed + layers * 1.0::DOUBLE * seq_len * micro_batch * hidden * 2.0 + pl) / 1e9, 2) AS m1, vram * 0.95 AS cap FROM t1),
+t3 AS (SELECT *, activation_checkpointing IS NULL AND m0 > cap AND m1 <= cap AS auto FROM t2),
+t4 AS (SELECT *, auto OR coalesce(activation_checkpointing, false) AS ck,
+    CASE WHEN auto OR coalesce(activation_checkpointing, false) THEN m1 ELSE m0 END AS total_gb,
+    CASE WHEN tf > 0 THEN 0.30 * tf * 1e12 / (6.0 * params) ELSE 0 END AS tps FROM t3),
+g0 AS (SELECT *, parameters_m * 1e6 AS params, parameters_m * 1e6 * trainable_fraction AS trn,
+    CASE WHEN family = 'fsdp2' THEN world ELSE 1 END AS sh, vram * 0.95 AS cap FROM tc WHERE kind = 'pytorch_training'),
+g1 AS (SELECT *, round((params * pby / sh + trn * pby / sh + trn * oby / sh + (coalesce(activation_gb, 2.0) + 2.5) * 1e9) / 1e9, 2) AS total_gb FROM g0),
+ab AS (SELECT request_id, kind, variant, world, fno, family, um, auto, ck, total_gb, offload_gb, cap, vram, tps, params, trn, pby, layers,
+    gpus, hosts, interconnect, cpu_ram_gb, train_tokens_m, est_gpu_hours, hourly_cost, deadline_minutes, max_cost_usd, mode,
+    CASE WHEN tps > 0 THEN seq_len * micro_batch / tps ELSE 0 END * CASE WHEN family IN ('ddp', 'single_gpu') THEN grad_accum ELSE 1 END AS cs FROM t4
+  UNION ALL SELECT request_id, kind, variant, world, fno, family, um, false, false, total_gb, 0, cap, vram, 0, params, trn, pby, 32,
+    gpus, hosts, interconnect, cpu_ram_gb, NULL, est_gpu_hours, hourly_cost, deadline_minutes, max_cost_usd, mode, 0 FROM g1),
+l0 AS (SELECT *, CASE WHEN hosts = 1 OR world <= greatest(1, gpus // hosts) THEN
+    CASE WHEN starts_with(interconnect, 'same_host') THEN interconnect ELSE 'same_host_pcie' END ELSE interconnect END AS link FROM ab),
+l1 AS (SELECT *, CASE WHEN family IN ('ddp', 'single_gpu') THEN 2.0 * (world - 1) / world * trn * pby / (bw * 1e9) + lat
+    ELSE 3.0 * params * pby * (world - 1) / world / (bw * 1e9) + 3.0 * layers * lat END AS wire FROM l0 JOIN lk USING (link)),
+l2 AS (SELECT *, CASE WHEN world <= 1 THEN 1.0 WHEN cs <= 0 THEN CASE WHEN link = 'wan' THEN 0.0 ELSE 1.0 END
+    ELSE cs / (cs + greatest(0, wire - 0.5 * cs)) END AS e FROM l1),
+l3 AS (SELECT *, round(e, 2) AS eff, total_gb <= cap AND offload_gb <= cpu_ram_gb * 0.8 AS fits,
+    CASE WHEN world <= 1 OR cs <= 0 THEN e > 0 ELSE e >= 0.5 END AS lok FROM l2),
+l4 AS (SELECT *, fits AND lok AS ok, CASE WHEN fits AND lok THEN CASE WHEN kind = 'transformer_finetune' THEN
+      CASE WHEN tps > 0 AND train_tokens_m > 0 THEN round(train_tokens_m * 1e6 * CASE WHEN ck THEN 1.3 ELSE 1 END * CASE WHEN um = 'qlora' THEN 1.35 ELSE 1 END
+        * CASE WHEN family = 'zero3_cpu_offload' THEN 4.0 ELSE 1 END / (tps * world * greatest(0.01, eff)) / 60.0, 1) END
+      ELSE round(est_gpu_hours * 60.0 / (world * greatest(0.01, eff)), 1) END END AS tm FROM l3),
+l5 AS (SELECT *, round(tm / 60.0 * world * hourly_cost, 2) AS usd FROM l4),
+cd AS (SELECT request_id, CASE WHEN kind = 'transformer_finetune' THEN CASE WHEN variant = 1 THEN 'qlora_' ELSE '' END || family || CASE WHEN auto THEN '+ackpt' ELSE '' END
+      WHEN world = 1 OR NOT ok THEN family ELSE family || '_x' || world END AS name, world::BIGINT AS workers,
+    CASE WHEN NOT ok THEN 'infeasible' WHEN coalesce(tm > deadline_minutes, false) OR coalesce(usd > max_cost_usd, false) THEN 'rejected_policy' ELSE 'feasible' END AS status,
+    total_gb, CASE WHEN fits THEN eff END AS efficiency, tm AS est_time_min, usd AS est_cost_usd,
+    variant, world, fno, mode, family, um = 'qlora' AS quantized, CASE WHEN ok THEN round(vram - total_gb, 2) ELSE 0 END AS headroom FROM l5
+  UNION ALL SELECT request_id, 'local_process', 1, CASE WHEN dataset_mb * 3 / 1000.0 <= cpu_ram_gb * 0.8 THEN 'feasible' ELSE 'infeasible' END,
+    NULL, NULL, NULL, NULL, 0, 0, 0, mode, 'local_process', false, 0 FROM rs WHERE kind = 'classical_ml'
+  UNION ALL SELECT request_id, 'sharded_partial_fit', greatest(2, least(16, CASE WHEN floor(dataset_mb / 500) = 0 THEN 2 ELSE floor(dataset_mb / 500) END))::BIGINT,
+    'feasible', NULL, NULL, NULL, NULL, 0, 1, 0, mode, 'sharded_partial_fit', false, 0 FROM rs WHERE kind = 'classical_ml' AND supports_partial_fit
+  UNION ALL SELECT request_id, 'lease_tasks', CASE WHEN big THEN 0 ELSE slots END, CASE WHEN big THEN 'infeasible'
+    WHEN coalesce(pm > deadline_minutes, false) THEN 'rejected_policy' ELSE 'feasible' END, CASE WHEN big THEN vram_gb_per_task END, NULL,
+    CASE WHEN NOT big THEN round(pm, 1) END, NULL, 0, 0, 0, mode, 'lease_tasks', false, 0 FROM ti
+  UNION ALL SELECT request_id, 'local_sequential', 1, CASE WHEN slots = 1 THEN 'feasible' ELSE 'rejected_dominated' END, NULL, NULL,
+    round(task_count * 12.0, 1), NULL, 0, 1, 0, mode, 'local_process', false, 0 FROM ti WHERE NOT big)
+""".replace("\ncd AS (", """
+ts AS (SELECT *, coalesce(needs_gpu AND gpus > 0 AND vram_gb_per_task > vram * 0.95, false) AS big,
+    greatest(1, least(CASE WHEN needs_gpu THEN gpus ELSE hosts * greatest(1, cpu_cores // 4) END, task_count))::BIGINT AS slots
+  FROM rs WHERE kind = 'independent_tasks' AND NOT (needs_gpu AND gpus > 0 AND vram_gb_per_task > 0 AND vram IS NULL)),
+ti AS (SELECT *, ceil(task_count / slots::DOUBLE) * 12.0 AS pm FROM ts),
+cd AS (""")
