@@ -392,14 +392,16 @@ def expected_parts(spark: SparkSession, sf: str) -> DataFrame:
 def registered_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Uploads: returned lines never arrive, some arrive damaged and a few of those
     are uploaded again."""
-    p = _line_parts(spark, sf).filter("l_returnflag <> 'R'")
     damaged = F.col("l_suppkey") % 37 == 0
-    first = p.withColumn("sha256", F.when(damaged, F.sha2("key", 256)).otherwise(F.col("sha256")))
-    again = p.filter(damaged & (F.col("step") % 2 == 0))
-    columns = ["job_id", "attempt_id", "step", "key", "sha256", "size_bytes"]
-    return first.select(*columns, F.lit(1).cast("bigint").alias("seq")).unionByName(
-        again.select(*columns, F.lit(2).cast("bigint").alias("seq"))
+    good, bad = F.col("sha256"), F.sha2("key", 256)
+    upload = lambda sha, seq: F.struct(sha.alias("sha256"), F.lit(seq).cast("bigint").alias("seq"))
+    uploads = (
+        F.when(damaged & (F.col("step") % 2 == 0), F.array(upload(bad, 1), upload(good, 2)))
+        .when(damaged, F.array(upload(bad, 1)))
+        .otherwise(F.array(upload(good, 1)))
     )
+    arrived = _line_parts(spark, sf).filter("l_returnflag <> 'R'")
+    return arrived.select("job_id", "attempt_id", "step", "key", "size_bytes", F.inline(uploads))
 
 
 def validation_marks(spark: SparkSession, sf: str) -> DataFrame:

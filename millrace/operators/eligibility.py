@@ -80,73 +80,96 @@ def _tagged(prefix: str, v: Column) -> Column:
 
 # -- needs of a task ----------------------------------------------------------
 
+#: Payload fields the gates read.
+FIELDS = ["argv", "module", "local_inputs", "gpus", "exclude_nodes", "pool", "isolation"]
 
-def _waived(payload: Column) -> Column:
-    isolation = _get(payload, "isolation")
-    return _is_object(isolation) & _is_true(_get(isolation, "allowFallback"))
 
+class Payload:
+    """A task's payload by field: read from a VARIANT, or from columns that
+    :func:`read_fields` has already taken out of it."""
 
-def _need_argv(payload: Column) -> Column:
-    pool = _text(_get(payload, "pool"))
+    def __init__(self, source: Column | None = None):
+        self.source = source
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col("_f_" + name) if self.source is None else _get(self.source, name)
+
+    def kind(self, name: str) -> Column:
+        return F.col("_k_" + name) if self.source is None else _kind(self[name])
+
+
+def read_fields(tasks: DataFrame) -> DataFrame:
+    """Take every field and its type out of ``payload`` once per row."""
+    taken = tasks.withColumns({"_f_" + n: _get(F.col("payload"), n) for n in FIELDS})
+    return taken.withColumns({"_k_" + n: _kind(F.col("_f_" + n)) for n in FIELDS})
+
+
+def _waived(payload: Payload) -> Column:
+    isolation = payload["isolation"]
+    return payload.kind("isolation").startswith("OBJECT") & _is_true(_get(isolation, "allowFallback"))
+
+
+def _need_argv(payload: Payload) -> Column:
+    pool = F.when(payload.kind("pool") == "STRING", F.try_variant_get(payload["pool"], "$", "string"))
     trusted = F.coalesce(pool != "", F.lit(False)) & _waived(payload)
     return F.when(
-        _get(payload, "argv").isNotNull(),
+        payload["argv"].isNotNull(),
         _one(F.when(trusted, "argv:any").otherwise("argv:contained")),
     ).otherwise(_none())
 
 
-def _need_module(payload: Column) -> Column:
-    return F.when(_get(payload, "module").isNotNull(), _one("module")).otherwise(_none())
+def _need_module(payload: Payload) -> Column:
+    return F.when(payload["module"].isNotNull(), _one("module")).otherwise(_none())
 
 
-def _need_data(payload: Column) -> Column:
-    v = _get(payload, "local_inputs")
+def _need_data(payload: Payload) -> Column:
+    v, kind = payload["local_inputs"], payload.kind("local_inputs")
     return (
-        F.when(_kind(v) == "VOID", _none())
-        .when(~_is_list(v), _one("never:data"))
+        F.when(kind == "VOID", _none())
+        .when(~kind.startswith("ARRAY"), _one("never:data"))
         .otherwise(_tagged("data:", v))
     )
 
 
-def _need_gpus(payload: Column) -> Column:
-    v = _get(payload, "gpus")
+def _need_gpus(payload: Payload) -> Column:
+    v, kind = payload["gpus"], payload.kind("gpus")
     n = F.try_variant_get(v, "$", "bigint")
-    whole = _kind(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT") & F.coalesce(n >= 0, F.lit(False))
+    whole = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") & F.coalesce(n >= 0, F.lit(False))
     return (
-        F.when(_kind(v) == "VOID", _none())
+        F.when(kind == "VOID", _none())
         .when(~whole, _one("never:gpus"))
         .when(n == 0, _none())
         .otherwise(_one(F.concat(F.lit("gpus:"), n)))
     )
 
 
-def _need_exclude(payload: Column) -> Column:
-    v = _get(payload, "exclude_nodes")
+def _need_exclude(payload: Payload) -> Column:
+    v, kind = payload["exclude_nodes"], payload.kind("exclude_nodes")
     return (
-        F.when(_kind(v) == "VOID", _none())
+        F.when(kind == "VOID", _none())
         .when(~_all_texts(v), _one("never:exclude"))
         .when(F.size(_items(v)) == 0, _none())
         .otherwise(_one("identified"))
     )
 
 
-def _need_pool(payload: Column) -> Column:
-    v = _get(payload, "pool")
-    name = _text(v)
+def _need_pool(payload: Payload) -> Column:
+    v, kind = payload["pool"], payload.kind("pool")
+    name = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
     return (
-        F.when(_kind(v) == "VOID", _none())
+        F.when(kind == "VOID", _none())
         .when(F.coalesce(name != "", F.lit(False)), _one(F.concat(F.lit("pool:"), name)))
         .otherwise(_one("never:pool"))
     )
 
 
-def _need_isolation(payload: Column) -> Column:
-    v = _get(payload, "isolation")
+def _need_isolation(payload: Payload) -> Column:
+    v, kind = payload["isolation"], payload.kind("isolation")
     tier = _get(v, "tier")
     ordinary = (_kind(tier) == "VOID") | F.coalesce(_text(tier).isin("", "standard"), F.lit(False))
     return (
-        F.when(_kind(v) == "VOID", _none())
-        .when(~_is_object(v), _one("never:isolation"))
+        F.when(kind == "VOID", _none())
+        .when(~kind.startswith("OBJECT"), _one("never:isolation"))
         .when(ordinary | _waived(payload), _none())
         .otherwise(_one("sandbox"))
     )
@@ -163,15 +186,17 @@ NEEDS = {
 }
 
 
-def needs(payload: Column) -> Column:
+def needs(payload: Column | Payload) -> Column:
     """Everything a task asks for, as a sorted set."""
+    payload = payload if isinstance(payload, Payload) else Payload(payload)
     return F.array_sort(F.array_distinct(F.concat(*[NEEDS[g](payload) for g in GATES])))
 
 
-def excluded_nodes(payload: Column) -> Column:
-    v = _get(payload, "exclude_nodes")
+def excluded_nodes(payload: Column | Payload) -> Column:
+    payload = payload if isinstance(payload, Payload) else Payload(payload)
+    v = payload["exclude_nodes"]
     return F.when(
-        _all_texts(v),
+        payload.kind("exclude_nodes").startswith("ARRAY") & _all_texts(v),
         F.array_sort(F.array_distinct(F.coalesce(F.try_variant_get(v, "$", TEXTS), _none()))),
     ).otherwise(_none())
 
@@ -215,7 +240,7 @@ def offers(node: dict[str, Column] | None = None) -> Column:
 
 def gate(name: str, payload: Column, node: dict[str, Column] | None = None) -> Column:
     """One gate's verdict on a row that already holds a task and a machine."""
-    met = F.size(F.array_except(NEEDS[name](payload), offers(node))) == 0
+    met = F.size(F.array_except(NEEDS[name](Payload(payload)), offers(node))) == 0
     if name == "exclude":
         node_id = node["node_id"] if node else F.col("node_id")
         met = met & ~F.coalesce(F.array_contains(excluded_nodes(payload), node_id), F.lit(False))
@@ -238,12 +263,12 @@ def has_all(required: Column, advertised: Column) -> Column:
 
 def task_needs(tasks: DataFrame) -> DataFrame:
     """``job_id, task_id, seq, need, excluded`` of each task."""
-    return tasks.select(
+    return read_fields(tasks).select(
         "job_id",
         "task_id",
         "seq",
-        needs(F.col("payload")).alias("need"),
-        excluded_nodes(F.col("payload")).alias("excluded"),
+        needs(Payload()).alias("need"),
+        excluded_nodes(Payload()).alias("excluded"),
     )
 
 
@@ -334,13 +359,13 @@ def first_choice(
     rank that does not name it, found from the ranks that do.
     """
     rank = -F.col(score) if score else F.lit(0).cast("bigint")
-    needed = tasks.select(
+    needed = read_fields(tasks).select(
         rank.alias("_rank"),
         "seq",
         "job_id",
         "task_id",
-        needs(F.col("payload")).alias("need"),
-        excluded_nodes(F.col("payload")).alias("excluded"),
+        needs(Payload()).alias("need"),
+        excluded_nodes(Payload()).alias("excluded"),
     )
     offered = node_offers(nodes)
     matches = class_matches(needed, offered).select("need", "offer")

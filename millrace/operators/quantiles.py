@@ -8,6 +8,7 @@ the buckets holding them are sorted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -42,9 +43,16 @@ def exact_percentiles(
         F.percentile_approx("_v", cuts, F.lit(10 * buckets)).alias("_cuts"),
         F.sum("_c").alias("repeats"),
     )
-    # A value's bucket is the number of cut points below it.
-    placed = tally.join(sketch, ids).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    # A value's bucket is the number of cut points below it, found in two strides:
+    # whole blocks of cut points first, then the points of the next block.
+    below = lambda points: F.size(F.filter(points, lambda c: c < F.col("_v")))
+    block = max(2, math.isqrt(buckets))
+    ends = F.filter("_cuts", lambda c, i: (i + 1) % block == 0)
+    placed = (
+        tally.join(sketch.withColumn("_ends", ends), ids)
+        .withColumn("_q", below("_ends") * block)
+        .withColumn("_b", F.col("_q") + below(F.slice("_cuts", F.col("_q") + 1, F.lit(block))))
+        .drop("_ends", "_q")
     )
     before = (
         Window.partitionBy(*ids).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

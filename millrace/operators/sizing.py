@@ -593,19 +593,16 @@ def candidates(requests: DataFrame) -> DataFrame:
 # -- choice -------------------------------------------------------------------
 
 
-def rank_candidates(cands: DataFrame) -> DataFrame:
-    """Feasible candidates in the order of the request's objective: ``rank`` from 1, and
-    the next one's name as ``runner_up``. Unknown cost or time comes last.
-
-    A request has at most some dozens of candidates, so the window stays small.
-    """
+def objective_key(cands: DataFrame) -> Column:
+    """Sort key of a feasible candidate under its request's objective; unknown cost or
+    time comes last."""
     inf = F.lit(float("inf"))
     cost = F.coalesce("est_cost_usd", inf)
     minutes = F.coalesce("est_time_min", inf)
     workers = F.col("workers").cast("double")
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     zero = F.lit(0.0)
-    key = (
+    return (
         F.when(F.col("mode") == "fastest", F.array(minutes, cost, workers, zero))
         .when(
             F.col("mode") == "reliable",
@@ -618,10 +615,18 @@ def rank_candidates(cands: DataFrame) -> DataFrame:
         )
         .otherwise(F.array(cost, minutes, workers, zero))
     )
+
+
+def rank_candidates(cands: DataFrame) -> DataFrame:
+    """Feasible candidates in the order of the request's objective: ``rank`` from 1, and
+    the next one's name as ``runner_up``.
+
+    A request has at most some dozens of candidates, so the window stays small.
+    """
     order = Window.partitionBy("request_id").orderBy("_k", "position")
     return (
         cands.filter("status = 'feasible'")
-        .withColumn("_k", key)
+        .withColumn("_k", objective_key(cands))
         .withColumn("rank", F.row_number().over(order))
         .withColumn("runner_up", F.lead("name").over(order))
         .drop("_k")
@@ -630,19 +635,18 @@ def rank_candidates(cands: DataFrame) -> DataFrame:
 
 def select_plans(requests: DataFrame) -> DataFrame:
     """One row per request: the chosen candidate and the runner-up, or the reason why
-    there is none and what would come closest."""
+    there is none and what would come closest.
+
+    One aggregation: the menu of a request is small by construction, so its
+    feasible entries are sorted inside the row.
+    """
     cands = candidates(requests)
-    best = rank_candidates(cands).filter("rank = 1").select(
-        "request_id",
-        F.col("name").alias("selected"),
-        "workers",
-        "total_gb",
-        "est_time_min",
-        "est_cost_usd",
-        "runner_up",
+    entry = F.struct(
+        objective_key(cands).alias("k"), "position", "name", "workers", "total_gb", "est_time_min", "est_cost_usd"
     )
-    missed = cands.groupBy("request_id").agg(
+    judged = cands.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("candidates"),
+        F.array_sort(F.collect_list(F.when(F.col("status") == "feasible", entry))).alias("_menu"),
         F.min(
             F.when(F.col("vram_deficit_gb") > 0, F.struct("vram_deficit_gb", "position", "name"))
         ).alias("_near"),
@@ -667,19 +671,19 @@ def select_plans(requests: DataFrame) -> DataFrame:
         )
     )
     problem = resolve(requests).select("request_id", "problem", "allow_quantization", "allow_cpu_offload")
-    out = problem.join(missed, "request_id", "left").join(best, "request_id", "left")
+    out = problem.join(judged, "request_id", "left").withColumn("_best", F.get("_menu", 0))
     none_close = F.when(F.size(hints) == 0, F.array(F.lit("no candidate came close"))).otherwise(hints)
     return out.select(
         "request_id",
-        "selected",
-        "workers",
-        "total_gb",
-        "est_time_min",
-        "est_cost_usd",
-        "runner_up",
+        F.col("_best.name").alias("selected"),
+        "_best.workers",
+        "_best.total_gb",
+        "_best.est_time_min",
+        "_best.est_cost_usd",
+        F.get("_menu", 1)["name"].alias("runner_up"),
         F.coalesce("candidates", F.lit(0)).alias("candidates"),
         F.when(
-            F.col("selected").isNull(),
+            F.col("_best").isNull(),
             F.coalesce("problem", F.array_join(none_close, "; ")),
         ).alias("hint"),
     )

@@ -15,7 +15,7 @@ from millrace.operators.ledger import OFFLINE_AFTER_S
 def _rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
     rows: list[tuple] = []
     for pdf in batches:
-        rows.extend(pdf[columns].itertuples(index=False, name=None))
+        rows.extend(zip(*(pdf[c].tolist() for c in columns)))
     return rows
 
 

@@ -22,6 +22,7 @@ STATE = (
     "lease_id string, node_id string, deadline bigint, claims int, ended string, known array<string>, "
     "max_attempts int, lease_us bigint"
 )
+_INPUT = ["ts_us", "seq", "type", "lease_id", "node_id", "output_valid", "max_attempts", "lease_us"]
 _COLUMNS = ["lease_id", "node_id", "attempt", "seq", "ts_us", "type", "reason"]
 
 
@@ -109,10 +110,7 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     else:
         rows = []
         for pdf in batches:
-            rows.extend(
-                pdf[["ts_us", "seq", "type", "lease_id", "node_id", "output_valid",
-                     "max_attempts", "lease_us"]].itertuples(index=False, name=None)
-            )
+            rows.extend(zip(*(pdf[c].tolist() for c in _INPUT)))
         rows.sort(key=lambda r: (r[0], r[1]))
         if rows:
             task.max_attempts, task.lease_us = int(rows[0][6]), int(rows[0][7])
@@ -125,10 +123,10 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
             max(-(-task.deadline // 1000), state.getCurrentWatermarkMs() + 1)
         )
     if task.out:
-        out = pd.DataFrame(task.out, columns=_COLUMNS)
-        out.insert(0, "job_id", key[0])
-        out.insert(1, "task_id", key[1])
-        yield out
+        n = len(task.out)
+        yield pd.DataFrame(
+            {"job_id": [key[0]] * n, "task_id": [key[1]] * n, **dict(zip(_COLUMNS, zip(*task.out)))}
+        )
 
 
 def lease_transitions(ledger: DataFrame, tasks: DataFrame, delay: str = "1 hour") -> DataFrame:
