@@ -341,7 +341,7 @@ def reject_reasons(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     per_need = asked.select("need").distinct().join(satisfied, "need", "left")
     lacking = (
         per_need.withColumn("_one", F.lit(1))
-        .join(total, "_one")
+        .join(F.broadcast(total), "_one")
         .select("need", (F.col("_total") - F.coalesce("_n", F.lit(0))).alias("nodes_lacking"))
         .filter("nodes_lacking > 0")
     )
@@ -435,7 +435,7 @@ def match_offers(requests: DataFrame, offers_: DataFrame) -> DataFrame:
     steps = profiles.agg(F.array_sort(F.collect_set("k_gpus")).alias("_steps"))
     listed = (
         offers_.withColumn("_one", F.lit(1))
-        .join(steps.withColumn("_one", F.lit(1)), "_one")
+        .join(F.broadcast(steps.withColumn("_one", F.lit(1))), "_one")
         .withColumn("_gpus", F.coalesce("gpus", F.lit(0)))
         .withColumn("k_gpus", F.explode(F.filter("_steps", lambda s: s <= F.col("_gpus"))))
         .withColumn(

@@ -203,5 +203,7 @@ def run_summary(history: DataFrame, events: DataFrame, contributions: DataFrame)
     c = contributions.agg(F.countDistinct("node").alias("nodes_contributing"))
     one = F.lit(1).alias("_one")
     return (
-        h.select(one, "*").join(e.select(one, "*"), "_one").join(c.select(one, "*"), "_one")
+        h.select(one, "*")
+        .join(F.broadcast(e.select(one, "*")), "_one")
+        .join(F.broadcast(c.select(one, "*")), "_one")
     ).drop("_one")

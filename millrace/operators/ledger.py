@@ -455,7 +455,7 @@ def recovery_latency(leased: DataFrame, tasks: DataFrame, sweep_s: float = 2.0)
     bound = tasks.agg((F.max("lease_seconds") + F.lit(sweep_s)).alias("mttd_bound_s"))
     return (
         found.withColumn("_one", F.lit(1))
-        .join(bound.withColumn("_one", F.lit(1)), "_one")
+        .join(F.broadcast(bound.withColumn("_one", F.lit(1))), "_one")
         .drop("_one")
     )
 
