@@ -163,8 +163,12 @@ def _close_round(spark, fit, r, contributions, weights, min_participants, clip_f
             f"round {r}: {b['problem']} at position {b['position']}, parameter {b['param']}, "
             f"index {b['index']}"
         )
-    reduced, clipped = fedavg.reduce_round(contributions, clip_factor)
-    delta = collect_weights(reduced)
+    # Norms are read off the updates once: one small row per contribution is kept.
+    kept = f"{folder}/scales/round={r}"
+    fedavg.clip_scales(contributions, clip_factor).drop("round").write.mode("overwrite").parquet(kept)
+    scales = spark.read.parquet(kept).withColumn("round", F.lit(r))
+    clipped = fedavg.clip_events(scales)
+    delta = collect_weights(fedavg.weighted_mean(contributions, scales))
     new = delta if not weights else {k: v + delta[k] for k, v in weights.items()}
     for name, value in new.items():
         if not np.isfinite(value).all():
