@@ -385,7 +385,7 @@ def _line_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def expected_parts(spark: SparkSession, sf: str) -> DataFrame:
     return _line_parts(spark, sf).select(
-        "manifest_id", "job_id", "attempt_id", "step", "key", "sha256", "size_bytes"
+        "manifest_id", "job_id", "attempt_id", "step", "key", "sha256"
     ).distinct()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.checkpoints import HASH_VERIFIED, INVALID, latest_valid
 from millrace.operators.ledger import instant
-from millrace.operators.ordered import epoch_seconds
+from millrace.operators.ordered import seconds_between
 from millrace.sources.artifacts import hash_artifacts
 from millrace.sources.files import read_manifests
 
@@ -100,7 +100,7 @@ def checkpoint_report(spark: SparkSession, root: str, as_of, pattern: str = "ste
             "step",
             "validation",
             F.size("parts").alias("parts"),
-            (epoch_seconds(instant(as_of)) - epoch_seconds(F.col("created"))).alias("age_s"),
+            seconds_between(F.col("created"), instant(as_of)).alias("age_s"),
             F.coalesce(F.col("folder") == F.col("_best"), F.lit(False)).alias("latest_valid"),
         )
         .orderBy("job_id", "step")

@@ -15,7 +15,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import epoch_seconds, time_bucket
+from millrace.operators.ordered import seconds_between, time_bucket
 from millrace.operators.quantiles import exact_percentiles
 
 TASK = ["job_id", "task_id"]
@@ -43,7 +43,7 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
 
 
 def is_online(last_beat: Column, now: Column) -> Column:
-    return epoch_seconds(now) - epoch_seconds(last_beat) < OFFLINE_AFTER_S
+    return seconds_between(last_beat, now) < OFFLINE_AFTER_S
 
 
 # -- leases -------------------------------------------------------------------
@@ -386,7 +386,7 @@ def node_view(
     newest = beats.filter(F.col("ts") <= now).groupBy("node_id").agg(
         F.max("ts").alias("last_heartbeat")
     )
-    age = epoch_seconds(now) - epoch_seconds(F.col("last_heartbeat"))
+    age = seconds_between(F.col("last_heartbeat"), now)
     return (
         registrations.join(newest, "node_id", "left")
         .join(accepted_by_node(commit_rows), "node_id", "left")
@@ -428,12 +428,10 @@ def recoveries(leased: DataFrame) -> DataFrame:
             "attempt",
             F.col("_d.node_id").alias("dead_node"),
             "node_id",
-            (epoch_seconds(F.col("claim_ts")) - epoch_seconds(F.col("_d.last_beat"))).alias(
-                "mttd_s"
-            ),
+            seconds_between(F.col("_d.last_beat"), F.col("claim_ts")).alias("mttd_s"),
             F.when(
                 F.col("outcome") == "committed",
-                epoch_seconds(F.col("ended_at")) - epoch_seconds(F.col("claim_ts")),
+                seconds_between(F.col("claim_ts"), F.col("ended_at")),
             ).alias("mttr_s"),
         )
     )

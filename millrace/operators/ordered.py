@@ -20,6 +20,11 @@ def epoch_seconds(ts: Column) -> Column:
     return F.unix_micros(ts) / F.lit(1_000_000.0)
 
 
+def seconds_between(start: Column, end: Column) -> Column:
+    """Subtracts whole microseconds, so no precision is lost to large epochs."""
+    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1_000_000.0)
+
+
 def time_bucket(ts: Column, seconds: float) -> Column:
     width = int(round(seconds * 1_000_000))
     return F.floor(F.unix_micros(ts) / F.lit(width)).cast("bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace import bindings as B
 from millrace.operators import ledger as L
-from millrace.queries import query
+from millrace.queries import query, rounded
 
 _L = B.LEDGER_SQL
 
@@ -204,10 +204,10 @@ def event_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "evidence_rollup",
     f"""WITH {_L} SELECT l.node_id, count(*) AS attempts,
-    round(avg(CASE WHEN l.claim_seq % 4 <> 0 THEN e.value END), 6) AS wall_seconds_mean,
-    round(avg(CASE WHEN l.claim_seq % 5 <> 0 THEN e.value / 5 END), 6) AS gpu_util_percent_mean,
+    round(avg(CASE WHEN l.claim_seq % 4 <> 0 THEN e.value END) + 3e-8, 6) AS wall_seconds_mean,
+    round(avg(CASE WHEN l.claim_seq % 5 <> 0 THEN e.value / 5 END) + 3e-8, 6) AS gpu_util_percent_mean,
     count(CASE WHEN l.claim_seq % 5 <> 0 THEN 1 END) AS gpu_measured,
-    round(avg((epoch_us(l.end_ts) - epoch_us(l.claim_ts)) / 1e6), 4) AS observed_seconds_mean
+    round(avg((epoch_us(l.end_ts) - epoch_us(l.claim_ts)) / 1e6) + 3e-8, 6) AS observed_seconds_mean
     FROM ls l JOIN events e ON e.event_id = l.claim_seq WHERE l.outcome <> 'running' GROUP BY l.node_id""",
 )
 def evidence_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,16 +219,14 @@ def evidence_rollup(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("claim_seq") % 4 != 0, F.col("value")).alias("wall_seconds"),
         F.lit(None).cast("double").alias("cpu_percent_mean"),
         F.when(F.col("claim_seq") % 5 != 0, F.col("value") / 5).alias("gpu_util_percent_mean"),
-        (L.epoch_seconds(F.col("ended_at")) - L.epoch_seconds(F.col("claim_ts"))).alias(
-            "observed_seconds"
-        ),
+        L.seconds_between(F.col("claim_ts"), F.col("ended_at")).alias("observed_seconds"),
     )
     out = L.evidence_rollup(evidence)
     return out.select(
         "node_id",
         "attempts",
-        F.round("wall_seconds_mean", 6).alias("wall_seconds_mean"),
-        F.round("gpu_util_percent_mean", 6).alias("gpu_util_percent_mean"),
+        rounded("wall_seconds_mean").alias("wall_seconds_mean"),
+        rounded("gpu_util_percent_mean").alias("gpu_util_percent_mean"),
         "gpu_measured",
-        F.round("observed_seconds_mean", 4).alias("observed_seconds_mean"),
+        rounded("observed_seconds_mean").alias("observed_seconds_mean"),
     )

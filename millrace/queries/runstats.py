@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace import bindings as B
 from millrace.operators import runstats as S
-from millrace.queries import query
+from millrace.queries import query, rounded
 
 _T = B.TRIALS_SQL
 
@@ -116,8 +116,8 @@ def paired_penalty(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "phase_split",
-    """SELECT event_type, count(*) AS starts, round(avg(value / 10), 6) AS launch_s,
-    round(avg(value / 4), 6) AS child_s, round(avg(value / 10 + value / 4), 6) AS total_s
+    """SELECT event_type, count(*) AS starts, round(avg(value / 10) + 3e-8, 6) AS launch_s,
+    round(avg(value / 4) + 3e-8, 6) AS child_s, round(avg(value / 10 + value / 4) + 3e-8, 6) AS total_s
     FROM events GROUP BY event_type""",
 )
 def phase_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,7 +129,7 @@ def phase_split(spark: SparkSession, sf: str) -> DataFrame:
     )
     return S.phase_split(starts).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("starts"),
-        *[F.round(F.avg(c), 6).alias(c) for c in ("launch_s", "child_s", "total_s")],
+        *[rounded(F.avg(c)).alias(c) for c in ("launch_s", "child_s", "total_s")],
     )
 
 
@@ -140,7 +140,7 @@ def phase_split(spark: SparkSession, sf: str) -> DataFrame:
     SELECT event_type, count(*) AS cases,
       count_if(act = CASE WHEN fault < 3 THEN fault END)::BIGINT AS correct,
       count_if(NOT coalesce(act = CASE WHEN fault < 3 THEN fault END, false))::BIGINT AS manual_interventions,
-      round(avg(value), 6) AS mean_recovery_s, round(avg(kept), 6) AS mean_steps_preserved
+      round(avg(value) + 3e-8, 6) AS mean_recovery_s, round(avg(kept) + 3e-8, 6) AS mean_steps_preserved
     FROM c GROUP BY event_type""",
 )
 def recovery_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,8 +161,8 @@ def recovery_score(spark: SparkSession, sf: str) -> DataFrame:
         "cases",
         "correct",
         "manual_interventions",
-        F.round("mean_recovery_s", 6).alias("mean_recovery_s"),
-        F.round("mean_steps_preserved", 6).alias("mean_steps_preserved"),
+        rounded("mean_recovery_s").alias("mean_recovery_s"),
+        rounded("mean_steps_preserved").alias("mean_steps_preserved"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace import bindings as B
 from millrace.operators import telemetry as M
 from millrace.operators.ordered import epoch_seconds
-from millrace.queries import query
+from millrace.queries import query, rounded
 
 
 def _beats(spark, sf):
@@ -115,7 +115,7 @@ def loss_curve(spark: SparkSession, sf: str) -> DataFrame:
     "mean_readings",
     f"""WITH {_BEATS}, c AS (SELECT event_type, run_id, CASE WHEN line % 5 <> 0 THEN value END AS cpu,
       CASE WHEN event_type <> 'view' THEN value / 2 END AS gpu FROM bt)
-    SELECT run_id, event_type, round(avg(cpu), 6) AS cpu_mean, round(avg(gpu), 6) AS gpu_mean,
+    SELECT run_id, event_type, round(avg(cpu) + 3e-8, 6) AS cpu_mean, round(avg(gpu) + 3e-8, 6) AS gpu_mean,
       count(cpu) AS cpu_n, count(gpu) AS gpu_n FROM c GROUP BY run_id, event_type""",
 )
 def mean_readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +126,7 @@ def mean_readings(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_type") != "view", F.col("value") / 2).alias("gpu"),
     )
     out = M.mean_readings(b, ["run_id", "event_type"], ["cpu", "gpu"])
-    return out.withColumn("cpu_mean", F.round("cpu_mean", 6)).withColumn("gpu_mean", F.round("gpu_mean", 6))
+    return out.withColumn("cpu_mean", rounded("cpu_mean")).withColumn("gpu_mean", rounded("gpu_mean"))
 
 
 @query(
