@@ -131,3 +131,42 @@ def kmeans_fit_query(spark: SparkSession, sf: str) -> DataFrame:
         F.round("inertia", 3).alias("inertia"),
         F.round("movement", 6).alias("movement"),
     )
+
+
+@query(
+    "node_contributions",
+    """SELECT 'node-' || l_suppkey AS node, l_returnflag AS pod, count(*) AS tasks,
+    sum(l_partkey)::BIGINT AS samples, sum(l_linenumber)::BIGINT AS busy_ms FROM lineitem GROUP BY l_suppkey, l_returnflag""",
+)
+def node_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    results = B.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("node-"), F.col("l_suppkey")).alias("node"),
+        F.col("l_returnflag").alias("pod"),
+        F.col("l_partkey").alias("samples"),
+        F.col("l_linenumber").alias("busy_ms"),
+    )
+    return kmeans.node_contributions(results)
+
+
+@query(
+    "run_summary",
+    """SELECT (SELECT count(*) FROM orders) AS iterations, (SELECT arg_max(o_totalprice, o_orderkey) FROM orders) AS final_inertia,
+    (SELECT arg_max(o_totalprice / 2, o_orderkey) FROM orders) AS final_movement,
+    (SELECT count_if(event_type = 'click')::BIGINT FROM events) AS tasks_retried,
+    (SELECT count_if(event_type = 'error')::BIGINT FROM events) AS workers_lost,
+    (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS nodes_contributing""",
+)
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    history = B.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("iteration"),
+        F.col("o_totalprice").alias("inertia"),
+        (F.col("o_totalprice") / 2).alias("movement"),
+    )
+    events = B.table(spark, sf, "events").select(
+        F.when(F.col("event_type") == "click", "TASK_ATTEMPT_RETRIED")
+        .when(F.col("event_type") == "error", "RAY_WORKER_LOST")
+        .otherwise("OTHER")
+        .alias("type")
+    )
+    nodes = B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("node"))
+    return kmeans.run_summary(history, events, nodes)

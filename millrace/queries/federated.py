@@ -184,3 +184,35 @@ def fedavg_discarded(spark: SparkSession, sf: str) -> DataFrame:
     tasks = B.round_tasks(spark, sf)
     frozen = fedavg.participants(B.round_commits(spark, sf), tasks, 5)
     return fedavg.discarded(tasks.select("round", "task_id"), frozen)
+
+
+_FIRST = """fs AS (SELECT label AS round, min(vec_id) % 5 = 3 AS base_hit FROM embeddings GROUP BY label),
+e AS (SELECT label AS round, vec_id AS position, 'task-' || vec_id AS task_id, vec_id % 5 = 3 AS hit, base_hit
+      FROM embeddings JOIN fs ON fs.round = label)"""
+
+
+@query(
+    "fedavg_non_finite",
+    f"WITH {_FIRST} SELECT round, position, task_id, 'b' AS param, 15::BIGINT AS index FROM e WHERE round = 4 AND hit",
+)
+def fedavg_non_finite(spark: SparkSession, sf: str) -> DataFrame:
+    return fedavg.non_finite(_damaged(spark, sf))
+
+
+@query(
+    "fedavg_bad_samples",
+    f"""WITH {_FIRST} SELECT round, position, task_id, 'non_positive_samples' AS problem FROM e
+    WHERE round IN (1, 2) OR (round = 3 AND hit)""",
+)
+def fedavg_bad_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return fedavg.bad_sample_counts(_damaged(spark, sf))
+
+
+@query(
+    "fedavg_shape_mismatches",
+    f"""WITH {_FIRST} SELECT round, position, task_id, 'w' AS param, CASE round WHEN 5 THEN 'length_mismatch'
+      WHEN 6 THEN 'parameter_names_differ' ELSE 'shape_mismatch' END AS problem FROM e
+    WHERE (round = 5 AND hit) OR (round = 6 AND base_hit AND NOT hit) OR (round = 7 AND hit <> base_hit)""",
+)
+def fedavg_shape_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    return fedavg.shape_mismatches(_damaged(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import bindings as B
+from millrace import schemas
 from millrace.operators import ledger as L
 from millrace.queries import query, rounded
 
@@ -230,3 +231,39 @@ def evidence_rollup(spark: SparkSession, sf: str) -> DataFrame:
         "gpu_measured",
         rounded("observed_seconds_mean").alias("observed_seconds_mean"),
     )
+
+
+@query(
+    "folded_events",
+    f"""WITH {_L}, r AS (SELECT CASE WHEN event_id % 5 <> 0 THEN 'job-' || (event_id // 100) END AS job_id,
+      CASE WHEN event_id % 7 = 0 THEN 'NONSENSE' ELSE 'ITERATION_COMPLETED' END AS type FROM events),
+    u AS (SELECT job_id, type FROM ledger WHERE type <> 'NODE_HEARTBEAT'
+      UNION ALL SELECT job_id, type FROM r WHERE job_id IS NOT NULL AND type <> 'NONSENSE')
+    SELECT job_id, type, count(*) AS events FROM u GROUP BY job_id, type""",
+)
+def folded_events(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    reported = B.table(spark, sf, "events").select(
+        F.when(k % 5 != 0, F.concat(F.lit("job-"), F.expr("event_id div 100"))).alias("job_id"),
+        F.when(k % 7 == 0, "NONSENSE").otherwise("ITERATION_COMPLETED").alias("type"),
+        "ts",
+    )
+    folded, _ = L.fold_events(B.ledger(spark, sf), reported, schemas.EVENT_TYPES)
+    return L.event_counts(folded)
+
+
+@query(
+    "last_holders",
+    f"WITH {_L} SELECT job_id, task_id, last_node AS node_id FROM states WHERE attempts > 0",
+)
+def last_holders(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, leased = _leased(spark, sf)
+    return L.last_holder(leased)
+
+
+@query(
+    "event_feed",
+    f"WITH {_L} SELECT seq, job_id, type FROM ledger WHERE type <> 'NODE_HEARTBEAT'",
+)
+def event_feed(spark: SparkSession, sf: str) -> DataFrame:
+    return L.event_feed(B.ledger(spark, sf)).select("seq", "job_id", "type")

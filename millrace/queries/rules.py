@@ -275,3 +275,26 @@ def external_job_states(spark: SparkSession, sf: str) -> DataFrame:
             pick(["SUCCEEDED", "FAILED", "RUNNING", "STOPPED", ""], 5),
         ).alias("state"),
     )
+
+
+@query(
+    "labels_and_digests",
+    """SELECT page_id, page_id % 3 <> 0 AS digest_ok, CASE WHEN page_id % 2 = 0 THEN 'amd64' END AS arch,
+    CASE WHEN page_id % 4 <> 1 THEN page_id % 4 = 0 ELSE true END AS has_data FROM pages""",
+)
+def labels_and_digests(spark: SparkSession, sf: str) -> DataFrame:
+    from millrace.operators.eligibility import has_all
+
+    p = F.col("page_id")
+    text = F.when(p % 3 == 0, F.col("url")).otherwise(F.concat(F.lit("sha256:"), F.sha2("url", 256)))
+    labels = F.create_map(
+        F.when(p % 2 == 0, "kubernetes.io/arch").otherwise("private/arch"), F.lit("amd64")
+    )
+    required = F.when(p % 4 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b")))
+    advertised = F.when(p % 4 == 0, F.array(F.lit("b"), F.lit("a"))).when(p % 4 == 2, F.array(F.lit("a")))
+    return B.table(spark, sf, "pages").select(
+        "page_id",
+        K.is_digest(text).alias("digest_ok"),
+        K.keep_labels(labels, ["kubernetes.io/"])["kubernetes.io/arch"].alias("arch"),
+        has_all(required, advertised).alias("has_data"),
+    )
