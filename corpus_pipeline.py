@@ -6,11 +6,21 @@ kept. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, line_dedup, simhash
+from millrace.llm import decontaminate, line_dedup, pieces, simhash, toxicity
 from millrace.llm.common import stored
 
+TOXIC = 0.5
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity, learned from the labels, is below ``TOXIC``."""
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, lexicon, into="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
+
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in three or more documents stay only in the last of them."""
@@ -29,13 +39,21 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.decontaminate(docs, items).select(docs.columns)
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, their number, and the text they decode to."""
+    rows = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "lang", "source", "n_tokens", "ids", F.col("decoded").alias("text"))
+
+
 STAGES = [
+    ("toxicity", not_toxic),
     ("line dedup", unrepeated_lines),
     ("simhash near-dedup", one_of_each),
     ("benchmark decontamination", without_benchmark),
+    ("sentencepiece", encoded),
 ]
 
-#: The tokenizer's ids are beyond SQL; tests compare with a plain Python version.
+#: Learned scores and the tokenizer's ids are beyond SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 

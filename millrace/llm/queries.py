@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, line_dedup, simhash
+from millrace.llm import bpe_counts, decontaminate, licenses, line_dedup, pieces, quality, simhash, toxicity
+from millrace.llm.training import held_out
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,3 +80,50 @@ def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return rows.select("doc_id", digits, "component_id")
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rows = quality.score(docs.select("doc_id", "text"), quality.learn(docs, table(spark, sf, "labels")))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = bpe_counts.token_counts(docs, _tokenizer("word_bpe_49k.json"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return rows.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = licenses.scan(table(spark, sf, "documents"))
+    return rows.select(
+        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
+        F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rows = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, table(spark, sf, "labels")))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = pieces.round_trip(docs, _tokenizer("piece_bpe_32k.model"))
+    return rows.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
