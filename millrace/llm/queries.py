@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_counts, decontaminate, licenses, line_dedup, pieces, quality, simhash, toxicity
+from millrace.llm import (
+    bpe_counts, decontaminate, licenses, line_dedup, pages, pieces, quality, simhash, toxicity, vector_dups,
+)
 from millrace.llm.training import held_out
 
 QUERIES: dict = {}
@@ -127,3 +129,16 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pages.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_embedding_near_dedup")
+def op5_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vector_dups.link_vectors(table(spark, sf, "embeddings"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return rows.select("vec_id", "n_links", "component_id", kept)
