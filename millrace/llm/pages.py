@@ -236,22 +236,20 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW, into: str = "text") -> DataFrame:
     """``pages`` with their main text in the column ``into``."""
     tree = style_tree(pages).where((F.col("seen") >= least_pages) & (F.col("importance") < low))
-    cut = stored(tree.groupBy("host").agg(F.collect_set("path").alias("_low")).withColumnRenamed("host", "_host"), "low-branches")
-    rows = pages.join(cut, host_of(F.col("url")) == F.col("_host"), "left").drop("_host")
+    cut = stored(tree.groupBy("host").agg(F.collect_set("path").alias("low")), "low-branches")
     names = [c for c in pages.columns if c != into]
-    schema = T.StructType([pages.schema[c] for c in names] + [T.StructField(into, T.StringType())])
-    inputs = [c for c in rows.columns if c != into] if "html" != into else rows.columns
-    rows = rows.select(*inputs)
-    at, low_at, kept = inputs.index("html"), inputs.index("_low"), [inputs.index(c) for c in names]
+    # The row travels as one value, so that no column of it can clash.
+    rows = pages.select(F.struct(*names).alias("row"), F.col("html").alias("page"), host_of(F.col("url")).alias("host"))
+    rows = rows.join(cut, "host", "left").select("row", "page", "low")
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(start, CHUNK)
-                lows = part.column(low_at).to_pylist()
-                texts = [main_text(p, set(x or ())) for p, x in zip(part.column(at).to_pylist(), lows)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in kept] + [pa.array(texts, pa.string())], names=schema.names
-                )
+                both = zip(part.column(1).to_pylist(), part.column(2).to_pylist())
+                texts = [main_text(p, set(low or ())) for p, low in both]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    done = rows.mapInArrow(run, schema)
+    return done.select(*[F.col("row").getField(c).alias(c) for c in names], into)

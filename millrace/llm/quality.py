@@ -108,14 +108,13 @@ class TextVectors:
         tokens = (text or "").split()
         if not tokens:
             return np.zeros(SIZE, np.float32)
-        total, last, same, kinds = np.zeros(SIZE, np.float64), None, 0, 0
+        total, last, same, kinds = np.zeros(SIZE, np.float64), None, 0, len(set(tokens))
         for at in range(0, len(tokens), slice_tokens):
             part = tokens[at : at + slice_tokens]
             rows = self._rows(part)
             unique, counts = np.unique(rows, return_counts=True)
             total += counts @ self.table[unique]
             same += int((rows[1:] == rows[:-1]).sum()) + (last == part[0])
-            kinds += len(unique)
             last = part[-1]
         total += same * self.mark["same"] + (len(tokens) - kinds) * self.mark["seen"] / 3
         return (total / len(tokens)).astype(np.float32)
@@ -193,7 +192,8 @@ def _word_vectors(rows: DataFrame, vocabulary: int) -> dict[str, np.ndarray]:
                     np.add.at(total, a[both], index[b[both]])
                     np.add.at(total, b[both], index[a[both]])
         used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pd.DataFrame({"i": used, "v": [total[i].tolist() for i in used]})
+        if len(used):
+            yield pd.DataFrame({"i": used, "v": [total[i].tolist() for i in used]})
 
     parts = rows.select("text").mapInPandas(sums, "i long, v array<double>")
     flat = parts.select("i", F.posexplode("v").alias("k", "x")).groupBy("i", "k").agg(F.sum("x").alias("x")).toPandas()
