@@ -39,10 +39,6 @@ def sq_norm(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
-
-
 def axpy(a: Column, s: Column | float, b: Column) -> Column:
     """``a + s * b`` element by element."""
     factor = s if isinstance(s, Column) else F.lit(float(s))
@@ -58,16 +54,6 @@ def literal_vector(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def unrolled_sq_dist(features: Column, center: Sequence[float]) -> Column:
-    """Distance to a constant point as plain arithmetic, so it is compiled into
-    the surrounding stage instead of running as a lambda."""
-    total = None
-    for i, c in enumerate(center):
-        diff = features[i] - F.lit(float(c))
-        total = diff * diff if total is None else total + diff * diff
-    return total if total is not None else F.lit(0.0)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 

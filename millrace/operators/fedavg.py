@@ -305,30 +305,59 @@ def round_metrics(contributions: DataFrame) -> DataFrame:
     )
 
 
-def apply_delta(base: DataFrame, delta: DataFrame, factor: float = 1.0) -> DataFrame:
-    """``base + factor * delta`` for tables of ``param, shape, data``."""
+def _combined(base: DataFrame, other: DataFrame, factor: float) -> DataFrame:
+    """``base + factor * other``: the same names and sizes on both sides, finite results."""
     b = base.select("param", "shape", F.col("data").alias("_a"))
-    return b.join(delta.select("param", F.col("data").alias("_d")), "param").select(
-        "param", "shape", V.axpy(F.col("_a"), factor, F.col("_d")).alias("data")
+    both = b.join(other.select("param", F.col("data").alias("_d")), "param", "full_outer")
+    data = V.axpy(F.col("_a"), factor, F.col("_d"))
+    problem = (
+        F.when(F.col("_a").isNull() | F.col("_d").isNull(), "is missing on one side")
+        .when(F.size("_a") != F.size("_d"), "has another size")
+        .when(~V.all_finite(data), "is not finite after the update")
     )
+    text = F.concat(F.lit("parameter "), "param", F.lit(" "), problem)
+    bad = F.raise_error(text).cast("array<double>")
+    return both.select("param", "shape", F.when(problem.isNotNull(), bad).otherwise(data).alias("data"))
+
+
+def apply_delta(base: DataFrame, delta: DataFrame, factor: float = 1.0) -> DataFrame:
+    """``base + factor * delta`` for tables of ``param, shape, data``.
+
+    A name that one side lacks, another size or a result that is not finite is an error.
+    """
+    return _combined(base, delta, factor)
+
+
+def subtract(new: DataFrame, old: DataFrame) -> DataFrame:
+    """``new - old`` for tables of ``param, shape, data``, checked like :func:`apply_delta`."""
+    return _combined(new, old, -1.0)
 
 
 def weights_after(initial: DataFrame, reduced: DataFrame) -> DataFrame:
     """Weights after every round: the start plus the running sum of updates.
 
-    ``initial``: ``param, shape, data``; ``reduced``: ``round, param, data``.
+    ``initial``: ``param, shape, data``; ``reduced``: ``round, param, data``. Every round
+    has every parameter, in its size; anything else is an error.
     """
+    known = initial.select("param", "shape", F.col("data").alias("_x0"))
+    steps = reduced.select("round", "param", "data").join(known, "param", "full_outer")
+    per_round = Window.partitionBy("round")
+    steps = steps.withColumn("_n", F.count("param").over(per_round))
+    names = initial.agg(F.count("*").alias("_names"))
+    steps = steps.join(F.broadcast(names), F.lit(True))  # one row
+    wrong = F.col("_x0").isNull() | F.col("data").isNull() | (F.size("data") != F.size("_x0"))
+    wrong = wrong | (F.col("_n") != F.col("_names"))
+    text = F.concat(F.lit("parameter "), "param", F.lit(" does not match the start"))
+    data = F.when(wrong, F.raise_error(text).cast("array<double>")).otherwise(F.col("data"))
     over = Window.partitionBy("param", "_pos").orderBy("round")
-    elements = reduced.select("round", "param", F.posexplode("data").alias("_pos", "_x"))
-    start = initial.select("param", F.posexplode("data").alias("_pos", "_x0"))
-    running = elements.withColumn("_s", F.sum("_x").over(over)).join(start, ["param", "_pos"])
-    packed = running.groupBy("round", "param").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_pos", (F.col("_x0") + F.col("_s")).alias("v")))),
-            lambda s: s["v"],
-        ).alias("data")
+    elements = steps.select(
+        "round", "param", "shape", "_x0", F.posexplode(data).alias("_pos", "_x")
+    ).select("round", "param", "shape", F.get("_x0", F.col("_pos")).alias("_x0"), "_pos", "_x")
+    running = elements.withColumn("v", F.col("_x0") + F.sum("_x").over(over))
+    return running.groupBy("round", "param").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "v"))), lambda s: s["v"]).alias("data"),
+        F.first("shape").alias("shape"),
     )
-    return packed.join(initial.select("param", "shape"), "param")
 
 
 # -- quorum -------------------------------------------------------------------

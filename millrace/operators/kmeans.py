@@ -6,21 +6,18 @@ size the caller chooses, so they travel inside the plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.vectors import literal_vector, sq_dist, unrolled_sq_dist
+from millrace.functions.vectors import sq_dist
 from millrace.operators.arrays import matrix, sum_arrays
 
-#: Up to this many multiplications per point the distances are compiled into the
-#: stage; beyond it a batch goes through numpy.
-UNROLL_LIMIT = 256
-
 Centroids = Sequence[Sequence[float]]
 
 
@@ -38,53 +35,50 @@ def initial_centroids(points: DataFrame, k: int, seed: int = 0, id_col: str = "i
     return [[float(v) for v in r["features"]] for r in picked]
 
 
-def nearest(points: DataFrame, centroids: Centroids) -> DataFrame:
-    """Add ``cluster`` (lowest index wins a tie) and squared distance ``d2``."""
-    features = F.col("features")
-    if len(centroids) * len(centroids[0]) <= UNROLL_LIMIT:
-        distances = [unrolled_sq_dist(features, c) for c in centroids]
-    else:
-        distances = [sq_dist(features, literal_vector(c)) for c in centroids]
-    with_d = points.withColumn("_d", F.array(*distances))
-    return (
-        with_d.withColumn("d2", F.array_min("_d"))
-        .withColumn("cluster", (F.array_position("_d", F.col("d2")) - 1).cast("int"))
-        .drop("_d")
-    )
+def _assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest center (the lowest wins a tie) and its squared distance."""
+    if len(x) and x.shape[1] != centers.shape[1]:
+        raise ValueError(f"points have {x.shape[1]} elements, centers {centers.shape[1]}")
+    d2 = np.empty((len(x), len(centers)))
+    for j, c in enumerate(centers):
+        diff = x - c
+        d2[:, j] = np.einsum("ij,ij->i", diff, diff)
+    cluster = d2.argmin(axis=1)
+    return cluster, d2[np.arange(len(x)), cluster]
 
 
-def _batch_stats(keys: list[str], centroids: Centroids, schema: T.StructType):
+def nearest(points: DataFrame, centroids: Centroids) -> DataFrame:
+    """Add ``cluster`` (lowest index wins a tie) and squared distance ``d2``.
+
+    Points of another length than the centers are an error.
+    """
     centers = np.asarray(centroids, dtype=np.float64)
 
+    @F.pandas_udf("cluster int, d2 double")
+    def assign(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for features in parts:
+            x = matrix(pa.array(features, pa.list_(pa.float64())))
+            cluster, d2 = _assign(x, centers)
+            yield pd.DataFrame({"cluster": cluster.astype(np.int32), "d2": d2})
+
+    found = points.withColumn("_near", assign(F.col("features").cast("array<double>")))
+    return found.select(*points.columns, "_near.d2", "_near.cluster")
+
+
+def _batch_stats(keys: list[str], centers: np.ndarray, schema: T.StructType):
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = matrix(batch.column("features"))
-            d2 = np.empty((len(x), len(centers)))
-            for j, c in enumerate(centers):
-                diff = x - c
-                d2[:, j] = np.einsum("ij,ij->i", diff, diff)
-            cluster = d2.argmin(axis=1)
-            best = d2[np.arange(len(x)), cluster]
-            tag = cluster.astype(np.int64)
-            if keys:
-                shard = np.asarray(batch.column(keys[0]), dtype=np.int64)
-                groups, tag = np.unique(
-                    np.stack([shard, cluster], axis=1), axis=0, return_inverse=True
-                )
-                tag = tag.ravel()
-            else:
-                ids, tag = np.unique(cluster, return_inverse=True)
-                groups = ids[:, None]
-            sums = np.zeros((len(groups), x.shape[1]))
-            np.add.at(sums, tag, x)
+            cluster, best = _assign(x, centers)
+            tags = [np.asarray(batch.column(k), dtype=np.int64) for k in keys] + [cluster]
+            groups, tag = np.unique(np.stack(tags, axis=1), axis=0, return_inverse=True)
+            tag = tag.ravel()
+            sums = np.zeros((len(groups), x.shape[1] + 2))
+            np.add.at(sums, tag, np.column_stack([x, np.ones(len(x)), best]))
             columns = [pa.array(groups[:, i], pa.int32()) for i in range(groups.shape[1])]
             columns.append(pa.array(sums.tolist(), pa.list_(pa.float64())))
-            columns.append(pa.array(np.bincount(tag, minlength=len(groups)), pa.int64()))
-            columns.append(
-                pa.array(np.bincount(tag, weights=best, minlength=len(groups)), pa.float64())
-            )
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return run
@@ -95,44 +89,37 @@ def partial_stats(
 ) -> DataFrame:
     """``[shard,] cluster, sums, count, inertia`` of one assignment pass.
 
-    Sums are combined before the shuffle; one row per (shard, cluster) crosses it
-    for each map task.
+    Every batch is reduced to one vector per (shard, cluster), its sums followed by its
+    count and inertia, and only those vectors are shuffled, element by element.
     """
     dims = len(centroids[0])
     keys = ["shard"] if by_shard else []
-    if len(centroids) * dims <= UNROLL_LIMIT:
-        assigned = nearest(points, centroids).select(
-            *keys, "cluster", "features", F.lit(1).alias("count"), F.col("d2").alias("inertia")
-        )
-        element = lambda i: F.sum(F.col("features")[i])
-    else:
-        fields = [T.StructField(k, T.IntegerType()) for k in keys]
-        schema = T.StructType(
-            fields
-            + [
-                T.StructField("cluster", T.IntegerType()),
-                T.StructField("sums", T.ArrayType(T.DoubleType())),
-                T.StructField("count", T.LongType()),
-                T.StructField("inertia", T.DoubleType()),
-            ]
-        )
-        src = points.select(
-            *[F.col(k).cast("int") for k in keys],
-            F.col("features").cast("array<double>").alias("features"),
-        )
-        assigned = src.mapInArrow(_batch_stats(keys, centroids, schema), schema)
-        element = lambda i: F.sum(F.col("sums")[i])
-    totals = assigned.groupBy(*keys, "cluster").agg(
-        *[element(i).alias(f"_s{i}") for i in range(dims)],
-        F.sum("count").cast("bigint").alias("count"),
-        F.sum("inertia").alias("inertia"),
+    schema = T.StructType(
+        [T.StructField(k, T.IntegerType()) for k in [*keys, "cluster"]]
+        + [T.StructField("sums", T.ArrayType(T.DoubleType()))]
+    )
+    src = points.select(
+        *[F.col(k).cast("int") for k in keys],
+        F.col("features").cast("array<double>").alias("features"),
+    )
+    centers = np.asarray(centroids, dtype=np.float64)
+    partial = src.mapInArrow(_batch_stats(keys, centers, schema), schema)
+    elements = (
+        partial.select(*keys, "cluster", F.posexplode("sums").alias("_pos", "_x"))
+        .groupBy(*keys, "cluster", "_pos")
+        .agg(F.sum("_x").alias("_x"))
+    )
+    totals = elements.groupBy(*keys, "cluster").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda s: s["_x"]
+        ).alias("_all")
     )
     return totals.select(
         *keys,
         "cluster",
-        F.array(*[F.col(f"_s{i}") for i in range(dims)]).alias("sums"),
-        "count",
-        "inertia",
+        F.slice("_all", 1, dims).alias("sums"),
+        F.col("_all")[dims].cast("bigint").alias("count"),
+        F.col("_all")[dims + 1].alias("inertia"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import is_restart
 from millrace.functions.readings import number_or_null
 from millrace.functions.vectors import finite
-from millrace.operators.ordered import previous_row, row_numbers
+from millrace.operators.ordered import previous_row, row_numbers, with_index
 from millrace.session import cut_lineage
 
 # How much of a run is shown, and when a rate is no longer live.
@@ -214,22 +214,23 @@ def kpi_snapshot(
 
 
 def set_changes(snapshots: DataFrame, key: str, order: str) -> DataFrame:
-    """Members that left or joined between consecutive snapshots: ``order, key, change``.
+    """Members that left or joined since the snapshot seen before: ``order, key, change``.
 
-    ``order`` counts snapshots without gaps; the first one has no predecessor.
+    ``order`` may have gaps; the first snapshot has no predecessor.
     """
     here = snapshots.select(order, key).distinct()
-    times = here.select(order).distinct()
-    shifted = here.select((F.col(order) + 1).alias(order), key)
+    times = with_index(here.select(order).distinct(), [order], "_at")
+    ranked = here.join(times, order)
+    named = times.select("_at", order)
+    shifted = ranked.select((F.col("_at") + 1).alias("_at"), key)
     lost = (
-        shifted.join(times, order, "left_semi")
-        .join(here, [order, key], "left_anti")
-        .withColumn("change", F.lit("lost"))
+        shifted.join(ranked.select("_at", key), ["_at", key], "left_anti")
+        .join(named, "_at")  # the last snapshot has no successor
+        .select(order, key, F.lit("lost").alias("change"))
     )
-    later = times.select((F.col(order) + 1).alias(order))
     joined = (
-        here.join(later, order, "left_semi")
-        .join(shifted, [order, key], "left_anti")
-        .withColumn("change", F.lit("joined"))
+        ranked.filter(F.col("_at") > 0)
+        .join(shifted, ["_at", key], "left_anti")
+        .select(order, key, F.lit("joined").alias("change"))
     )
     return lost.unionByName(joined)

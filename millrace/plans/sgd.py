@@ -7,14 +7,18 @@ aggregation over the rows of its batch; sensible batches hold thousands of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.vectors import dot, literal_vector, log_loss, sigmoid
-from millrace.operators.kmeans import UNROLL_LIMIT
+from millrace.functions.vectors import log_loss, sigmoid
+from millrace.operators.arrays import matrix
 
 
 @dataclass
@@ -32,12 +36,44 @@ class LogisticFit:
 
 
 def score(features: Column, weights: list[float], bias: float) -> Column:
-    if len(weights) <= UNROLL_LIMIT:
-        z = F.lit(float(bias))
-        for i, w in enumerate(weights):
-            z = z + features[i] * F.lit(float(w))
-        return z
-    return dot(features, literal_vector(weights)) + F.lit(float(bias))
+    """``features . weights + bias``, one matrix product per batch."""
+    w = np.asarray(weights, dtype=np.float64)
+
+    @F.pandas_udf("double")
+    def logits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in parts:
+            yield pd.Series(_product(matrix(pa.array(values, pa.list_(pa.float64()))), w) + bias)
+
+    return logits(features.cast("array<double>"))
+
+
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    if len(x) and x.shape[1] != len(w):
+        raise ValueError(f"rows have {x.shape[1]} features, the model {len(w)}")
+    return x @ w if len(x) else np.empty(0)
+
+
+def _gradient(rows: DataFrame, weights: list[float], bias: float) -> list[float]:
+    """Sums over the rows ``features, label, _w`` of the errors and of error times
+    feature: one vector per batch, added element by element."""
+    w = np.asarray(weights, dtype=np.float64)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = matrix(batch.column("features"))
+            z = np.clip(_product(x, w) + bias, -700, 700)
+            times = np.asarray(batch.column("_w"), dtype=np.float64)
+            error = times * (1 / (1 + np.exp(-z)) - np.asarray(batch.column("label"), dtype=np.float64))
+            sums = [float(error.sum()), *(error @ x).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], names=["sums"])
+
+    src = rows.select(
+        F.col("features").cast("array<double>").alias("features"), F.col("label").cast("double").alias("label"), "_w"
+    )
+    flat = src.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("i", "x"))
+    return [r["x"] for r in flat.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()]
 
 
 def mean_log_loss(df: DataFrame, weights: list[float], bias: float) -> DataFrame:
@@ -90,18 +126,9 @@ def logistic_sgd(
         w, b = list(w), float(b)
         fit = LogisticFit(w, b, at)
         for step in range(at + 1, steps + 1):
-            err = F.col("_w") * (sigmoid(score(F.col("features"), w, b)) - F.col("label"))
-            sums = (
-                _batch(cached, step, batch, n)
-                .select("features", err.alias("_e"))
-                .agg(
-                    F.sum("_e").alias("b"),
-                    *[F.sum(F.col("_e") * F.col("features")[i]).alias(f"g{i}") for i in range(d)],
-                )
-                .first()
-            )
-            w = [w[i] - lr * sums[f"g{i}"] / batch for i in range(d)]
-            b -= lr * sums["b"] / batch
+            sums = _gradient(_batch(cached, step, batch, n), w, b)
+            b -= lr * sums[0] / batch
+            w = [v - lr * g / batch for v, g in zip(w, sums[1:])]
             if checkpoint_every and step % checkpoint_every == 0 and step < steps:
                 fit.checkpoints.append((step, list(w), b))
                 if checkpoint_path:

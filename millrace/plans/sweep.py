@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Spark's limit on the depth of a tree, and models fitted at the same time.
+DEEPEST, PARALLEL = 30, 4
+
+
 def trial_points(grid: Mapping[str, Sequence]) -> list[dict]:
     """Cartesian product with keys in sorted order, the last one fastest."""
     keys = sorted(grid)
@@ -24,6 +29,24 @@ def fold_of(id_col: str, cv: int):
     return F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(cv)).cast("int")
 
 
+def _depth(params: Mapping) -> int:
+    """Depth of the trees; unlimited ones grow to the deepest that Spark allows."""
+    depth = params.get("max_depth")
+    if depth is None:
+        return DEEPEST
+    if int(depth) > DEEPEST:
+        raise ValueError(f"max_depth {depth} is beyond Spark's limit of {DEEPEST}")
+    return int(depth)
+
+
+def _texts(params: Mapping) -> dict[str, str]:
+    """The parameters as fitted: an unlimited depth shows the one that was used."""
+    out = {k: str(v) for k, v in params.items()}
+    if params.get("model") == "rf" and "max_depth" in params:
+        out["max_depth"] = str(_depth(params))
+    return out
+
+
 def _estimator(params: Mapping, rows: int):
     kind = params.get("model", "logreg")
     if kind == "logreg":
@@ -36,11 +59,11 @@ def _estimator(params: Mapping, rows: int):
             standardization=False,
         )
     if kind == "rf":
-        depth = params.get("max_depth")
+        depth = _depth(params)
         return RandomForestClassifier(
             featuresCol="vector",
             numTrees=int(params.get("n_estimators", 50)),
-            maxDepth=int(depth) if depth else 30,
+            maxDepth=depth,
             seed=0,
         )
     raise ValueError(f"unsupported model {kind!r} (logreg or rf)")
@@ -79,24 +102,22 @@ def sweep(
     try:
         sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
         total = sum(sizes.values())
-        parts = []
-        for fold in range(cv):
-            train = data.filter(F.col("fold") != fold)
-            held_out = data.filter(F.col("fold") == fold)
-            for i, params in enumerate(trials):
-                model = _estimator(params, total - sizes.get(fold, 0)).fit(train)
-                parts.append(
-                    model.transform(held_out).select(
-                        F.lit(i).alias("trial"), "fold", "label", "prediction"
-                    )
-                )
+
+        def fitted(job: tuple[int, int]) -> DataFrame:
+            fold, i = job
+            model = _estimator(trials[i], total - sizes.get(fold, 0)).fit(data.filter(F.col("fold") != fold))
+            held_out = model.transform(data.filter(F.col("fold") == fold))
+            return held_out.select(F.lit(i).alias("trial"), "fold", "label", "prediction")
+
+        with ThreadPool(PARALLEL) as pool:  # the threads only wait for Spark
+            parts = pool.map(fitted, itertools.product(range(cv), range(len(trials))))
         predictions = parts[0]
         for p in parts[1:]:
             predictions = predictions.unionByName(p)
         scores = cv_scores(predictions).collect()
     finally:
         data.unpersist()
-    texts = {i: {k: str(v) for k, v in t.items()} for i, t in enumerate(trials)}
+    texts = {i: _texts(t) for i, t in enumerate(trials)}
     return df.sparkSession.createDataFrame(
         [
             (r["trial"], texts[r["trial"]], r["accuracy_mean"], r["accuracy_folds"], r["n_samples"])
@@ -107,31 +128,18 @@ def sweep(
     )
 
 
-class GroupTooLarge(ValueError):
-    """A group would not fit in one task; split it into shards first."""
-
-
 def fit_many(
     df: DataFrame,
     group: str,
     fn: Callable[[pd.DataFrame], dict],
     schema: str,
-    max_rows: int = 1_000_000,
 ) -> DataFrame:
     """One small model per group: ``group, error`` and the columns of ``schema``.
 
     ``fn`` gets a group's rows and returns one value per column. A group it fails
-    on becomes a row with ``error`` set. Group sizes are checked first: this is for
-    many small groups, and a larger one is refused rather than cut.
+    on becomes a row with ``error`` set. A group is one task and must fit in its memory:
+    this is for many small groups, and larger ones belong in :func:`sweep`.
     """
-    largest = (
-        df.groupBy(group)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max(F.struct("n", group)).alias("top"))
-        .first()["top"]
-    )
-    if largest is not None and largest["n"] > max_rows:
-        raise GroupTooLarge(f"{group}={largest[group]} has {largest['n']} rows, limit {max_rows}")
     fields = T.StructType.fromDDL(schema).fields
     out = T.StructType([df.schema[group], T.StructField("error", T.StringType()), *fields])
     names = [f.name for f in fields]

@@ -205,10 +205,10 @@ def event_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "evidence_rollup",
     f"""WITH {_L} SELECT l.node_id, count(*) AS attempts,
-    round(avg(CASE WHEN l.claim_seq % 4 <> 0 THEN e.value END) + 3e-8, 6) AS wall_seconds_mean,
-    round(avg(CASE WHEN l.claim_seq % 5 <> 0 THEN e.value / 5 END) + 3e-8, 6) AS gpu_util_percent_mean,
+    round(avg(CASE WHEN l.claim_seq % 4 <> 0 THEN e.value END), 9) AS wall_seconds_mean,
+    round(avg(CASE WHEN l.claim_seq % 5 <> 0 THEN e.value / 5 END), 9) AS gpu_util_percent_mean,
     count(CASE WHEN l.claim_seq % 5 <> 0 THEN 1 END) AS gpu_measured,
-    round(avg((epoch_us(l.end_ts) - epoch_us(l.claim_ts)) / 1e6) + 3e-8, 6) AS observed_seconds_mean
+    round(avg((epoch_us(l.end_ts) - epoch_us(l.claim_ts)) / 1e6), 9) AS observed_seconds_mean
     FROM ls l JOIN events e ON e.event_id = l.claim_seq WHERE l.outcome <> 'running' GROUP BY l.node_id""",
 )
 def evidence_rollup(spark: SparkSession, sf: str) -> DataFrame:

@@ -181,7 +181,7 @@ def expand_grid(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "expand_tasks",
     """WITH j AS (SELECT c_custkey AS k, c_custkey % 4 AS kind, c_custkey % 13 AS n FROM customer),
-    p AS (SELECT *, CASE WHEN kind = 2 AND n < 1 THEN 'number of shards outside 1..999'
+    p AS (SELECT *, CASE WHEN kind = 2 AND n < 1 THEN 'number of shards below 1'
       WHEN kind = 1 AND n % 5 = 4 THEN 'shard is not an artifact address'
       WHEN kind = 3 AND n % 2 = 1 AND n % 3 = 0 THEN 'fallback without a pool'
       WHEN kind = 1 AND n = 0 THEN 'nothing to expand' END AS problem,

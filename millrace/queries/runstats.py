@@ -116,8 +116,8 @@ def paired_penalty(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "phase_split",
-    """SELECT event_type, count(*) AS starts, round(avg(value / 10) + 3e-8, 6) AS launch_s,
-    round(avg(value / 4) + 3e-8, 6) AS child_s, round(avg(value / 10 + value / 4) + 3e-8, 6) AS total_s
+    """SELECT event_type, count(*) AS starts, round(avg(value / 10), 9) AS launch_s,
+    round(avg(value / 4), 9) AS child_s, round(avg(value / 10 + value / 4), 9) AS total_s
     FROM events GROUP BY event_type""",
 )
 def phase_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +140,7 @@ def phase_split(spark: SparkSession, sf: str) -> DataFrame:
     SELECT event_type, count(*) AS cases,
       count_if(act = CASE WHEN fault < 3 THEN fault END)::BIGINT AS correct,
       count_if(NOT coalesce(act = CASE WHEN fault < 3 THEN fault END, false))::BIGINT AS manual_interventions,
-      round(avg(value) + 3e-8, 6) AS mean_recovery_s, round(avg(kept) + 3e-8, 6) AS mean_steps_preserved
+      round(avg(value), 9) AS mean_recovery_s, round(avg(kept), 9) AS mean_steps_preserved
     FROM c GROUP BY event_type""",
 )
 def recovery_score(spark: SparkSession, sf: str) -> DataFrame:

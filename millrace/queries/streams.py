@@ -206,8 +206,8 @@ def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """WITH t AS (SELECT 'host-' || (user_id % 20) AS hostname, epoch_us(ts) // 3600000000 * 3600 AS start_s,
       CASE WHEN event_id % 5 <> 0 THEN value END AS cpu, CASE WHEN event_type = 'view' THEN value / 3 END AS gpu FROM events),
     m AS (SELECT max(epoch_us(ts)) // 1000 / 1000.0 - 60 AS w FROM events)
-    SELECT hostname, CAST(start_s AS BIGINT) AS start_s, count(*) AS samples, round(avg(cpu) + 3e-8, 6) AS cpu_percent_mean,
-      round(avg(gpu) + 3e-8, 6) AS gpu_percent_mean FROM t, m WHERE start_s + 3600 <= m.w GROUP BY hostname, start_s""",
+    SELECT hostname, CAST(start_s AS BIGINT) AS start_s, count(*) AS samples, round(avg(cpu), 9) AS cpu_percent_mean,
+      round(avg(gpu), 9) AS gpu_percent_mean FROM t, m WHERE start_s + 3600 <= m.w GROUP BY hostname, start_s""",
 )
 def stream_telemetry_rollup(spark: SparkSession, sf: str) -> DataFrame:
     t = _events(spark, sf).select(

@@ -115,7 +115,7 @@ def loss_curve(spark: SparkSession, sf: str) -> DataFrame:
     "mean_readings",
     f"""WITH {_BEATS}, c AS (SELECT event_type, run_id, CASE WHEN line % 5 <> 0 THEN value END AS cpu,
       CASE WHEN event_type <> 'view' THEN value / 2 END AS gpu FROM bt)
-    SELECT run_id, event_type, round(avg(cpu) + 3e-8, 6) AS cpu_mean, round(avg(gpu) + 3e-8, 6) AS gpu_mean,
+    SELECT run_id, event_type, round(avg(cpu), 9) AS cpu_mean, round(avg(gpu), 9) AS gpu_mean,
       count(cpu) AS cpu_n, count(gpu) AS gpu_n FROM c GROUP BY run_id, event_type""",
 )
 def mean_readings(spark: SparkSession, sf: str) -> DataFrame:

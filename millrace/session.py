@@ -1,12 +1,13 @@
 """Shared folders and lineage cuts.
 
 Iterative jobs need a place every executor can reach. The cluster names it in
-``spark.checkpoint.dir``; only where that is unset (tests, local runs) does this
-module fall back to a temporary folder.
+``spark.checkpoint.dir``. A session that runs in one process (``local[n]``, as in tests)
+may leave it unset and gets a temporary folder; anywhere else that is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 _fallback: dict[str, str] = {}
 
 
+class NoSharedFolder(RuntimeError):
+    """The cluster names no folder for intermediate tables."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or a local one if unset."""
+    """The folder named by ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="millrace-")

@@ -2,40 +2,33 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Files up to this size are hashed by Spark from memory; larger ones are streamed.
-IN_MEMORY_BYTES = 256 * 1024 * 1024
-CHUNK = 4 * 1024 * 1024
-
 
-def _binary(spark: SparkSession, path: str) -> DataFrame:
+def _binary(spark: SparkSession, path: str, below: str = "") -> DataFrame:
+    """Files below ``path/below``; ``key`` is what follows the root folder ``path``."""
+    folder = f"{path.rstrip('/')}/{below}".rstrip("/")
     try:
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        )
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         files = spark.createDataFrame(
             [], "path string, modificationTime timestamp, length bigint, content binary"
         )
-    root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
-    # The key is what follows the root folder.
-    return files.withColumn(
-        "key", F.substring("path", F.locate(root, F.col("path")) + len(root) + 1, F.length("path"))
-    )
+    # Paths come back as the file system writes them in full; so is the root.
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    prefix = system.makeQualified(root).toString().rstrip("/")
+    return files.withColumn("key", F.substring("path", len(prefix) + 2, 2**31 - 1))
 
 
 def list_artifacts(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """``key, uri, size_bytes, modified`` below a prefix, by key. Contents are not read."""
     return (
-        _binary(spark, path)
+        _binary(spark, path, prefix[: prefix.rfind("/") + 1])
         .filter(F.col("key").startswith(prefix))
         .select(
             "key",
@@ -47,41 +40,12 @@ def list_artifacts(spark: SparkSession, path: str, prefix: str = "") -> DataFram
     )
 
 
-def _stream_hash(batches):
-    from pyarrow import fs
-
-    for batch in batches:
-        out = []
-        for path in batch["path"]:
-            if path.startswith("file:"):
-                path = "file:///" + path[len("file:") :].lstrip("/")
-            system, inner = fs.FileSystem.from_uri(path)
-            digest = hashlib.sha256()
-            with system.open_input_stream(inner) as stream:
-                while chunk := stream.read(CHUNK):
-                    digest.update(chunk)
-            out.append(digest.hexdigest())
-        yield pd.DataFrame(
-            {"key": batch["key"], "size_bytes": batch["length"], "sha256": out}
-        )
-
-
-def hash_artifacts(
-    spark: SparkSession, path: str, in_memory_bytes: int = IN_MEMORY_BYTES
-) -> DataFrame:
+def hash_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """``key, size_bytes, sha256`` of every file below ``path``.
 
-    A file that would not fit in a row is read in chunks inside a task instead,
-    so size never limits what can be hashed.
+    A file is one value of a row; Spark refuses one above its own limit
+    (``spark.sql.sources.binaryFile.maxLength``, at most 2 GiB) with an error.
     """
-    files = _binary(spark, path)
-    small = files.filter(F.col("length") <= in_memory_bytes).select(
+    return _binary(spark, path).select(
         "key", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
     )
-    large = (
-        files.filter(F.col("length") > in_memory_bytes)
-        .select("key", "path", "length")
-        .repartition("path")
-        .mapInPandas(_stream_hash, "key string, size_bytes bigint, sha256 string")
-    )
-    return small.unionByName(large)

@@ -180,6 +180,23 @@ def test_weights_after_and_apply(spark):
     assert after == {0: [2.0, 2.0], 1: [2.5, 1.0]}
     moved = fedavg.apply_delta(start, reduced.filter("round = 1"), 2.0).first()["data"]
     assert moved == [2.0, 0.0]
+    assert fedavg.subtract(start, start).first()["data"] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize(
+    "delta, match",
+    [({"v": [1.0, 1.0]}, "missing"), ({"w": [1.0]}, "another size"), ({"w": [1.0, float("nan")]}, "not finite")],
+)
+def test_arithmetic_refuses_what_does_not_match(spark, delta, match):
+    start = weights_frame(spark, {"w": np.array([1.0, 2.0])})
+    other = weights_frame(spark, {k: np.array(v) for k, v in delta.items()})
+    for run in (fedavg.apply_delta, fedavg.subtract):
+        with pytest.raises(Exception, match=match):
+            run(start, other).collect()
+    if match != "not finite":
+        rounds = other.select(F.lit(0).alias("round"), "param", "data")
+        with pytest.raises(Exception, match="does not match the start"):
+            fedavg.weights_after(start, rounds).collect()
 
 
 def test_local_training_ignores_rows_it_cannot_reach():

@@ -54,20 +54,24 @@ def test_sharded_step_equals_numpy(spark):
     assert math.isclose(sum(r["inertia"] for r in rows), d2.min(axis=1).sum(), rel_tol=1e-9)
 
 
-def test_both_distance_paths_agree(spark, monkeypatch):
+def test_partials_and_distances_agree(spark):
     data = make_points(spark, seed=3, shards=2, per_shard=100, k=4, dims=6).persist()
     centers = true_centers(3, 4, 6).tolist()
-    columns = ["shard", "cluster", "count"]
-    plain = kmeans.partial_stats(data, centers)
-    monkeypatch.setattr(kmeans, "UNROLL_LIMIT", 1)
-    batched = kmeans.partial_stats(data, centers)
-    a = {tuple(r[c] for c in columns): r for r in plain.collect()}
-    b = {tuple(r[c] for c in columns): r for r in batched.collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert np.allclose(a[k]["sums"], b[k]["sums"]) and math.isclose(a[k]["inertia"], b[k]["inertia"])
-    far = kmeans.nearest(data, centers)
-    assert far.agg(F.sum("d2")).first()[0] == pytest.approx(sum(r["inertia"] for r in a.values()))
+    inertia = sum(r["inertia"] for r in kmeans.partial_stats(data, centers).collect())
+    assert kmeans.nearest(data, centers).agg(F.sum("d2")).first()[0] == pytest.approx(inertia)
+
+
+@pytest.mark.parametrize("rows", [[(0, 0), (1, 1, 1)], [(0, 0, 0), (1, 1, 1)]])
+def test_points_of_another_length_are_an_error(spark, rows):
+    for run in (kmeans.nearest, kmeans.partial_stats):
+        with pytest.raises(Exception, match="differ in length|elements"):
+            run(points(spark, rows), [[0, 0], [9, 9]]).collect()
+
+
+def test_wide_vectors_and_many_centers(spark):
+    x = np.random.default_rng(1).normal(size=(60, 300))
+    rows = kmeans.partial_stats(points(spark, x.tolist()), x[:40].tolist(), by_shard=False).collect()
+    assert sum(r["count"] for r in rows) == 60 and all(len(r["sums"]) == 300 for r in rows)
 
 
 def test_fit_is_deterministic_and_improves(spark):

@@ -144,6 +144,9 @@ def test_means_and_set_changes(spark):
     snaps = frame(spark, "i bigint, w string", (0, "a"), (0, "b"), (1, "b"), (1, "c"))
     changes = {(r["i"], r["w"], r["change"]) for r in M.set_changes(snaps, "w", "i").collect()}
     assert changes == {(1, "a", "lost"), (1, "c", "joined")}
+    apart = snaps.withColumn("i", F.col("i") * 7 + 3)
+    changes = {(r["i"], r["w"], r["change"]) for r in M.set_changes(apart, "w", "i").collect()}
+    assert changes == {(10, "a", "lost"), (10, "c", "joined")}
 
 
 # -- statistics ---------------------------------------------------------------
