@@ -88,7 +88,9 @@ def non_finite(contributions: DataFrame) -> DataFrame:
 
 
 def _against_base(contributions: DataFrame) -> DataFrame:
-    """Each row next to the shape its round's first contribution declares."""
+    """Each row next to the shape its round's first contribution declares. Only the
+    length of its data goes along, so no vector crosses the join."""
+    contributions = contributions.withColumn("_len", F.size("data")).drop("data")
     firsts = contributions.groupBy("round").agg(F.min("position").alias("position"))
     base = contributions.join(firsts, ["round", "position"], "left_semi").select(
         "round", "param", F.col("shape").alias("_base_shape"), F.lit(True).alias("_known")
@@ -111,7 +113,7 @@ def _shape_problem() -> Column:
     return (
         F.when(F.col("_known").isNull(), F.lit("parameter_names_differ"))
         .when(~F.col("shape").eqNullSafe(F.col("_base_shape")), F.lit("shape_mismatch"))
-        .when(V.shape_size(F.col("shape")) != F.size("data"), F.lit("length_mismatch"))
+        .when(V.shape_size(F.col("shape")) != F.col("_len"), F.lit("length_mismatch"))
     )
 
 
@@ -124,16 +126,15 @@ def validate(contributions: DataFrame, rounds: DataFrame | None = None) -> DataF
     should exist.
     """
     problem, value = _sample_columns(contributions)
-    rows = _against_base(
-        contributions.withColumn("_sp", problem).withColumn("_n", value)
-    ).select(
+    marked = contributions.withColumn("_sp", problem).withColumn("_n", value)
+    rows = _against_base(marked.withColumn("_bad", V.first_non_finite(F.col("data")))).select(
         "round",
         "position",
         "param",
         "_sp",
         "_n",
         _shape_problem().alias("_shape"),
-        V.first_non_finite(F.col("data")).alias("_bad"),
+        "_bad",
     )
 
     def issue(stage, sub, kind, param=None, index=None):
@@ -272,17 +273,16 @@ def weighted_mean(contributions: DataFrame, scales: DataFrame | None = None) ->
     written out.
     """
     _, value = _sample_columns(contributions)
-    weighed = contributions.withColumn("_n", value).join(
-        _sample_totals(contributions), "round"
-    )
-    weight = F.col("_n") / F.col("_total")
+    weighed, weight = contributions, value
     if scales is not None:
-        weighed = weighed.join(scales.select(*ROUND_KEYS, "scale"), ROUND_KEYS)
-        weight = weight * F.col("scale")
-    weighed = weighed.withColumn("_w", weight)
+        weighed = contributions.join(scales.select(*ROUND_KEYS, "scale"), ROUND_KEYS)
+        weight = value * F.col("scale")
     shapes = contributions.groupBy("round", "param").agg(F.min("shape").alias("shape"))
-    means = sum_arrays(weighed, ["round", "param"], "data", "_w")
-    return means.join(shapes, ["round", "param"]).select("round", "param", "shape", "data")
+    # Divided by the round's total at the end: vectors meet no table keyed by round alone.
+    sums = sum_arrays(weighed.withColumn("_w", weight), ["round", "param"], "data", "_w")
+    means = sums.join(_sample_totals(contributions), "round").join(shapes, ["round", "param"])
+    data = F.transform("data", lambda x: x / F.col("_total"))
+    return means.select("round", "param", "shape", data.alias("data"))
 
 
 def reduce_round(contributions: DataFrame, factor: float = CLIP_FACTOR):

@@ -59,6 +59,21 @@ def kmeans_step(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "kmeans_movement",
+    f"""WITH {_EMB},
+e AS (SELECT cluster, unnest(f) AS x, unnest(generate_series(1, len(f))) AS i FROM a),
+m AS (SELECT cluster, i, avg(x) AS v FROM e GROUP BY cluster, i)
+SELECT round(sqrt(sum((m.v - c0.f[m.i]) * (m.v - c0.f[m.i]))), 6) AS movement FROM m JOIN c0 USING (cluster)""",
+)
+def kmeans_movement(spark: SparkSession, sf: str) -> DataFrame:
+    points = B.embedding_points(spark, sf)
+    centers = _lowest_ids(points, 8)
+    old = kmeans.centroid_frame(spark, centers)
+    new = kmeans.reduce_partials(kmeans.partial_stats(points, centers), old)
+    return kmeans.movement(old, new).select(F.round("movement", 6).alias("movement"))
+
+
 @query(
     "kmeans_assign",
     f"WITH {_EMB} SELECT id, cluster, round(d2, 6) AS d2 FROM a",

@@ -85,6 +85,33 @@ def fedavg_weights_after(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "fedavg_apply_delta",
+    f"""WITH {_REDUCED}
+SELECT a.round, a.param, CAST(a.pos AS INTEGER) AS pos, round(a.x + 2 * b.x, 6) AS moved, round(a.x - b.x, 6) AS gap
+FROM red a JOIN red b USING (param, pos) WHERE a.round = b.round - 1""",
+)
+def fedavg_apply_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Each round's update moved by twice the next one's, and their difference."""
+    reduced, _ = fedavg.reduce_round(B.contributions(spark, sf))
+    name = lambda r: F.concat_ws("/", r.cast("string"), "param")
+    rounds = reduced.select("round").distinct()
+    later = rounds.select((F.col("round") - 1).alias("round"))
+    base = reduced.join(later, "round", "left_semi").withColumn("param", name(F.col("round")))
+    earlier = rounds.select((F.col("round") + 1).alias("round"))
+    delta = reduced.join(earlier, "round", "left_semi").withColumn("param", name(F.col("round") - 1))
+    moved, gap = fedavg.apply_delta(base, delta, 2.0), fedavg.subtract(base, delta)
+    both = moved.join(gap.select("param", F.col("data").alias("gap")), "param")
+    each = both.select("param", F.posexplode(F.arrays_zip("data", "gap")).alias("pos", "x"))
+    return each.select(
+        F.split_part("param", F.lit("/"), F.lit(1)).cast("int").alias("round"),
+        F.split_part("param", F.lit("/"), F.lit(2)).alias("param"),
+        "pos",
+        F.round("x.data", 6).alias("moved"),
+        F.round("x.gap", 6).alias("gap"),
+    )
+
+
 @query(
     "fedavg_round_metrics",
     f"""WITH {_C} SELECT round, count(*) AS participants,

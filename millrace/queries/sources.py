@@ -96,6 +96,21 @@ def ledger_store(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "written_results",
+    """SELECT 'orders' AS name, o_orderstatus AS state, count(*) AS n FROM orders GROUP BY o_orderstatus
+    UNION ALL SELECT 'lines', l_linestatus, count(*) FROM lineitem GROUP BY l_linestatus""",
+)
+def written_results(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "results")
+    orders = B.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("state"))
+    lines = B.table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("state"))
+    n = F.count(F.lit(1)).alias("n")
+    files.write_results(path, orders=orders.agg(n), lines=lines.agg(n))
+    back = [spark.read.parquet(f"{path}/{k}").select(F.lit(k).alias("name"), "state", "n") for k in ("orders", "lines")]
+    return back[0].unionByName(back[1])
+
+
 @query(
     "latest_jobs",
     """SELECT 'job-' || o_custkey AS job_id, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS state

@@ -29,27 +29,50 @@ def _replay(df: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+#: Files that the ledger is dealt to, and how far rows stray from their order.
+_FILES, _LATE_S = 3, 6 * 3600
+
+
+def _mixed_ledger(spark: SparkSession, ledger: DataFrame) -> DataFrame:
+    """Ledger rows streamed file by file, up to six hours out of order and shuffled."""
+    path = scratch_path(spark, "ledger-stream")
+    us = F.unix_micros("ts") + F.pmod(F.xxhash64("seq"), F.lit(_LATE_S)) * 1_000_000
+    rows = ledger.withColumn("_us", us).orderBy(F.xxhash64("seq"))
+    edges = rows.agg(F.percentile_approx("_us", [i / _FILES for i in range(1, _FILES)])).first()[0]
+    bounds = [-(2**62), *edges, 2**62]
+    for low, high in zip(bounds, bounds[1:]):
+        part = rows.filter((F.col("_us") > low) & (F.col("_us") <= high)).drop("_us")
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1)
+    return stream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def _run_ledger(spark: SparkSession, ledger: DataFrame, tasks: DataFrame) -> tuple[DataFrame, str]:
+    """All transitions once the stream has ended, and where the job states are."""
+    store = scratch_path(spark, "leases")
+    leases.run_leases(_mixed_ledger(spark, ledger), tasks, store, _LATE_S)
+    return leases.finish(spark, tasks, store, B.AS_OF), store
+
+
 def _transitions(spark, sf):
-    ledger = _replay(B.ledger(spark, sf), "ledger-stream")
-    return leases.lease_transitions(ledger, B.ledger_tasks(spark, sf), "0 seconds")
+    return _run_ledger(spark, B.ledger(spark, sf), B.ledger_tasks(spark, sf))[0]
 
 
 @query(
     "stream_lease_states",
     f"""WITH {_COMMITS} SELECT job_id, task_id, count(*) AS claims,
     count_if(outcome = 'committed')::BIGINT AS accepted, count_if(outcome = 'failed')::BIGINT AS failed,
-    count_if(outcome IN ('expired', 'rejected') AND end_ts < TIMESTAMP '2024-01-29 00:00:00')::BIGINT AS expired
+    count_if(outcome IN ('expired', 'rejected'))::BIGINT AS expired
     FROM ls GROUP BY job_id, task_id""",
 )
 def stream_lease_states(spark: SparkSession, sf: str) -> DataFrame:
-    t = drain(_transitions(spark, sf), "transitions")
-    early = F.col("ts_us") < F.unix_micros(F.to_timestamp(F.lit("2024-01-29 00:00:00")))
+    t = _transitions(spark, sf)
     of = lambda kind: F.count_if(F.col("type") == kind)
     counts = t.groupBy("job_id", "task_id").agg(
         of("LEASE_CLAIMED").alias("claims"),
         of("TASK_COMMIT_ACCEPTED").alias("accepted"),
         of("TASK_ATTEMPT_FAILED").alias("failed"),
-        F.count_if((F.col("type") == "LEASE_EXPIRED") & early).alias("expired"),
+        of("LEASE_EXPIRED").alias("expired"),
     )
     return counts.filter("claims > 0")
 
@@ -59,34 +82,27 @@ def stream_lease_states(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {_COMMITS} SELECT seq, job_id, task_id, lease_id, accepted, reason FROM cm",
 )
 def stream_commits(spark: SparkSession, sf: str) -> DataFrame:
-    out = drain(leases.stream_commits(_transitions(spark, sf)), "stream-commits")
+    out = leases.stream_commits(_transitions(spark, sf))
     return out.select("seq", "job_id", "task_id", "lease_id", "accepted", "reason")
 
 
 @query(
     "stream_job_states",
-    f"""WITH {_COMMITS}, mw AS (SELECT max(ts) AS w FROM ledger WHERE type <> 'NODE_HEARTBEAT'),
-    x AS (SELECT s.*, l.closed FROM states s LEFT JOIN ls l
-      ON l.job_id = s.job_id AND l.task_id = s.task_id AND l.attempt = s.attempts)
-    SELECT job_id || '/' || task_id AS job_id,
-      CASE WHEN state = 'COMPLETED' THEN 'SUCCEEDED' ELSE 'FAILED' END AS state FROM x, mw
-    WHERE state = 'COMPLETED' OR (state = 'FAILED' AND (closed OR last_deadline < w))""",
+    f"""WITH {_COMMITS}, j AS (SELECT split_part(job_id, '-', 2)::INT * 20 + split_part(task_id, '-', 2)::INT AS n, state FROM states),
+    g AS (SELECT 'job-' || (n // 3) AS job_id, count(*) AS total, count_if(state = 'COMPLETED') AS completed,
+      count_if(state = 'FAILED') AS failed FROM j GROUP BY n // 3)
+    SELECT job_id, CASE WHEN failed > 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS state FROM g WHERE completed + failed = total""",
 )
 def stream_job_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Every task as a job of its own, so that jobs do come to an end."""
-    store = scratch_path(spark, "job-states")
-    own = F.concat_ws("/", "job_id", "task_id")
-    tasks = B.ledger_tasks(spark, sf).withColumn("job_id", own)
-    ledger = _replay(B.ledger(spark, sf).withColumn("job_id", own), "job-ledger")
-    q = (
-        leases.lease_transitions(ledger, tasks, "0 seconds")
-        .writeStream.foreachBatch(leases.job_transitions(tasks, store))
-        .option("checkpointLocation", f"{store}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.read.schema("job_id string, state string").parquet(f"{store}/jobs").drop("batch")
+    """Three tasks to a job, so that jobs do come to an end."""
+    number = F.split_part("job_id", F.lit("-"), F.lit(2)).cast("int") * 20
+    number = number + F.split_part("task_id", F.lit("-"), F.lit(2)).cast("int")
+    own = lambda df: df.withColumn("_n", number).withColumns(
+        {"job_id": F.concat(F.lit("job-"), F.expr("_n div 3")), "task_id": F.concat(F.lit("task-"), "_n")}
+    ).drop("_n")
+    ledger = B.ledger(spark, sf).filter("type <> 'NODE_HEARTBEAT'")
+    _, store = _run_ledger(spark, own(ledger), own(B.ledger_tasks(spark, sf)))
+    return leases.job_states(spark, store)
 
 
 @query(
@@ -169,19 +185,18 @@ def stream_worker_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_correlated_incidents",
-    """WITH e AS (SELECT 'pool-' || (user_id % 5) AS pool, ts FROM events WHERE event_type = 'error'),
-    w AS (SELECT pool, unnest(generate_series(0, 1)) AS k, epoch_us(ts) AS t FROM e),
-    b AS (SELECT pool, (t // 1800000000 - k) * 1800 AS start_s FROM w),
-    m AS (SELECT max(epoch_us(ts)) // 1000 / 1000.0 - 60 AS w FROM e)
-    SELECT pool, CAST(start_s AS BIGINT) AS start_s, count(*) AS failures FROM b, m
-    WHERE start_s + 3600 <= m.w GROUP BY pool, start_s HAVING count(*) >= 3""",
+    """WITH e AS (SELECT 'pool-' || (user_id % 5) AS pool, epoch_us(ts) AS ts_us FROM events WHERE event_type = 'error'),
+    m AS (SELECT (max(ts_us) // 1000 - 60000) * 1000 AS w FROM e),
+    c AS (SELECT *, count(*) OVER (PARTITION BY pool ORDER BY ts_us
+      RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS failures FROM e)
+    SELECT pool, ts_us, failures FROM c, m WHERE ts_us < w AND failures >= 3""",
 )
 def stream_correlated_incidents(spark: SparkSession, sf: str) -> DataFrame:
     f = _events(spark, sf).filter("event_type = 'error'").select(
         F.concat(F.lit("pool-"), F.col("user_id") % 5).alias("pool"), "ts"
     )
-    out = drain(windows.correlated_incidents(f, "1 hour", "30 minutes"), "incidents")
-    return out.select("pool", F.unix_seconds("start").alias("start_s"), "failures")
+    out = drain(windows.correlated_incidents(f, 3600.0), "incidents")
+    return out.select("pool", F.unix_micros("ts").alias("ts_us"), "failures")
 
 
 @query(

@@ -1,217 +1,222 @@
-"""The lease state machine over an event stream.
-
-Rows are requests as in the batch operators. State per task is a handful of
-values: the lease held, the claims seen, how the task ended. A deadline is an
-event-time timer, so a silent worker is noticed without any event.
+"""Lease, commit and job states over a stream of ledger rows, by micro-batches.
+
+Each batch joins the rows that still matter, kept in a table below ``store``, and the
+batch operators of :mod:`millrace.operators.ledger` judge them up to a *mark*: the latest
+time seen less the allowed delay. Nothing before the mark can change any more, so what
+they say about the time since the last mark is final and is written once, in the order of
+``(ts, seq)`` whatever order the rows came in. Every table of a batch has a folder of its
+own, so a batch that runs again replaces what it wrote.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from millrace import schemas
+from millrace.operators import ledger as L
 
 TRANSITIONS = (
     "job_id string, task_id string, lease_id string, node_id string, attempt int, "
     "seq bigint, ts_us bigint, type string, reason string"
 )
-STATE = (
-    "lease_id string, node_id string, deadline bigint, claims int, ended string, known array<string>, "
-    "max_attempts int, lease_us bigint"
-)
-_INPUT = ["ts_us", "seq", "type", "lease_id", "node_id", "output_valid", "max_attempts", "lease_us"]
-_COLUMNS = ["lease_id", "node_id", "attempt", "seq", "ts_us", "type", "reason"]
-
-
-class Task:
-    """One task's lease state; every step appends the transitions it causes."""
-
-    def __init__(self, saved=None):
-        (self.lease, self.node, self.deadline, self.claims, self.ended, known,
-         self.max_attempts, self.lease_us) = saved or (None, None, 0, 0, None, [], 0, 0)
-        self.known = list(known)
-        self.out: list[tuple] = []
-
-    def saved(self) -> tuple:
-        return (self.lease, self.node, self.deadline, self.claims, self.ended, self.known,
-                self.max_attempts, self.lease_us)
-
-    def emit(self, kind, ts, seq=None, lease=None, node=None, reason=None):
-        self.out.append((lease or self.lease, node or self.node, self.claims, seq, ts, kind, reason))
-
-    def release(self, ts, seq=None):
-        """Give the task back, or close it when no attempt is left."""
-        if self.claims >= self.max_attempts:
-            self.ended = "FAILED"
-            self.emit("TASK_EXHAUSTED", ts, seq)
-        else:
-            self.emit("TASK_REQUEUED", ts, seq)
-        self.lease = self.node = None
-
-    def expire(self, now):
-        if self.lease is not None and self.deadline <= now:
-            self.emit("LEASE_EXPIRED", self.deadline)
-            self.release(self.deadline)
-
-    def step(self, kind, ts, seq, lease, node, valid):
-        self.expire(ts)
-        holds = self.lease is not None and lease == self.lease
-        if kind == "LEASE_CLAIMED":
-            self.claims += 1
-            if self.claims > self.max_attempts:
-                return
-            self.known.append(lease)
-            if self.ended:
-                return
-            if self.lease is not None:
-                self.claims -= 1
-                self.emit("LEASE_EXPIRED", ts, reason="superseded")
-                self.claims += 1
-            self.lease, self.node, self.deadline = lease, node, ts + self.lease_us
-            self.emit(kind, ts, seq)
-        elif kind == "LEASE_RENEWED" and holds:
-            self.deadline = ts + self.lease_us
-            self.emit(kind, ts, seq)
-        elif kind == "TASK_ATTEMPT_FAILED" and holds:
-            self.emit(kind, ts, seq)
-            self.release(ts, seq)
-        elif kind == "COMMIT_OFFERED":
-            self.commit(ts, seq, lease, node, valid, holds)
-        elif kind == "TASK_CANCELLED" and not self.ended:
-            self.ended = "CANCELLED"
-            self.emit(kind, ts, seq)
-            self.lease = self.node = None
-
-    def commit(self, ts, seq, lease, node, valid, holds):
-        if holds and valid:
-            self.ended = "COMPLETED"
-            self.emit("TASK_COMMIT_ACCEPTED", ts, seq, node=node)
-            self.lease = self.node = None
-            return
-        if lease not in self.known:
-            reason = "unknown_lease"
-        elif self.ended == "COMPLETED":
-            reason = "duplicate"
-        else:
-            reason = "invalid_output" if holds else "late"
-        self.emit("TASK_COMMIT_REJECTED", ts, seq, lease=lease, node=node, reason=reason)
-        if holds:
-            self.emit("TASK_ATTEMPT_FAILED", ts, seq, reason="invalid_output")
-            self.release(ts, seq)
-
-
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    task = Task(state.get if state.exists else None)
-    if state.hasTimedOut:
-        task.expire(state.getCurrentWatermarkMs() * 1000)
-    else:
-        rows = []
-        for pdf in batches:
-            rows.extend(zip(*(pdf[c].tolist() for c in _INPUT)))
-        rows.sort(key=lambda r: (r[0], r[1]))
-        if rows:
-            task.max_attempts, task.lease_us = int(rows[0][6]), int(rows[0][7])
-        for ts, seq, kind, lease, node, valid, _, _ in rows:
-            task.step(kind, int(ts), int(seq), lease, node, valid is None or bool(valid))
-    state.update(task.saved())
-    if task.lease is not None:
-        # Timers are in milliseconds and must lie ahead of the watermark.
-        state.setTimeoutTimestamp(
-            max(-(-task.deadline // 1000), state.getCurrentWatermarkMs() + 1)
-        )
-    if task.out:
-        n = len(task.out)
-        yield pd.DataFrame(
-            {"job_id": [key[0]] * n, "task_id": [key[1]] * n, **dict(zip(_COLUMNS, zip(*task.out)))}
-        )
+TERMINAL = {
+    "TASK_COMMIT_ACCEPTED": "COMPLETED",
+    "TASK_EXHAUSTED": "FAILED",
+    "TASK_CANCELLED": "CANCELLED",
+}
+_CLOCK = "mark bigint, latest bigint"
+_COUNTS = "job_id string, done bigint, failed bigint, completed bigint"
+_BEGINNING = -(2**62)
 
 
-def lease_transitions(ledger: DataFrame, tasks: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Transitions of every task from a stream of ledger rows.
+def _table(spark: SparkSession, store: str, name: str, batch: int, schema) -> DataFrame:
+    """What a batch wrote under a name; before the first one, nothing."""
+    if batch < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{store}/{name}/batch={batch}")
 
-    ``delay`` is how late a row may arrive; a late *commit* is an answer
-    (``TASK_COMMIT_REJECTED``), not a dropped row, as long as it comes within it.
-    """
-    rows = (
-        ledger.withWatermark("ts", delay)
-        .join(tasks.select("job_id", "task_id", "max_attempts", "lease_seconds"), ["job_id", "task_id"])
-        .select(
-            "job_id",
-            "task_id",
-            "seq",
-            "type",
-            "lease_id",
-            "node_id",
-            "output_valid",
-            "max_attempts",
-            (F.col("lease_seconds") * 1_000_000).cast("bigint").alias("lease_us"),
-            F.unix_micros("ts").alias("ts_us"),
-            "ts",
+
+def _write(rows: DataFrame, store: str, name: str, batch: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch}")
+
+
+def _forget(spark: SparkSession, store: str, name: str, batch: int) -> None:
+    """Remove the table of a batch that no later one reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}/batch={batch}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def transitions(events: DataFrame, judged: DataFrame) -> DataFrame:
+    """Everything that happened to leases and tasks, as ``TRANSITIONS``, from ledger rows
+    and :func:`millrace.operators.ledger.judged_leases` of them."""
+    current = judged.filter(F.col("won").isNull() | (F.col("attempt") <= F.col("won")))
+    none = F.lit(None)
+
+    def rows(df, ts, kind, seq=none, reason=none, attempt=F.col("attempt")):
+        return df.select(
+            *L.LEASE, "node_id", attempt.cast("int").alias("attempt"), seq.cast("bigint").alias("seq"),
+            F.unix_micros(ts).alias("ts_us"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
+            reason.cast("string").alias("reason"),
+        )
+
+    ended = current.filter(F.col("outcome") != "running")
+    kind = (
+        F.when(F.col("outcome") == "committed", "TASK_COMMIT_ACCEPTED")
+        .when(F.col("outcome") == "failed", "TASK_ATTEMPT_FAILED")
+        .otherwise("LEASE_EXPIRED")
+    )
+    superseded = F.when((kind == "LEASE_EXPIRED") & (F.col("ended_at") < F.col("deadline")), "superseded")
+    # A lease that ends without a result gives its task back, unless it was the last.
+    freed = ended.filter(
+        (F.col("outcome") != "committed")
+        & (F.col("cancelled_at").isNull() | (F.col("ended_at") < F.col("cancelled_at")))
+    )
+    after = F.when(F.col("attempt") >= F.col("max_attempts"), "TASK_EXHAUSTED").otherwise("TASK_REQUEUED")
+
+    beats = events.filter(F.col("type") == "LEASE_RENEWED").select(*L.LEASE, "ts", "seq")
+    renewed = beats.join(current.drop("seq"), L.LEASE).filter(
+        F.col("ts").between(F.col("claim_ts"), F.col("last_beat"))
+        & (F.col("ended_at").isNull() | (F.col("ts") <= F.col("ended_at")))
+    )
+    rejected = L.commits(events, judged).filter(~F.col("accepted"))
+
+    over = current.groupBy(*L.TASK).agg(
+        F.min(
+            F.when(
+                (F.col("outcome") == "committed")
+                | ((F.col("attempt") >= F.col("max_attempts")) & (F.col("outcome") != "running")),
+                F.col("ended_at"),
+            )
+        ).alias("over")
+    )
+    cancels = (
+        events.filter(F.col("type") == "TASK_CANCELLED")
+        .groupBy(*L.TASK)
+        .agg(F.min(F.struct("ts", "seq")).alias("c"))
+        .join(over, L.TASK, "left")
+        .filter(F.col("over").isNull() | (F.col("c.ts") <= F.col("over")))
+    )
+    cancelled = cancels.select(
+        *L.TASK, none.cast("string").alias("lease_id"), none.cast("string").alias("node_id"), "c"
+    )
+    return (
+        rows(current, F.col("claim_ts"), "LEASE_CLAIMED", F.col("claim_seq"))
+        .unionByName(rows(renewed, F.col("ts"), "LEASE_RENEWED", F.col("seq")))
+        .unionByName(rows(ended, F.col("ended_at"), kind, F.col("closing_seq"), superseded))
+        .unionByName(rows(freed, F.col("ended_at"), after, F.col("closing_seq")))
+        .unionByName(
+            rows(rejected, F.col("ts"), "TASK_COMMIT_REJECTED", F.col("seq"), F.col("reason"), none)
         )
+        .unionByName(rows(cancelled, F.col("c.ts"), "TASK_CANCELLED", F.col("c.seq"), none, none))
     )
-    return rows.groupBy("job_id", "task_id").applyInPandasWithState(
-        _advance, TRANSITIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout
+
+
+def _count_jobs(made: DataFrame, tasks: DataFrame, store: str, batch: int) -> None:
+    """Add the tasks that ended to the counts of their jobs; write the jobs that are done.
+    Only jobs with an ended task and none finished are carried on."""
+    spark = made.sparkSession
+    of = lambda kind: F.count_if(F.col("type") == kind)
+    fresh = made.filter(F.col("type").isin(list(TERMINAL))).groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("done"),
+        of("TASK_EXHAUSTED").alias("failed"),
+        of("TASK_COMMIT_ACCEPTED").alias("completed"),
+    )
+    before = _table(spark, store, "job-counts", batch - 1, _COUNTS)
+    counts = before.unionByName(fresh).groupBy("job_id").agg(
+        *[F.sum(c).alias(c) for c in ("done", "failed", "completed")]
     )
+    totals = tasks.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    counts = counts.join(totals, "job_id")
+    state = (
+        F.when(F.col("failed") > 0, "FAILED")
+        .when(F.col("completed") == F.col("total"), "SUCCEEDED")
+        .otherwise("CANCELLED")
+    )
+    _write(counts.filter("done = total").select("job_id", state.alias("state")), store, "jobs", batch)
+    _write(counts.filter("done < total").select("job_id", "done", "failed", "completed"), store, "job-counts", batch)
 
 
-def stream_commits(transitions: DataFrame) -> DataFrame:
-    """Accepted and rejected commits out of the transitions."""
-    return transitions.filter(
-        F.col("type").isin("TASK_COMMIT_ACCEPTED", "TASK_COMMIT_REJECTED")
-    ).withColumn("accepted", F.col("type") == "TASK_COMMIT_ACCEPTED")
+def lease_batches(tasks: DataFrame, store: str, delay_s: float, forget_s: float | None = None) -> Callable:
+    """Function for ``foreachBatch`` over ledger rows; see :func:`run_leases`."""
+    schema = schemas.LEDGER
+    columns = [column.split()[0] for column in schema.split(", ")]
 
+    def run(batch: DataFrame, batch_id: int, end=None) -> None:
+        spark = batch.sparkSession
+        clock = _table(spark, store, "clock", batch_id - 1, _CLOCK).first()
+        old_mark, latest = (clock["mark"], clock["latest"]) if clock else (_BEGINNING, _BEGINNING)
+        us = F.unix_micros("ts")
+        # Rows behind the mark come too late to count.
+        fresh = batch.select(*columns).filter(us > old_mark)
+        held = _table(spark, store, "held", batch_id - 1, schema).unionByName(fresh)
+        if forget_s is not None:
+            quiet = held.groupBy(*L.TASK).agg(F.max(us).alias("t"))
+            quiet = quiet.filter(F.col("t") < old_mark - int(forget_s * 1_000_000))
+            held = held.join(quiet, L.TASK, "left_anti")
+        _write(held, store, "held", batch_id)
+        held = _table(spark, store, "held", batch_id, schema)
+        newest = held.agg(F.max(us)).first()[0]
+        latest = max(latest, newest if newest is not None else latest)
+        mark = max(old_mark, latest - int(delay_s * 1_000_000)) if end is None else end
+        known = held.filter(us <= mark)
+        judged = L.judged_leases(known, tasks, F.timestamp_micros(F.lit(mark)))
+        _write(judged, store, "judged", batch_id)  # six kinds of rows are read off it
+        made = transitions(known, _table(spark, store, "judged", batch_id, judged.schema))
+        made = made.filter((F.col("ts_us") > old_mark) & (F.col("ts_us") <= mark))
+        _write(made, store, "transitions", batch_id)
+        made = _table(spark, store, "transitions", batch_id, TRANSITIONS)
+        _count_jobs(made, tasks, store, batch_id)
+        _write(spark.createDataFrame([(mark, latest)], _CLOCK), store, "clock", batch_id)
+        for name in ("held", "judged", "clock", "job-counts"):
+            if batch_id > 1:
+                _forget(spark, store, name, batch_id - 2)
 
-TERMINAL = {
-    "TASK_COMMIT_ACCEPTED": "COMPLETED",
-    "TASK_EXHAUSTED": "FAILED",
-    "TASK_CANCELLED": "CANCELLED",
-}
+    return run
 
 
-def job_transitions(tasks: DataFrame, store: str):
-    """Function for ``foreachBatch`` over transitions: writes each job's terminal state
-    once, below ``store/jobs``.
+def run_leases(
+    ledger: DataFrame, tasks: DataFrame, store: str, delay_s: float = 3600.0, forget_s: float | None = None
+) -> DataFrame:
+    """Take what the ledger stream has, and return all transitions so far.
 
-    Finished tasks are appended below ``store/tasks``, one folder per batch, so a
-    batch that runs again replaces what it wrote. Only jobs touched by a batch are
-    counted in it.
+    A row counts if no row ``delay_s`` or more younger came in an earlier batch. Progress
+    and state live below ``store``; calling again goes on from there. Rows of a task are
+    kept as long as a commit for it may come; ``forget_s`` ends that after a silence.
     """
-    totals = tasks.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    spark = ledger.sparkSession
+    query = (
+        ledger.writeStream.foreachBatch(lease_batches(tasks, store, delay_s, forget_s))
+        .option("checkpointLocation", f"{store}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return all_transitions(spark, store)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        kind = F.lit(None).cast("string")
-        for event, state in TERMINAL.items():
-            kind = F.when(F.col("type") == event, state).otherwise(kind)
-        ended = batch.filter(F.col("type").isin(list(TERMINAL))).select(
-            "job_id", "task_id", kind.alias("state")
-        )
-        ended.write.mode("overwrite").parquet(f"{store}/tasks/batch={batch_id}")
-        stored = spark.read.schema("job_id string, task_id string, state string, batch bigint").parquet(
-            f"{store}/tasks"
-        )
-        stored = stored.filter(F.col("batch") <= batch_id)
-        touched = stored.filter(F.col("batch") == batch_id).select("job_id").distinct()
-        counts = (
-            stored.join(touched, "job_id", "left_semi")
-            .groupBy("job_id")
-            .agg(
-                F.count(F.lit(1)).alias("done"),
-                F.count_if(F.col("state") == "FAILED").alias("failed"),
-                F.count_if(F.col("state") == "COMPLETED").alias("completed"),
-            )
-            .join(totals, "job_id")
-        )
-        finished = counts.filter("done = total").select(
-            "job_id",
-            F.when(F.col("failed") > 0, "FAILED")
-            .when(F.col("completed") == F.col("total"), "SUCCEEDED")
-            .otherwise("CANCELLED")
-            .alias("state"),
-        )
-        finished.write.mode("overwrite").parquet(f"{store}/jobs/batch={batch_id}")
 
-    return run
+def finish(spark: SparkSession, tasks: DataFrame, store: str, as_of) -> DataFrame:
+    """The stream has ended: judge what is held up to ``as_of`` too."""
+    last = spark.read.parquet(f"{store}/clock").agg(F.max("batch")).first()[0]
+    end = spark.range(1).select(F.unix_micros(L.instant(as_of))).first()[0]
+    none = spark.createDataFrame([], schemas.LEDGER)
+    lease_batches(tasks, store, 0.0)(none, int(last) + 1, end)
+    return all_transitions(spark, store)
+
+
+def all_transitions(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(f"{TRANSITIONS}, batch bigint").parquet(f"{store}/transitions").drop("batch")
+
+
+def job_states(spark: SparkSession, store: str) -> DataFrame:
+    """Jobs whose tasks have all ended: ``job_id, state``."""
+    return spark.read.schema("job_id string, state string, batch bigint").parquet(f"{store}/jobs").drop("batch")
+
+
+def stream_commits(made: DataFrame) -> DataFrame:
+    """Accepted and rejected commits out of the transitions."""
+    return made.filter(
+        F.col("type").isin("TASK_COMMIT_ACCEPTED", "TASK_COMMIT_REJECTED")
+    ).withColumn("accepted", F.col("type") == "TASK_COMMIT_ACCEPTED")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.logs import CORRELATED_THRESHOLD
 from millrace.functions.readings import number_or_null
@@ -12,19 +15,47 @@ from millrace.operators import triage
 
 def correlated_incidents(
     failures: DataFrame,
-    window: str,
-    slide: str,
+    seconds: float,
     threshold: int = CORRELATED_THRESHOLD,
     delay: str = "1 minute",
 ) -> DataFrame:
-    """Pools with at least ``threshold`` failures in a sliding window."""
-    return (
-        failures.withWatermark("ts", delay)
-        .groupBy("pool", F.window("ts", window, slide))
-        .agg(F.count(F.lit(1)).alias("failures"))
-        .filter(F.col("failures") >= threshold)
-        .select("pool", "window.start", "window.end", "failures")
+    """Failures that see ``threshold`` of their pool in the window ending at them: the
+    batch rule of :func:`triage.concurrent_failures`. ``pool, ts, failures``.
+
+    A failure is judged once the watermark has passed it, so rows may come in any order
+    within ``delay``. A pool's state is the times of one window, and goes with its last.
+    """
+    width = int(round(seconds * 1_000_000))
+
+    def step(key, batches, state: GroupState):
+        held = state.get[0] if state.exists else []
+        done = state.get[1] if state.exists else -(2**62)
+        fresh = [] if state.hasTimedOut else [pdf["ts_us"].to_numpy("int64") for pdf in batches]
+        times = np.sort(np.concatenate([np.asarray(held, "int64"), *fresh]))
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = times[(times >= done) & (times < mark)]
+        counts = np.searchsorted(times, ready, "right") - np.searchsorted(times, ready - width)
+        hit = counts >= threshold
+        keep = times[times >= mark - width]
+        if len(keep):
+            state.update((keep.tolist(), max(done, mark)))
+            waiting = keep[keep >= mark]
+            due = waiting[0] if len(waiting) else keep[-1] + width
+            state.setTimeoutTimestamp(int(max(due // 1000, mark // 1000 + 1)))
+        elif state.exists:
+            state.remove()
+        if hit.any():
+            yield pd.DataFrame({"pool": key[0], "ts_us": ready[hit], "failures": counts[hit]})
+
+    rows = failures.withWatermark("ts", delay).select("pool", "ts", F.unix_micros("ts").alias("ts_us"))
+    found = rows.groupBy("pool").applyInPandasWithState(
+        step,
+        "pool string, ts_us bigint, failures bigint",
+        "held array<bigint>, done bigint",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
+    return found.select("pool", F.timestamp_micros("ts_us").alias("ts"), "failures")
 
 
 def stream_decisions(failures: DataFrame, mode) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from millrace import schemas
 from millrace.operators import ledger as L
 from millrace.streaming import leases as SL
-from millrace.streaming.runner import drain
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 CLAIM, RENEW, COMMIT, FAIL, CANCEL = (
@@ -139,12 +138,19 @@ def random_ledger(spark, seed, names):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_stream_and_batch_agree(spark, tmp_path, seed):
+    """Rows shuffled over five batches, late by up to two minutes, then the end."""
     names = [f"t{i}" for i in range(40)]
     events, dims = random_ledger(spark, seed, names), tasks(spark, 3, 60.0, names)
-    src = str(tmp_path / "ledger")
-    events.write.parquet(src)
-    stream = spark.readStream.schema(events.schema).parquet(src)
-    out = drain(SL.lease_transitions(stream, dims, "0 seconds"), "t", str(tmp_path / "out")).persist()
+    src, store = str(tmp_path / "ledger"), str(tmp_path / "store")
+    rows = sorted(events.collect(), key=lambda r: (r["ts"].timestamp() + random.Random(r["seq"]).randrange(120)))
+    for k in range(5):
+        part = rows[k * len(rows) // 5 : (k + 1) * len(rows) // 5]
+        random.Random(seed).shuffle(part)
+        spark.createDataFrame(part, schemas.LEDGER).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    early = SL.run_leases(stream, dims, store, 120.0).collect()
+    out = SL.finish(spark, dims, store, at(100_000)).persist()
+    assert early and set(early) <= set(out.collect()) and out.distinct().count() == out.count()
     judged = L.judged_leases(events, dims, at(100_000))
     batch = {(r["seq"], r["accepted"], r["reason"]) for r in L.commits(events, judged).collect()}
     live = {(r["seq"], r["accepted"], r["reason"]) for r in SL.stream_commits(out).collect()}
@@ -153,20 +159,34 @@ def test_stream_and_batch_agree(spark, tmp_path, seed):
     claims = {(r["lease_id"], r["attempt"]) for r in leased.collect()}
     assert claims == {(r["lease_id"], r["attempt"]) for r in out.filter("type = 'LEASE_CLAIMED'").collect()}
     ended = {r["task_id"]: r["state"] for r in L.task_states(leased, dims, at(100_000)).collect()}
-    done = {r["task_id"] for r in out.filter("type = 'TASK_COMMIT_ACCEPTED'").collect()}
-    assert done == {t for t, s in ended.items() if s == "COMPLETED"}
+    for kind, state in SL.TERMINAL.items():
+        done = {r["task_id"] for r in out.filter(F.col("type") == kind).collect()}
+        assert done == {t for t, s in ended.items() if s == state}
+    states = {r["state"] for r in SL.job_states(spark, store).collect()}
+    assert not states or "FAILED" in states
+
+
+def test_a_renewal_of_a_later_batch_counts(spark, tmp_path):
+    src, store, dims = str(tmp_path / "in"), str(tmp_path / "out"), tasks(spark, 3, 60.0)
+    first = ledger(spark, (CLAIM, 0, "a"), (COMMIT, 100, "a"))
+    first.write.parquet(src)
+    run = lambda: SL.run_leases(spark.readStream.schema(first.schema).parquet(src), dims, store, 3600.0)
+    assert run().count() == 0
+    ledger(spark, (RENEW, 50, "a")).write.mode("append").parquet(src)
+    run()
+    kinds = [r["type"] for r in SL.finish(spark, dims, store, at(200)).orderBy("ts_us").collect()]
+    assert kinds == [CLAIM, RENEW, "TASK_COMMIT_ACCEPTED"]
+    assert SL.job_states(spark, store).collect()[0]["state"] == "SUCCEEDED"
 
 
 def test_stream_restarts_from_its_progress_and_times_out(spark, tmp_path):
-    src, base = str(tmp_path / "in"), str(tmp_path / "out")
+    src, store = str(tmp_path / "in"), str(tmp_path / "out")
     dims = tasks(spark, 1, 60.0, ["t", "u"])
     first = ledger(spark, (CLAIM, 0, "a"))
     first.write.parquet(src)
-    stream = lambda: SL.lease_transitions(
-        spark.readStream.schema(first.schema).parquet(src), dims, "0 seconds"
-    )
-    kinds = lambda df: [r["type"] for r in df.filter("task_id = 't'").orderBy("ts_us").collect()]
-    assert kinds(drain(stream(), "t", base)) == [CLAIM]
+    run = lambda: SL.run_leases(spark.readStream.schema(first.schema).parquet(src), dims, store, 0.0)
+    kinds = lambda df: [r["type"] for r in df.filter("task_id = 't'").orderBy("ts_us", "type").collect()]
+    assert kinds(run()) == [CLAIM]
     # Another task's event moves the clock; nothing more is heard from t.
     ledger(spark, (CLAIM, 500, "b"), task="u").write.mode("append").parquet(src)
-    assert kinds(drain(stream(), "t", base)) == [CLAIM, "LEASE_EXPIRED", "TASK_EXHAUSTED"]
+    assert kinds(run()) == [CLAIM, "LEASE_EXPIRED", "TASK_EXHAUSTED"]
