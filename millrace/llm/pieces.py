@@ -53,6 +53,11 @@ class PieceModel:
         for piece in [p for p in self.symbol if len(p) > 1]:
             for c in piece:
                 self.symbol.setdefault(c, len(self.symbol) + n)
+        self.char = -1 - np.arange(0x110000, dtype=np.int64)
+        for piece, i in self.symbol.items():
+            if len(piece) == 1:
+                self.char[ord(piece)] = i
+        self.lone = {i: p for p, i in self.symbol.items() if i >= n}
         self._pairs(sp)
         self._decoding(text, special, raw)
         inner = {c for p in self.symbol if len(p) > 1 for c in p}
@@ -98,46 +103,47 @@ class PieceModel:
         at[self.keys[at] != key] = len(self.keys) - 1
         return at
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of every word once no pair is left; a character outside the vocabulary
-        is ``-1 - code point``."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words once no pair is left, and where each word ends among them;
+        a character outside the vocabulary is ``-1 - code point``."""
         lengths = np.array([len(w) for w in words], np.int64)
-        flat = np.fromiter((ord(c) for w in words for c in w), np.int64, int(lengths.sum()))
-        chars, place = np.unique(flat, return_inverse=True)
-        sym = np.array([self.symbol.get(chr(c), -1 - int(c)) for c in chars], np.int64)[place]
-        word = np.repeat(np.arange(len(words)), lengths)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        sym, word = self.char[codes], np.repeat(np.arange(len(words)), lengths)
+        none = len(self.keys) - 1
+        at = np.append(self._find(sym[:-1], sym[1:]), none) if len(sym) else np.empty(0, np.int64)
+        at[:-1][word[:-1] != word[1:]] = none
         done_word, done_sym = [], []
         while len(sym):
-            at = self._find(sym[:-1], sym[1:])
-            rank = np.append(self.ranks[at], NONE)
-            rank[:-1][word[:-1] != word[1:]] = NONE
+            rank = self.ranks[at]
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.minimum.reduceat(rank, first)
             size = np.diff(np.append(first, len(sym)))
-            least = np.repeat(np.minimum.reduceat(rank, first), size)
-            live = least != NONE
+            live = np.repeat(least != NONE, size)
             if not live.all():
                 done_word.append(word[~live])
                 done_sym.append(sym[~live])
-                keep = np.flatnonzero(live)
-                sym, word, rank, least, at = sym[keep], word[keep], rank[keep], least[keep], np.append(at, 0)[keep]
+                size, least = size[least != NONE], least[least != NONE]
+                sym, word, rank, at = sym[live], word[live], rank[live], at[live]
                 if not len(sym):
                     break
-            sym, word = self._round(sym, word, np.flatnonzero(rank == least), at)
-        if not done_word:
-            return [np.empty(0, np.int64) for _ in words]
-        word, sym = np.concatenate(done_word), np.concatenate(done_sym)
-        order = np.argsort(word, kind="stable")
-        return np.split(sym[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
-
-    def _round(self, sym, word, hit, at):
+            hit = np.flatnonzero(rank == np.repeat(least, size))
+            sym, word, at = self._round(sym, word, at, hit)
+        word = np.concatenate(done_word) if done_word else word
+        sym = np.concatenate(done_sym) if done_sym else sym
+        return sym[np.argsort(word, kind="stable")], np.cumsum(np.bincount(word, minlength=len(words)))
+
+    def _round(self, sym, word, at, hit):
         """Merge at the positions ``hit``: every second one of an overlapping run, and up
-        to the first in a word that makes a pair of lower rank."""
-        new_run = np.append(True, (np.diff(hit) != 1) | (word[hit[1:]] != word[hit[:-1]]))
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run_start) % 2 == 0]
-        made, rank = self.made[at[hit]], self.ranks[at[hit]]
-        same = np.append(False, (word[hit[1:]] == word[hit[:-1]])) if len(hit) > 1 else np.zeros(len(hit), bool)
+        to the first in a word that makes a pair of lower rank. Only pairs beside a merge
+        are looked up anew."""
+        if len(hit) > 1:
+            new_run = np.append(True, (np.diff(hit) != 1) | (word[hit[1:]] != word[hit[:-1]]))
+            run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - run_start) % 2 == 0]
+        made = self.made[at[hit]]
+        same = np.append(False, word[hit[1:]] == word[hit[:-1]])
         if same.any():
+            rank = self.ranks[at[hit]]
             joined = same & np.append(False, np.diff(hit) == 2)
             before = np.maximum(hit - 1, 0)
             left = np.where(joined, np.append(-1, made[:-1]), sym[before])
@@ -150,27 +156,37 @@ class PieceModel:
             start = np.maximum.accumulate(np.where(same, 0, np.arange(len(hit))))
             go = so_far == so_far[start]
             hit, made = hit[go], made[go]
-        sym = sym.copy()
         sym[hit] = made
         keep = np.ones(len(sym), bool)
         keep[hit + 1] = False
-        return sym[keep], word[keep]
-
-    def _ids(self, sym: np.ndarray) -> bytes:
-        if (sym >= 0).all() and (sym < self.n_pieces).all():
-            return sym.astype("<u4").tobytes()
+        moved = hit - np.arange(len(hit))  # one symbol went for every merge to the left
+        sym, word, at = sym[keep], word[keep], at[keep]
+        near = np.unique(np.concatenate([moved, np.maximum(moved - 1, 0)]))
+        after = np.minimum(near + 1, len(sym) - 1)
+        found = self._find(sym[near], sym[after])
+        found[(near + 1 >= len(sym)) | (word[near] != word[after])] = len(self.keys) - 1
+        at[near] = found
+        return sym, word, at
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """Ids of every word."""
+        sym, ends = self.merge(words)
+        plain = (sym >= 0) & (sym < self.n_pieces)
+        raw = sym.astype("<u4").tobytes()
+        stops = (4 * ends).tolist()
+        out = [raw[a:b] for a, b in zip([0, *stops], stops)]
+        if not plain.all():
+            for i in np.unique(np.searchsorted(ends, np.flatnonzero(~plain), side="right")).tolist():
+                out[i] = self._with_fallback(sym[ends[i - 1] if i else 0 : ends[i]])
+        return out
+
+    def _with_fallback(self, sym: np.ndarray) -> bytes:
         out: list[int] = []
-        names = None
         for s in sym.tolist():
             if 0 <= s < self.n_pieces:
                 out.append(s)
-                continue
-            if s >= self.n_pieces:
-                names = names or {i: c for c, i in self.symbol.items()}
-                char = names[s]
-            else:
-                char = chr(-1 - s)
-            if self.fallback:
+            elif self.fallback:
+                char = self.lone[s] if s >= self.n_pieces else chr(-1 - s)
                 out.extend(self.byte_id[b] for b in char.encode("utf-8", "replace"))
             else:
                 out.append(self.unknown)
@@ -179,16 +195,18 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, with the begin and end ids."""
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = list({w for ws in split for w in ws if w not in self.cache})
-        found = dict(zip(fresh, map(self._ids, self.merge(fresh)))) if fresh else {}
-        if len(self.cache) + len(found) > CACHE_WORDS:
-            found = {w: self.cache[w] if w in self.cache else found[w] for ws in split for w in ws}
-            self.cache = {}
-        known = {**found} if not self.cache else None
-        self.cache.update((w, i) for w, i in found.items() if len(w) <= CACHE_CHARS)
+        fresh = list(set().union(*split).difference(self.cache))
+        self.cache.update(zip(fresh, self._coded(fresh)))
         bos, eos = np.array([self.bos], "<u4").tobytes(), np.array([self.eos], "<u4").tobytes()
-        get = known.__getitem__ if known is not None else lambda w: found[w] if w in found else self.cache[w]
-        return [b"".join([bos, *map(get, ws), eos]) for ws in split]
+        get = self.cache.__getitem__
+        out = [b"".join([bos, *map(get, ws), eos]) for ws in split]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        else:
+            for w in fresh:
+                if len(w) > CACHE_CHARS:
+                    del self.cache[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Text of the ids: one space of the first piece goes, byte pieces are UTF-8."""
