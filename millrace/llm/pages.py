@@ -45,6 +45,7 @@ INLINE = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|audio|video|canvas|xmp"
+EMPTY = set(UNSEEN.split("|"))  # where such an element closes itself
 FURNITURE = set("nav footer aside form button menu dialog fieldset head input".split())
 #: An opening tag ends these open elements of the same kind.
 ENDS = {
@@ -58,16 +59,17 @@ ENDS_P = set(
 )
 # Words in a class or id that name furniture.
 NAMES = set(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "copyright disclaimer disqus footer form gdpr header legal login masthead menu modal nav navbar navigation "
-    "newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond search "
-    "share sharing sidebar signup skyscraper social sponsor sponsored subscribe tags toolbar widget widgets".split()
+    "ad adbox ads adsbygoogle adslot adv advert advertisement adverts alert alerts banner breadcrumb breadcrumbs comment "
+    "comments consent cookie cookies copyright disclaimer disqus footer form gdpr header legal login masthead menu modal "
+    "nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply "
+    "replies respond responses search share sharing sidebar signup skyscraper social sponsor sponsored subscribe tags "
+    "toolbar topbar widget widgets".split()
 )
 #: In an article these name parts of it.
 OF_ARTICLE = {"header", "tags", "form"}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -101,7 +103,10 @@ def _signature(tag: str, attributes: str) -> tuple[str, set[str], str]:
         if key.lower() == "role":
             role = value.lower()
         else:
-            names.update(p.lower() for p in _PART.findall(value))
+            for word in value.split():
+                parts = [p.lower() for p in _PART.findall(word)]
+                names.update(parts)
+                names.update(a + b for a, b in zip(parts, parts[1:]) if a + b in NAMES)
     return f"{tag}.{'.'.join(sorted(names))}" if names else tag, names, role
 
 
@@ -141,7 +146,7 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
             held.append(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
-        if not tag or tag in INLINE:
+        if not tag or tag in INLINE or tag in EMPTY:
             continue
         flush()
         if m[2]:

@@ -167,6 +167,7 @@ CASES = [
     (page("<article><p>a < b and c > d</p></article>"), "a < b and c > d"),
     (page("<article>" + "<p>w</p>" * 3000 + "</article>"), "\n".join("w" for _ in range(3000))),
     (page('<body class="has-sidebar no-comments"><article class="comment"><p>r</p></article><p>t</p>'), "t"),
+    (page('<div class="page_SideBar">s</div><p>a<svg class="i"/>b</p><div class="alert">x</div>'), "ab"),
     (page("<table><tr><td>a<td>b<tr><td>c</table>"), "a\nb\nc"),
 ]
 
