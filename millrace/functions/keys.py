@@ -61,10 +61,6 @@ def is_restart(attempt_id: Column) -> Column:
     return F.coalesce(attempt_id.rlike(RESTART_SUFFIX), F.lit(False))
 
 
-def restart_number(attempt_id: Column) -> Column:
-    return F.nullif(F.regexp_extract(attempt_id, RESTART_SUFFIX, 1), F.lit("")).cast("int")
-
-
 def fill(template: Column, params: Column) -> Column:
     """Replace every ``{name}`` from a map; NULL if a placeholder has no value.
 

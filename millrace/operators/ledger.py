@@ -270,17 +270,6 @@ def commits(events: DataFrame, judged: DataFrame) -> DataFrame:
     )
 
 
-def first_commits(commit_rows: DataFrame) -> DataFrame:
-    """Earliest valid commit per task, for a table of commits that already carry
-    ``live``; the rest stay available as evidence through :func:`commits`."""
-    return (
-        commit_rows.filter("live")
-        .groupBy(*TASK)
-        .agg(F.min(F.struct("ts", "seq", "lease_id", "node_id")).alias("c"))
-        .select(*TASK, "c.*")
-    )
-
-
 def accepted_by_node(commit_rows: DataFrame) -> DataFrame:
     """Accepted work only: how many results of each node were kept."""
     return (

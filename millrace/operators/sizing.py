@@ -13,59 +13,59 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import digest, model_key
 
 # Published model sizes: billions of parameters, hidden size, layers.
-MODELS = """
-qwen2.5-0.5b   0.49   896   24
-qwen2.5-1.5b   1.54   1536  28
-qwen2.5-3b     3.09   2048  36
-qwen2.5-7b     7.62   3584  28
-qwen2.5-14b    14.7   5120  48
-qwen2.5-32b    32.8   5120  64
-qwen2.5-72b    72.7   8192  80
-llama-3.1-8b   8.03   4096  32
-llama-3.1-70b  70.6   8192  80
-llama-3.2-1b   1.24   2048  16
-llama-3.2-3b   3.21   3072  28
-mistral-7b     7.25   4096  32
-gemma-2-9b     9.24   3584  42
-gpt2           0.124  768   12
-"""
+MODELS = [
+    ("qwen2.5-0.5b", 0.49, 896, 24),
+    ("qwen2.5-1.5b", 1.54, 1536, 28),
+    ("qwen2.5-3b", 3.09, 2048, 36),
+    ("qwen2.5-7b", 7.62, 3584, 28),
+    ("qwen2.5-14b", 14.7, 5120, 48),
+    ("qwen2.5-32b", 32.8, 5120, 64),
+    ("qwen2.5-72b", 72.7, 8192, 80),
+    ("llama-3.1-8b", 8.03, 4096, 32),
+    ("llama-3.1-70b", 70.6, 8192, 80),
+    ("llama-3.2-1b", 1.24, 2048, 16),
+    ("llama-3.2-3b", 3.21, 3072, 28),
+    ("mistral-7b", 7.25, 4096, 32),
+    ("gemma-2-9b", 9.24, 3584, 42),
+    ("gpt2", 0.124, 768, 12),
+]
 
 # GPU memory in GB and dense bf16 TFLOPs.
-GPUS = """
-h100       80  700
-a100-80gb  80  312
-a100-40gb  40  312
-a100       40  312
-l40s       48  362
-rtx4090    24  165
-rtx3090    24  71
-a10        24  125
-l4         24  121
-v100       16  112
-t4         16  65
-"""
+GPUS = [
+    ("h100", 80.0, 700.0),
+    ("a100-80gb", 80.0, 312.0),
+    ("a100-40gb", 40.0, 312.0),
+    ("a100", 40.0, 312.0),
+    ("l40s", 48.0, 362.0),
+    ("rtx4090", 24.0, 165.0),
+    ("rtx3090", 24.0, 71.0),
+    ("a10", 24.0, 125.0),
+    ("l4", 24.0, 121.0),
+    ("v100", 16.0, 112.0),
+    ("t4", 16.0, 65.0),
+]
 
 # Effective link bandwidth in GB/s and latency in seconds.
-LINKS = """
-same_host_nvlink  250.0  0.00001
-same_host_pcie    20.0   0.00002
-multi_node_ib     25.0   0.00005
-multi_node_100g   10.0   0.0001
-multi_node_10g    1.1    0.0003
-wan               0.05   0.03
-"""
+LINKS = [
+    ("same_host_nvlink", 250.0, 0.00001),
+    ("same_host_pcie", 20.0, 0.00002),
+    ("multi_node_ib", 25.0, 0.00005),
+    ("multi_node_100g", 10.0, 0.0001),
+    ("multi_node_10g", 1.1, 0.0003),
+    ("wan", 0.05, 0.03),
+]
 
 # Largest size of a class in billions, hidden size, layers.
-SHAPES = """
-0.2   768   12
-0.7   1024  24
-2.0   2048  24
-4.0   3072  28
-9.0   4096  32
-16.0  5120  40
-40.0  6656  60
-90.0  8192  80
-"""
+SHAPES = [
+    (0.2, 768, 12),
+    (0.7, 1024, 24),
+    (2.0, 2048, 24),
+    (4.0, 3072, 28),
+    (9.0, 4096, 32),
+    (16.0, 5120, 40),
+    (40.0, 6656, 60),
+    (90.0, 8192, 80),
+]
 LARGEST_SHAPE = (12288, 96)
 
 # Bytes, factors and limits of the estimates.
@@ -90,30 +90,26 @@ GENERIC_LAYERS = 32
 STATUS_ORDER = ["selected", "feasible", "rejected_policy", "rejected_dominated", "infeasible"]
 
 
-def _rows(text: str, *kinds) -> list[tuple]:
-    return [tuple(k(v) for k, v in zip(kinds, line.split())) for line in text.strip().splitlines()]
-
-
 def catalogs(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     models = spark.createDataFrame(
-        _rows(MODELS, str, float, int, int),
+        MODELS,
         "model_key string, cat_params_b double, cat_hidden int, cat_layers int",
     )
     gpus = spark.createDataFrame(
-        _rows(GPUS, str, float, float), "gpu_key string, cat_vram_gb double, tflops double"
+        GPUS, "gpu_key string, cat_vram_gb double, tflops double"
     )
     links = spark.createDataFrame(
-        _rows(LINKS, str, float, float), "link string, link_gbps double, link_latency_s double"
+        LINKS, "link string, link_gbps double, link_latency_s double"
     )
     return models, gpus, links
 
 
 def shape_for(params_b: Column, field: int) -> Column:
-    """Hidden size (``field`` 1) or layers (2) of the first class that is large enough."""
-    out = None
-    for row in _rows(SHAPES, float, int, int):
-        hit = params_b <= row[0]
-        out = F.when(hit, row[field]) if out is None else out.when(hit, row[field])
+    """Hidden size (``field`` 1) or layers (2) of the first class that is large enough;
+    NULL for an unknown size."""
+    out = F.when(params_b.isNull(), F.lit(None).cast("int"))
+    for row in SHAPES:
+        out = out.when(params_b <= row[0], row[field])
     return out.otherwise(LARGEST_SHAPE[field - 1])
 
 

@@ -13,34 +13,34 @@ POLICY_VERSION = "0.1.0"
 
 # The decision for every failure class, first for independent
 # tasks, then for coordinated training: action, scope, cordon, needs checkpoint.
-POLICY = """
-application_error     independent_tasks     fail_job           job    no   no
-application_error     coordinated_training  fail_job           job    no   no
-data_error            independent_tasks     retry_task         task   no   no
-data_error            coordinated_training  fail_job           job    no   no
-worker_crash          independent_tasks     retry_task         task   no   no
-worker_crash          coordinated_training  restart_group      group  no   yes
-node_loss             independent_tasks     retry_task         task   yes  no
-node_loss             coordinated_training  replace_node       group  yes  yes
-accelerator_failure   independent_tasks     retry_task         node   yes  no
-accelerator_failure   coordinated_training  replace_node       group  yes  yes
-communication_error   independent_tasks     retry_task         task   no   no
-communication_error   coordinated_training  restart_group      group  no   yes
-network_degradation   independent_tasks     retry_task         task   no   no
-network_degradation   coordinated_training  restart_group      group  no   yes
-storage_timeout       independent_tasks     pause_job          job    no   no
-storage_timeout       coordinated_training  pause_job          job    no   no
-artifact_corruption   independent_tasks     retry_task         task   no   no
-artifact_corruption   coordinated_training  restart_group      group  no   yes
-preemption            independent_tasks     retry_task         task   no   no
-preemption            coordinated_training  replace_node       group  no   yes
-correlated_incident   independent_tasks     freeze_automation  pool   no   no
-correlated_incident   coordinated_training  freeze_automation  pool   no   no
-control_plane_failure independent_tasks     pause_job          job    no   no
-control_plane_failure coordinated_training  pause_job          job    no   no
-unknown               independent_tasks     retry_task         task   no   no
-unknown               coordinated_training  pause_job          job    no   yes
-"""
+POLICY = [
+    ("application_error", "independent_tasks", "fail_job", "job", False, False),
+    ("application_error", "coordinated_training", "fail_job", "job", False, False),
+    ("data_error", "independent_tasks", "retry_task", "task", False, False),
+    ("data_error", "coordinated_training", "fail_job", "job", False, False),
+    ("worker_crash", "independent_tasks", "retry_task", "task", False, False),
+    ("worker_crash", "coordinated_training", "restart_group", "group", False, True),
+    ("node_loss", "independent_tasks", "retry_task", "task", True, False),
+    ("node_loss", "coordinated_training", "replace_node", "group", True, True),
+    ("accelerator_failure", "independent_tasks", "retry_task", "node", True, False),
+    ("accelerator_failure", "coordinated_training", "replace_node", "group", True, True),
+    ("communication_error", "independent_tasks", "retry_task", "task", False, False),
+    ("communication_error", "coordinated_training", "restart_group", "group", False, True),
+    ("network_degradation", "independent_tasks", "retry_task", "task", False, False),
+    ("network_degradation", "coordinated_training", "restart_group", "group", False, True),
+    ("storage_timeout", "independent_tasks", "pause_job", "job", False, False),
+    ("storage_timeout", "coordinated_training", "pause_job", "job", False, False),
+    ("artifact_corruption", "independent_tasks", "retry_task", "task", False, False),
+    ("artifact_corruption", "coordinated_training", "restart_group", "group", False, True),
+    ("preemption", "independent_tasks", "retry_task", "task", False, False),
+    ("preemption", "coordinated_training", "replace_node", "group", False, True),
+    ("correlated_incident", "independent_tasks", "freeze_automation", "pool", False, False),
+    ("correlated_incident", "coordinated_training", "freeze_automation", "pool", False, False),
+    ("control_plane_failure", "independent_tasks", "pause_job", "job", False, False),
+    ("control_plane_failure", "coordinated_training", "pause_job", "job", False, False),
+    ("unknown", "independent_tasks", "retry_task", "task", False, False),
+    ("unknown", "coordinated_training", "pause_job", "job", False, True),
+]
 
 #: Why an action is taken, for people reading a decision.
 ACTION_REASONS = {
@@ -54,14 +54,7 @@ ACTION_REASONS = {
 
 
 def policy_rows() -> list[tuple]:
-    rows = []
-    for line in POLICY.strip().splitlines():
-        kind, mode, action, scope, cordon, checkpoint = line.split()
-        rows.append(
-            (kind, mode, action, scope, cordon == "yes", checkpoint == "yes",
-             ACTION_REASONS[action], POLICY_VERSION)
-        )
-    return rows
+    return [(*row, ACTION_REASONS[row[2]], POLICY_VERSION) for row in POLICY]
 
 
 def policy(spark: SparkSession) -> DataFrame:

@@ -13,26 +13,30 @@ from millrace.plans.sgd import logistic_sgd, mean_log_loss
 from millrace.plans.sweep import fit_many, sweep
 from millrace.queries import query
 
-_STEPS, _BATCH, _LR = 6, 100, 0.5
+#: Steps whose batches together hold every row, and the learning rate.
+_STEPS, _LR = 6, 0.5
 
 
 def _sgd_sql() -> str:
-    ctes = [B.LABELLED_SQL, "nn AS (SELECT count(*) AS n FROM lab)"]
+    ctes = [B.LABELLED_SQL, f"nn AS (SELECT count(*) AS n, (count(*) + {_STEPS - 1}) // {_STEPS} AS b FROM lab)"]
     ctes.append("w0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS b)")
     for t in range(1, _STEPS + 1):
-        base = (t - 1) * _BATCH
         ctes.append(
-            f"e{t} AS (SELECT l.*, 1 / (1 + exp(-(x0*w.w0 + x1*w.w1 + x2*w.w2 + w.b))) - y AS e "
-            f"FROM (SELECT lab.* FROM lab, nn, generate_series(0, {_BATCH - 1}) g(i) "
-            f"WHERE lab.idx = ({base} + g.i) % nn.n) l, w{t - 1} w)"
+            f"e{t} AS (SELECT l.*, 1 / (1 + exp(-(x0*w.w0 + x1*w.w1 + x2*w.w2 + w.b))) - y AS e FROM (SELECT lab.* FROM lab, nn "
+            f"WHERE (idx >= {t - 1} * nn.b AND idx < {t} * nn.b) OR idx < {t} * nn.b - nn.n) l, w{t - 1} w)"
         )
         ctes.append(
-            f"w{t} AS (SELECT w.w0 - {_LR} * g.g0 / {_BATCH} AS w0, w.w1 - {_LR} * g.g1 / {_BATCH} AS w1, "
-            f"w.w2 - {_LR} * g.g2 / {_BATCH} AS w2, w.b - {_LR} * g.gb / {_BATCH} AS b FROM w{t - 1} w, "
+            f"w{t} AS (SELECT w.w0 - {_LR} * g.g0 / nn.b AS w0, w.w1 - {_LR} * g.g1 / nn.b AS w1, "
+            f"w.w2 - {_LR} * g.g2 / nn.b AS w2, w.b - {_LR} * g.gb / nn.b AS b FROM w{t - 1} w, nn, "
             f"(SELECT sum(e*x0) AS g0, sum(e*x1) AS g1, sum(e*x2) AS g2, sum(e) AS gb FROM e{t}) g)"
         )
+    ctes.append(
+        f"pr AS (SELECT y, least(greatest(1 / (1 + exp(-(x0*w.w0 + x1*w.w1 + x2*w.w2 + w.b))), 1e-12), 1 - 1e-12) AS q FROM lab, w{_STEPS} w)"
+    )
+    loss = "(SELECT round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 9) FROM pr)"
     rows = " UNION ALL ".join(
-        f"SELECT {t} AS step, round(w0, 9) AS w0, round(w1, 9) AS w1, round(w2, 9) AS w2, round(b, 9) AS bias FROM w{t}"
+        f"SELECT {t} AS step, round(w0, 9) AS w0, round(w1, 9) AS w1, round(w2, 9) AS w2, round(b, 9) AS bias, "
+        f"{loss if t == _STEPS else 'NULL::DOUBLE'} AS loss FROM w{t}"
         for t in (2, 4, 6)
     )
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + rows
@@ -40,13 +44,16 @@ def _sgd_sql() -> str:
 
 @query("logistic_sgd", _sgd_sql())
 def logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """One pass over all rows; the last step carries the loss over all of them."""
     data = with_index(B.labelled(spark, sf), ["id"])
-    fit = logistic_sgd(data, _STEPS, lr=_LR, batch=_BATCH, checkpoint_every=2)
+    batch = -(-data.count() // _STEPS)
+    fit = logistic_sgd(data, _STEPS, lr=_LR, batch=batch, checkpoint_every=2)
     fit.checkpoints.append((fit.step, fit.weights, fit.bias))
     return fit.checkpoint_frame(spark).select(
         "step",
         *[F.round(F.col("weights")[i], 9).alias(f"w{i}") for i in range(3)],
         F.round("bias", 9).alias("bias"),
+        F.round(F.when(F.col("step") == fit.step, F.lit(fit.final_loss)), 9).alias("loss"),
     )
 
 

@@ -19,10 +19,10 @@ _Z = B.SIZING_SQL
       WHEN vram IS NULL AND (kind IN ('transformer_finetune', 'pytorch_training')
         OR (kind = 'independent_tasks' AND needs_gpu AND gpus > 0 AND vram_gb_per_task > 0)) THEN 'GPU memory unknown'
       WHEN kind IN ('transformer_finetune', 'pytorch_training') AND gpus < 1 THEN 'needs a GPU' END AS problem
-    FROM rs WHERE pb IS NOT NULL""",
+    FROM rs""",
 )
 def sizing_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    out = Z.resolve(B.sizing_requests(spark, sf)).filter("params_b IS NOT NULL")
+    out = Z.resolve(B.sizing_requests(spark, sf))
     return out.select("request_id", "params_b", "hidden", "layers", "vram", "tflops", "problem")
 
 

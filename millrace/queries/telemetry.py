@@ -60,21 +60,20 @@ def step_rates(spark: SparkSession, sf: str) -> DataFrame:
     return M.step_rates(_beats(spark, sf)).select("run_id", "line", F.round("rate", 8).alias("rate"))
 
 
-#: One day after the last event's hour: late runs are stale, none is live for certain.
-_AS_OF = 1706659200.0
-
-
 @query(
     "step_rate",
     f"""WITH {_RATES},
     g AS (SELECT run_id, max(ts) AS last_ts, arg_max(step, ts) AS step,
-      arg_max(rate, (ts, step)) FILTER (WHERE rate IS NOT NULL) AS r FROM rt GROUP BY run_id)
+      arg_max(rate, (ts, step)) FILTER (WHERE rate IS NOT NULL) AS r FROM rt GROUP BY run_id),
+    n AS (SELECT max(ts) + 3 AS now FROM bt)
     SELECT run_id, step, round(last_ts, 3) AS last_ts,
-      round(CASE WHEN {_AS_OF} - last_ts < 6 THEN r END, 8) AS steps_per_s,
-      CAST(round(CASE WHEN {_AS_OF} - last_ts < 6 THEN 1000.0 / r END) AS BIGINT) AS step_latency_ms FROM g""",
+      round(CASE WHEN now - last_ts < 6 THEN r END, 8) AS steps_per_s,
+      CAST(round(CASE WHEN now - last_ts < 6 THEN 1000.0 / r END) AS BIGINT) AS step_latency_ms FROM g, n""",
 )
 def step_rate(spark: SparkSession, sf: str) -> DataFrame:
-    out = M.step_rate(_beats(spark, sf), _AS_OF)
+    """As seen three seconds after the newest beat, when the last runs are still live."""
+    beats = _beats(spark, sf)
+    out = M.step_rate(beats, beats.agg(F.max("ts")).first()[0] + 3)
     return out.select(
         "run_id",
         "step",

@@ -22,10 +22,3 @@ def drain(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
-
-
-def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """A parquet file or folder of the given name as a stream."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder.rstrip("/"))
-    )
