@@ -12,8 +12,8 @@ documents) its owner is known, and no later batch can change it.
 Defined cases. Null or empty text: one empty line, which is kept. Rows that share a
 doc_id are one document in the counts; the lines of each are kept or dropped by the same
 rule. A null doc_id counts as a document of its own and its lines always stay. No rows:
-no result rows. Columns that clash with the added ones are not kept by the query, and
-the operator returns the input columns first, then its own under the names given.
+no result rows. Extra columns stay, but for those named like an added one, which it
+replaces.
 """
 
 from __future__ import annotations
@@ -106,22 +106,28 @@ def dedup_lines(
     into: str = "kept",
 ) -> DataFrame:
     """``docs`` with ``n_lines, n_dropped`` and the remaining text in the column ``into``."""
-    edges = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
+    parts = [i / batches for i in range(1, batches)]
+    edges = (parts and docs.agg(F.percentile_approx("doc_id", parts, 1000)).first()[0]) or []
     doc_id = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    batch = reduce(lambda a, b: a + b, [(doc_id <= int(e)).cast("int") for e in edges], F.lit(0))
+    batch = reduce(lambda a, b: a + b, [(doc_id <= e).cast("int") for e in edges], F.lit(0))
     lines = stored(line_hashes(docs, min_chars).withColumn("batch", batch), "line-hashes", by="batch")
 
     runs = LineRuns(docs.sparkSession, fanout, min_docs)
     for i in range(len(edges) + 1):
         runs.add(lines.where(F.col("batch") == i))
 
-    dropped = lines.join(runs.repeated().hint("merge"), HASH).where(F.col("doc_id") != F.col("owner"))
+    # Written first: with a shuffle of its own on both sides the join can split a hot line.
+    repeated = stored(runs.repeated(), "repeated-lines")
+    dropped = lines.join(repeated.hint("merge"), HASH).where(F.col("doc_id") != F.col("owner"))
     dropped = dropped.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("gone"))
-    dropped = dropped.withColumnsRenamed({"doc_id": "_doc", "tid": "_tid", "gone": "_gone"})
-    text = text_of()
-    on = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(text) == F.col("_tid"))
-    rows = docs.join(dropped, on, "left").withColumn("_lines", _lines(text))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_gone", F.array().cast("array<int>")))
-    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    own = {into: left, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    return rows.select(*[F.col(c) for c in docs.columns if c not in own], *[v.alias(k) for k, v in own.items()])
+    # The row travels as one value, so that no column of it can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_of().alias("text"))
+    on = (rows["doc_id"] == dropped["doc_id"]) & (F.xxhash64(rows["text"]) == dropped["tid"])
+    rows = rows.join(dropped, on, "left").select("row", "gone", _lines(rows["text"]).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
+    n_dropped = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    own = {into: left, "n_lines": F.size("lines").cast("long"), "n_dropped": n_dropped}
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in own]
+    rows = rows.select("row", F.struct(*[v.alias(k) for k, v in own.items()]).alias("own"))
+    return rows.select(*kept, *[F.col("own").getField(k).alias(k) for k in own])
