@@ -40,9 +40,10 @@ def word_counts(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFram
     return seen.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def prefixed(windows: DataFrame, counts: DataFrame) -> DataFrame:
+def prefixed(windows: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
     """Each window under its rarest word (ties: the smaller word, then its first place)."""
-    places = windows.select("*", F.posexplode("window").alias("at", "word")).join(counts, "word", "left")
+    places = windows.select("*", F.posexplode("window").alias("at", "word"))
+    places = places.join(F.broadcast(counts) if small else counts, "word", "left")
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")
     best = places.groupBy("window", "items").agg(F.min(rank).alias("r"))
     return best.where(F.col("r.n") > 0).select("window", "items", F.col("r.word").alias("token"), F.col("r.at").alias("at"))
@@ -92,7 +93,7 @@ def contamination(
     windows = stored(item_windows(benchmark, size), "bench-windows")
     small = windows.count() <= broadcast_windows
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    index = stored(prefixed(windows, word_counts(docs, vocabulary, small)), "bench-index")
+    index = stored(prefixed(windows, word_counts(docs, vocabulary, small), small), "bench-index")
     found = _found_small(docs, index) if small else _found_large(docs, index, size)
     spans = F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "len")))
     rows = found.groupBy("doc_id", "tid").agg(
