@@ -121,9 +121,10 @@ def dedup_lines(
     dropped = lines.join(repeated.hint("merge"), HASH).where(F.col("doc_id") != F.col("owner"))
     dropped = dropped.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("gone"))
     # The row travels as one value, so that no column of it can clash.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_of().alias("text"))
-    on = (rows["doc_id"] == dropped["doc_id"]) & (F.xxhash64(rows["text"]) == dropped["tid"])
-    rows = rows.join(dropped, on, "left").select("row", "gone", _lines(rows["text"]).alias("lines"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(text_of()).alias("tid"))
+    on = (rows["doc_id"] == dropped["doc_id"]) & (rows["tid"] == dropped["tid"])
+    text = F.coalesce(F.col("row").getField("text"), F.lit(""))
+    rows = rows.join(dropped, on, "left").select("row", "gone", _lines(text).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     left = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
     n_dropped = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
