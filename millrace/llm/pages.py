@@ -1,20 +1,26 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged by the path of their block elements (tag, class and id).
-A node's content importance is the entropy of the texts that stand there, its presentation
-importance the entropy of its child sequences, both against the evenly spread case; a
-branch is worth the mean of what hangs below and, for a tenth, its own presentation. What
-all pages of a host share has little of either, and such branches are removed from every
-page, as are elements that say themselves that they are no part of an article (menus,
-forms, scripts and the like, by tag, class or id). Pages with an ``article`` or ``main``
-element give what stands in it; nothing in there is removed for being frequent.
+The pages of a host are merged by the path of their block elements (tag, class, id, role).
+A node's content importance is the entropy of the texts that stand there, each counted once
+a page, its presentation importance the entropy of its child sequences, both against the
+evenly spread case; a branch is worth the mean of what hangs below and, for a tenth, its own
+presentation. Marks are weights on that: ``article`` and ``main`` raise it, a class or id
+that names furniture lowers it at the element that carries it, and so does standing beside
+an article that leads its page; the share of the host's text raises it. Texts at a node
+below ``LOW`` are removed from every page, in articles too; a named branch at ``LOW`` or
+more stays. Elements whose tag or role is furniture (menus, forms, scripts) always go.
+
+An article leads a page if the longest one holds as much as what is left outside of all;
+then only articles are given. Smaller ones, like teaser cards, do not push out the rest.
 
 Each block is one line: references decoded, white space folded, trimmed.
 
 Defined cases. Null or empty html, and pages without text outside of furniture: empty
-text. A null url is a host of its own name, ``""``. Hosts with fewer than ``LEAST_PAGES``
-occurrences of a node are judged by tags and names alone. Equal pages come out as often
-as they came in. No rows: no result rows; extra columns stay, clashing ones are replaced.
+text. A null url is a host of its own name, ``""``. Nodes on fewer than ``LEAST_PAGES``
+pages of a host are judged by tags and names alone; a page of a host without judged nodes
+that has nothing else gives its named branches. A page that the tree would empty is judged
+by tags and names. Equal pages come out as often as they came in. No rows: no result rows;
+extra columns stay, clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ LEAST_PAGES = 8
 LOW = 0.5
 #: Share of a branch's importance that comes from what hangs below it.
 BELOW = 0.9
+#: Weights on importance: in an article, at a name of furniture, beside a leading article.
+IN_MAIN, NAMED, BESIDE = 1.5, 0.35, 0.35
 CHUNK = 256
 
 # Element names of HTML by their part in a page.
@@ -81,17 +89,22 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     tag: str
     path: str
-    furniture: bool
-    main: bool
+    tagged: bool
+    named: tuple[str, ...]
+    main: int
     children: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Block:
+    """``named``: paths of the elements around it whose names say furniture; ``main``: number
+    of the outermost article or main around it, 0 outside."""
+
     path: str
     text: str
-    furniture: bool
-    main: bool
+    tagged: bool
+    named: tuple[str, ...]
+    main: int
 
 
 def _signature(tag: str, attributes: str) -> tuple[str, set[str], str]:
@@ -107,22 +120,27 @@ def _signature(tag: str, attributes: str) -> tuple[str, set[str], str]:
                 parts = [p.lower() for p in _PART.findall(word)]
                 names.update(parts)
                 names.update(a + b for a, b in zip(parts, parts[1:]) if a + b in NAMES)
-    return f"{tag}.{'.'.join(sorted(names))}" if names else tag, names, role
+    name = f"{tag}.{'.'.join(sorted(names))}" if names else tag
+    return f"{name}@{role}" if role else name, names, role
 
 
-def _is_furniture(tag: str, names: set[str], role: str, in_main: bool) -> bool:
+def _is_tagged(tag: str, role: str, in_main: bool) -> bool:
     if tag in FURNITURE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form"):
         return True
-    if tag == "header" and not in_main:
-        return True
+    return tag == "header" and not in_main
+
+
+def _is_named(tag: str, names: set[str], in_main: bool) -> bool:
     if tag in ("html", "body", "main") or names & {"no", "has", "with"}:
         return False
     return bool(names & (NAMES - OF_ARTICLE if in_main or tag == "article" else NAMES))
 
 
 def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
-    """Text blocks in page order, and (path, child sequence) of every block element."""
-    stack = [Node("", "", False, False)]
+    """Text blocks in page order, and (path, child sequence) of every block element
+    outside of furniture tags."""
+    stack = [Node("", "", False, (), 0)]
+    mains = 0
     blocks: list[Block] = []
     shapes: list[tuple[str, str]] = []
     held: list[str] = []
@@ -133,12 +151,13 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                blocks.append(Block(top.path, text, top.furniture, top.main))
+                blocks.append(Block(top.path, text, top.tagged, top.named, top.main))
 
     def close(down_to: int) -> None:
         while len(stack) > down_to:
             node = stack.pop()
-            shapes.append((node.path, " ".join(node.children)))
+            if not node.tagged:
+                shapes.append((node.path, " ".join(node.children)))
 
     page, at = page or "", 0
     for m in _TOKEN.finditer(page):
@@ -162,28 +181,42 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
             close(len(stack) - 1)
         name, names, role = _signature(tag, m[4])
         top = stack[-1]
-        main = top.main or tag in ("article", "main") or role == "main"
-        furniture = top.furniture or _is_furniture(tag, names, role, top.main)
+        path = f"{top.path}>{name}" if top.path else name
+        tagged = top.tagged or _is_tagged(tag, role, top.main > 0)
+        named = (*top.named, path) if _is_named(tag, names, top.main > 0) else top.named
+        main = top.main
+        if not main and (tag in ("article", "main") or role == "main"):
+            mains += 1
+            main = mains
         if not top.children or top.children[-1] != name:
             top.children.append(name)
-        stack.append(Node(tag, f"{top.path}>{name}" if top.path else name, furniture, main and not furniture))
+        stack.append(Node(tag, path, tagged, named, 0 if tagged else main))
     held.append(page[at:])
     flush()
     close(1)
     return blocks, shapes
 
 
-def main_text(page: str | None, low: set[str]) -> str:
-    """The page's lines outside of furniture and of the low branches of its host."""
-    blocks = [b for b in parse(page)[0] if not b.furniture]
-    if any(b.main for b in blocks):
-        return "\n".join(b.text for b in blocks if b.main)
-    return "\n".join(b.text for b in blocks if not (low and _below(b.path, low)))
+def _main_leads(blocks: list[Block]) -> bool:
+    """Whether the longest article holds as much text as all blocks outside of articles."""
+    chars: Counter = Counter()
+    for b in blocks:
+        chars[b.main] += len(b.text)
+    outside = chars.pop(0, 0)
+    return bool(chars) and max(chars.values()) >= outside
 
 
-def _below(path: str, low: set[str]) -> bool:
-    steps = path.split(">")
-    return any(">".join(steps[: i + 1]) in low for i in range(len(steps)))
+def main_text(page: str | None, low: set[str], lifted: set[str] = frozenset()) -> str:
+    """The page's lines outside of furniture and of the low nodes of its host; branches
+    named like furniture count where their host's tree has ``lifted`` them."""
+    blocks = [b for b in parse(page)[0] if not b.tagged]
+    free = [b for b in blocks if lifted.issuperset(b.named)]
+    if not free and not low and not lifted:
+        free = blocks
+    kept = [b for b in free if b.path not in low] or free
+    if _main_leads(kept):
+        kept = [b for b in kept if b.main]
+    return "\n".join(b.text for b in kept)
 
 
 def host_of(url: Column) -> Column:
@@ -191,8 +224,10 @@ def host_of(url: Column) -> Column:
 
 
 def node_counts(pages: DataFrame) -> DataFrame:
-    """``host, path, kind, h, n``: how often a text (kind ``text``) or a child sequence
-    (kind ``shape``) stands at a path, added up in each batch."""
+    """``host, path, kind, h, n``, added up in each batch. By kind, pages that have a text
+    (``text``) or a child sequence (``shape``) at a path; pages that have the path (``pages``),
+    have it in an article (``main``), beside a leading one (``side``) or as an element named
+    like furniture (``named``); characters there (``mass``)."""
     schema = "host string, path string, kind string, h long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +242,18 @@ def node_counts(pages: DataFrame) -> DataFrame:
                 counts: Counter = Counter()
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     blocks, shapes = parse(page)
-                    counts.update((host, b.path, "text", h(b.text)) for b in blocks)
-                    counts.update((host, p, "shape", h(s)) for p, s in shapes)
+                    blocks = [b for b in blocks if not b.tagged]
+                    plain = [b for b in blocks if not b.named]
+                    once = {(host, b.path, "text", h(b.text)) for b in blocks}
+                    once.update((host, p, "shape", h(s)) for p, s in shapes)
+                    once.update((host, p, "pages", 0) for p, _ in shapes)
+                    once.update((host, b.path, "main", 0) for b in blocks if b.main)
+                    once.update((host, p, "named", 0) for b in blocks for p in b.named)
+                    if _main_leads(plain):
+                        once.update((host, b.path, "side", 0) for b in plain if not b.main)
+                    counts.update(once)
+                    for b in blocks:
+                        counts[host, b.path, "mass", 0] += len(b.text)
                 rows = [(*k, n) for k, n in counts.items()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string()] * 3 + [pa.int64()] * 2)],
@@ -219,41 +264,69 @@ def node_counts(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, path, seen, importance`` of every node of every host's merged tree."""
+    """``host, path, seen, named, importance, own`` of every node of every host's merged tree:
+    pages with the node, whether its names say furniture, the weighted importance of its
+    branch and, where text stands at the node itself, of that text alone."""
     each = node_counts(pages).groupBy("host", "path", "kind", "h").agg(F.sum("n").alias("n"))
-    spread = F.sum(-F.col("n") * F.log("n"))
-    nodes = each.groupBy("host", "path", "kind").agg(F.sum("n").alias("seen"), spread.alias("s"))
-    entropy = F.when(F.col("seen") > 1, (F.log("seen") + F.col("s") / F.col("seen")) / F.log("seen")).otherwise(1.0)
-    nodes = stored(nodes.select("host", "path", "kind", "seen", entropy.alias("e")), "style-nodes")
+    kinds = each.groupBy("host", "path", "kind").agg(
+        F.sum("n").alias("n"), F.sum(-F.col("n") * F.log("n")).alias("s")
+    )
+    entropy = F.when(F.col("n") > 1, (F.log("n") + F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
+
+    def of(kind: str, value: Column) -> Column:
+        return F.max(F.when(F.col("kind") == kind, value))
+
+    n = F.col("n")
+    nodes = kinds.groupBy("host", "path").agg(
+        of("text", n).alias("texts"), of("text", entropy).alias("e"), of("shape", entropy).alias("shape"),
+        F.coalesce(of("pages", n), F.lit(0)).alias("seen"), of("main", n).isNotNull().alias("main"),
+        of("named", n).isNotNull().alias("named"), F.coalesce(of("side", n), F.lit(0)).alias("side"),
+        F.coalesce(of("mass", n), F.lit(0)).alias("mass"),
+    )
+    nodes = stored(nodes, "style-nodes")
 
     steps = F.split("path", ">")
     ups = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ">"))
-    texts = nodes.where("kind = 'text'").select("host", F.explode(ups).alias("path"), "seen", "e")
+    texts = nodes.where("texts IS NOT NULL").select("host", F.explode(ups).alias("path"), "texts", "e", "mass")
     below = texts.groupBy("host", "path").agg(
-        F.sum("seen").alias("seen"), (F.sum(F.col("seen") * F.col("e")) / F.sum("seen")).alias("below")
+        (F.sum(F.col("texts") * F.col("e")) / F.sum("texts")).alias("below"), F.sum("mass").alias("held")
+    )
+    whole = nodes.groupBy("host").agg(F.sum("mass").alias("whole"))
+    both = below.join(nodes, ["host", "path"]).join(whole, "host")
+    shape = (1 - BELOW) * F.coalesce("shape", F.lit(0.0))
+    beside = 1 - (1 - BESIDE) * F.col("side") / F.greatest("seen", F.lit(1))
+    place = F.when(F.col("main"), IN_MAIN).otherwise(beside) * (1 + F.col("held") / F.greatest("whole", F.lit(1)))
+    name = F.when(F.col("named"), NAMED).otherwise(1.0)
+    return both.select(
+        "host", "path", "seen", "named", ((BELOW * F.col("below") + shape) * place * name).alias("importance"),
+        ((BELOW * F.col("e") + shape) * place).alias("own"),
     )
-    shapes = nodes.where("kind = 'shape'").select("host", "path", F.col("e").alias("shape"))
-    both = below.join(shapes, ["host", "path"], "left")
-    worth = BELOW * F.col("below") + (1 - BELOW) * F.coalesce("shape", F.lit(0.0))
-    return both.select("host", "path", "seen", worth.alias("importance"))
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW, into: str = "text") -> DataFrame:
     """``pages`` with their main text in the column ``into``."""
-    tree = style_tree(pages).where((F.col("seen") >= least_pages) & (F.col("importance") < low))
-    cut = stored(tree.groupBy("host").agg(F.collect_set("path").alias("low")), "low-branches")
+    tree = style_tree(pages).where(F.col("seen") >= least_pages)
+    cut = tree.groupBy("host").agg(
+        F.collect_set(F.when(F.col("own") < low, F.col("path"))).alias("low"),
+        F.collect_set(F.when(F.col("named") & (F.col("importance") >= low), F.col("path"))).alias("lifted"),
+        F.collect_set(F.when(F.col("named"), F.col("path"))).alias("named"),
+    )
+    cut = cut.where((F.size("low") > 0) | (F.size("lifted") > 0) | (F.size("named") > 0))
+    # A named branch that is not lifted is low as a whole.
+    cut = cut.select("host", F.array_union("low", F.array_except("named", "lifted")).alias("low"), "lifted")
+    cut = stored(cut, "low-branches")
     names = [c for c in pages.columns if c != into]
     # The row travels as one value, so that no column of it can clash.
     rows = pages.select(F.struct(*names).alias("row"), F.col("html").alias("page"), host_of(F.col("url")).alias("host"))
-    rows = rows.join(cut, "host", "left").select("row", "page", "low")
+    rows = rows.join(cut, "host", "left").select("row", "page", "low", "lifted")
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(start, CHUNK)
-                both = zip(part.column(1).to_pylist(), part.column(2).to_pylist())
-                texts = [main_text(p, set(low or ())) for p, low in both]
+                each = zip(*(part.column(i).to_pylist() for i in (1, 2, 3)))
+                texts = [main_text(p, set(low or ()), set(lifted or ())) for p, low, lifted in each]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=schema.names)
 
     done = rows.mapInArrow(run, schema)

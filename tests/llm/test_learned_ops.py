@@ -193,6 +193,28 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert tree["html>body>div.top"] < 0.1 < 0.8 < tree["html>body>div.body"]
 
 
+def test_style_tree_weighs_articles_and_names(spark):
+    """In-article boilerplate goes, bodies beside teaser articles and in named branches stay."""
+    long = "words of the body that no other page has, in a sentence of some length"
+    teaser = "<article><h2>Also read this</h2></article><article><h2>And this</h2></article>"
+    shapes = {
+        "boiler": "<article><p>{i} a " + long + "</p><div class='box'><p>Follow our channel</p></div><p>{i} b</p></article>",
+        "teaser": teaser + "<div class='c'><p>{i} a " + long + "</p><p>{i} b</p></div>",
+        "named": "<p>Top line</p><div class='share-story'><p>{i} a " + long + "</p><p>{i} b</p></div>",
+        "ads": "<div class='ad'>{i} buy</div><div class='c'><p>{i} a " + long + "</p><p>{i} b</p></div>",
+        "beside": "<article><p>{i} a " + long + "</p><p>{i} b</p></article><div class='c'>{i} other</div>",
+        "copies": "<article><p>0 a " + long + "</p><p>0 b</p></article>",
+    }
+    rows = [(k, i, f"http://{k}.example/{i}", page(html.replace("{i}", str(i)))) for k, html in shapes.items() for i in range(12)]
+    rows += [("lone-teaser", 0, "http://lone.example/t", page(teaser + f"<div><p>0 a {long}</p><p>0 b</p></div>"))]
+    rows += [("cells", 0, "http://cells.example/1", page("<article>" + "<p>w</p>" * 20 + "</article>"))]
+    frame = spark.createDataFrame(rows, "kind string, i int, url string, html string")
+    for r in pages.extract(frame).collect():
+        body = f"{0 if r.kind == 'copies' else r.i} a {long}\n{0 if r.kind == 'copies' else r.i} b"
+        want = {"lone-teaser": f"Also read this\nAnd this\n{body}", "cells": "\n".join("w" * 20)}.get(r.kind, body)
+        assert r.text == want, r.kind
+
+
 def test_pages_query_on_given_pages(spark):
     import html
     import re
