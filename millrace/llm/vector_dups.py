@@ -3,10 +3,13 @@
 Vectors of a label are dealt to shards of bounded size, and a graph is built in each:
 level 0 holds all rows, each higher level about a sixteenth of the one below, and rows are
 put in by batches, linked to what a beam search finds and to their batch. Every vector
-then queries every shard of its label. A beam that still ends above the threshold is
-widened, and past ``WIDEST`` the query scans its shard, so dense groups lose nothing. Each
-task audits a sample of its queries against a full scan and doubles the first beam until
-the share of links found passes. Cosines are computed in double precision.
+then queries every shard of its label; a task takes a pair of shards and searches both
+ways, and a link that either way finds counts at both ends. A beam that still ends above
+the threshold is widened, and past ``WIDEST`` the query scans its shard, so dense groups
+lose nothing. A sample of a label's vectors is scanned against all its shards; the first
+beam of the label is the least that finds the wanted share of the sample's links to other
+vectors, pooled over shards. Where none does, or the sample has fewer than ``LEAST_LINKS``
+links, every query of the label is a scan. Cosines are computed in double precision.
 
 Equal vectors are one row with a weight. A task reports a count for each query and a
 spanning forest of the links it saw, never the pairs.
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
@@ -35,7 +38,9 @@ SHARD_ROWS, QUERY_ROWS = 8192, 2048
 LINKS, LINKS_UP, BEAM, WIDEST = 24, 12, 32, 256
 LEVEL_RATIO, TOP_ROWS = 16, 48
 BATCH = 256
-AUDIT, RECALL = 48, 0.98
+#: Sampled vectors of a label, links they must have for a verdict, share to find.
+AUDIT, LEAST_LINKS, RECALL = 256, 50, 0.98
+BEAMS = [BEAM << i for i in range((WIDEST // BEAM).bit_length())]
 
 
 class Graph:
@@ -175,17 +180,20 @@ class Graph:
             done[active] = np.take_along_axis(all_done, order, 1)
 
     def within(self, q: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
-        """Rows at ``threshold`` or more of every query, widening beams that end above it."""
+        """Rows at ``threshold`` or more of every query, widening beams that end above it;
+        by a scan where ``beam`` is 0."""
         out: list[np.ndarray | None] = [None] * len(q)
         todo, width = np.arange(len(q)), beam
-        while len(todo) and width <= WIDEST and width < len(self.x):
+        while len(todo) and 0 < width <= WIDEST and width < len(self.x):
             found, sims = self.search(q[todo], width)
             full = (sims >= threshold).sum(axis=1) >= width
             for i in np.flatnonzero(~full):
                 out[todo[i]] = found[i][sims[i] >= threshold]
             todo, width = todo[full], 2 * width
-        for i in todo:
-            out[i] = np.flatnonzero(self.x @ q[i] >= threshold)
+        for at in range(0, len(todo), BATCH):
+            some = todo[at : at + BATCH]
+            for i, row in zip(some, q[some] @ self.x.T >= threshold):
+                out[i] = np.flatnonzero(row)
         return out
 
 
@@ -194,16 +202,30 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _audited_beam(graph: Graph, q: np.ndarray, threshold: float) -> int:
-    """The first beam whose links on the sample ``q`` reach the recall of a full scan."""
-    true = [np.flatnonzero(row >= threshold) for row in q @ graph.x.T]
-    total, beam = sum(map(len, true)), BEAM
-    while total and beam < min(len(graph.x), WIDEST):
+def _audit(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> list[int]:
+    """Links of the sample ``q`` by a full scan, then those found with each of ``BEAMS``;
+    ``own`` is a query's own row in the graph or -1, which is no link."""
+    own = np.full(len(q), -1) if own is None else own
+    true = [hits[hits != o] for hits, o in zip(graph.within(q, threshold, 0), own)]
+    sums = [sum(map(len, true))]
+    for beam in BEAMS:
+        if len(sums) > 1 and sums[-1] == sums[0]:
+            sums.append(sums[0])
+            continue
         got = graph.within(q, threshold, beam)
-        if sum(len(np.intersect1d(a, b)) for a, b in zip(got, true)) >= RECALL * total:
-            break
-        beam *= 2
-    return beam
+        sums.append(sum(len(np.intersect1d(a, b)) for a, b in zip(got, true)))
+    return sums
+
+
+def _least_beam(sums: list[int]) -> int:
+    """The least beam of an audit that passes; 0, a scan, where none does or links are few."""
+    if sums[0] < LEAST_LINKS:
+        return 0
+    return next((beam for beam, found in zip(BEAMS, sums[1:]) if found >= RECALL * sums[0]), 0)
+
+
+def _audited_beam(graph: Graph, q: np.ndarray, threshold: float) -> int:
+    return _least_beam(_audit(graph, q, threshold))
 
 
 def _build(part: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +233,7 @@ def _build(part: pd.DataFrame) -> pd.DataFrame:
     graph = Graph(_unit(part["embedding"]))
     return pd.DataFrame(
         {
-            "label": [part["label"].iloc[0]], "shard": [part["shard"].iloc[0]],
+            "label": [part["label"].iloc[0]], "shard": [part["shard"].iloc[0]], "shards": [part["shards"].iloc[0]],
             "ids": [part["rep"].tolist()], "copies": [part["copies"].tolist()],
             "vectors": [np.array(part["embedding"].tolist(), np.float64).tobytes()],
             "sizes": [list(graph.sizes)], "links": [[a.tobytes() for a in graph.levels]],
@@ -219,44 +241,62 @@ def _build(part: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _query(threshold: float):
-    def run(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
+def _opened(shard) -> tuple[np.ndarray, np.ndarray, Graph]:
+    """Ids, weights and graph of a stored shard."""
+    ids = np.array(shard["ids"], np.int64)
+    x = np.frombuffer(shard["vectors"], np.float64).reshape(len(ids), -1)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = [int(s) for s in shard["sizes"]]
+    levels = [np.frombuffer(b, np.int32).reshape(s, -1) for b, s in zip(shard["links"], sizes)]
+    return ids, np.array(shard["copies"], np.int64), Graph(x, sizes, levels)
+
+
+def _sampled(threshold: float):
+    def run(key: tuple, queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(shards):
-            return none
-        shard = shards.iloc[0]
-        ids = np.array(shard["ids"], np.int64)
-        copies = np.array(shard["copies"], np.int64)
-        x = np.frombuffer(shard["vectors"], np.float64).reshape(len(ids), -1)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        sizes = [int(s) for s in shard["sizes"]]
-        levels = [np.frombuffer(b, np.int32).reshape(s, -1) for b, s in zip(shard["links"], sizes)]
-        graph = Graph(x, sizes, levels)
-        queries = queries.sort_values("h", kind="stable")
-        q, q_ids = _unit(queries["embedding"]), queries["rep"].to_numpy(np.int64)
-        beam = _audited_beam(graph, q[:AUDIT], threshold)
-        # Sets of the forest: nodes are shard rows, then queries.
-        root = np.concatenate([ids, q_ids])
-        same = {int(v): k for k, v in enumerate(ids)}
-        counts = np.zeros(len(q), np.int64)
-        for at in range(0, len(q), BATCH):
-            for k, hits in enumerate(graph.within(q[at : at + BATCH], threshold, beam), at):
-                hits = hits[ids[hits] != q_ids[k]]
-                if not len(hits):
-                    continue
-                counts[k] = copies[hits].sum()
-                mine = [len(ids) + k, same.get(int(q_ids[k]), len(ids) + k)]
-                sets = np.unique(root[np.concatenate([hits, mine])])
-                if len(sets) > 1:
-                    root[np.isin(root, sets)] = sets[0]
-        node = np.concatenate([ids, q_ids])
-        tied = root != node
-        return pd.concat(
-            [
-                pd.DataFrame({"id": q_ids, "n": counts, "root": q_ids}),
-                pd.DataFrame({"id": node[tied], "n": 0, "root": root[tied]}),
-            ]
-        )
+            return pd.DataFrame({"label": [], "d": [], "sums": []})
+        ids, _, graph = _opened(shards.iloc[0])
+        place = {int(v): k for k, v in enumerate(ids)}
+        own = np.array([place.get(int(v), -1) for v in queries["rep"]])
+        return pd.DataFrame({"label": [key[0]], "d": [graph.x.shape[1]], "sums": [_audit(graph, _unit(queries["embedding"]), threshold, own)]})
+
+    return run
+
+
+def _pair(threshold: float, batch: int):
+    def run(key: tuple, shards: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
+        lo, hi = key[1], key[2]
+        if len(shards) < (1 if lo == hi else 2):
+            return none  # a shard without rows
+        a = _opened(shards.iloc[0])
+        b = a if lo == hi else _opened(shards.iloc[1])
+        beam = int(shards["beam"].iloc[0])
+        linked = np.zeros((len(a[0]), len(b[0])), bool)
+        for way, (from_, to) in zip((linked, linked.T), ((a, b), (b, a))):
+            q = from_[2].x
+            for at in range(0, len(q), batch):
+                for k, hits in enumerate(to[2].within(q[at : at + batch], threshold, beam), at):
+                    way[k, hits] = True
+            if beam == 0:
+                break  # a scan finds both ways
+        if lo == hi:
+            np.fill_diagonal(linked, False)
+            linked |= linked.T
+        # Sets of the forest: nodes are rows of a, then of b.
+        start = 0 if lo == hi else len(a[0])
+        node = a[0] if lo == hi else np.concatenate([a[0], b[0]])
+        root, counts = node.copy(), np.zeros(len(node), np.int64)
+        for k in np.flatnonzero(linked.any(axis=1)):
+            hits = np.flatnonzero(linked[k])
+            counts[k] += b[1][hits].sum()
+            if lo != hi:
+                counts[start + hits] += a[1][k]
+            sets = np.unique(np.append(root[start + hits], root[k]))
+            if len(sets) > 1:
+                root[np.isin(root, sets)] = sets[0]
+        tied = (root != node) | (counts > 0)
+        return pd.DataFrame({"id": node[tied], "n": counts[tied], "root": root[tied]})
 
     return run
 
@@ -274,29 +314,39 @@ def link_vectors(vectors: DataFrame, threshold: float = COSINE, shard_rows: int
     kinds = stored(kinds.withColumn("h", F.xxhash64("rep")), "distinct-vectors")
     size = kinds.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("rows"))
     # Vectors of another length are as good as another label.
-    size = size.select(
-        "label", "d", F.ceil(F.col("rows") / shard_rows).cast("int").alias("shards"),
-        F.ceil(F.col("rows") / query_rows).cast("int").alias("parts"),
-    )
-    size = stored(size, "label-sizes")
+    size = stored(size.select("label", "d", "rows", F.ceil(F.col("rows") / shard_rows).cast("int").alias("shards")), "label-sizes")
     dealt = kinds.withColumn("d", F.size("embedding")).join(size, ["label", "d"])
     base = F.col("d") * 1000000
     dealt = dealt.withColumn("shard", base + F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")).cast("int"))
-    schema = "label int, shard int, ids array<long>, copies array<long>, vectors binary, sizes array<int>, links array<binary>"
-    schema = schema.replace("label int", f"label {vectors.schema['label'].dataType.simpleString()}")
-    slim = dealt.select("label", "shard", "rep", "copies", "h", "embedding")
+    named = f"label {vectors.schema['label'].dataType.simpleString()}"
+    schema = f"{named}, shard int, shards int, ids array<long>, copies array<long>, vectors binary, sizes array<int>, links array<binary>"
+    slim = dealt.select("label", "shard", "shards", "rep", "copies", "h", "embedding")
     graphs = stored(slim.groupBy("label", "shard").applyInPandas(_build, schema), "shard-graphs")
 
-    every = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s + base)
-    asked = dealt.select(
-        "label", F.explode(every).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("parts")).cast("int").alias("part"),
-        "rep", "h", "embedding",
-    )
-    parts = graphs.withColumn("d", (F.col("shard") / 1000000).cast("int")).join(size, ["label", "d"])
-    parts = parts.select("label", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "ids", "copies", "vectors", "sizes", "links")
-    key = ["label", "shard", "part"]
-    found = asked.groupBy(*key).cogroup(parts.groupBy(*key)).applyInPandas(_query(threshold), "id long, n long, root long")
-    found = stored(found, "vector-links")
+    def each(floor) -> Column:
+        return F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s + floor))
+
+    thin = F.ceil(F.col("rows") / AUDIT)
+    sample = dealt.where(F.pmod(F.xxhash64("rep", F.lit(3)), thin) == 0)
+    sample = sample.select("label", each(base).alias("shard"), "rep", "embedding")
+    key = ["label", "shard"]
+    audits = sample.groupBy(*key).cogroup(graphs.groupBy(*key)).applyInPandas(_sampled(threshold), f"{named}, d int, sums array<long>")
+    pooled = audits.groupBy("label", "d").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(BEAMS) + 1)])
+    beam = F.lit(0)
+    for i in range(len(BEAMS), 0, -1):
+        beam = F.when(F.col(f"s{i}") >= RECALL * F.col("s0"), BEAMS[i - 1]).otherwise(beam)
+    beam = F.when(F.col("s0") >= LEAST_LINKS, beam).otherwise(0)
+    beams = stored(pooled.select("label", "d", beam.alias("beam")), "label-beams")
+
+    placed = graphs.withColumn("d", (F.col("shard") / 1000000).cast("int")).join(beams, ["label", "d"], "left")
+    floor = F.col("d") * 1000000
+    placed = placed.withColumn("beam", F.coalesce("beam", F.lit(0))).withColumn("other", each(floor))
+    placed = placed.select(
+        "label", F.least("shard", "other").alias("lo"), F.greatest("shard", "other").alias("hi"), "beam",
+        "ids", "copies", "vectors", "sizes", "links",
+    )
+    pairs = placed.groupBy("label", "lo", "hi").applyInPandas(_pair(threshold, min(BATCH, query_rows)), "id long, n long, root long")
+    found = stored(pairs, "vector-links")
 
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     trees = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))

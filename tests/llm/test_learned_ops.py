@@ -147,6 +147,51 @@ def test_graph_recall_and_dense_groups():
     assert sum(map(len, found)) >= 0.98 * true.sum()
 
 
+def test_vector_links_of_many_shards(spark):
+    """Few links a shard: the label has too few for an audit or passes a pooled one."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 16))
+    rows = [(i, (centres[i // 2] + rng.normal(size=16) * 0.05).tolist(), 0) for i in range(400)]
+    got = vector_dups.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard_rows=40)
+    assert sorted(map(tuple, got.collect())) == brute_links(rows)
+
+
+def test_failed_audits_end_in_a_scan(monkeypatch):
+    x = np.random.default_rng(6).normal(size=(300, 16))
+    x = vector_dups._unit(np.vstack([x, x + 0.01]))
+    graph = vector_dups.Graph(x)
+    lost = lambda self, q, beam, *_: (np.zeros((len(q), beam), int), np.full((len(q), beam), -2.0))
+    monkeypatch.setattr(vector_dups.Graph, "search", lost)
+    beam = vector_dups._audited_beam(graph, x[:60], 0.93)
+    assert sum(map(len, graph.within(x, 0.93, beam))) == (x @ x.T >= 0.93).sum()
+    # Links of a row to itself are none; few links are no verdict.
+    assert vector_dups._audit(graph, x[:60], 0.93, np.arange(60))[0] == (x[:60] @ x.T >= 0.93).sum() - 60
+    assert vector_dups._least_beam([10, 10, 10, 10, 10]) == 0 and vector_dups._least_beam([100, 90, 98, 99, 100]) == 64
+
+
+def test_one_way_link_counts_at_both_ends():
+    """Searches from one side only: both ends still count what is found."""
+    import pandas as pd
+
+    x = np.eye(8)
+    half = [pd.DataFrame({"label": 0, "shard": s, "shards": 2, "rep": range(s * 8, s * 8 + 8), "copies": 1, "h": range(8), "embedding": list(x)}) for s in (0, 1)]
+    shards = pd.concat([vector_dups._build(p) for p in half], ignore_index=True)
+    shards["beam"] = 32
+    within = vector_dups.Graph.within
+    calls = []
+
+    def one_way(self, q, threshold, beam):
+        calls.append(1)
+        return within(self, q, threshold, beam) if len(calls) == 1 else [np.array([], int)] * len(q)
+
+    vector_dups.Graph.within, keep = one_way, within
+    try:
+        got = vector_dups._pair(0.93, 256)((0, 0, 1), shards)
+    finally:
+        vector_dups.Graph.within = keep
+    assert len(calls) == 2 and dict(zip(got.id, got.n)) == {i: 1 for i in range(16)}
+
+
 # ---- pages
 
 
