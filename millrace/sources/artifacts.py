@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CHUNK = 4 * 1024 * 1024
+#: Files of other file systems than the local one that are hashed as a value of a row.
+VALUE_BYTES = 64 * 1024 * 1024
+
 
 def _binary(spark: SparkSession, path: str, below: str = "") -> DataFrame:
     """Files below ``path/below``; ``key`` is what follows the root folder ``path``."""
@@ -40,12 +48,48 @@ def list_artifacts(spark: SparkSession, path: str, prefix: str = "") -> DataFram
     )
 
 
-def hash_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """``key, size_bytes, sha256`` of every file below ``path``.
+def _stream_hash(chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = []
+            for path in batch.column(2).to_pylist():
+                digest = hashlib.sha256()
+                with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as stream:
+                    while part := stream.read(chunk):
+                        digest.update(part)
+                hashes.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(hashes, pa.string())], names=["key", "size_bytes", "sha256"]
+            )
+
+    return run
+
+
+def _driver_hash(spark: SparkSession, path: str) -> str:
+    """Hash of a file, streamed by the driver's JVM through its Hadoop file system."""
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(file)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def hash_artifacts(spark: SparkSession, path: str, chunk: int = CHUNK, value_bytes: int = VALUE_BYTES) -> DataFrame:
+    """``key, size_bytes, sha256`` of every file that Spark lists below ``path``, whatever its
+    size; it lists no empty ones and none whose name begins with ``_`` or ``.``.
 
-    A file is one value of a row; Spark refuses one above its own limit
-    (``spark.sql.sources.binaryFile.maxLength``, at most 2 GiB) with an error.
+    Files at local paths are read in chunks inside a task. Python tasks do not reach the other
+    file systems of Hadoop: there a file up to ``value_bytes`` is one value of a row, and a
+    larger one is streamed by the driver, one after another, when this is called.
     """
-    return _binary(spark, path).select(
-        "key", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    files = _binary(spark, path).withColumn("size_bytes", F.col("length"))
+    schema = "key string, size_bytes bigint, sha256 string"
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getUri().getScheme() == "file":
+        return files.select("key", "size_bytes", "path").mapInArrow(_stream_hash(chunk), schema)
+    large = files.filter(F.col("length") > value_bytes).select("key", "size_bytes", "path").collect()
+    hashed = [(r["key"], r["size_bytes"], _driver_hash(spark, r["path"])) for r in large]
+    values = files.filter(F.col("length") <= value_bytes).select("key", "size_bytes", F.sha2("content", 256).alias("sha256"))
+    return values.unionByName(spark.createDataFrame(hashed, schema))

@@ -129,6 +129,22 @@ def test_hashes_and_keys_of_files(spark, root):
     assert artifacts.list_artifacts(spark, root + "/none").count() == 0
 
 
+def test_files_above_the_limit_of_a_row_are_hashed(spark, tmp_path):
+    bodies = {"a b.pt": b"0123456789" * 10, "part=1/c.pt": b"x" * 49, "exact": b"1234567"}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "20")
+    try:
+        rows = artifacts.hash_artifacts(spark, str(tmp_path), chunk=7).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    want = {k: (len(b), hashlib.sha256(b).hexdigest()) for k, b in bodies.items()}
+    assert {r["key"]: (r["size_bytes"], r["sha256"]) for r in rows} == want
+    assert artifacts._driver_hash(spark, str(tmp_path / "a b.pt")) == want["a b.pt"][1]
+    assert artifacts.hash_artifacts(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_new_checkpoints_are_picked_up_once(spark, tmp_path):
     from millrace.streaming.runner import drain
     from millrace.streaming.windows import stream_checkpoints
