@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    bpe_counts, decontaminate, licenses, line_dedup, pages, pieces, quality, simhash, toxicity, vector_dups,
+    bpe_counts, decontaminate, licenses, line_dedup, manifest, pages, pieces, quality, simhash, toxicity, vector_dups,
 )
 from millrace.llm.training import held_out
 
@@ -142,3 +142,51 @@ def op5_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = vector_dups.link_vectors(table(spark, sf, "embeddings"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
     return rows.select("vec_id", "n_links", "component_id", kept)
+
+
+@query(
+    "op11_merkle_manifest",
+    r"""WITH RECURSIVE
+crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab
+        FROM (SELECT unnest(range(256))::BIGINT AS i)),
+d AS (SELECT doc_id, source, lang, n_chars, text,
+        CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT,
+               list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+               lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0
+             THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed
+      FROM documents, crc),
+e AS (SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+        || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+        || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS own, coalesce(strlen(changed) || ':' || changed, '-') AS alt FROM d),
+leaves AS (SELECT doc_id, lang, sha256(head || own) AS leaf, sha256(head || alt) AS other,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(head || own)) - 1 AS i,
+             count(*) OVER (PARTITION BY lang) AS n FROM e),
+low AS (SELECT lang, 0 AS lvl, i, n, leaf AS h FROM leaves
+  UNION ALL SELECT lang, lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM low
+            WHERE n > 1 GROUP BY lang, lvl, i // 8, n),
+subs AS (SELECT lang, h, row_number() OVER (ORDER BY lang COLLATE "binary" NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+up AS (SELECT 0 AS lvl, i, n, h FROM subs
+  UNION ALL SELECT lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM up
+            WHERE n > 1 GROUP BY lvl, i // 8, n),
+lows AS (SELECT lang, lvl, i, coalesce(string_agg(h, '') OVER (PARTITION BY lang, lvl, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(h, '') OVER (PARTITION BY lang, lvl, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM low WHERE n > 1),
+ups AS (SELECT lvl, i, coalesce(string_agg(h, '') OVER (PARTITION BY lvl, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+          coalesce(string_agg(h, '') OVER (PARTITION BY lvl, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM up WHERE n > 1),
+steps AS (SELECT f.lang, f.i, lvl, l, r FROM leaves f JOIN lows s ON f.lang IS NOT DISTINCT FROM s.lang AND s.i = f.i >> (3 * lvl)
+  UNION ALL SELECT f.lang, f.i, 100 + lvl, l, r FROM leaves f JOIN subs b ON f.lang IS NOT DISTINCT FROM b.lang
+            JOIN ups s ON s.i = b.i >> (3 * lvl)),
+paths AS (SELECT lang, i, list({'l': l, 'r': r} ORDER BY lvl) AS path FROM steps GROUP BY lang, i),
+root AS (SELECT h AS root FROM up WHERE n = 1),
+done AS (SELECT f.doc_id, f.leaf, b.h AS subroot, root,
+           sha256(coalesce(array_to_string(list_transform(path, lambda x: x.l || x.r), ''), '')) AS proof_sha256,
+           list_reduce(list_prepend({'l': f.other, 'r': ''}, coalesce(path, [])),
+             lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}).l AS folded_root
+         FROM leaves f JOIN subs b ON f.lang IS NOT DISTINCT FROM b.lang
+         LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM f.lang AND p.i = f.i, root)
+SELECT *, folded_root = root AS verified FROM done""",
+)
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = manifest.proofs(manifest.manifest(table(spark, sf, "documents"), manifest.lower_cased()))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
