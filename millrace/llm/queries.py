@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import (
     bpe_counts, decontaminate, licenses, line_dedup, manifest, pages, pieces, quality, simhash, toxicity, vector_dups,
+    whitening,
 )
 from millrace.llm.training import held_out
 
@@ -190,3 +191,14 @@ SELECT *, folded_root = root AS verified FROM done""",
 def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     rows = manifest.proofs(manifest.manifest(table(spark, sf, "documents"), manifest.lower_cased()))
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    rows = rows.select("vec_id", "n", "deviation", "identity_error", each)
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
+        F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error",
+    )
