@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    bpe_counts, decontaminate, licenses, line_dedup, manifest, pages, pieces, quality, simhash, toxicity, vector_dups,
-    whitening,
+    bpe_counts, decontaminate, licenses, line_dedup, manifest, pages, pieces, quality, simhash, substrings, toxicity,
+    vector_dups, whitening,
 )
 from millrace.llm.training import held_out
 
@@ -202,3 +202,9 @@ def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
         F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error",
     )
+
+
+@query("op12_suffix_dedup")
+def op12_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = substrings.drop_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
