@@ -35,6 +35,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,25 +156,23 @@ def chunks(bodies: list[bytes], length: int) -> dict[str, np.ndarray]:
     }
 
 
-def _groups(bodies: list[bytes], most: int) -> Iterator[tuple[int, list[bytes]]]:
-    at = size = 0
-    for k, b in enumerate(bodies):
-        size += len(b)
-        if size >= most:
-            yield at, bodies[at : k + 1]
-            at, size = k + 1, 0
-    if at < len(bodies):
-        yield at, bodies[at:]
+def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch whose values of a binary column come to some ``SLICE``
+    bytes, so that few texts are held as Python values at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE)) + 1
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def _chunk_table(docs: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            bodies = [b or b"" for b in batch.column(1).to_pylist()]
-            for start, part in _groups(bodies, 16 * SLICE):
-                made = chunks(part, length)
-                made["row"] = ids[start + made.pop("text")]
+            for part in _portions(batch, 1):
+                made = chunks(part.column(1).to_pylist(), length)
+                made["row"] = part.column(0).to_numpy()[made.pop("text")]
                 yield pa.RecordBatch.from_pydict({c: made[c] for c in ("row", "i", "runs", "place", "n1", "n2")})
 
     long = docs.where(F.octet_length("body") >= length).select("row", "body")
@@ -444,7 +443,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = spans.select("row", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _portions(whole, 1)):
             removed, count, kept = [], [], []
             for body, starts, ends in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 parts, at, gone, runs = [], 0, 0, 0
