@@ -10,7 +10,7 @@ from millrace.operators import checkpoint_files as CF
 from millrace.queries import query
 from millrace.session import scratch_path
 from millrace.sources import files
-from millrace.sources.artifacts import hash_artifacts, list_artifacts
+from millrace.sources.artifacts import hash_artifacts, list_artifacts, put_artifacts
 from millrace.sources.fleet import fleet_inventory
 
 
@@ -125,78 +125,76 @@ def latest_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return files.latest_jobs(jobs)
 
 
-def _part_files(spark, sf) -> str:
+def _part_files(spark: SparkSession, sf: str) -> str:
     """Keys of a thousand parts to a file, one folder per file; folders grow in number
-    with the table, not in size."""
+    with the table, not in size. Each folder has a hidden part too, every third an empty one."""
     path = scratch_path(spark, "artifacts")
-    rows = B.table(spark, sf, "part").select(
-        F.col("p_partkey").cast("string").alias("value"),
-        F.concat(F.lit("step-"), F.expr("p_partkey div 1000")).alias("folder"),
-        "p_partkey",
-    )
-    (
-        rows.repartition("folder")
-        .sortWithinPartitions("folder", "p_partkey")
-        .drop("p_partkey")
-        .write.partitionBy("folder")
-        .text(path)
+    step = F.expr("p_partkey div 1000")
+    keys = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: k.cast("string")), "\n")
+    bodies = B.table(spark, sf, "part").groupBy(step.alias("step")).agg(F.concat(keys, F.lit("\n")).alias("body"))
+    part = lambda name, body: F.struct(F.lit(name).alias("name"), body.cast("string").alias("body"))
+    parts = F.array(
+        part("part-0.txt", F.col("body")), part("_meta.json", F.col("step")),
+        F.when(F.col("step") % 3 == 0, part("empty.bin", F.lit(""))),
+    )
+    rows = bodies.select("step", F.inline(F.array_compact(parts))).select(
+        F.concat(F.lit("step-"), "step", F.lit("/"), "name").alias("key"), F.encode("body", "UTF-8").alias("body")
     )
+    put_artifacts(rows, path).agg(F.count(F.lit(1))).collect()
     return path
 
 
 _BLOBS = """fb AS (SELECT p_partkey // 1000 AS step,
-  string_agg(p_partkey::VARCHAR, chr(10) ORDER BY p_partkey) || chr(10) AS body FROM part GROUP BY 1)"""
+  string_agg(p_partkey::VARCHAR, chr(10) ORDER BY p_partkey) || chr(10) AS body FROM part GROUP BY 1),
+fa AS (SELECT step, 'part-0.txt' AS name, body FROM fb UNION ALL SELECT step, '_meta.json', step::VARCHAR FROM fb
+  UNION ALL SELECT step, 'empty.bin', '' FROM fb WHERE step % 3 = 0)"""
 
 
 @query(
     "artifact_inventory",
-    f"WITH {_BLOBS} SELECT 'folder=step-' || step AS folder, 1::BIGINT AS files, strlen(body)::BIGINT AS size_bytes FROM fb",
+    f"""WITH {_BLOBS} SELECT 'step-' || step AS folder, count(*) AS files, sum(strlen(body))::BIGINT AS size_bytes,
+    count_if(body = '')::BIGINT AS empty FROM fa GROUP BY step""",
 )
 def artifact_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    listed = list_artifacts(spark, _part_files(spark, sf), "folder=")
+    listed = list_artifacts(spark, _part_files(spark, sf), "step-")
     return listed.groupBy(F.split("key", "/")[0].alias("folder")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("size_bytes")
+        F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("size_bytes"), F.count_if(F.col("size_bytes") == 0).alias("empty")
     )
 
 
 @query(
     "artifact_hashes",
-    f"WITH {_BLOBS} SELECT 'folder=step-' || step AS folder, sha256(body) AS sha256 FROM fb",
+    f"WITH {_BLOBS} SELECT 'step-' || step || '/' || name AS key, sha256(body) AS sha256 FROM fa",
 )
 def artifact_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    hashed = hash_artifacts(spark, _part_files(spark, sf))
-    return hashed.filter(F.col("key").startswith("folder=")).select(
-        F.split("key", "/")[0].alias("folder"), "sha256"
-    )
+    return hash_artifacts(spark, _part_files(spark, sf)).select("key", "sha256")
 
 
 @query(
     "built_manifests",
-    f"""WITH {_BLOBS} SELECT step, 1::BIGINT AS parts, strlen(body)::BIGINT AS size_bytes,
-    'hash_verified' AS validation FROM fb""",
+    f"""WITH {_BLOBS} SELECT step, count(*) AS parts, sum(strlen(body))::BIGINT AS size_bytes,
+    'hash_verified' AS validation FROM fa GROUP BY step""",
 )
 def built_manifests(spark: SparkSession, sf: str) -> DataFrame:
-    parts = CF.build_parts(spark, _part_files(spark, sf)).filter("folder <> ''")
+    parts = CF.build_parts(spark, _part_files(spark, sf))
     return CF.build_manifests(parts, "job", "a0").select("step", "parts", "size_bytes", "validation")
 
 
 @query(
     "verified_files",
-    f"""WITH {_BLOBS} SELECT step, 1::BIGINT AS parts, CAST(step % 2 = 1 AS BIGINT) AS mismatched,
-    step % 2 = 0 AS valid FROM fb""",
+    f"""WITH {_BLOBS} SELECT step, count(*) + 1 - (step % 2) AS parts, 1 - step % 2 AS missing,
+    count_if(step % 4 = 1)::BIGINT AS mismatched, step % 4 = 3 AS valid FROM fa GROUP BY step""",
 )
 def verified_files(spark: SparkSession, sf: str) -> DataFrame:
-    parts = CF.build_parts(spark, _part_files(spark, sf)).filter("folder <> ''")
-    recorded = parts.withColumn(
-        "sha256", F.when(F.col("step") % 2 == 1, "tampered").otherwise(F.col("sha256"))
-    )
-    out = CF.verify_files(recorded, parts)
+    """Even steps lack a part that was recorded, every fourth has other hashes."""
+    parts = CF.build_parts(spark, _part_files(spark, sf))
+    recorded = parts.withColumn("sha256", F.when(F.col("step") % 4 == 1, "tampered").otherwise(F.col("sha256")))
+    gone = parts.filter((F.col("step") % 2 == 0) & (F.col("key") == "part-0.txt")).withColumn("key", F.lit("gone.bin"))
+    out = CF.verify_files(recorded.unionByName(gone), parts)
     return out.select(
         F.regexp_extract("folder", r"(\d+)\z", 1).cast("bigint").alias("step"),
-        "parts",
-        "mismatched",
-        "valid",
-    )
+        "parts", "missing", "mismatched", "valid",
+    )
 
 
 _FLEET = """n AS (SELECT s_suppkey AS s, s_suppkey % 4 AS g, 'pool-' || s_nationkey AS pool FROM supplier)"""

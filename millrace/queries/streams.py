@@ -29,28 +29,48 @@ def _replay(df: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-#: Files that the ledger is dealt to, and how far rows stray from their order.
-_FILES, _LATE_S = 3, 6 * 3600
-
-
-def _mixed_ledger(spark: SparkSession, ledger: DataFrame) -> DataFrame:
-    """Ledger rows streamed file by file, up to six hours out of order and shuffled."""
-    path = scratch_path(spark, "ledger-stream")
-    us = F.unix_micros("ts") + F.pmod(F.xxhash64("seq"), F.lit(_LATE_S)) * 1_000_000
-    rows = ledger.withColumn("_us", us).orderBy(F.xxhash64("seq"))
-    edges = rows.agg(F.percentile_approx("_us", [i / _FILES for i in range(1, _FILES)])).first()[0]
+#: How far rows stray from their order, and in how many batches they come.
+_LATE_S, _SLICES = 6 * 3600, 3
+#: Longer than the data: no key is forgotten within it.
+_KEEP_S = 40 * 86400.0
+
+
+def _dealt(spark: SparkSession, df: DataFrame, late_s: int = _LATE_S):
+    """Play ``df`` up to ``late_s`` out of order, in slices of its time of arrival: yields the
+    stream over all that has arrived each time a slice has been added."""
+    every, path = scratch_path(spark, "arrivals"), scratch_path(spark, "arrived")
+    us = F.unix_micros("ts") + F.pmod(F.xxhash64(*df.columns), F.lit(late_s - 1)) * 1_000_000
+    df.withColumn("_us", us).write.parquet(every)
+    rows = spark.read.parquet(every)
+    edges = rows.agg(F.percentile_approx("_us", [i / _SLICES for i in range(1, _SLICES)])).first()[0]
     bounds = [-(2**62), *edges, 2**62]
     for low, high in zip(bounds, bounds[1:]):
-        part = rows.filter((F.col("_us") > low) & (F.col("_us") <= high)).drop("_us")
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.option("maxFilesPerTrigger", 1)
-    return stream.schema(spark.read.parquet(path).schema).parquet(path)
+        rows.filter((F.col("_us") > low) & (F.col("_us") <= high)).drop("_us").write.mode("append").parquet(path)
+        yield spark.readStream.schema(df.schema).parquet(path)
+
+
+def _fed(spark: SparkSession, df: DataFrame, operator, name: str, late_s: int = _LATE_S) -> DataFrame:
+    """What ``operator`` has written once every slice of ``df`` has come."""
+    base = scratch_path(spark, name)
+    for stream in _dealt(spark, df, late_s):
+        out = drain(operator(stream), name, base)
+    return out
+
+
+def _delay(late_s: int = _LATE_S) -> str:
+    return f"{late_s} seconds"
+
+
+def _mark(of: str, late_s: int = _LATE_S) -> str:
+    """The last watermark over rows ``of`` with a column ``t`` in microseconds, as SQL."""
+    return f"(SELECT max(t) // 1000 * 1000 - {late_s}000000 AS w FROM {of})"
 
 
 def _run_ledger(spark: SparkSession, ledger: DataFrame, tasks: DataFrame) -> tuple[DataFrame, str]:
     """All transitions once the stream has ended, and where the job states are."""
     store = scratch_path(spark, "leases")
-    leases.run_leases(_mixed_ledger(spark, ledger), tasks, store, _LATE_S)
+    for stream in _dealt(spark, ledger):
+        leases.run_leases(stream, tasks, store, _LATE_S)
     return leases.finish(spark, tasks, store, B.AS_OF), store
 
 
@@ -107,80 +127,95 @@ def stream_job_states(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_node_liveness",
-    """WITH b AS (SELECT 'node-' || user_id AS node_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'),
-    l AS (SELECT *, lag(t) OVER (PARTITION BY node_id ORDER BY t) AS p, lead(t) OVER (PARTITION BY node_id ORDER BY t) AS n FROM b),
-    m AS (SELECT max(epoch_us(ts)) // 1000 * 1000 AS w FROM events WHERE event_type = 'purchase')
+    f"""WITH e AS (SELECT 'node-' || user_id AS node_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'),
+    m AS {_mark("e")}, b AS (SELECT e.* FROM e, m WHERE t < w),
+    l AS (SELECT *, lag(t) OVER (PARTITION BY node_id ORDER BY t) AS p, lead(t) OVER (PARTITION BY node_id ORDER BY t) AS n FROM b)
     SELECT node_id, t AS ts_us, 'ONLINE' AS change FROM l WHERE p IS NULL OR t - p >= 3600000000
     UNION ALL SELECT node_id, t + 3600000000, 'OFFLINE' FROM l, m
       WHERE (n IS NOT NULL AND n - t >= 3600000000) OR (n IS NULL AND t + 3600000000 < w)""",
 )
 def stream_node_liveness(spark: SparkSession, sf: str) -> DataFrame:
-    beats = _events(spark, sf).filter("event_type = 'purchase'").select(
-        F.concat(F.lit("node-"), F.col("user_id")).alias("node_id"), "ts"
+    beats = B.table(spark, sf, "events").filter("event_type = 'purchase'").select(
+        F.concat(F.lit("node-"), F.col("user_id")).alias("node_id"), F.col("ts").cast("timestamp").alias("ts")
     )
-    out = drain(keyed.node_liveness(beats, 3600.0, "0 seconds"), "liveness")
-    return out.select("node_id", "ts_us", "change")
+    live = lambda rows: keyed.node_liveness(rows, 3600.0, _delay(), _KEEP_S)
+    return _fed(spark, beats, live, "liveness").select("node_id", "ts_us", "change")
 
 
 @query(
     "stream_step_rate",
-    """WITH b AS (SELECT 'run-' || (user_id % 50) AS run_id, epoch_us(ts) / 1e6 AS ts,
+    f"""WITH e AS (SELECT 'run-' || (user_id % 50) AS run_id, epoch_us(ts) AS t, epoch_us(ts) / 1e6 AS ts,
       event_id // 3 + event_id % 2 * 5 AS step FROM events),
+    m AS {_mark("e")}, b AS (SELECT e.* FROM e, m WHERE t < w),
     l AS (SELECT *, lag(ts) OVER w AS p, lag(step) OVER w AS ps FROM b WINDOW w AS (PARTITION BY run_id ORDER BY ts, step))
     SELECT run_id, step, round((step - ps) / (ts - p), 8) AS rate FROM l WHERE ts > p AND step > ps""",
 )
 def stream_step_rate(spark: SparkSession, sf: str) -> DataFrame:
-    beats = _events(spark, sf).select(
+    beats = B.table(spark, sf, "events").select(
         F.concat(F.lit("run-"), F.col("user_id") % 50).alias("run_id"),
-        (F.unix_micros("ts") / 1_000_000.0).alias("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
         (F.expr("event_id div 3") + F.col("event_id") % 2 * 5).alias("step"),
     )
-    out = drain(keyed.stream_step_rate(beats), "step-rate")
+
+    def rate(rows: DataFrame) -> DataFrame:
+        seconds = rows.withColumn("ts", F.unix_micros("ts") / 1_000_000.0)
+        return keyed.stream_step_rate(seconds, _delay(), _KEEP_S)
+
+    out = _fed(spark, beats, rate, "step-rate")
     return out.select("run_id", "step", F.round("rate", 8).alias("rate"))
 
 
 @query(
     "stream_close_rounds",
-    f"""WITH {B.COMMITS_SQL},
-    rk AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY ts, key) AS rn FROM com),
-    q AS (SELECT round, max(ts) AS at FROM rk WHERE rn <= 5 GROUP BY round HAVING count(*) = 5)
-    SELECT c.round, c.key, CASE WHEN q.at IS NULL OR c.ts <= q.at THEN 'participant' ELSE 'late' END AS kind
-    FROM com c LEFT JOIN q USING (round)""",
+    f"""WITH {B.COMMITS_SQL}, e AS (SELECT round, key, epoch_us(ts) AS t FROM com),
+    m AS {_mark("e")}, f AS (SELECT round, min(t) + 864000000000 AS stop FROM e, m WHERE t < w GROUP BY round),
+    b AS (SELECT e.*, stop, t < stop AS inside FROM e JOIN f USING (round), m WHERE t < w),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY t, key) AS rn FROM b WHERE inside),
+    q AS (SELECT round, max(t) AS done FROM rk WHERE rn <= 5 GROUP BY round HAVING count(*) = 5)
+    SELECT round, key, t AS ts_us, CASE WHEN inside AND (done IS NULL OR t <= done) THEN 'participant' ELSE 'late' END AS kind
+    FROM b LEFT JOIN q USING (round)
+    UNION ALL SELECT round, NULL, stop, 'quorum_not_met' FROM f LEFT JOIN q USING (round), m WHERE done IS NULL AND stop < w""",
 )
 def stream_close_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Rounds of five commits within ten days; some do not get them."""
     from millrace.operators.fedavg import committed_keys
 
-    commits = committed_keys(B.round_commits(spark, sf), B.round_tasks(spark, sf))
-    stream = _replay(commits.select("round", "key", "ts"), "round-commits")
-    out = drain(keyed.close_rounds(stream, 5, 40 * 86400.0), "rounds")
-    return out.filter("kind <> 'quorum_not_met'").select("round", "key", "kind")
+    commits = committed_keys(B.round_commits(spark, sf), B.round_tasks(spark, sf)).select(
+        F.col("round").cast("bigint").alias("round"), "key", F.col("ts").cast("timestamp").alias("ts")
+    )
+    close = lambda rows: keyed.close_rounds(rows, 5, 10 * 86400.0, _delay(), _KEEP_S)
+    return _fed(spark, commits, close, "rounds").select("round", "key", "ts_us", "kind")
+
+
+#: Daily snapshots come up to four days late.
+_SNAPSHOT_LATE_S = 4 * 86400
 
 
 @query(
     "stream_worker_changes",
-    """WITH d AS (SELECT DISTINCT 'job-' || (user_id % 5) AS job_id,
-      CAST(date_diff('day', DATE '2024-01-01', ts::DATE) AS BIGINT) AS seq, 'w-' || user_id AS worker FROM events),
+    f"""WITH e AS (SELECT DISTINCT 'job-' || (user_id % 5) AS job_id,
+      CAST(date_diff('day', DATE '2024-01-01', ts::DATE) AS BIGINT) AS seq, epoch_us(ts::DATE) AS t, 'w-' || user_id AS worker FROM events),
+    m AS {_mark("e", _SNAPSHOT_LATE_S)}, d AS (SELECT e.* FROM e, m WHERE t < w),
     s AS (SELECT DISTINCT job_id, seq FROM d),
-    n AS (SELECT job_id, seq, lead(seq) OVER (PARTITION BY job_id ORDER BY seq) AS nxt FROM s)
-    SELECT job_id, n.nxt AS seq, worker, 'RAY_WORKER_LOST' AS type FROM d JOIN n USING (job_id, seq)
+    n AS (SELECT job_id, seq, lead(seq) OVER (PARTITION BY job_id ORDER BY seq) AS nxt FROM s),
+    c AS (SELECT job_id, n.nxt AS seq, worker, 'RAY_WORKER_LOST' AS type FROM d JOIN n USING (job_id, seq)
       WHERE nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d x WHERE x.job_id = d.job_id AND x.seq = n.nxt AND x.worker = d.worker)
     UNION ALL
     SELECT d.job_id, d.seq, d.worker, 'RAY_WORKER_REPLACED' FROM d JOIN n ON n.job_id = d.job_id AND n.nxt = d.seq
-      WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.job_id = d.job_id AND x.seq = n.seq AND x.worker = d.worker)""",
+      WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.job_id = d.job_id AND x.seq = n.seq AND x.worker = d.worker))
+    SELECT *, CASE WHEN type = 'RAY_WORKER_LOST' THEN 'RECOVERING' ELSE 'RUNNING' END AS job_state FROM c""",
 )
 def stream_worker_changes(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.col("ts").cast("date")
     snapshots = (
         B.table(spark, sf, "events")
-        .groupBy(
-            F.concat(F.lit("job-"), F.col("user_id") % 5).alias("job_id"),
-            F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-            .cast("bigint")
-            .alias("seq"),
-        )
-        .agg(F.collect_set(F.concat(F.lit("w-"), F.col("user_id"))).alias("workers"))
+        .groupBy(F.concat(F.lit("job-"), F.col("user_id") % 5).alias("job_id"), day.cast("timestamp").alias("ts"))
+        .agg(F.array_sort(F.collect_set(F.concat(F.lit("w-"), F.col("user_id")))).alias("workers"))
+        .withColumn("seq", F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint"))
     )
-    out = drain(keyed.worker_changes(_replay(snapshots, "snapshots")), "worker-changes")
-    return out.select("job_id", "seq", "worker", "type")
+    change = lambda rows: keyed.worker_changes(rows, _delay(_SNAPSHOT_LATE_S), _KEEP_S)
+    out = _fed(spark, snapshots, change, "worker-changes", _SNAPSHOT_LATE_S)
+    return out.select("job_id", "seq", "worker", "type", "job_state")
 
 
 @query(

@@ -129,20 +129,39 @@ def test_hashes_and_keys_of_files(spark, root):
     assert artifacts.list_artifacts(spark, root + "/none").count() == 0
 
 
-def test_files_above_the_limit_of_a_row_are_hashed(spark, tmp_path):
-    bodies = {"a b.pt": b"0123456789" * 10, "part=1/c.pt": b"x" * 49, "exact": b"1234567"}
+def test_every_file_is_hashed_in_chunks(spark, tmp_path, monkeypatch):
+    """Empty and hidden files, names with signs, files larger than a chunk and a partition."""
+    bodies = {"a b.pt": b"0123456789" * 10, "part=1/c.pt": b"x" * 49, "exact": b"1234567", "empty": b"", "_meta": b"m",
+              ".hidden": b"h", "step-1/.x/_y.pt": b"deep", "é%20#.bin": b"odd"}
     for name, body in bodies.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_bytes(body)
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "20")
-    try:
-        rows = artifacts.hash_artifacts(spark, str(tmp_path), chunk=7).collect()
-    finally:
-        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     want = {k: (len(b), hashlib.sha256(b).hexdigest()) for k, b in bodies.items()}
-    assert {r["key"]: (r["size_bytes"], r["sha256"]) for r in rows} == want
-    assert artifacts._driver_hash(spark, str(tmp_path / "a b.pt")) == want["a b.pt"][1]
+    monkeypatch.setattr(artifacts, "PARTITION_BYTES", 20)
+    for path in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        rows = artifacts.hash_artifacts(spark, path, chunk=7).collect()
+        assert {r["key"]: (r["size_bytes"], r["sha256"]) for r in rows} == want and len(rows) == len(want)
     assert artifacts.hash_artifacts(spark, str(tmp_path / "none")).count() == 0
+    sizes = [len(p.files) for p in artifacts.ArtifactReader({"path": str(tmp_path)}).partitions()]
+    assert sum(sizes) == len(bodies) and len(sizes) > 3
+    listed = artifacts.list_artifacts(spark, str(tmp_path), "step-1/").collect()
+    assert [r["uri"] for r in listed] == ["artifact://step-1/.x/_y.pt"]
+
+
+def test_an_empty_and_a_hidden_part_are_part_of_a_checkpoint(spark, tmp_path):
+    rows = [("step-1/empty.pt", b""), ("step-1/_meta.json", b"{}"), ("step-1/rank0.pt", b"r0"), ("step-2/rank0.pt", None)]
+    put = artifacts.put_artifacts(spark.createDataFrame(rows, "key string, body binary"), str(tmp_path)).collect()
+    assert sorted((r["key"], r["size_bytes"]) for r in put) == [
+        ("step-1/_meta.json", 2), ("step-1/empty.pt", 0), ("step-1/rank0.pt", 2), ("step-2/rank0.pt", 0)]
+    parts = CF.build_parts(spark, str(tmp_path))
+    built = {r["step"]: (r["parts"], r["size_bytes"]) for r in CF.build_manifests(parts, "j", "a").collect()}
+    assert built == {1: (3, 4), 2: (1, 0)}
+    recorded = spark.createDataFrame(parts.collect(), parts.schema)
+    assert all(r["valid"] for r in CF.verify_files(recorded, CF.build_parts(spark, str(tmp_path))).collect())
+    now = CF.build_parts(spark, str(tmp_path))
+    (tmp_path / "step-1" / "empty.pt").unlink()
+    verdicts = CF.verify_files(recorded, now).collect()
+    assert {r["folder"]: (r["missing"], r["valid"]) for r in verdicts} == {"step-1": (1, False), "step-2": (0, True)}
 
 
 def test_new_checkpoints_are_picked_up_once(spark, tmp_path):
