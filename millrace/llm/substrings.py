@@ -15,8 +15,8 @@ copies. Anchors cut a text into chunks.
    rank is unique, none of them is repeated. Its outer run holds all their strings: if a
    pair of ranks covering it is found twice, all of them are repeated.
 3. The rest are starts near the ends of a repeated passage. Their strings are named
-   themselves, in blocks of ``BLOCK`` distances to the anchor (again an inner string decides
-   that none, an outer string that all are repeated), then one by one.
+   themselves, in blocks of ``BLOCKS`` distances to the anchor (again an inner string decides
+   that none, an outer string that all are repeated), down to one by one.
 
 Sorting replaces every join on names: a name is repeated if a neighbour in the sorted order
 has it, so one that a third of all rows share is spread over many tasks. One of each class
@@ -31,35 +31,59 @@ result rows. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.session import scratch_path
 
 LENGTH = 400
 #: Bytes whose hash decides whether a position is an anchor.
 GRAM = 16
-#: Distances to an anchor that are named together before they are named one by one.
-BLOCK = 16
+#: Distances to an anchor that are named together, from round to round.
+BLOCKS = (16, 4, 1)
 #: Bytes of text whose hashes are held at once.
 SLICE = 1 << 17
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``stored``; the shuffles of the step are removed when it is written."""
-    conf = df.sparkSession.conf
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder, and where; the shuffles of the step are removed
+    when it is written."""
+    spark, conf = df.sparkSession, df.sparkSession.conf
+    path = scratch_path(spark, f"substrings-{name}")
     before = conf.get(_CLEAN, None)
     conf.set(_CLEAN, "true")
     try:
-        return stored(df, f"substrings-{name}")
+        df.write.parquet(path)
     finally:
         conf.set(_CLEAN, before) if before is not None else conf.unset(_CLEAN)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables of the steps so far, which go when no later step reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        rows, path = _stored(df, name)
+        self.paths.append(path)
+        return rows
+
+    def clear(self, but: int = 0) -> None:
+        """Remove all tables but the last ones."""
+        gone = self.paths[: len(self.paths) - but]
+        self.paths = self.paths[len(gone) :]
+        for name in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 # ---- anchors and chunks of texts
@@ -216,14 +240,14 @@ def _marked(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.Record
         yield from mark(rest, prev, last=True)[0].to_batches()
 
 
-def recurring(df: DataFrame, name: str, ties: list[str], keep: bool = False) -> DataFrame:
+def recurring(df: DataFrame, name: str, ties: list[str], scratch: Scratch, keep: bool = False) -> DataFrame:
     """The rows of ``df`` whose name ``n1, n2`` another row has, and ``head`` for at least
     one row of each name. ``ties`` tell rows of a name apart, so that they can be dealt out
     over tasks. With ``keep`` all rows, and ``twice`` for those."""
     keys = ["n1", "n2", *ties]
     rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", twice boolean, head boolean, edge boolean"
-    rows = _stored(rows.mapInArrow(lambda batches: _marked(batches, keep), schema), name)
+    rows = scratch.stored(rows.mapInArrow(lambda batches: _marked(batches, keep), schema), name)
     # A name that goes on in the next task is the last there and the first here: two rows a task.
     over = rows.where("edge").groupBy("n1", "n2").agg(F.count("*").alias("held")).where("held > 1")
     open_ = rows.where("edge and not twice").join(over, ["n1", "n2"], "left")
@@ -239,7 +263,7 @@ def _name(*parts) -> list[Column]:
 # ---- doubling
 
 
-def levels(first: DataFrame) -> list[DataFrame]:
+def levels(first: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """The repeated runs of 1, 2, 4 ... chunks: ``row, i, runs, n1, n2``."""
     out, h = [first.select("row", "i", "runs", "n1", "n2")], 1
     while True:
@@ -247,7 +271,7 @@ def levels(first: DataFrame) -> list[DataFrame]:
         here = now.where(F.col("runs").bitwiseAND(0xFFFF) > h)  # not yet past the length
         there = now.select("row", (F.col("i") - h).alias("i"), F.col("n1").alias("m1"), F.col("n2").alias("m2"))
         pairs = here.join(there, ["row", "i"]).select("row", "i", "runs", *_name("n1", "n2", "m1", "m2"))
-        pairs = recurring(pairs, f"runs-{2 * h}", ["row", "i"])
+        pairs = recurring(pairs, f"runs-{2 * h}", ["row", "i"], scratch)
         if pairs.isEmpty():
             return out
         out.append(pairs)
@@ -348,52 +372,55 @@ def _long_pair(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x[:, 0], x[:, 1]
 
 
-def _block_names(items: DataFrame, length: int) -> DataFrame:
-    """For each block of distances of an item: ``x, y`` its least and largest distance,
-    the inner name ``n1, n2`` of all of the block and the outer name ``o1, o2`` of x to y."""
+def _block_names(items: DataFrame, length: int, block: int) -> DataFrame:
+    """For each block of the distances ``x`` to ``y`` of an item: its least and largest
+    distance, the inner name ``n1, n2`` of all of the block (wherever it may begin) and the
+    outer name ``o1, o2`` of the strings at these distances."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _portions(whole, 6)):
             out: dict[str, list] = {c: [] for c in ("row", "i", "witness", "x", "y")}
             inner, outer = [], []
-            for row, i, place, witness, body in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                gap, far = place >> 16 & 0xFFFF, place & 0xFFFF  # distances from far - gap + 1 to far
-                for b in range(max(far - gap + 1, 0) // BLOCK, far // BLOCK + 1):
-                    x, y = max(BLOCK * b, far - gap + 1), min(BLOCK * b + BLOCK - 1, far)
+            for row, i, far, witness, first, last, body in zip(*(c.to_pylist() for c in batch.columns)):
+                for b in range(first // block, last // block + 1):
+                    x, y = max(block * b, first), min(block * b + block - 1, last)
                     for c, v in zip(out, (row, i, witness, x, y)):
                         out[c].append(v)
-                    inner.append(_digest(b"%d:" % b, body[far - BLOCK * b : far - BLOCK * b - BLOCK + 1 + length]))
-                    outer.append(_digest(b"%d:%d:" % (x, y), body[far - y : far - x + length]))
-            n, o = _long_pair(inner), _long_pair(outer)
+                    inner.append(_digest(b"%d:" % b, body[far - block * b : far - block * b - block + 1 + length]))
+                    if block > 1:
+                        outer.append(_digest(b"%d:%d:" % (x, y), body[far - y : far - x + length]))
+            n, o = _long_pair(inner), _long_pair(outer or inner)
             cols = {**out, "n1": n[0], "n2": n[1], "o1": o[0], "o2": o[1]}
             types = {"i": pa.int32(), "x": pa.int32(), "y": pa.int32(), "witness": pa.bool_()}
             yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.int64())) for c, v in cols.items()})
 
-    schema = "row long, i int, witness boolean, x int, y int, n1 long, n2 long, o1 long, o2 long"
-    return items.select("row", "i", "place", "witness", "body").mapInArrow(cut, schema)
-
-
-def _string_names(items: DataFrame, length: int) -> DataFrame:
-    """``row, i, start, witness, n1, n2`` of every string of the blocks ``x, y`` of items."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("row", "i", "start", "witness")}
-            names = []
-            for row, i, place, witness, x, y, body in zip(*(batch.column(c).to_pylist() for c in range(7))):
-                lo, far = place >> 32, place & 0xFFFF
-                for d in range(x, y + 1):
-                    for c, v in zip(out, (row, i, lo + far - d, witness)):
-                        out[c].append(v)
-                    names.append(_digest(b"%d:" % d, body[far - d : far - d + length]))
-            n1, n2 = _long_pair(names)
-            types = {"i": pa.int32(), "witness": pa.bool_()}
-            yield pa.RecordBatch.from_pydict(
-                {c: pa.array(v, types.get(c, pa.int64())) for c, v in {**out, "n1": n1, "n2": n2}.items()}
-            )
-
-    schema = "row long, i int, start long, witness boolean, n1 long, n2 long"
-    return items.select("row", "i", "place", "witness", "x", "y", "body").mapInArrow(cut, schema)
+    far = F.col("place").bitwiseAND(0xFFFF).cast("int").alias("far")
+    rows = items.select("row", "i", far, "witness", "x", "y", "body")
+    return rows.mapInArrow(cut, "row long, i int, witness boolean, x int, y int, n1 long, n2 long, o1 long, o2 long")
+
+
+def _refined(items: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """``row, i, x, y``: the distances of the items, other than witnesses, whose strings are
+    repeated. ``items``: ``row, i, place, witness, body``, all that may equal each other."""
+    far = F.col("place").bitwiseAND(0xFFFF)
+    open_ = items.select("row", "i", "witness", F.greatest(far - _gap() + 1, F.lit(0)).cast("int").alias("x"), far.cast("int").alias("y"))
+    found = []
+    for block in BLOCKS:
+        asked = items.drop("witness").join(open_, ["row", "i"])
+        names = scratch.stored(_block_names(asked, length, block), f"names-{block}")
+        same = recurring(names, f"inner-{block}", ["row", "i", "x"], scratch).drop("head")
+        if block == 1:
+            found.append(same.where("not witness").select("row", "i", "x", "y"))
+            break
+        same = same.withColumnsRenamed({"n1": "m1", "n2": "m2", "o1": "n1", "o2": "n2"})
+        same = recurring(same, f"outer-{block}", ["row", "i", "x"], scratch, keep=True)
+        found.append(same.where("twice and not witness").select("row", "i", "x", "y"))
+        cols = ["row", "i", "x", "y", "m1", "m2"]
+        left = same.where("not twice and not witness").select(cols)
+        seen = same.where("witness or twice").where("head or not twice").select(cols)
+        seen = seen.join(left.select("m1", "m2").distinct(), ["m1", "m2"], "left_semi").select(cols)
+        open_ = left.withColumn("witness", F.lit(False)).unionAll(seen.withColumn("witness", F.lit(True))).drop("m1", "m2")
+    return reduce(DataFrame.unionAll, found)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -401,9 +428,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     row may overlap."""
     if not 2 * GRAM <= length < 1 << 15:
         raise ValueError(f"length must lie between {2 * GRAM} and {(1 << 15) - 1}")
-    first = recurring(_chunk_table(docs, length), "chunks", ["row", "i"])
-    anchors = _stored(judged(first, levels(first)), "anchors")
-    sure = recurring(anchors.where("n1 is not null"), "outer", ["row", "i"], keep=True)
+    scratch = Scratch(docs.sparkSession)
+    names = scratch.stored(_chunk_table(docs, length), "chunks")
+    first = recurring(names, "repeated-chunks", ["row", "i"], scratch)
+    anchors = scratch.stored(judged(first, levels(first, scratch)), "anchors")
+    scratch.clear(but=1)
+    sure = recurring(anchors.where("n1 is not null"), "outer", ["row", "i"], scratch, keep=True)
     spans = sure.where("twice").select("row", _lo().alias("start"), (_lo() + _gap() - 1 + length).alias("end"))
 
     cols = ["row", "i", "place", "k1", "k2"]
@@ -412,33 +442,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     witnesses = sure.where("twice and head").select(cols).join(kinds, ["k1", "k2"], "left_semi").select(cols)
     items = unsure.withColumn("witness", F.lit(False)).unionAll(witnesses.withColumn("witness", F.lit(True)))
     body = F.substring(F.col("body"), (_lo() + 1).cast("int"), (_gap() - 1 + length).cast("int"))
-    items = _stored(docs.join(items, "row").select("row", "i", "place", "witness", body.alias("body")), "items")
-
-    blocks = recurring(_block_names(items, length), "blocks", ["row", "i", "x"]).drop("head")
-    inner = [F.col("n1").alias("m1"), F.col("n2").alias("m2")]
-    blocks = blocks.select("row", "i", "witness", "x", "y", *inner, F.col("o1").alias("n1"), F.col("o2").alias("n2"))
-    blocks = recurring(blocks, "block-strings", ["row", "i", "x"], keep=True)
-    where = items.select("row", "i", "place")
-    found = blocks.where("twice and not witness").join(where, ["row", "i"])
-    at = _lo() + F.col("place").bitwiseAND(0xFFFF)
-    spans = spans.unionAll(found.select("row", (at - F.col("y")).alias("start"), (at - F.col("x") + length).alias("end")))
+    items = docs.join(items, "row").select("row", "i", "place", "witness", body.alias("body"))
+    items = scratch.stored(items, "items")
 
-    left = blocks.where("not twice and not witness").select("row", "i", "x", "y", "m1", "m2", "witness")
-    seen = blocks.where("witness or twice").where("head or not twice")
-    seen = seen.join(left.select("m1", "m2").distinct(), ["m1", "m2"], "left_semi")
-    left = left.unionAll(seen.select("row", "i", "x", "y", "m1", "m2", F.lit(True)))
-    strings = items.drop("witness").join(left, ["row", "i"])
-    strings = recurring(_string_names(strings, length), "strings", ["row", "start"])
-    strings = strings.where("not witness").select("row", "start", (F.col("start") + length).alias("end"))
-    return spans.unionAll(strings)
+    found = _refined(items, length, scratch).join(items.select("row", "i", "place"), ["row", "i"])
+    at = _lo() + F.col("place").bitwiseAND(0xFFFF)
+    found = found.select("row", (at - F.col("y")).alias("start"), (at - F.col("x") + length).alias("end"))
+    out = _stored(spans.unionAll(found), "spans")[0]
+    scratch.clear()
+    return out
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes) for every row of ``doc_id, text``."""
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", body.alias("body"))
-    docs = _stored(docs, "texts")
-    spans = _stored(repeated_spans(docs.select("row", "body"), length), "spans")
+    docs = _stored(docs, "texts")[0]
+    spans = repeated_spans(docs.select("row", "body"), length)
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))  # of one text
     spans = spans.select("row", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
