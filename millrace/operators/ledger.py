@@ -86,13 +86,18 @@ def last_beats(events: DataFrame, tasks: DataFrame, slice_s: float = SLICE_S) ->
     )
 
 
-def granted_leases(events: DataFrame, tasks: DataFrame) -> DataFrame:
+def most_attempts(tasks: DataFrame) -> int:
+    """The largest attempt limit of any task."""
+    return tasks.agg(F.max("max_attempts")).first()[0] or 0
+
+
+def granted_leases(events: DataFrame, tasks: DataFrame, bound: int | None = None) -> DataFrame:
     """The first ``max_attempts`` claims of each task with everything said about them.
 
-    One number (the largest attempt limit) is read up front: a constant bound
-    lets Spark drop surplus claims before they are shuffled by task.
+    One number (the largest attempt limit) is read up front, where it is not given: a
+    constant bound lets Spark drop surplus claims before they are shuffled by task.
     """
-    bound = tasks.agg(F.max("max_attempts")).first()[0] or 0
+    bound = most_attempts(tasks) if bound is None else bound
     kind = F.col("type")
     closing = kind.isin("COMMIT_OFFERED", "TASK_ATTEMPT_FAILED")
     per_lease = (
@@ -145,7 +150,7 @@ def leases(events: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
     return every.filter(F.col("won").isNull() | (F.col("attempt") <= F.col("won")))
 
 
-def judged_leases(events: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
+def judged_leases(events: DataFrame, tasks: DataFrame, as_of, bound: int | None = None) -> DataFrame:
     """As :func:`leases`, with the claims made after a task had its result."""
     now = instant(as_of)
     seen = events.filter(F.col("ts") <= now)
@@ -154,7 +159,7 @@ def judged_leases(events: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
         .groupBy(*TASK)
         .agg(F.min(F.struct("ts", "seq")).alias("cancel"))
     )
-    joined = granted_leases(seen, tasks).join(cancels, TASK, "left")
+    joined = granted_leases(seen, tasks, bound).join(cancels, TASK, "left")
     close_at = F.struct("c.ts", "c.seq")
     closed = F.coalesce(
         (F.col("c.ts") < F.col("deadline"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, written
 
 
 def epoch_seconds(ts: Column) -> Column:
@@ -116,30 +116,38 @@ def running_sum(
     )
 
 
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Inclusive running sum of ``value`` within each key along ``order``, in which rows of a
+    key differ. Rows are dealt out by ranges of key and order, so that a key is spread over
+    as many tasks as its rows need; one total per key and range is carried along."""
+    keys, order = list(keys), list(order)
+    arranged = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    arranged = written(arranged, "prefix-sums")
+    return running_sum(arranged, keys, order, value, F.col("_range"), name).drop("_range")
+
+
 def count_in_window(
     df: DataFrame, keys: Sequence[str], ts: str, seconds: float, name: str
 ) -> DataFrame:
     """Rows of the same key in ``[ts - seconds, ts]``, the row itself included.
 
-    Buckets are as wide as the window, so everything a row can see lies in its
-    own bucket or the one before. Each row is sent to its own bucket and, as a
-    witness only, to the next one.
+    Equal times of a key are counted first. The count up to a time and the one up to just
+    before its window are two prefix sums, and what a row sees is their difference; only
+    keys, times and counts are sorted. The rows themselves move once at most, to be joined
+    with the counts of their time; a null time or key counts nothing and is 0.
     """
     keys = list(keys)
-    own = time_bucket(F.col(ts), seconds)
-    sent = df.withColumn("_own", own).withColumn(
-        "_b", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
-    )
-    frame = (
-        Window.partitionBy(*keys, "_b")
-        .orderBy(F.unix_micros(ts))
-        .rangeBetween(-int(round(seconds * 1_000_000)), 0)
-    )
-    return (
-        sent.withColumn(name, F.count(F.lit(1)).over(frame))
-        .filter("_b = _own")
-        .drop("_b", "_own")
-    )
+    width = int(round(seconds * 1_000_000))
+    points = df.select(*keys, F.unix_micros(ts).alias("_x")).dropna().groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    points = written(points, "window-points")
+    # At equal times a question stands after the rows it asks for.
+    asked = points.select(*keys, (F.col("_x") - width - 1).alias("_x"), F.lit(0).cast("bigint").alias("_c"), F.lit(1).alias("_k"))
+    sums = prefix_sums(points.withColumn("_k", F.lit(0)).unionByName(asked), keys, ["_x", "_k"], "_c", "_s")
+    at = F.when(F.col("_k") == 0, F.col("_x")).otherwise(F.col("_x") + width + 1)
+    sign = F.when(F.col("_k") == 0, F.col("_s")).otherwise(-F.col("_s"))
+    counts = sums.groupBy(*keys, at.alias("_t")).agg(F.sum(sign).alias(name))
+    rows = df.withColumn("_t", F.unix_micros(ts)).join(counts, [*keys, "_t"], "left")
+    return rows.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint"))).select(*df.columns, name)
 
 
 def with_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from millrace.functions.keys import is_restart
 from millrace.functions.readings import number_or_null
 from millrace.functions.vectors import finite
 from millrace.operators.ordered import previous_row, row_numbers, with_index
-from millrace.session import cut_lineage
+from millrace.session import written
 
 # How much of a run is shown, and when a rate is no longer live.
 TAIL_METRICS = 500
@@ -130,8 +131,10 @@ def descendants(
 ) -> DataFrame:
     """Root and depth of every process below a root: adds ``root_pid, depth``.
 
-    Each round doubles the distance every process has looked upwards, so a chain
-    of a million parents takes twenty joins. Rounds stop when nothing moves.
+    Each round doubles the distance that open processes have looked upwards, so a chain of
+    a million parents takes twenty joins. A process is open while it does not know its top:
+    only open rows are joined and written again, the others are looked up where they are,
+    until no row is open.
     """
     keys = list(keys)
     base = processes.select(
@@ -141,39 +144,28 @@ def descendants(
         F.coalesce(is_root, F.lit(False)).alias("_root"),
     )
     known = base.select(*keys, F.col("pid").alias("_up"), F.lit(True).alias("_here"))
-    state = (
-        base.join(known, [*keys, "_up"], "left")
-        .withColumn("_up", F.when(F.col("_here"), F.col("_up")))
-        .select(
-            *keys, "pid", "_up", F.col("pid").alias("_top"), F.lit(0).cast("bigint").alias("depth"), "_root"
-        )
-    )
-    state = cut_lineage(state)
+    named = base.filter(F.col("_up").isNotNull()).join(known, [*keys, "_up"], "left")
+    top = [F.col("pid").alias("_top"), F.lit(0).cast("bigint").alias("depth"), "_root"]
+    tops = base.filter(F.col("_up").isNull()).select(*keys, "pid", *top)
+    tops = tops.unionByName(named.filter(F.col("_here").isNull()).select(*keys, "pid", *top))
+    closed = [written(tops, "process-tops")]
+    # ``depth`` of an open row is how far ``_up`` lies above it.
+    open_ = named.filter("_here").select(*keys, "pid", "_up", F.lit(1).cast("bigint").alias("depth"))
+    open_ = written(open_, "processes")
     for _ in range(max_rounds):
-        if state.filter(F.col("_up").isNotNull()).limit(1).count() == 0:
+        if open_.isEmpty():
             break
-        above = state.select(
-            *keys,
-            F.col("pid").alias("_up"),
-            F.col("_up").alias("_up2"),
-            F.col("_top").alias("_top2"),
-            F.col("depth").alias("_d2"),
-            F.col("_root").alias("_root2"),
-        )
-        state = cut_lineage(
-            state.join(above, [*keys, "_up"], "left").select(
-                *keys,
-                "pid",
-                F.col("_up2").alias("_up"),
-                F.coalesce("_top2", "_top").alias("_top"),
-                F.when(F.col("_top2").isNull(), F.col("depth"))
-                .otherwise(F.col("depth") + F.lit(1) + F.col("_d2"))
-                .alias("depth"),
-                F.coalesce("_root2", "_root").alias("_root"),
-            )
+        done = reduce(DataFrame.unionByName, closed).select(
+            *keys, F.col("pid").alias("_up"), "_top", F.col("depth").alias("_d"), F.col("_root")
         )
+        far = open_.select(*keys, F.col("pid").alias("_up"), F.col("_up").alias("_up2"), F.col("depth").alias("_d"))
+        met = open_.join(far.unionByName(done, allowMissingColumns=True), [*keys, "_up"])
+        met = written(met.withColumn("depth", F.col("depth") + F.col("_d")), "processes")
+        closed.append(met.filter(F.col("_up2").isNull()).select(*keys, "pid", "_top", "depth", "_root"))
+        open_ = met.filter(F.col("_up2").isNotNull()).select(*keys, "pid", F.col("_up2").alias("_up"), "depth")
     else:
         raise ValueError("the parent links contain a cycle")
+    state = reduce(DataFrame.unionByName, closed)
     found = state.filter("_root").select(*keys, "pid", F.col("_top").alias("root_pid"), "depth")
     return processes.join(found, [*keys, "pid"])
 

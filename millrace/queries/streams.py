@@ -31,6 +31,8 @@ def _replay(df: DataFrame, name: str) -> DataFrame:
 
 #: How far rows stray from their order, and in how many batches they come.
 _LATE_S, _SLICES = 6 * 3600, 3
+#: Cuts of the open tasks.
+_BUCKETS = 8
 #: Longer than the data: no key is forgotten within it.
 _KEEP_S = 40 * 86400.0
 
@@ -66,12 +68,12 @@ def _mark(of: str, late_s: int = _LATE_S) -> str:
     return f"(SELECT max(t) // 1000 * 1000 - {late_s}000000 AS w FROM {of})"
 
 
-def _run_ledger(spark: SparkSession, ledger: DataFrame, tasks: DataFrame) -> tuple[DataFrame, str]:
+def _run_ledger(spark: SparkSession, ledger: DataFrame, tasks: DataFrame, jobs: bool = False) -> tuple[DataFrame, str]:
     """All transitions once the stream has ended, and where the job states are."""
     store = scratch_path(spark, "leases")
     for stream in _dealt(spark, ledger):
-        leases.run_leases(stream, tasks, store, _LATE_S)
-    return leases.finish(spark, tasks, store, B.AS_OF), store
+        leases.run_leases(stream, tasks, store, _LATE_S, buckets=_BUCKETS, jobs=jobs)
+    return leases.finish(spark, tasks, store, B.AS_OF, _BUCKETS, jobs), store
 
 
 def _transitions(spark, sf):
@@ -121,7 +123,7 @@ def stream_job_states(spark: SparkSession, sf: str) -> DataFrame:
         {"job_id": F.concat(F.lit("job-"), F.expr("_n div 3")), "task_id": F.concat(F.lit("task-"), "_n")}
     ).drop("_n")
     ledger = B.ledger(spark, sf).filter("type <> 'NODE_HEARTBEAT'")
-    _, store = _run_ledger(spark, own(ledger), own(B.ledger_tasks(spark, sf)))
+    _, store = _run_ledger(spark, own(ledger), own(B.ledger_tasks(spark, sf)), jobs=True)
     return leases.job_states(spark, store)
 
 

@@ -137,6 +137,24 @@ def test_descendants_and_cycles(spark):
         M.descendants(loop, ["s"], F.lit(False), max_rounds=4)
 
 
+def test_only_open_processes_are_written_again(spark, monkeypatch):
+    """A chain of 200 and 300 processes beside their root: the rounds write ever fewer rows."""
+    sizes, real = [], M.written
+
+    def watch(df, name):
+        out = real(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(M, "written", watch)
+    chain = [(1, k, k - 1 if k else None) for k in range(200)] + [(1, 1000 + k, 0) for k in range(300)]
+    out = M.descendants(frame(spark, "s int, pid int, ppid int", *chain), ["s"], F.col("pid") == 0)
+    depths = {r["pid"]: r["depth"] for r in out.collect()}
+    assert depths == {**{k: k for k in range(200)}, **{1000 + k: 1 for k in range(300)}}
+    rounds = [n for name, n in sizes if name == "processes"][1:]
+    assert len(rounds) == 8 and rounds == sorted(rounds, reverse=True) and rounds[1] < 200
+
+
 def test_means_and_set_changes(spark):
     df = frame(spark, "n string, cpu double", ("a", 0.0), ("a", float("nan")), ("a", None), ("b", None))
     got = {r["n"]: (r["cpu_mean"], r["cpu_n"]) for r in M.mean_readings(df, ["n"], ["cpu"]).collect()}
