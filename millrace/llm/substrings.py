@@ -245,14 +245,15 @@ def recurring(df: DataFrame, name: str, ties: list[str], scratch: Scratch, keep:
     one row of each name. ``ties`` tell rows of a name apart, so that they can be dealt out
     over tasks. With ``keep`` all rows, and ``twice`` for those."""
     keys = ["n1", "n2", *ties]
-    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = df.repartitionByRange(*keys).sortWithinPartitions("n1", "n2")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", twice boolean, head boolean, edge boolean"
     rows = scratch.stored(rows.mapInArrow(lambda batches: _marked(batches, keep), schema), name)
     # A name that goes on in the next task is the last there and the first here: two rows a task.
     over = rows.where("edge").groupBy("n1", "n2").agg(F.count("*").alias("held")).where("held > 1")
-    open_ = rows.where("edge and not twice").join(over, ["n1", "n2"], "left")
-    open_ = open_.withColumn("twice", F.col("held").isNotNull()).withColumn("head", F.lit(True)).select(rows.columns)
-    rows = rows.where("not edge or twice").unionAll(open_).drop("edge")
+    rows = rows.join(F.broadcast(over), ["n1", "n2"], "left")
+    went = F.col("edge") & ~F.col("twice")
+    rows = rows.withColumns({"twice": F.col("twice") | (went & F.col("held").isNotNull()), "head": F.col("head") | went})
+    rows = rows.select(*df.columns, "twice", "head")
     return rows if keep else rows.where("twice").drop("twice")
 
 
