@@ -27,6 +27,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
+    """``_k1, _k2``: a 128-bit key of a row's id and text. Only rows with the same id, or
+    both without one, and the same text share it."""
+    parts = [F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text)]
+    return {f"_k{k}": F.xxhash64(F.lit(k), *parts) for k in (1, 2)}
+
+
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost
     executor costs no recomputation of what came before."""

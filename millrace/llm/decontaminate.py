@@ -17,20 +17,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored, text_of, words
+from millrace.llm.common import row_key, stored, text_of, words
 
 WINDOW = 10
-#: Window tables up to this many rows (about 100 bytes each) are sent to every executor.
-BROADCAST_WINDOWS = 400_000
+#: Window tables up to this many bytes, words and their counts included, are sent to every
+#: executor; larger ones meet the words of the documents in a shuffle.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows: ``window`` (its words), ``items`` (ids as strings)."""
+    """Distinct windows: ``window`` (its words), ``items`` (ids as strings, sorted)."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     start = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     rows = items.select("item_id", "w", F.explode(start).alias("s"))
     rows = rows.select("item_id", F.slice("w", F.col("s"), F.lit(size)).alias("window"))
-    return rows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    return rows.groupBy("window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
@@ -87,11 +88,15 @@ def _found_large(docs: DataFrame, index: DataFrame, size: int) -> DataFrame:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
+    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit, n_items, items`` (sorted ids) and ``contaminated``."""
     windows = stored(item_windows(benchmark, size), "bench-windows")
-    small = windows.count() <= broadcast_windows
+    # What one executor would hold: of a window its words and items, each with 40 bytes of
+    # its own, and as much again for the word it is filed under and the counts of its words.
+    held = [F.octet_length(F.concat_ws("", c)) + 40 * F.size(c) for c in ("window", "items")]
+    sent = windows.agg(F.sum(2 * sum(held, F.lit(100)))).first()[0] or 0
+    small = sent <= broadcast_bytes
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     index = stored(prefixed(windows, word_counts(docs, vocabulary, small), small), "bench-index")
     found = _found_small(docs, index) if small else _found_large(docs, index, size)
@@ -120,6 +125,10 @@ def contamination(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window."""
-    dirty = contamination(docs, benchmark, size).where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti")
+    """``docs`` without the rows that hold a benchmark window, each judged by its own text
+    whatever its id."""
+    key = ["_k1", "_k2"]
+    keyed = docs.withColumns(row_key())
+    rows = keyed.select(F.struct(*key).alias("doc_id"), "text")
+    dirty = contamination(rows, benchmark, size).where("contaminated").select("doc_id.*").distinct()
+    return keyed.join(dirty, key, "left_anti").drop(*key)

@@ -42,25 +42,23 @@ def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII only
     if not words:
         return 0
-    hashes: list[int] = []
     total, n = np.zeros(64, np.int64), max(len(words) - size + 1, 1)
     for at in range(0, n, 65536):  # long texts in slices
         part = [xxh64_intdigest(b" ".join(words[i : i + size]), seed) for i in range(at, min(at + 65536, n))]
         bits = np.unpackbits(np.array(part, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
         total += bits.sum(axis=0, dtype=np.int64)
-    del hashes
     return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` for every row."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """``doc_id, fp`` for every row, and the columns ``keys``."""
 
     @F.pandas_udf("long")
     def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([simhash(t) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select("doc_id", *keys, fp("text").alias("fp"))
 
 
 def _points(fp: Column) -> Column:
@@ -102,21 +100,42 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) ->
     return pairs
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row."""
+def _grouped(marked: DataFrame, max_bits: int) -> DataFrame:
+    """``marked`` with ``root``, a fingerprint that names the group, and ``component_id``."""
     from millrace.llm.common import stored
 
-    marked = stored(fingerprints(docs), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     root = components(links(distinct.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
     named = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = named.join(least, "root").select("fp", "component_id")
-    return marked.join(groups, "fp").select("doc_id", "fp", "component_id")
+    groups = named.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(groups, "fp")
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, fp, component_id`` for every row."""
+    from millrace.llm.common import stored
+
+    marked = stored(fingerprints(docs), "fingerprints")
+    return _grouped(marked, max_bits).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id."""
-    groups = near_duplicates(docs.select("doc_id", "text"), max_bits)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each group: the one with the smallest doc_id; of rows that share it, the
+    one whose text has the smallest hash, and of equal rows one. Null ids come last."""
+    from millrace.llm.common import row_key, stored
+
+    key = ["_k1", "_k2"]
+    keyed = docs.withColumns(row_key())
+    marked = stored(fingerprints(keyed.select("doc_id", "text", *key), *key), "fingerprints")
+    rows = _grouped(marked, max_bits).select("doc_id", "root", *key)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *key)
+    owners = rows.groupBy("root").agg(F.min(order).alias("o"))
+    owners = stored(owners.select("root", F.col("o._k1").alias("o1"), F.col("o._k2").alias("o2")), "group-owners")
+    other = (F.col("_k1") != F.col("o1")) | (F.col("_k2") != F.col("o2"))
+    gone = rows.join(owners, "root").where(other).select(*key).distinct()
+    kept = keyed.join(gone, key, "left_anti")
+    again = owners.select(F.col("o1").alias("_k1"), F.col("o2").alias("_k2")).join(marked, key)
+    if not again.groupBy(*key).count().where("count > 1").isEmpty():  # equal rows are told apart by nothing
+        kept = kept.dropDuplicates(key)
+    return kept.drop(*key)

@@ -6,17 +6,20 @@ put in by batches, linked to what a beam search finds and to their batch. Every
 then queries every shard of its label; a task takes a pair of shards and searches both
 ways, and a link that either way finds counts at both ends. A beam that still ends above
 the threshold is widened, and past ``WIDEST`` the query scans its shard, so dense groups
-lose nothing. A sample of a label's vectors is scanned against all its shards; the first
-beam of the label is the least that finds the wanted share of the sample's links to other
-vectors, pooled over shards. Where none does, or the sample has fewer than ``LEAST_LINKS``
-links, every query of the label is a scan. Cosines are computed in double precision.
+lose nothing. The first beam of a label is the least that passes an audit pooled over its
+shards. The audit counts two kinds of links: those that a sample of the vectors has by a
+full scan, and planted ones, a copy of each sampled vector turned to just above the
+threshold, whose link to the vector itself must be found; so there is always something to
+count, however few links a label has. Only where the widest beam fails, too, is the label
+scanned. Cosines are computed in double precision, norms after scaling by the largest
+component, so that huge and tiny vectors keep their direction.
 
 Equal vectors are one row with a weight. A task reports a count for each query and a
 spanning forest of the links it saw, never the pairs.
 
 Defined cases. A vector that is null, zero or holds null or non-finite components, or has a
 null label or vec_id, links with nothing and is its own component. Rows that share a
-vec_id are separate vectors in the counts. No rows: no result rows; extra columns are
+vec_id are separate vectors in the counts: distinct vectors have numbers of their own. No rows: no result rows; extra columns are
 ignored.
 """
 
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
@@ -38,8 +41,9 @@ SHARD_ROWS, QUERY_ROWS = 8192, 2048
 LINKS, LINKS_UP, BEAM, WIDEST = 24, 12, 32, 256
 LEVEL_RATIO, TOP_ROWS = 16, 48
 BATCH = 256
-#: Sampled vectors of a label, links they must have for a verdict, share to find.
-AUDIT, LEAST_LINKS, RECALL = 256, 50, 0.98
+#: Sampled vectors of a label, share of the links to find, how far planted copies lie above
+#: the threshold.
+AUDIT, RECALL, PLANTED = 256, 0.98, 1e-3
 BEAMS = [BEAM << i for i in range((WIDEST // BEAM).bit_length())]
 
 
@@ -198,34 +202,51 @@ class Graph:
 
 
 def _unit(rows) -> np.ndarray:
-    x = np.array(rows.tolist(), np.float64)
+    return _normed(np.array(rows.tolist(), np.float64))
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _planted(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Each row turned in a random direction until its cosine with the row lies just above
+    the threshold; the same rows are turned the same way."""
+    if x.shape[1] < 2:
+        return x
+    aside = np.random.default_rng(x.shape[0] * 4099 + x.shape[1]).normal(size=x.shape)
+    aside = _normed(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    cos = min(threshold + PLANTED, 1.0)
+    return cos * x + np.sqrt(1 - cos * cos) * aside
+
+
 def _audit(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> list[int]:
-    """Links of the sample ``q`` by a full scan, then those found with each of ``BEAMS``;
-    ``own`` is a query's own row in the graph or -1, which is no link."""
+    """Links of the sample ``q`` by a full scan and planted ones, then those found with each
+    of ``BEAMS``; ``own`` is a query's own row in the graph or -1, which is no link."""
     own = np.full(len(q), -1) if own is None else own
     true = [hits[hits != o] for hits, o in zip(graph.within(q, threshold, 0), own)]
-    sums = [sum(map(len, true))]
+    here = np.flatnonzero(own >= 0)
+    near = _planted(q[here], threshold) if len(here) else q[:0]
+    sums = [sum(map(len, true)) + len(here)]
     for beam in BEAMS:
         if len(sums) > 1 and sums[-1] == sums[0]:
             sums.append(sums[0])
             continue
         got = graph.within(q, threshold, beam)
-        sums.append(sum(len(np.intersect1d(a, b)) for a, b in zip(got, true)))
+        back = graph.within(near, threshold, beam) if len(here) else []
+        sums.append(sum(len(np.intersect1d(a, b)) for a, b in zip(got, true)) + sum(o in b for o, b in zip(own[here], back)))
     return sums
 
 
 def _least_beam(sums: list[int]) -> int:
-    """The least beam of an audit that passes; 0, a scan, where none does or links are few."""
-    if sums[0] < LEAST_LINKS:
-        return 0
+    """The least beam of an audit that passes; 0, a scan, where none does."""
     return next((beam for beam, found in zip(BEAMS, sums[1:]) if found >= RECALL * sums[0]), 0)
 
 
-def _audited_beam(graph: Graph, q: np.ndarray, threshold: float) -> int:
-    return _least_beam(_audit(graph, q, threshold))
+def _audited_beam(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> int:
+    return _least_beam(_audit(graph, q, threshold, own))
 
 
 def _build(part: pd.DataFrame) -> pd.DataFrame:
@@ -233,7 +254,7 @@ def _build(part: pd.DataFrame) -> pd.DataFrame:
     graph = Graph(_unit(part["embedding"]))
     return pd.DataFrame(
         {
-            "label": [part["label"].iloc[0]], "shard": [part["shard"].iloc[0]], "shards": [part["shards"].iloc[0]],
+            "label": [part["label"].iloc[0]], "d": [part["d"].iloc[0]], "shard": [part["shard"].iloc[0]], "shards": [part["shards"].iloc[0]],
             "ids": [part["rep"].tolist()], "copies": [part["copies"].tolist()],
             "vectors": [np.array(part["embedding"].tolist(), np.float64).tobytes()],
             "sizes": [list(graph.sizes)], "links": [[a.tobytes() for a in graph.levels]],
@@ -245,7 +266,7 @@ def _opened(shard) -> tuple[np.ndarray, np.ndarray, Graph]:
     """Ids, weights and graph of a stored shard."""
     ids = np.array(shard["ids"], np.int64)
     x = np.frombuffer(shard["vectors"], np.float64).reshape(len(ids), -1)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = _normed(x)
     sizes = [int(s) for s in shard["sizes"]]
     levels = [np.frombuffer(b, np.int32).reshape(s, -1) for b, s in zip(shard["links"], sizes)]
     return ids, np.array(shard["copies"], np.int64), Graph(x, sizes, levels)
@@ -266,7 +287,7 @@ def _sampled(threshold: float):
 def _pair(threshold: float, batch: int):
     def run(key: tuple, shards: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
-        lo, hi = key[1], key[2]
+        lo, hi = key[-2], key[-1]
         if len(shards) < (1 if lo == hi else 2):
             return none  # a shard without rows
         a = _opened(shards.iloc[0])
@@ -310,53 +331,49 @@ def link_vectors(vectors: DataFrame, threshold: float = COSINE, shard_rows: int
     rows = vectors.select("vec_id", e.cast("array<double>").alias("embedding"), "label", good.alias("good"))
 
     sound = rows.where("good")
-    kinds = sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    kinds = stored(kinds.withColumn("h", F.xxhash64("rep")), "distinct-vectors")
-    size = kinds.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("rows"))
+    kinds = sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    # A number for each distinct vector; where it goes depends on the vector alone.
+    kinds = kinds.withColumns({"rep": F.monotonically_increasing_id(), "h": F.xxhash64("embedding"), "d": F.size("embedding")})
+    kinds = stored(kinds, "distinct-vectors")
+    size = kinds.groupBy("label", "d").agg(F.count("*").alias("rows"))
     # Vectors of another length are as good as another label.
     size = stored(size.select("label", "d", "rows", F.ceil(F.col("rows") / shard_rows).cast("int").alias("shards")), "label-sizes")
-    dealt = kinds.withColumn("d", F.size("embedding")).join(size, ["label", "d"])
-    base = F.col("d") * 1000000
-    dealt = dealt.withColumn("shard", base + F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")).cast("int"))
+    dealt = kinds.join(size, ["label", "d"])
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(1)), F.col("shards")).cast("int"))
     named = f"label {vectors.schema['label'].dataType.simpleString()}"
-    schema = f"{named}, shard int, shards int, ids array<long>, copies array<long>, vectors binary, sizes array<int>, links array<binary>"
-    slim = dealt.select("label", "shard", "shards", "rep", "copies", "h", "embedding")
-    graphs = stored(slim.groupBy("label", "shard").applyInPandas(_build, schema), "shard-graphs")
-
-    def each(floor) -> Column:
-        return F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s + floor))
+    schema = f"{named}, d int, shard int, shards int, ids array<long>, copies array<long>, vectors binary, sizes array<int>, links array<binary>"
+    slim = dealt.select("label", "d", "shard", "shards", "rep", "copies", "h", "embedding")
+    graphs = stored(slim.groupBy("label", "d", "shard").applyInPandas(_build, schema), "shard-graphs")
 
+    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     thin = F.ceil(F.col("rows") / AUDIT)
-    sample = dealt.where(F.pmod(F.xxhash64("rep", F.lit(3)), thin) == 0)
-    sample = sample.select("label", each(base).alias("shard"), "rep", "embedding")
-    key = ["label", "shard"]
+    sample = dealt.where(F.pmod(F.xxhash64("h", F.lit(3)), thin) == 0)
+    sample = sample.select("label", "d", each.alias("shard"), "rep", "embedding")
+    key = ["label", "d", "shard"]
     audits = sample.groupBy(*key).cogroup(graphs.groupBy(*key)).applyInPandas(_sampled(threshold), f"{named}, d int, sums array<long>")
     pooled = audits.groupBy("label", "d").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(BEAMS) + 1)])
     beam = F.lit(0)
     for i in range(len(BEAMS), 0, -1):
         beam = F.when(F.col(f"s{i}") >= RECALL * F.col("s0"), BEAMS[i - 1]).otherwise(beam)
-    beam = F.when(F.col("s0") >= LEAST_LINKS, beam).otherwise(0)
     beams = stored(pooled.select("label", "d", beam.alias("beam")), "label-beams")
 
-    placed = graphs.withColumn("d", (F.col("shard") / 1000000).cast("int")).join(beams, ["label", "d"], "left")
-    floor = F.col("d") * 1000000
-    placed = placed.withColumn("beam", F.coalesce("beam", F.lit(0))).withColumn("other", each(floor))
+    placed = graphs.join(beams, ["label", "d"], "left")
+    placed = placed.withColumn("beam", F.coalesce("beam", F.lit(0))).withColumn("other", each)
     placed = placed.select(
-        "label", F.least("shard", "other").alias("lo"), F.greatest("shard", "other").alias("hi"), "beam",
+        "label", "d", F.least("shard", "other").alias("lo"), F.greatest("shard", "other").alias("hi"), "beam",
         "ids", "copies", "vectors", "sizes", "links",
     )
-    pairs = placed.groupBy("label", "lo", "hi").applyInPandas(_pair(threshold, min(BATCH, query_rows)), "id long, n long, root long")
+    pairs = placed.groupBy("label", "d", "lo", "hi").applyInPandas(_pair(threshold, min(BATCH, query_rows)), "id long, n long, root long")
     found = stored(pairs, "vector-links")
 
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     trees = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = kinds.join(counts, F.col("rep") == F.col("id"), "left").drop("id")
-    named = named.join(trees, F.col("rep") == F.col("node"), "left")
+    named = named.join(trees, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "root")
     named = stored(
-        named.select(
-            "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("root", "rep").alias("component_id"),
-        ),
+        named.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"),
         "named-vectors",
     )
     linked = sound.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")

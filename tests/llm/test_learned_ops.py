@@ -164,9 +164,48 @@ def test_failed_audits_end_in_a_scan(monkeypatch):
     monkeypatch.setattr(vector_dups.Graph, "search", lost)
     beam = vector_dups._audited_beam(graph, x[:60], 0.93)
     assert sum(map(len, graph.within(x, 0.93, beam))) == (x @ x.T >= 0.93).sum()
-    # Links of a row to itself are none; few links are no verdict.
-    assert vector_dups._audit(graph, x[:60], 0.93, np.arange(60))[0] == (x[:60] @ x.T >= 0.93).sum() - 60
-    assert vector_dups._least_beam([10, 10, 10, 10, 10]) == 0 and vector_dups._least_beam([100, 90, 98, 99, 100]) == 64
+    # Links of a row to itself are none; a planted copy of each row is one more.
+    assert vector_dups._audit(graph, x[:60], 0.93, np.arange(60))[0] == (x[:60] @ x.T >= 0.93).sum() - 60 + 60
+    assert vector_dups._least_beam([10, 10, 10, 10, 10]) == 32 and vector_dups._least_beam([100, 90, 98, 99, 100]) == 64
+    assert vector_dups._least_beam([100, 90, 90, 91, 92]) == 0
+
+
+def test_few_links_still_use_the_graph():
+    """Ten thousand vectors, a hundred close pairs: the planted links decide, not a scan."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(8000, 64))
+    x[100:200] = x[:100] + rng.normal(size=(100, 64)) * 0.2
+    x = vector_dups._normed(x)
+    order = rng.permutation(len(x))
+    x = x[order]
+    graph = vector_dups.Graph(x)
+    sample = rng.choice(len(x), 256, replace=False)
+    beam = vector_dups._audited_beam(graph, x[sample], 0.93, sample)
+    assert beam > 0
+    close = np.flatnonzero(order < 200)
+    found = graph.within(x[close], 0.93, beam)
+    true = x[close] @ x.T >= 0.93
+    assert true.sum() > 300 and sum(map(len, found)) >= 0.98 * true.sum()
+
+
+def test_planted_links_lie_at_the_threshold():
+    x = vector_dups._normed(np.random.default_rng(2).normal(size=(50, 8)))
+    cos = (vector_dups._planted(x, 0.93) * x).sum(axis=1)
+    assert ((cos >= 0.93) & (cos < 0.932)).all()
+
+
+def test_vectors_of_odd_sizes_and_shared_ids(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=4096)
+    rows = [(10, base.tolist(), 0), (11, (base + rng.normal(size=4096) * 0.05).tolist(), 0), (12, rng.normal(size=4096).tolist(), 0)]
+    rows += [(20, [1e200, 2e200], 1), (21, [1.0, 2.0], 1), (22, [1e-200, 5e-200], 3), (23, [5e-200, 1e-200], 3)]
+    # One id for three vectors: counts 1, 1 and 2.
+    rows += [(1, [1.0, 0.0, 0.0], 2), (2, [1.0, 0.01, 0.0], 2), (1, [0.0, 1.0, 0.0], 2), (3, [0.0, 1.0, 0.01], 2)]
+    rows += [(1, [0.0, 0.0, 1.0], 2), (4, [0.0, 0.01, 1.0], 2), (5, [0.01, 0.0, 1.0], 2)]
+    got = vector_dups.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    want = [(10, 1, 10), (11, 1, 10), (12, 0, 12), (20, 1, 20), (21, 1, 20), (22, 0, 22), (23, 0, 23)]
+    want += [(1, 1, 1), (2, 1, 1), (1, 1, 1), (3, 1, 1), (1, 2, 1), (4, 2, 1), (5, 2, 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_one_way_link_counts_at_both_ends():
@@ -174,7 +213,7 @@ def test_one_way_link_counts_at_both_ends():
     import pandas as pd
 
     x = np.eye(8)
-    half = [pd.DataFrame({"label": 0, "shard": s, "shards": 2, "rep": range(s * 8, s * 8 + 8), "copies": 1, "h": range(8), "embedding": list(x)}) for s in (0, 1)]
+    half = [pd.DataFrame({"label": 0, "d": 8, "shard": s, "shards": 2, "rep": range(s * 8, s * 8 + 8), "copies": 1, "h": range(8), "embedding": list(x)}) for s in (0, 1)]
     shards = pd.concat([vector_dups._build(p) for p in half], ignore_index=True)
     shards["beam"] = 32
     within = vector_dups.Graph.within
@@ -186,7 +225,7 @@ def test_one_way_link_counts_at_both_ends():
 
     vector_dups.Graph.within, keep = one_way, within
     try:
-        got = vector_dups._pair(0.93, 256)((0, 0, 1), shards)
+        got = vector_dups._pair(0.93, 256)((0, 8, 0, 1), shards)
     finally:
         vector_dups.Graph.within = keep
     assert len(calls) == 2 and dict(zip(got.id, got.n)) == {i: 1 for i in range(16)}
@@ -298,6 +337,29 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
+ITEMS = [("b1", "one two three four five six seven eight nine ten")]
+
+
+def test_stages_judge_each_row_by_its_own_text(spark):
+    """Null ids, one id for two texts, equal rows: neither a clean row goes nor a dirty one stays."""
+    from millrace.llm import decontaminate, simhash
+
+    dirty, clean = "zero " + ITEMS[0][1], "nothing of the kind stands here at all"
+    rows = [(None, dirty), (None, clean), (1, dirty), (1, clean), (2, clean), (2, clean), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("_fp", F.lit("x"))
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    kept = decontaminate.decontaminate(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.drop("_fp").collect())) == sorted(map(str, spark.createDataFrame([r for r in rows if r[1] != dirty], DOCS).collect()))
+
+    own, other = "a text of its own with many words in it", "quite another story that shares no shingle"
+    rows = [(None, own), (None, own), (2, own), (2, other), (5, other), (6, None), (None, ""), (7, "alone " * 9), (7, "alone " * 9)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("2", own), ("2", other), ("6", None), ("7", "alone " * 9)]
+    nameless = simhash.drop_near_duplicates(spark.createDataFrame([(None, own), (None, own), (None, other)], DOCS)).collect()
+    assert sorted(r.text for r in nameless) == sorted([own, other])
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """A copy without these folders still imports and keeps the other queries."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
