@@ -462,25 +462,32 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = repeated_spans(docs.select("row", "body"), length)
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))  # of one text
     spans = spans.select("row", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _portions(whole, 1)):
-            removed, count, kept = [], [], []
-            for body, starts, ends in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                parts, at, gone, runs = [], 0, 0, 0
-                if starts:
-                    last = np.maximum.accumulate(np.array(ends))
-                    new = np.flatnonzero(np.concatenate([[True], np.array(starts[1:]) > last[:-1]]))
-                    for x, y in zip(np.array(starts)[new].tolist(), last[np.append(new[1:], len(last)) - 1].tolist()):
-                        parts.append(body[at:x])
-                        gone, runs, at = gone + y - x, runs + 1, y
-                removed.append(gone)
-                count.append(runs)
-                kept.append(b"".join([*parts, body[at:]]) if starts else body)
-            size = pa.array([len(b) for b in batch.column(1).to_pylist()], pa.int64())
-            cols = [batch.column(0), size, pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.join(spans, "row", "left").select("doc_id", "body", "starts", "ends")
-    return rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    gaps = spans.mapInArrow(_between, "row long, n_removed long, n_spans long, starts array<int>, sizes array<int>")
+    rows = docs.join(gaps, "row", "left")
+    # Bytes as they are: a cast neither checks nor changes them.
+    pieces = F.zip_with("starts", "sizes", lambda x, n: F.substring(F.col("body"), x + 1, n).cast("string"))
+    kept = F.coalesce(F.array_join(pieces, "").cast("binary"), F.col("body"))
+    none = F.lit(0).cast("long")
+    return rows.select(
+        "doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"),
+        F.coalesce("n_spans", none).alias("n_spans"), kept.alias("kept"),
+    )
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted spans that may overlap: how many bytes and runs they cover, and the pieces
+    before, between and after them."""
+    for batch in batches:
+        removed, count, begin, size = [], [], [], []
+        for starts, ends in zip(batch.column(1), batch.column(2)):
+            starts, last = starts.values.to_numpy(), np.maximum.accumulate(ends.values.to_numpy())
+            new = np.flatnonzero(np.concatenate([[True], starts[1:] > last[:-1]]))
+            first, upto = starts[new], last[np.append(new[1:], len(last)) - 1]
+            removed.append(int((upto - first).sum()))
+            count.append(len(new))
+            begin.append(np.concatenate([[0], upto]))
+            size.append(np.append(first, 2**31 - 1) - begin[-1])  # the last one goes to the end
+        ints = pa.list_(pa.int32())
+        cols = [batch.column(0), pa.array(removed, pa.int64()), pa.array(count, pa.int64()),
+                pa.array([x.astype(np.int32) for x in begin], ints), pa.array([x.astype(np.int32) for x in size], ints)]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "n_removed", "n_spans", "starts", "sizes"])
