@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import vectors as V
 from millrace.functions.keys import commit_key
-from millrace.operators.arrays import sum_arrays
+from millrace.operators.arrays import sum_arrays, sum_blocks
 from millrace.operators.quantiles import exact_percentiles
 
 #: Fixed value: contributions above this multiple of the median norm are scaled.
@@ -265,8 +265,10 @@ def _sample_totals(contributions: DataFrame) -> DataFrame:
     )
 
 
-def weighted_mean(contributions: DataFrame, scales: DataFrame | None = None) -> DataFrame:
-    """Sample-weighted mean per round and parameter: ``round, param, shape, data``.
+def weighted_mean(contributions: DataFrame, scales: DataFrame | None = None, blocks: bool = False) -> DataFrame:
+    """Sample-weighted mean per round and parameter: ``round, param, shape, data``. With
+    ``blocks``, ``block`` too: a parameter stays in pieces of ``arrays.BLOCK`` elements, and
+    no task holds a whole one.
 
     Weights are the untouched sample counts over their round's total; ``scales``
     (from :func:`clip_scales`) enters as a factor, so clipped vectors are never
@@ -279,10 +281,11 @@ def weighted_mean(contributions: DataFrame, scales: DataFrame | None = None) ->
         weight = value * F.col("scale")
     shapes = contributions.groupBy("round", "param").agg(F.min("shape").alias("shape"))
     # Divided by the round's total at the end: vectors meet no table keyed by round alone.
-    sums = sum_arrays(weighed.withColumn("_w", weight), ["round", "param"], "data", "_w")
+    total = sum_blocks if blocks else sum_arrays
+    sums = total(weighed.withColumn("_w", weight), ["round", "param"], "data", "_w")
     means = sums.join(_sample_totals(contributions), "round").join(shapes, ["round", "param"])
     data = F.transform("data", lambda x: x / F.col("_total"))
-    return means.select("round", "param", "shape", data.alias("data"))
+    return means.select("round", "param", *(["block"] if blocks else []), "shape", data.alias("data"))
 
 
 def reduce_round(contributions: DataFrame, factor: float = CLIP_FACTOR):
@@ -306,13 +309,16 @@ def round_metrics(contributions: DataFrame) -> DataFrame:
 
 
 def _combined(base: DataFrame, other: DataFrame, factor: float) -> DataFrame:
-    """``base + factor * other``: the same names and sizes on both sides, finite results."""
+    """``base + factor * other``: the same names, shapes and sizes on both sides, finite results."""
     b = base.select("param", "shape", F.col("data").alias("_a"))
-    both = b.join(other.select("param", F.col("data").alias("_d")), "param", "full_outer")
+    shape = F.col("shape") if "shape" in other.columns else F.lit(None)  # a table without shapes has sizes
+    d = other.select("param", shape.cast("array<int>").alias("_shape"), F.col("data").alias("_d"))
+    both = b.join(d, "param", "full_outer")
     data = V.axpy(F.col("_a"), factor, F.col("_d"))
     problem = (
         F.when(F.col("_a").isNull() | F.col("_d").isNull(), "is missing on one side")
         .when(F.size("_a") != F.size("_d"), "has another size")
+        .when(F.lit("shape" in other.columns) & ~F.col("shape").eqNullSafe(F.col("_shape")), "has another shape")
         .when(~V.all_finite(data), "is not finite after the update")
     )
     text = F.concat(F.lit("parameter "), "param", F.lit(" "), problem)
@@ -323,7 +329,7 @@ def _combined(base: DataFrame, other: DataFrame, factor: float) -> DataFrame:
 def apply_delta(base: DataFrame, delta: DataFrame, factor: float = 1.0) -> DataFrame:
     """``base + factor * delta`` for tables of ``param, shape, data``.
 
-    A name that one side lacks, another size or a result that is not finite is an error.
+    A name that one side lacks, another shape or size or a result that is not finite is an error.
     """
     return _combined(base, delta, factor)
 

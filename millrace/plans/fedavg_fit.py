@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from millrace.functions.vectors import all_finite
 from millrace.operators import fedavg
 from millrace.plans.local_update import CONTRIBUTION, LocalConfig, shard_update
-from millrace.session import scratch_path
+from millrace.session import scratch_path, written
 
 Weights = dict[str, np.ndarray]
 
 
+class EmptyShard(ValueError):
+    """A worker has nothing to train on."""
+
+
 @dataclass
 class FedAvgFit:
     weights: Weights
@@ -111,11 +115,17 @@ def fedavg_fit(
     clip_factor: float = fedavg.CLIP_FACTOR,
     select: Callable[[int, DataFrame], DataFrame] | None = None,
     on_round: Callable[[dict], None] | None = None,
+    walk: bool = False,
+    shards: int | None = None,
 ) -> FedAvgFit:
     """Train for ``rounds`` rounds over ``data``: ``shard, idx, features, label``.
 
     ``idx`` counts a shard's rows from zero. Only the rows the local steps can
     touch are sent to the workers, so a worker's share is bounded by ``config``.
+    Every round begins at a shard's first row; with ``walk`` it goes on where the
+    round before ended and wraps around, so that rounds come past all rows. The
+    round's number says where, so a resumed run walks on like an unbroken one.
+    ``shards`` states how many there must be: one without rows is an error.
     ``select`` may narrow a round's contributions to those that arrived in time.
     """
     spark = data.sparkSession
@@ -125,15 +135,19 @@ def fedavg_fit(
     if weights is None:
         weights = initial
     sizes = data.groupBy("shard").agg(F.count(F.lit(1)).alias("samples"))
-    work = (
-        data.filter(F.col("idx") < config.rows_touched)
-        .select("shard", "idx", "features", "label")
-        .join(sizes, "shard")
-        .persist()
-    )
+    if shards is not None:
+        held = {r["shard"] for r in sizes.select("shard").collect()}  # one row a worker
+        if empty := sorted(set(range(shards)) - held):
+            raise EmptyShard(f"no rows in shard {empty[0]}")
+    rows = data.select("shard", "idx", "features", "label")
+    if walk:
+        rows = written(rows.join(sizes, "shard"), "fedavg-shards")
+    else:
+        rows = rows.filter(F.col("idx") < config.rows_touched).join(sizes, "shard").persist()
     fit = FedAvgFit(weights or {}, folder=folder)
     try:
         for r in range(start, rounds):
+            work = _walked(rows, r, config) if walk else rows
             made = work.groupBy("shard").applyInPandas(shard_update(config, weights), CONTRIBUTION)
             sent = f"{folder}/contributions/round={r}"
             made.write.mode("overwrite").parquet(sent)
@@ -146,11 +160,18 @@ def fedavg_fit(
             if on_round is not None:
                 on_round(fit.history[-1])
     finally:
-        work.unpersist()
+        if not walk:
+            rows.unpersist()
     fit.weights = weights or {}
     return fit
 
 
+def _walked(rows: DataFrame, r: int, config: LocalConfig) -> DataFrame:
+    """The rows of round ``r``, counted from where the round before ended."""
+    at = F.pmod(F.col("idx") - F.lit(r * config.rows_touched), F.col("samples"))
+    return rows.withColumn("idx", at).filter(F.col("idx") < config.rows_touched)
+
+
 def _close_round(spark, fit, r, contributions, weights, min_participants, clip_factor, folder):
     metrics = fedavg.round_metrics(contributions).collect()
     arrived = metrics[0]["participants"] if metrics else 0

@@ -102,4 +102,6 @@ def fedavg_fit_query(spark: SparkSession, sf: str) -> DataFrame:
         "label",
     )
     config = LocalConfig(in_dim=64, hidden=16, out_dim=10, lr=0.5, batch_size=64, local_steps=8)
-    return fedavg_fit(data, config, rounds=3, min_participants=4).history_frame(spark)
+    most = data.agg(F.max("idx")).first()[0] + 1
+    rounds = max(3, -(-most // config.rows_touched))  # as many as it takes to come past every row
+    return fedavg_fit(data, config, rounds, min_participants=4, walk=True, shards=4).history_frame(spark)

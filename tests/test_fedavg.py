@@ -152,6 +152,38 @@ def test_rounds_converge_and_a_stopped_run_resumes(spark, tmp_path):
         assert np.allclose(v, rest.weights[k], atol=1e-9)
 
 
+def test_rounds_walk_through_all_rows(spark, tmp_path):
+    """Shards of 100 and 37 rows, 40 a round: row after row, around the end, also after a stop."""
+    data = shards(spark).filter("shard < 2 AND (shard = 0 OR idx < 37)").persist()
+    config = LocalConfig(in_dim=4, hidden=8, out_dim=2, lr=0.3, batch_size=10, local_steps=4)
+    rows = {s: sorted([r for r in data.collect() if r["shard"] == s], key=lambda r: r["idx"]) for s in (0, 1)}
+    weights, losses = None, []
+    for r in range(4):
+        made = []
+        for s, own in rows.items():
+            at = [(r * 40 + k) % len(own) for k in range(40)]
+            x = np.array([own[k]["features"] for k in at])
+            y = np.array([own[k]["label"] for k in at])
+            base = weights or config.initial()
+            w, loss = train(config, base, x, y, 40)
+            made.append((len(own), loss, {k: w[k] - base[k] if weights else w[k] for k in w}))
+        norms = [math.sqrt(sum((v**2).sum() for v in d.values())) for _, _, d in made]
+        cap = float(np.median(norms)) * fedavg.CLIP_FACTOR
+        total = sum(n for n, _, _ in made)
+        mean = {k: sum(n * d[k] * min(1.0, cap / q) for (n, _, d), q in zip(made, norms)) / total for k in made[0][2]}
+        weights = {k: weights[k] + mean[k] for k in mean} if weights else mean
+        losses.append(sum(n * loss for n, loss, _ in made) / total)
+    whole = fedavg_fit(data, config, rounds=4, walk=True, shards=2)
+    assert np.allclose([h["mean_loss"] for h in whole.history], losses, atol=1e-9)
+    assert all(np.allclose(whole.weights[k], weights[k], atol=1e-9) for k in weights)
+    folder = str(tmp_path / "run")
+    fedavg_fit(data, config, rounds=2, folder=folder, walk=True)
+    rest = fedavg_fit(data, config, rounds=4, folder=folder, resume=True, walk=True)
+    assert all(np.allclose(rest.weights[k], weights[k], atol=1e-9) for k in weights)
+    with pytest.raises(fit_module.EmptyShard, match="shard 2"):
+        fedavg_fit(data, config, rounds=1, shards=3)
+
+
 def test_quorum_not_met_stops_the_round(spark):
     with pytest.raises(fedavg.QuorumNotMet):
         fedavg_fit(shards(spark), CONFIG, rounds=1, min_participants=5)
@@ -199,6 +231,27 @@ def test_arithmetic_refuses_what_does_not_match(spark, delta, match):
             fedavg.weights_after(start, rounds).collect()
 
 
+def test_arithmetic_refuses_another_shape(spark):
+    two, three = (weights_frame(spark, {"w": np.zeros(shape)}) for shape in ((2, 3), (3, 2)))
+    for run in (fedavg.apply_delta, fedavg.subtract):
+        with pytest.raises(Exception, match="another shape"):
+            run(two, three).collect()
+
+
+def test_means_in_blocks_are_the_means(spark):
+    rng = np.random.default_rng(5)
+    rows = [(r, t, f"t{t}", 10 + t, 0.5, "w", [10_000], rng.normal(size=10_000).tolist()) for r in (0, 1) for t in range(3)]
+    df = spark.createDataFrame(rows, "round int, position int, task_id string, samples bigint, loss double, param string, shape array<int>, data array<double>")
+    whole = {r["round"]: r["data"] for r in fedavg.weighted_mean(df).collect()}
+    blocks = fedavg.weighted_mean(df, blocks=True).collect()
+    assert sorted((b["round"], b["block"], len(b["data"])) for b in blocks) == [
+        (r, k, n) for r in (0, 1) for k, n in ((0, 4096), (1, 4096), (2, 1808))]
+    for r in (0, 1):
+        joined = [x for b in sorted((b for b in blocks if b["round"] == r), key=lambda b: b["block"]) for x in b["data"]]
+        want = sum(np.array(row[7]) * row[3] for row in rows if row[0] == r) / 33
+        assert np.allclose(joined, want, atol=1e-12) and joined == whole[r]
+
+
 def test_local_training_ignores_rows_it_cannot_reach():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(500, 4)), rng.integers(0, 2, size=500)
