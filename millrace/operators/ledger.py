@@ -390,6 +390,11 @@ def node_view(
     )
 
 
+def node_list(view: DataFrame) -> DataFrame:
+    """Nodes of :func:`node_view` by name."""
+    return view.orderBy("node_id")
+
+
 def evidence_rollup(evidence: DataFrame) -> DataFrame:
     """Mean reported wall time and utilisation per node beside the elapsed time the
     coordinator saw. NULL stays "not measured"; zero is a measurement."""
@@ -452,6 +457,14 @@ def recovery_latency(leased: DataFrame, tasks: DataFrame, sweep_s: float = 2.0)
     )
 
 
+def call_latency(calls: DataFrame) -> DataFrame:
+    """Round trips of healthy requests: ``kind, calls`` and percentiles in milliseconds.
+    ``calls``: ``kind`` (claim, heartbeat ...)``, seconds``; a call without a time is not one."""
+    ms = calls.select("kind", (F.col("seconds") * 1000.0).alias("_ms"))
+    found = exact_percentiles(ms, ["kind"], "_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "max_ms": 1.0})
+    return found.withColumnRenamed("repeats", "calls")
+
+
 # -- ledger rows --------------------------------------------------------------
 
 
