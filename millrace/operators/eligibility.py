@@ -14,10 +14,12 @@ is one nobody offers; a malformed offer is no offer.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import row_numbers
+from millrace.session import written
 
 GATES = ["argv", "module", "data", "gpus", "exclude", "pool", "isolation"]
 
@@ -348,62 +350,69 @@ def reject_reasons(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     return asked.join(lacking, "need").select("job_id", "task_id", "need", "nodes_lacking")
 
 
-def first_choice(
-    tasks: DataFrame, nodes: DataFrame, score: str | None = None, slice_rows: int = 100_000
-) -> DataFrame:
+def _skipped(picky: DataFrame, offered: DataFrame, matches: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
+    """Tasks that exclude machines, the first of each kind by rank (``need, _place, _t``), and
+    for machines that the very first exclude how many in a row do (``node_id, offer, need, _skip``).
+
+    Only the first ``first`` of a kind are looked at, a bound that Spark applies before it
+    shuffles; machines that all of them exclude look eight times as far, until none is left.
+    """
+    order = Window.partitionBy("need").orderBy("_t")
+    run = F.aggregate(
+        F.array_sort(F.collect_set("_place")), F.lit(0), lambda n, p: F.when(p == n + 1, p).otherwise(n)
+    )
+    settled, open_ = [], None
+    while True:
+        tops = picky.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= first)
+        tops = written(tops, "placement-first")
+        named = tops.select("need", "_place", F.explode("excluded").alias("node_id")).join(offered, "node_id")
+        named = named.join(matches, ["need", "offer"], "left_semi")
+        if open_ is not None:
+            named = named.join(open_, ["node_id", "need"], "left_semi")
+        runs = named.groupBy("node_id", "offer", "need").agg(run.alias("_skip")).filter("_skip > 0")
+        runs = written(runs, "placement-skips")
+        settled.append(runs.filter(F.col("_skip") < first))
+        open_ = runs.filter(F.col("_skip") == first).select("node_id", "need")
+        if open_.isEmpty():
+            return tops.select("need", "_place", "_t"), reduce(DataFrame.unionByName, settled)
+        first *= 8
+
+
+def first_choice(tasks: DataFrame, nodes: DataFrame, score: str | None = None, first: int = 64) -> DataFrame:
     """The task each machine would take next: highest ``score`` (a whole-number column
     of ``tasks``), then earliest in the queue. Machines with nothing to do are absent.
 
-    Tasks without exclusions compete once per class. A task that excludes
-    machines is ranked among its kind per offer class; a machine takes the first
-    rank that does not name it, found from the ranks that do.
+    Tasks with equal needs are a kind, and only the first of a kind competes. A machine
+    that the first task excludes takes the next of the kind that does not name it; all
+    other machines of a class have the same answer.
     """
     rank = -F.col(score) if score else F.lit(0).cast("bigint")
     needed = read_fields(tasks).select(
-        rank.alias("_rank"),
-        "seq",
-        "job_id",
-        "task_id",
+        F.struct(rank.alias("_rank"), "seq", "job_id", "task_id").alias("_t"),
         needs(Payload()).alias("need"),
         excluded_nodes(Payload()).alias("excluded"),
     )
-    offered = node_offers(nodes)
-    matches = class_matches(needed, offered).select("need", "offer")
-    ticket = F.struct("_rank", "seq", "job_id", "task_id")
-    plain = (
-        needed.filter(F.size("excluded") == 0)
-        .groupBy("need")
-        .agg(F.min(ticket).alias("_t"))
-        .join(matches, "need")
-        .groupBy("offer")
-        .agg(F.min("_t").alias("_plain"))
-    )
-    picky = row_numbers(
-        needed.filter(F.size("excluded") > 0).join(matches, "need"),
-        ["offer"],
-        ["_rank", "seq", "job_id", "task_id"],
-        F.struct("_rank", F.floor(F.col("seq") / slice_rows)),
-        "_place",
-    )
-    per_node = Window.partitionBy("node_id").orderBy("_place")
-    barred = (
-        picky.select("offer", "_place", F.explode("excluded").alias("node_id"))
-        .join(offered, ["node_id", "offer"])
-        .withColumn("_i", F.row_number().over(per_node))
-        .groupBy("node_id")
-        .agg(F.count_if(F.col("_i") == F.col("_place")).alias("_skip"))
-    )
-    reachable = offered.join(barred, "node_id", "left").withColumn(
-        "_place", F.coalesce("_skip", F.lit(0)) + 1
-    )
-    tickets = picky.select("offer", "_place", ticket.alias("_picky"))
-    return (
-        reachable.join(tickets, ["offer", "_place"], "left")
-        .join(plain, "offer", "left")
-        .withColumn("_t", F.least("_plain", "_picky"))
-        .filter(F.col("_t").isNotNull())
-        .select("node_id", "_t.job_id", "_t.task_id", "_t.seq")
-    )
+    needed = written(needed, "placement-needs")
+    offered = written(node_offers(nodes), "placement-offers")
+    matches = written(class_matches(needed, offered).select("need", "offer"), "placement-matches")
+    plain = needed.filter(F.size("excluded") == 0).groupBy("need").agg(F.min("_t").alias("_plain"))
+    picky = needed.filter(F.size("excluded") > 0)
+    tops, skips = _skipped(picky, offered, matches, first)
+
+    heads = plain.join(tops.filter("_place = 1").select("need", F.col("_t").alias("_head")), "need", "full")
+    heads = written(heads, "placement-heads")
+    best = F.least("_plain", "_head")
+    by_class = matches.join(heads, "need").groupBy("offer").agg(F.min(best).alias("_t"))
+    # Machines that a first task names look at each kind themselves.
+    apart = skips.select("node_id", "offer").distinct()
+    next_ = skips.withColumn("_place", F.col("_skip") + 1).join(tops, ["need", "_place"], "left")
+    next_ = next_.select("node_id", "need", F.col("_t").alias("_next"), F.lit(True).alias("_named"))
+    own = apart.join(matches, "offer").join(heads, "need").join(next_, ["node_id", "need"], "left")
+    best = F.when(F.col("_named"), F.least("_plain", "_next")).otherwise(best)
+    by_node = own.groupBy("node_id").agg(F.min(best).alias("_t"))
+    rest = offered.join(apart.select("node_id"), "node_id", "left_anti").join(by_class, "offer").select("node_id", "_t")
+    chosen = rest.unionByName(by_node).filter(F.col("_t").isNotNull())
+    return chosen.select("node_id", "_t.job_id", "_t.task_id", "_t.seq")
 
 
 # -- capacity offers ----------------------------------------------------------

@@ -136,10 +136,21 @@ def test_first_choice_equals_all_pairs(spark, fleet, drop):
     want = {}
     for task, seq, node in brute(spark, t, n):
         want[node] = min(want.get(node, (10**9, "")), (seq, task))
-    got = {r["node_id"]: (r["seq"], r["task_id"]) for r in E.first_choice(t, n, slice_rows=5).collect()}
+    got = {r["node_id"]: (r["seq"], r["task_id"]) for r in E.first_choice(t, n, first=1).collect()}
     assert got == want
 
 
+def test_first_choice_behind_a_long_row_of_exclusions(spark):
+    """One machine is named by the first twenty tasks, one by all, one by none."""
+    t = tasks(spark, *[{"exclude_nodes": ["a", "c"]} for _ in range(20)], *[{"exclude_nodes": ["c"]} for _ in range(5)])
+    n = nodes(spark, {"node_id": "a"}, {"node_id": "b"}, {"node_id": "c"})
+    got = {r["node_id"]: r["seq"] for r in E.first_choice(t, n, first=2).collect()}
+    want = {}
+    for _, seq, node in brute(spark, t, n):
+        want[node] = min(want.get(node, 10**9), seq)
+    assert got == want and "b" in got
+
+
 def test_reject_reasons_name_the_missing_need(spark):
     t = tasks(spark, {"gpus": 1, "pool": "p9"})
     n = nodes(spark, {"node_id": "a"}, {"node_id": "b", "capabilities": GPU})
