@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -418,6 +419,40 @@ def first_choice(tasks: DataFrame, nodes: DataFrame, score: str | None = None, f
 # -- capacity offers ----------------------------------------------------------
 
 
+#: What a request may ask for at least, and an offer have.
+DEMANDS = ["gpus", "vram_gb", "cpus", "memory_gb"]
+#: Offers of a key that are pruned together, at first.
+OFFER_PART = 10_000
+
+
+def _undominated(rows: pd.DataFrame) -> pd.DataFrame:
+    """Offers, by price and name, that no earlier one matches or beats in every demand."""
+    rows = rows.sort_values(["hourly_usd", "offer_id"], na_position="first", kind="stable")
+    x = rows[DEMANDS].to_numpy("float64")
+    kept: list[int] = []
+    for k in range(len(x)):
+        if not (kept and (x[kept] >= x[k]).all(axis=1).any()):
+            kept.append(k)
+    return rows.iloc[kept]
+
+
+def skyline(listed: DataFrame, keys: list[str], part: int = OFFER_PART) -> DataFrame:
+    """Of offers with equal ``keys`` those that are worth a look: every other one has a
+    cheaper that is as good in each demand. Equal offers are one, and parts of a key are
+    pruned first, so that what meets in one task is their undominated offers. Offers
+    without a price are a kind apart."""
+    own = [*keys, "_free"]
+    kinds = listed.withColumn("_free", F.col("hourly_usd").isNull())
+    kinds = kinds.groupBy(*own, *DEMANDS).agg(F.min(F.struct("hourly_usd", "offer_id")).alias("_o"))
+    kinds = written(kinds.select(*own, *DEMANDS, "_o.hourly_usd", "_o.offer_id"), "offer-kinds")
+    parts = kinds.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / part).alias("_parts"))
+    prune = lambda pdf: _undominated(pdf)
+    large = kinds.join(parts.filter("_parts > 1"), own).withColumn("_part", F.pmod(F.xxhash64("offer_id"), "_parts")).drop("_parts")
+    some = large.groupBy(*own, "_part").applyInPandas(prune, large.schema).drop("_part")
+    small = kinds.join(parts.filter("_parts = 1").select(*own), own).select(*kinds.columns)
+    return small.unionByName(some).groupBy(*own).applyInPandas(prune, small.schema).drop("_free")
+
+
 def match_offers(requests: DataFrame, offers_: DataFrame) -> DataFrame:
     """Cheapest acceptable offer per request; requests nothing fits are absent.
 
@@ -426,54 +461,36 @@ def match_offers(requests: DataFrame, offers_: DataFrame) -> DataFrame:
     gpu_type, vram_gb, cpus, memory_gb, region, hourly_usd, spot``. An offer that
     does not state a figure cannot meet a demand for it.
 
-    Equal requests are answered once. Offers enter under every (type, region, GPU
-    count, spot) key they can serve, and of offers with the same key, memory and
-    cores only the cheapest is compared further.
+    Equal requests are answered once. Offers enter under every (type, region, spot) key
+    they can serve, and of a key only the :func:`skyline` is compared: an offer that a
+    cheaper one matches in every demand is never the answer.
     """
-    keys = ["k_type", "k_region", "k_gpus", "k_spot"]
-    rest = ["vram_gb", "cpus", "memory_gb", "max_hourly_usd"]
+    keys = ["k_type", "k_region", "k_spot"]
+    nothing = F.lit(float("-inf"))
     asked = requests.select(
         "request_id",
         F.coalesce(F.lower("gpu_type"), F.lit("*")).alias("k_type"),
         F.coalesce("region", F.lit("*")).alias("k_region"),
-        F.coalesce("gpus", F.lit(0)).cast("int").alias("k_gpus"),
         F.coalesce("spot_ok", F.lit(True)).alias("k_spot"),
-        *rest,
+        F.greatest(F.coalesce(F.col("gpus").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("gpus"),
+        *[F.coalesce(F.col(c).cast("double"), nothing).alias(c) for c in DEMANDS[1:]],
+        F.coalesce(F.col("max_hourly_usd").cast("double"), F.lit(float("inf"))).alias("most"),
     )
+    asked = written(asked, "offer-requests")
+    rest = [*DEMANDS, "most"]
     profiles = asked.select(*keys, *rest).distinct()
-    steps = profiles.agg(F.array_sort(F.collect_set("k_gpus")).alias("_steps"))
-    listed = (
-        offers_.withColumn("_one", F.lit(1))
-        .join(F.broadcast(steps.withColumn("_one", F.lit(1))), "_one")
-        .withColumn("_gpus", F.coalesce("gpus", F.lit(0)))
-        .withColumn("k_gpus", F.explode(F.filter("_steps", lambda s: s <= F.col("_gpus"))))
-        .withColumn(
-            "k_type",
-            F.explode(F.array_compact(F.array(F.lit("*"), F.lower("gpu_type")))),
-        )
-        .withColumn("k_region", F.explode(F.array_compact(F.array(F.lit("*"), F.col("region")))))
-        .withColumn(
-            "k_spot",
-            F.explode(F.when(F.col("spot"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))),
-        )
-        .groupBy(*keys, *[F.col(c).alias("o_" + c) for c in rest[:3]])
-        .agg(F.min(F.struct("hourly_usd", "offer_id")).alias("_o"))
-    )
-    meets = F.lit(True)
-    for c in rest[:3]:
-        meets = meets & (F.col(c).isNull() | F.coalesce(F.col("o_" + c) >= F.col(c), F.lit(False)))
-    meets = meets & (
-        F.col("max_hourly_usd").isNull() | (F.col("_o.hourly_usd") <= F.col("max_hourly_usd"))
-    )
-    best = (
-        profiles.join(listed, keys)
-        .filter(meets)
-        .groupBy(*keys, *rest)
-        .agg(F.min("_o").alias("_o"))
-    )
-    same = None
-    a, b = asked.alias("a"), best.alias("b")
-    for c in [*keys, *rest]:
-        eq = F.col("a." + c).eqNullSafe(F.col("b." + c))
-        same = eq if same is None else same & eq
-    return a.join(b, same).select("a.request_id", "b._o.offer_id", "b._o.hourly_usd")
+    types = F.explode(F.array_compact(F.array(F.lit("*"), F.lower("gpu_type"))))
+    regions = F.explode(F.array_compact(F.array(F.lit("*"), F.col("region"))))
+    spots = F.explode(F.when(F.col("spot"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False))))
+    listed = offers_.select(
+        "offer_id", F.col("hourly_usd").cast("double").alias("hourly_usd"), "gpu_type", "region", "spot",
+        F.coalesce(F.col("gpus").cast("double"), F.lit(0.0)).alias("gpus"),
+        *[F.coalesce(F.col(c).cast("double"), nothing).alias(c) for c in DEMANDS[1:]],
+    ).withColumn("k_type", types).withColumn("k_region", regions).withColumn("k_spot", spots)
+    index = written(skyline(listed.select(*keys, *DEMANDS, "hourly_usd", "offer_id"), keys), "offer-skyline")
+    index = index.select(*keys, *[F.col(c).alias("o_" + c) for c in DEMANDS], F.struct("hourly_usd", "offer_id").alias("_o"))
+    meets = F.coalesce(F.col("_o.hourly_usd") <= F.col("most"), F.col("most") == float("inf"))
+    for c in DEMANDS:
+        meets = meets & (F.col("o_" + c) >= F.col(c))
+    best = profiles.join(index, keys).filter(meets).groupBy(*keys, *rest).agg(F.min("_o").alias("_o"))
+    return asked.join(best, [*keys, *rest]).select("request_id", "_o.offer_id", "_o.hourly_usd")

@@ -161,3 +161,47 @@ def test_reject_reasons_name_the_missing_need(spark):
 def test_has_all(spark):
     df = spark.createDataFrame([(["a"], ["a", "b"]), (["z"], ["a"]), (["a"], None), ([], None)], "r array<string>, a array<string>")
     assert [r[0] for r in df.select(E.has_all(F.col("r"), F.col("a"))).collect()] == [True, False, False, True]
+
+
+def cheapest(requests, offers):
+    out = {}
+    for r in requests:
+        rid, gpus, kind, vram, cpus, memory, region, most, spot_ok = r
+        fits = []
+        for oid, ogpus, okind, ovram, ocpus, omemory, oregion, price, spot in offers:
+            enough = all(a is None or (b is not None and b >= a) for a, b in ((vram, ovram), (cpus, ocpus), (memory, omemory)))
+            enough &= (gpus or 0) <= (ogpus or 0)
+            enough &= kind is None or (okind is not None and kind.lower() == okind.lower())
+            enough &= region is None or region == oregion
+            enough &= bool(spot_ok is None or spot_ok or not spot)
+            enough &= most is None or (price is not None and price <= most)
+            if enough:
+                fits.append((price is not None, price or 0.0, oid, price))
+        if fits:
+            best = min(fits)
+            out[rid] = (best[2], best[3])
+    return out
+
+
+@pytest.mark.parametrize("part", [10_000, 3])
+def test_offers_equal_all_pairs(spark, monkeypatch, part):
+    import random
+
+    rnd = random.Random(part)
+    pick = lambda *v: rnd.choice([None, *v])
+    offers = [
+        (f"o{k}", pick(0, 1, 2, 8), pick("A100", "h100"), pick(24.0, 40.0, 80.0), pick(4, 8, 64), pick(16.0, 64.0, 512.0),
+         pick("eu", "us"), rnd.choice([None, *[round(rnd.uniform(0.1, 9), 2) for _ in range(9)]]), rnd.random() < 0.5)
+        for k in range(120)
+    ]
+    requests = [
+        (k, pick(0, 1, 2, 4, 8), pick("a100", "H100"), pick(24.0, 48.0), pick(4, 16), pick(32.0, 64.0), pick("eu", "us", "asia"),
+         pick(0.5, 2.0, 5.0), pick(True, False))
+        for k in range(150)
+    ]
+    ask = spark.createDataFrame(requests, "request_id bigint, gpus int, gpu_type string, vram_gb double, cpus int, memory_gb double, region string, max_hourly_usd double, spot_ok boolean")
+    give = spark.createDataFrame(offers, "offer_id string, gpus int, gpu_type string, vram_gb double, cpus int, memory_gb double, region string, hourly_usd double, spot boolean")
+    monkeypatch.setattr(E, "OFFER_PART", part)
+    monkeypatch.setattr(E.skyline, "__defaults__", (part,))
+    got = {r["request_id"]: (r["offer_id"], r["hourly_usd"]) for r in E.match_offers(ask, give).collect()}
+    assert got == cheapest(requests, offers)
