@@ -97,8 +97,10 @@ def sizing_task_waves(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sizing_measured",
-    f"""WITH {_Z}, p AS (SELECT DISTINCT request_id, (10 + request_id % 7)::DOUBLE AS peak FROM cd WHERE request_id % 3 = 0)
+    f"""WITH {_Z}, p AS (SELECT DISTINCT request_id, (10 + request_id % 7)::DOUBLE AS peak,
+      CASE WHEN request_id % 2 = 0 THEN (30 + request_id % 11)::DOUBLE END AS minutes FROM cd WHERE request_id % 3 = 0)
     SELECT c.request_id, c.name, c.workers, round(coalesce(p.peak, c.total_gb), 1) AS total_gb,
+      round(coalesce(p.minutes, c.est_time_min), 0) AS est_time_min,
       CASE WHEN p.peak IS NOT NULL THEN 'profiled' ELSE 'static' END AS basis FROM cd c LEFT JOIN p USING (request_id)""",
 )
 def sizing_measured(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,19 +108,22 @@ def sizing_measured(spark: SparkSession, sf: str) -> DataFrame:
     profiles = requests.filter("request_id % 3 = 0").select(
         "request_id",
         (F.lit(10) + F.col("request_id") % 7).cast("double").alias("peak_vram_gb"),
-        F.lit(None).cast("double").alias("est_time_min_measured"),
+        F.when(F.col("request_id") % 2 == 0, (F.lit(30) + F.col("request_id") % 11).cast("double")).alias("est_time_min_measured"),
     )
     out = Z.prefer_measured(Z.candidates(requests), profiles, ["request_id"])
-    return out.select("request_id", "name", "workers", F.round("total_gb", 1).alias("total_gb"), "basis")
+    return out.select(
+        "request_id", "name", "workers", F.round("total_gb", 1).alias("total_gb"),
+        F.round("est_time_min", 0).alias("est_time_min"), "basis",
+    )
 
 
-@query(
-    "request_digests",
-    f"""WITH {_Z} SELECT count(*) AS requests, 16::BIGINT AS digits FROM rq""",
-)
+def _json_sql() -> str:
+    """The record as JSON: the stated fields in order, those that are null left out."""
+    quote = lambda n, t: f"""'"' || {n} || '"'""" if t == "string" else f"{n}::VARCHAR"
+    parts = [f"""CASE WHEN {n} IS NOT NULL THEN '"{n}":' || {quote(n, t)} END""" for n, t, _ in B.SIZING_COLUMNS]
+    return "'{' || array_to_string(list_filter([" + ", ".join(parts) + """, '"version":"1"'], lambda x: x IS NOT NULL), ',') || '}'"""
+
+
+@query("request_digests", f"WITH {_Z} SELECT request_id, substr(sha256({_json_sql()}), 1, 16) AS digest FROM rq")
 def request_digests(spark: SparkSession, sf: str) -> DataFrame:
-    out = Z.request_digest(B.sizing_requests(spark, sf), "1")
-    return out.agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.max(F.length("digest")).cast("bigint").alias("digits"),
-    )
+    return Z.request_digest(B.sizing_requests(spark, sf), "1").select("request_id", "digest")

@@ -9,6 +9,7 @@ from millrace import bindings as B
 from millrace.queries import query, rounded
 from millrace.queries.leases import _COMMITS
 from millrace.queries.triage import _F as _FAILURES
+from millrace.queries.triage import _POLICY_SQL
 from millrace.session import scratch_path
 from millrace.streaming import keyed, leases, windows
 from millrace.streaming.runner import drain
@@ -238,19 +239,18 @@ def stream_correlated_incidents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_decisions",
-    f"""WITH {_FAILURES}, k2 AS (SELECT id, CASE WHEN control THEN 'control_plane_failure' WHEN preemption THEN 'preemption'
+    f"""WITH {_FAILURES}, {_POLICY_SQL}, k2 AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'independent_tasks' ELSE 'coordinated_training' END AS mode, CASE WHEN control THEN 'control_plane_failure' WHEN preemption THEN 'preemption'
       WHEN xid THEN 'accelerator_failure' WHEN heartbeat_lost THEN 'node_loss'
       WHEN regexp_matches(lower(message), 'nccl') THEN 'communication_error'
       WHEN regexp_matches(lower(message), 's3|oss|slowdown') THEN 'storage_timeout'
       WHEN hash THEN 'artifact_corruption' WHEN exit_code <> 0 AND exit_deterministic THEN 'application_error'
       WHEN exit_code <> 0 THEN 'worker_crash' ELSE 'unknown' END AS failure_class FROM sg)
-    SELECT id, failure_class, CASE WHEN failure_class = 'application_error' THEN 'fail_job'
-      WHEN failure_class IN ('storage_timeout', 'control_plane_failure') THEN 'pause_job' ELSE 'retry_task' END AS action FROM k2""",
+    SELECT id, failure_class, mode, action FROM k2 JOIN pol USING (failure_class, mode)""",
 )
 def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    stream = _replay(B.failures(spark, sf).drop("mode"), "failures")
-    out = drain(windows.stream_decisions(stream, "independent_tasks"), "decisions")
-    return out.select("id", "failure_class", "action")
+    stream = _replay(B.failures(spark, sf), "failures")
+    out = drain(windows.stream_decisions(stream, F.col("mode")), "decisions")
+    return out.select("id", "failure_class", "mode", "action")
 
 
 @query(
