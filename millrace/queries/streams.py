@@ -224,16 +224,18 @@ def stream_worker_changes(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "stream_correlated_incidents",
     """WITH e AS (SELECT 'pool-' || (user_id % 5) AS pool, epoch_us(ts) AS ts_us FROM events WHERE event_type = 'error'),
-    m AS (SELECT (max(ts_us) // 1000 - 60000) * 1000 AS w FROM e),
+    m AS (SELECT max(ts_us) - 21600000000 AS w FROM e),
     c AS (SELECT *, count(*) OVER (PARTITION BY pool ORDER BY ts_us
       RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS failures FROM e)
-    SELECT pool, ts_us, failures FROM c, m WHERE ts_us < w AND failures >= 3""",
+    SELECT pool, ts_us, failures FROM c, m WHERE ts_us <= w AND failures >= 3""",
 )
 def stream_correlated_incidents(spark: SparkSession, sf: str) -> DataFrame:
-    f = _events(spark, sf).filter("event_type = 'error'").select(
-        F.concat(F.lit("pool-"), F.col("user_id") % 5).alias("pool"), "ts"
+    f = B.table(spark, sf, "events").filter("event_type = 'error'").select(
+        F.concat(F.lit("pool-"), F.col("user_id") % 5).alias("pool"), F.col("ts").cast("timestamp").alias("ts")
     )
-    out = drain(windows.correlated_incidents(f, 3600.0), "incidents")
+    store = scratch_path(spark, "incidents")
+    for stream in _dealt(spark, f):
+        out = windows.correlated_incidents(stream, store, 3600.0, delay_s=_LATE_S)
     return out.select("pool", F.unix_micros("ts").alias("ts_us"), "failures")
 
 

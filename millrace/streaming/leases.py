@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.operators import ledger as L
+from millrace.streaming.runner import batch_table as _table
+from millrace.streaming.runner import delete_folder as _delete
+from millrace.streaming.runner import run_batches
+from millrace.streaming.runner import write_batch as _write
 
 TRANSITIONS = (
     "job_id string, task_id string, lease_id string, node_id string, attempt int, "
@@ -37,23 +41,6 @@ _BEGINNING = -(2**62)
 BUCKETS = 32
 
 
-def _table(spark: SparkSession, store: str, name: str, batch: int, schema) -> DataFrame:
-    """What a batch wrote under a name; before the first one, nothing."""
-    if batch < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{store}/{name}/batch={batch}")
-
-
-def _write(rows: DataFrame, store: str, name: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch}")
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    """Remove a table that no later batch reads."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def transitions(events: DataFrame, judged: DataFrame) -> DataFrame:
     """Everything that happened to leases and tasks, as ``TRANSITIONS``, from ledger rows
     and :func:`millrace.operators.ledger.judged_leases` of them."""
@@ -314,13 +301,7 @@ def run_leases(
     come; ``forget_s`` after its end that goes too. ``jobs`` also counts the jobs' states.
     """
     spark = ledger.sparkSession
-    query = (
-        ledger.writeStream.foreachBatch(lease_batches(tasks, store, delay_s, forget_s, buckets, jobs))
-        .option("checkpointLocation", f"{store}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    run_batches(ledger, lease_batches(tasks, store, delay_s, forget_s, buckets, jobs), store)
     return all_transitions(spark, store)
 
 

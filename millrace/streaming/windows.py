@@ -2,60 +2,63 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.logs import CORRELATED_THRESHOLD
 from millrace.functions.readings import number_or_null
 from millrace.operators import triage
+from millrace.streaming.runner import batch_table, delete_folder, run_batches, write_batch
+
+
+_HELD, _CLOCK = "pool string, ts timestamp", "mark bigint, latest bigint"
+_INCIDENTS = "pool string, ts timestamp, failures bigint"
+
+
+def incident_batches(store: str, seconds: float, threshold: int = CORRELATED_THRESHOLD, delay_s: float = 60.0):
+    """Function for ``foreachBatch`` over failures; see :func:`correlated_incidents`."""
+    width = int(round(seconds * 1_000_000))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        clock = batch_table(spark, store, "clock", batch_id - 1, _CLOCK).first()
+        old_mark, latest = (clock["mark"], clock["latest"]) if clock else (-(2**62), -(2**62))
+        us = F.unix_micros("ts")
+        newest = batch.agg(F.max(us)).first()[0]
+        latest = max(latest, newest if newest is not None else latest)
+        mark = max(old_mark, latest - int(delay_s * 1_000_000))
+        fresh = batch.select("pool", "ts").filter(us > old_mark)
+        write_batch(batch_table(spark, store, "held", batch_id - 1, _HELD).unionByName(fresh), store, "arrived", batch_id)
+        rows = batch_table(spark, store, "arrived", batch_id, _HELD)
+        seen = triage.concurrent_failures(rows.filter(us <= mark), seconds)
+        found = seen.filter((us > old_mark) & (F.col("concurrent_failures") >= threshold))
+        found = found.select("pool", "ts", F.col("concurrent_failures").alias("failures"))
+        write_batch(found, store, "incidents", batch_id)
+        write_batch(rows.filter(us >= mark - width), store, "held", batch_id)
+        write_batch(spark.createDataFrame([(mark, latest)], _CLOCK).coalesce(1), store, "clock", batch_id)
+        delete_folder(spark, f"{store}/arrived/batch={batch_id}")
+        if batch_id > 1:
+            for name in ("held", "clock"):
+                delete_folder(spark, f"{store}/{name}/batch={batch_id - 2}")
+
+    return run
 
 
 def correlated_incidents(
-    failures: DataFrame,
-    seconds: float,
-    threshold: int = CORRELATED_THRESHOLD,
-    delay: str = "1 minute",
+    failures: DataFrame, store: str, seconds: float, threshold: int = CORRELATED_THRESHOLD, delay_s: float = 60.0
 ) -> DataFrame:
     """Failures that see ``threshold`` of their pool in the window ending at them: the
-    batch rule of :func:`triage.concurrent_failures`. ``pool, ts, failures``.
+    batch rule of :func:`triage.concurrent_failures`. ``pool, ts, failures`` of all that
+    the stream has had so far.
 
-    A failure is judged once the watermark has passed it, so rows may come in any order
-    within ``delay``. A pool's state is the times of one window, and goes with its last.
+    A failure is judged once ``delay_s`` have passed it, so rows may come in any order
+    within that time. What is carried on is the times of one window; a batch counts them
+    by prefix sums, so one pool is spread over many tasks. Calling again goes on from there.
     """
-    width = int(round(seconds * 1_000_000))
-
-    def step(key, batches, state: GroupState):
-        held = state.get[0] if state.exists else []
-        done = state.get[1] if state.exists else -(2**62)
-        fresh = [] if state.hasTimedOut else [pdf["ts_us"].to_numpy("int64") for pdf in batches]
-        times = np.sort(np.concatenate([np.asarray(held, "int64"), *fresh]))
-        mark = state.getCurrentWatermarkMs() * 1000
-        ready = times[(times >= done) & (times < mark)]
-        counts = np.searchsorted(times, ready, "right") - np.searchsorted(times, ready - width)
-        hit = counts >= threshold
-        keep = times[times >= mark - width]
-        if len(keep):
-            state.update((keep.tolist(), max(done, mark)))
-            waiting = keep[keep >= mark]
-            due = waiting[0] if len(waiting) else keep[-1] + width
-            state.setTimeoutTimestamp(int(max(due // 1000, mark // 1000 + 1)))
-        elif state.exists:
-            state.remove()
-        if hit.any():
-            yield pd.DataFrame({"pool": key[0], "ts_us": ready[hit], "failures": counts[hit]})
-
-    rows = failures.withWatermark("ts", delay).select("pool", "ts", F.unix_micros("ts").alias("ts_us"))
-    found = rows.groupBy("pool").applyInPandasWithState(
-        step,
-        "pool string, ts_us bigint, failures bigint",
-        "held array<bigint>, done bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    return found.select("pool", F.timestamp_micros("ts_us").alias("ts"), "failures")
+    spark = failures.sparkSession
+    run_batches(failures.select("pool", "ts"), incident_batches(store, seconds, threshold, delay_s), store)
+    found = spark.read.schema(f"{_INCIDENTS}, batch bigint").parquet(f"{store}/incidents")
+    return found.drop("batch")
 
 
 def stream_decisions(failures: DataFrame, mode) -> DataFrame:

@@ -124,21 +124,31 @@ def test_sessions_close_after_the_gap(spark, tmp_path):
     assert got == [(0.0, 2), (100.0, 1)]
 
 
+class Batches(Feed):
+    """The same for operators that write their own tables."""
+
+    def run(self, operator, *rows):
+        self.spark.createDataFrame(list(rows), self.schema).coalesce(1).write.mode("append").parquet(self.src)
+        return operator(self.spark.readStream.schema(self.schema).parquet(self.src), self.base).collect()
+
+
 def test_incidents_across_windows_and_batches(spark, tmp_path):
     """Twenty to seventy-five minutes span two tumbling hours; rows come late and mixed."""
-    feed = Feed(spark, tmp_path, "pool string, ts timestamp")
-    op = lambda s: windows.correlated_incidents(s, 3600.0, delay="2 hours")
+    feed = Batches(spark, tmp_path, "pool string, ts timestamp")
+    op = lambda s, at_: windows.correlated_incidents(s, at_, 3600.0, delay_s=7200.0)
     feed.run(op, ("p", at(3000)), ("q", at(0)))
     feed.run(op, ("p", at(4500)), ("p", at(4900)))
-    rows = feed.run(op, ("p", at(1200)), ("q", at(40_000)))
+    feed.run(op, ("p", at(1200)), ("q", at(40_000)))
     rows = feed.run(op, ("q", at(80_000)))
     got = sorted((r["pool"], r["ts"].timestamp() - at(0).timestamp(), r["failures"]) for r in rows)
     assert got == [("p", 4500.0, 3), ("p", 4900.0, 3)]
+    held = spark.read.parquet(f"{feed.base}/held").orderBy("batch", "ts").collect()
+    assert [(r["pool"], r["ts"].timestamp() - at(0).timestamp()) for r in held if r["batch"] == 3] == [("q", 80_000.0)]
 
 
 def test_incident_and_decision_streams(spark, tmp_path):
-    feed = Feed(spark, tmp_path, "pool string, ts timestamp, exit_code int, log string")
-    op = lambda s: windows.correlated_incidents(s, 600.0, delay="0 seconds")
+    feed = Batches(spark, tmp_path, "pool string, ts timestamp, exit_code int, log string")
+    op = lambda s, at_: windows.correlated_incidents(s, at_, 600.0, delay_s=0.0)
     fails = [("p", at(i), 1, "NameError: x" if i else "killed") for i in range(3)]
     rows = feed.run(op, *fails, ("q", at(5), 1, ""), ("q", at(5000), 1, ""))
     assert sorted((r["pool"], r["ts"].second, r["failures"]) for r in rows) == [("p", 2, 3)]
