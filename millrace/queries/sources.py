@@ -252,8 +252,14 @@ def fleet_devices(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "fleet_pools",
     f"""WITH {_FLEET} SELECT pool, count(*) AS nodes, sum(g)::BIGINT AS gpus,
+    sum(CASE WHEN g > 0 THEN (g - (g > 1)::BIGINT) * 24564 END)::BIGINT AS gpu_memory_mb,
+    round(sum(CASE WHEN s % 2 = 0 THEN (s || '500')::DOUBLE / 1000 ELSE s::DOUBLE END), 6) AS cpu_cores,
+    sum(CASE s % 3 WHEN 0 THEN s * 1073741824 WHEN 1 THEN s * 1000000 + 500000 ELSE s END)::BIGINT AS memory_bytes,
     round(avg(CASE WHEN g > 0 THEN (s % 100 + 50) / 2.0::DOUBLE END), 6) AS gpu_util_percent FROM n GROUP BY pool""",
 )
 def fleet_pools(spark: SparkSession, sf: str) -> DataFrame:
     _, _, pools = fleet_inventory(_probes(spark, sf))
-    return pools.select("pool", "nodes", "gpus", F.round("gpu_util_percent", 6).alias("gpu_util_percent"))
+    return pools.select(
+        "pool", "nodes", "gpus", "gpu_memory_mb", F.round("cpu_cores", 6).alias("cpu_cores"), "memory_bytes",
+        F.round("gpu_util_percent", 6).alias("gpu_util_percent"),
+    )
