@@ -174,6 +174,28 @@ def test_many_copies_of_one_passage(spark):
     assert repeats(spark, texts, 400, parts=7) == brute_repeats([t.encode() for t in texts], 400)
 
 
+def test_names_are_judged_by_reading_their_rows_once(spark):
+    """A third of all rows under one name, a third in pairs, a third alone, in many batches."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    name = F.expr("CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN -1 - id DIV 6 ELSE id END")
+    rows = spark.range(0, 6000, 1, 4).select(F.col("id").alias("row"), name.alias("n1"), F.lit(1).cast("long").alias("n2"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = substrings.recurring(rows.mapInArrow(read, rows.schema), "names", substrings.Scratch(spark)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r.row for r in got) == [k for k in range(6000) if k % 3 < 2]
+    assert Counter((r.n1, r.n2) for r in got if r["head"]) == Counter({(r.n1, r.n2) for r in got})
+    assert seen.value == 6000
+
+
 def test_query_on_the_given_table(spark):
     table = ds.dataset(f"{DATA}/sf0.01/documents.parquet").to_table(columns=["doc_id", "text"]).to_pydict()
     bodies = [(t or "").encode() for t in table["text"]]
