@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,18 +139,73 @@ def fit_many(
 
     ``fn`` gets a group's rows and returns one value per column. A group it fails
     on becomes a row with ``error`` set. A group is one task and must fit in its memory:
-    this is for many small groups, and larger ones belong in :func:`sweep`.
+    this is for many small groups, and larger ones belong in :func:`sweep`. A task reads
+    its groups one after another out of common batches, which a handful of rows a group
+    fill, and gives back a batch of results for each batch read.
     """
     fields = T.StructType.fromDDL(schema).fields
     out = T.StructType([df.schema[group], T.StructField("error", T.StringType()), *fields])
     names = [f.name for f in fields]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {group: pdf[group].iloc[0], "error": None, **dict.fromkeys(names)}
-        try:
-            row.update(fn(pdf))
-        except Exception as exc:  # noqa: BLE001 - one bad group must not stop the others
-            row["error"] = f"{type(exc).__name__}: {exc}"
-        return pd.DataFrame([[row[f.name] for f in out.fields]], columns=out.names)
-
-    return df.groupBy(group).applyInPandas(run, out)
+    columns, at = df.columns, df.columns.index(group)
+    timed = [isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType)) for f in out]
+    # Pandas makes other types of integers and booleans with nulls: that is for a group to
+    # decide, not for the batch it is in, so they travel without nulls beside their nulls.
+    whole = [i for i, f in enumerate(df.schema) if isinstance(f.dataType, (T.IntegralType, T.BooleanType))]
+    as_object = {i for i in whole if isinstance(df.schema[i].dataType, T.BooleanType)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def fitted(rows: pd.DataFrame, gone: np.ndarray, key) -> list:
+            rows.index = pd.RangeIndex(len(rows))
+            if gone.any():
+                rows = rows.copy()
+                for j, i in enumerate(whole):
+                    if gone[:, j].any():
+                        values = rows.iloc[:, i].astype(object if i in as_object else np.float64)
+                        rows.isetitem(i, values.mask(gone[:, j], None if i in as_object else np.nan))
+            row = {group: key, "error": None, **dict.fromkeys(names)}
+            try:
+                row.update(fn(rows))
+            except Exception as exc:  # noqa: BLE001 - one bad group must not stop the others
+                row["error"] = f"{type(exc).__name__}: {exc}"
+            return [row[f.name] for f in out.fields]
+
+        def column(values: list, time: bool) -> pd.Series:
+            alike = len({type(v) for v in values}) == 1  # then as pandas has a single one
+            return pd.Series(values, dtype=None if alike or time else object)
+
+        def frame(done: list[list]) -> pd.DataFrame:
+            return pd.DataFrame({f.name: column([r[i] for r in done], timed[i]) for i, f in enumerate(out.fields)})
+
+        def joined(pieces: list[tuple]) -> list:
+            key = pieces[0][2]
+            return fitted(pd.concat([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]), key)
+
+        open_: list[tuple] = []  # pieces of the group that may go on in the next batch
+        for batch in batches:
+            first = np.flatnonzero(batch.iloc[:, -1].to_numpy())
+            rows, gone = batch.iloc[:, : len(columns)], batch.iloc[:, len(columns) : -1].to_numpy(dtype=bool)
+            rows.columns = columns
+            keys, null_key = rows.iloc[:, at].array, gone[:, whole.index(at)] if at in whole else None
+            done, ends = [], [*first.tolist(), len(batch)]
+            key = lambda a: None if null_key is not None and null_key[a] else keys[a]  # noqa: B023, E731
+            with pd.option_context("mode.chained_assignment", None):  # rows of a batch belong to one group
+                if ends[0]:
+                    open_.append((rows.iloc[: ends[0]].copy(), gone[: ends[0]], open_[0][2]))
+                if len(first):
+                    if open_:
+                        done.append(joined(open_))
+                    done += [fitted(rows.iloc[a:b], gone[a:b], key(a)) for a, b in itertools.pairwise(ends[:-1])]
+                    open_ = [(rows.iloc[ends[-2] :].copy(), gone[ends[-2] :], key(ends[-2]))]
+            if done:
+                yield frame(done)
+        if open_:
+            yield frame([joined(open_)])
+
+    own = df.toDF(*[f"c{i}" for i in range(len(columns))])
+    key = own.columns[at]
+    zero = lambda i: F.lit(0).cast(df.schema[i].dataType)
+    values = [F.coalesce(c, zero(i)).alias(c) if i in whole else F.col(c) for i, c in enumerate(own.columns)]
+    nulls = [F.col(f"c{i}").isNull().alias(f"n{i}") for i in whole]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(key)) == 1
+    flagged = own.withColumn("first", first)
+    return flagged.select(*values, *nulls, "first").mapInPandas(run, out)

@@ -72,6 +72,38 @@ def test_one_bad_group_does_not_stop_the_others(spark):
     assert got == {"a": (2.0, None), "b": (None, "ValueError: negative")}
 
 
+def test_many_groups_are_fitted_out_of_common_batches(spark):
+    """Groups begin and end anywhere in a batch; nulls of one do not change another's types."""
+    rows = [(i % 7 or None, i, 2**60 + i if i % 7 < 5 else None, i % 2 == 0 if i % 7 != 3 or i > 9 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, id bigint, big bigint, flag boolean")
+
+    def fn(pdf):
+        assert list(pdf.index) == list(range(len(pdf)))
+        if pdf["g"].iloc[0] == 6:
+            raise ValueError("six")
+        return {"n": len(pdf), "ids": int(pdf["id"].sum()), "most": None if pdf["big"].isna().all() else pdf["big"].max(),
+                "types": f"{pdf['g'].dtype} {pdf['big'].dtype} {pdf['flag'].dtype}"}
+
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        big = [r[2] for r in own if r[2] is not None]
+        types = f"{'float64' if g is None else 'int32'} {'int64' if big else 'float64'} {'object' if g == 3 else 'bool'}"
+        values = (len(own), sum(r[1] for r in own), max(big, default=None), types, None)
+        want[g] = (None, None, None, None, "ValueError: six") if g == 6 else values
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(batch)
+    try:
+        for size in ("1", "4", "25", "10000"):
+            spark.conf.set(batch, size)
+            out = fit_many(df, "g", fn, "n bigint, ids bigint, most bigint, types string")
+            assert {r["g"]: (r["n"], r["ids"], r["most"], r["types"], r["error"]) for r in out.collect()} == want
+    finally:
+        spark.conf.set(batch, was)
+    # A call of Python for every group took most of the time.
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # -- sizing -------------------------------------------------------------------
 
 DEFAULTS = dict(
