@@ -6,7 +6,7 @@ constants let an oracle query start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -355,12 +355,19 @@ kl AS (SELECT *, CASE WHEN concurrent_failures >= 3 THEN 'correlated_incident'
 # -- checkpoints --------------------------------------------------------------
 
 
+def _manifest_ids() -> list[Column]:
+    """``manifest_id, job_id, attempt_id`` of an order."""
+    return [
+        F.concat(F.lit("ck-"), "o_orderkey").alias("manifest_id"),
+        F.concat(F.lit("job-"), F.col("o_custkey")).alias("job_id"),
+        F.concat(F.lit("a"), F.col("o_orderkey") % 3).alias("attempt_id"),
+    ]
+
+
 def manifests(spark: SparkSession, sf: str) -> DataFrame:
     o = F.col("o_orderkey")
     return table(spark, sf, "orders").select(
-        F.concat(F.lit("ck-"), o).alias("manifest_id"),
-        F.concat(F.lit("job-"), F.col("o_custkey")).alias("job_id"),
-        F.concat(F.lit("a"), o % 3).alias("attempt_id"),
+        *_manifest_ids(),
         o.alias("step"),
         (F.lit(1) + o % 4).cast("int").alias("world_size"),
         F.when(o % 2 == 0, F.array((F.lit(1) + o % 4).cast("int"), F.lit(8))).alias(
@@ -371,37 +378,43 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _line_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with their orders as they are: texts are made after the shuffle."""
     lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("step"),
-        F.concat_ws("-", F.lit("part"), "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
-        F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"),
-        F.col("l_quantity").cast("bigint").alias("size_bytes"),
-        "l_returnflag",
-        "l_suppkey",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"
+    )
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
+        "key", F.concat_ws("-", F.lit("part"), "l_linenumber", "l_partkey", "l_suppkey")
     )
-    ids = manifests(spark, sf).select("manifest_id", "job_id", "attempt_id", "step")
-    return lines.join(ids, "step")
+
+
+def _part_hash() -> Column:
+    return F.sha2(F.col("l_partkey").cast("string"), 256)
 
 
 def expected_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return _line_parts(spark, sf).select(
-        "manifest_id", "job_id", "attempt_id", "step", "key", "sha256"
-    ).distinct()
+    # Names and hashes are one to one with these, which are smaller.
+    parts = _line_parts(spark, sf).select("o_orderkey", "o_custkey", "l_partkey", "key").distinct()
+    return parts.select(
+        *_manifest_ids(), F.col("o_orderkey").alias("step"), "key", _part_hash().alias("sha256")
+    )
 
 
 def registered_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Uploads: returned lines never arrive, some arrive damaged and a few of those
     are uploaded again."""
     damaged = F.col("l_suppkey") % 37 == 0
-    good, bad = F.col("sha256"), F.sha2("key", 256)
+    good, bad = _part_hash(), F.sha2("key", 256)
     upload = lambda sha, seq: F.struct(sha.alias("sha256"), F.lit(seq).cast("bigint").alias("seq"))
     uploads = (
-        F.when(damaged & (F.col("step") % 2 == 0), F.array(upload(bad, 1), upload(good, 2)))
+        F.when(damaged & (F.col("o_orderkey") % 2 == 0), F.array(upload(bad, 1), upload(good, 2)))
         .when(damaged, F.array(upload(bad, 1)))
         .otherwise(F.array(upload(good, 1)))
     )
     arrived = _line_parts(spark, sf).filter("l_returnflag <> 'R'")
-    return arrived.select("job_id", "attempt_id", "step", "key", "size_bytes", F.inline(uploads))
+    _, job, attempt = _manifest_ids()
+    step, size = F.col("o_orderkey").alias("step"), F.col("l_quantity").cast("bigint").alias("size_bytes")
+    return arrived.select(job, attempt, step, "key", size, F.inline(uploads))
 
 
 def validation_marks(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,33 +6,60 @@ the hash it expects. ``schemas.PARTS`` and ``schemas.MANIFESTS`` give the column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP = ["job_id", "attempt_id", "step"]
 
+#: A part of a step; numbers first, as they sort faster than texts.
+PART = ["step", "attempt_id", "job_id", "key"]
+
 HASH_VERIFIED = "hash_verified"
 RESTORE_VERIFIED = "restore_verified"
 INVALID = "invalid"
 
 
-def last_registration(parts: DataFrame) -> DataFrame:
-    """Latest registration of each part: a repeated upload replaces the earlier one."""
+def last_registration(parts: DataFrame, values: Sequence[str] = ("sha256", "size_bytes")) -> DataFrame:
+    """Latest registration of each part: a repeated upload replaces the earlier one.
+
+    ``values`` are the columns to keep of it; each is carried through the shuffle.
+    """
     return (
-        parts.groupBy(*STEP, "key")
-        .agg(F.max_by(F.struct("sha256", "size_bytes"), "seq").alias("_p"))
+        parts.groupBy(*PART)
+        .agg(F.max_by(F.struct(*values), "seq").alias("_p"))
         .select(*STEP, "key", "_p.*")
     )
 
 
+def _with_registered(expected: DataFrame, registered: DataFrame) -> DataFrame:
+    """``expected`` with the registered hash of each part as ``_got``, null where there is none.
+
+    A left join, written as a union and a window: a join deals out both sides by all of
+    its keys, whereas this leaves them where they are if parts of a step are together
+    already, so keys and hashes are not shuffled once more.
+    """
+    named = reduce(and_, (F.col(c).isNotNull() for c in PART))  # a null is equal to none
+    got = last_registration(registered, ["sha256"]).select(*PART, F.when(named, F.col("sha256")).alias("_got"))
+    want = expected.withColumn("_want", F.lit(True))
+    return (
+        want.unionByName(got, allowMissingColumns=True)
+        .withColumn("_got", F.max("_got").over(Window.partitionBy(*PART)))
+        .filter("_want")
+        .drop("_want")
+    )
+
+
 def part_problems(expected: DataFrame, registered: DataFrame) -> DataFrame:
     """Expected parts that are missing or whose hash differs, one row each."""
-    got = last_registration(registered).select(*STEP, "key", F.col("sha256").alias("_got"))
     problem = F.when(
         F.col("_got").isNull(), F.concat(F.lit("missing part "), "key")
     ).when(F.col("_got") != F.col("sha256"), F.concat(F.lit("hash mismatch for "), "key"))
     return (
-        expected.join(got, [*STEP, "key"], "left")
+        _with_registered(expected, registered)
         .withColumn("problem", problem)
         .filter(F.col("problem").isNotNull())
         .select("manifest_id", *STEP, "key", "problem")
@@ -45,7 +72,7 @@ def audit_manifests(manifests: DataFrame, expected: DataFrame, registered: DataF
     Counts rather than lists: a manifest may name any number of parts.
     :func:`part_problems` has the details.
     """
-    got = last_registration(registered).select(*STEP, "key", F.col("sha256").alias("_got"))
+    got = last_registration(registered, ["sha256"]).select(*STEP, "key", F.col("sha256").alias("_got"))
     counts = (
         expected.join(got, [*STEP, "key"], "left")
         .groupBy("manifest_id")

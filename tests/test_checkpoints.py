@@ -1,13 +1,16 @@
 import hashlib
 import json
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import bindings as B
 from millrace import schemas
 from millrace.operators import checkpoint_files as CF
 from millrace.operators import checkpoints as C
+from millrace.queries.checkpoints import part_problems
 from millrace.sources import artifacts, files
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -44,6 +47,65 @@ def test_audit_of_parts(spark):
     assert problems == ["hash mismatch for rank0.pt", "missing part rank1.pt"]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_that_lie_by_step_are_not_dealt_out_again(spark):
+    """Nulls in any key, parts named twice, by two manifests, uploaded again, with no hash."""
+    want = [("m", "j", "a", 1, "k1", "h1"), ("m", "j", "a", 1, "k1", "h1"), ("n", "j", "a", 1, "k1", "h2"), ("m", "j", "b", 1, "k1", "h1"),
+            ("m", None, "a", 1, "k1", "h1"), ("m", "j", "a", None, "k1", "h1"), ("m", "j", "a", 1, None, "h1"), ("m", "j", "a", 2, "k2", None),
+            ("m", "j", "a", 2, "k3", "h3"), ("o", "j", "a", 3, "k4", "h4")]
+    have = [("j", "a", 1, "k1", "old", 1, 1), ("j", "a", 1, "k1", "h1", 1, 2), ("j", "a", 1, "k1", "h1", 1, 2), (None, "a", 1, "k1", "h1", 1, 1),
+            ("j", "a", None, "k1", "h1", 1, 1), ("j", "a", 1, None, "h1", 1, 1), ("j", "a", 2, "k2", "h", 1, 1), ("j", "a", 2, "k3", None, 1, 1),
+            ("j", "a", 3, "k4", "h4", 1, 1), ("j", "a", 9, "k9", "h9", 1, 1)]
+    columns = "manifest_id string, job_id string, attempt_id string, step bigint, key string, sha256 string"
+    expected = spark.createDataFrame(want, columns).repartition(3, "step")
+    registered = spark.createDataFrame(have, schemas.PARTS).repartition(3, "step")
+    problems = C.part_problems(expected, registered)
+    assert sorted((r["manifest_id"], r["job_id"] or "", r["attempt_id"], r["step"] or 0, r["problem"]) for r in problems.collect()) == [
+        ("m", "", "a", 1, "missing part k1"), ("m", "j", "a", 0, "missing part k1"), ("m", "j", "a", 2, "missing part k3"),
+        ("m", "j", "b", 1, "missing part k1"), ("n", "j", "a", 1, "hash mismatch for k1")]
+    assert plan_of(problems).split("Final Plan")[-1].split("Initial Plan")[0].count("Exchange") == 2
+    offered = manifests(spark, ("m", 1, None), ("n", 1, None), ("o", 3, None), ("none", 4, None)).drop("validation")
+    verdicts = C.audit_manifests(offered, expected, registered).collect()
+    assert {r["manifest_id"]: (r["parts"], r["missing"], r["mismatched"], r["committed"]) for r in verdicts} == {
+        "m": (8, 5, 0, False), "n": (1, 0, 1, False), "o": (1, 0, 0, True), "none": (0, 0, 0, False)}
+
+
+def test_lines_are_shuffled_as_they_are(spark, tmp_path):
+    """Rows of the built parts with nulls and rows that come twice; no text or hash is dealt out."""
+    lines = [(1, 1, 5, 7, 3.0, "N"), (1, 1, 5, 7, 3.0, "N"), (1, 5, None, 5, 1.0, "A"), (1, None, 5, 37, 2.0, "A"), (2, 2, 5, None, 2.0, "A"), (2, None, 2, 5, 2.0, "A"),
+             (2, 1, 5, 74, 2.0, None), (2, 1, 6, 74, 2.0, "R"), (2, 1, 8, 74, None, "N"), (3, 1, 5, 37, 2.0, "N"), (None, 1, 5, 7, 2.0, "N"), (4, 1, 5, 7, 2.0, "N")]
+    orders = [(1, 10, "O"), (1, 10, "O"), (2, None, "F"), (3, 11, "P"), (None, 12, "O"), (5, 12, "O")]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").withColumn(
+        "o_orderdate", F.lit(T0)).write.parquet(f"{tmp_path}/orders.parquet")
+    sha = lambda v: None if v is None else hashlib.sha256(str(v).encode()).hexdigest()
+    met = [(o, c, x) for x in lines for o, c, _ in orders if o is not None and x[0] == o]
+    name = lambda x: "-".join(["part", *(str(v) for v in x[1:4] if v is not None)])
+    job = lambda c: None if c is None else f"job-{c}"
+    want = {(f"ck-{o}", job(c), f"a{o % 3}", o, name(x), sha(x[2])) for o, c, x in met}
+    rows = [tuple(r) for r in B.expected_parts(spark, str(tmp_path)).select("manifest_id", "job_id", "attempt_id", "step", "key", "sha256").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    arrived = []
+    for o, c, x in met:
+        if x[5] not in (None, "R"):
+            damaged = x[3] is not None and x[3] % 37 == 0
+            uploads = [(sha(name(x)), 1), (sha(x[2]), 2)][: 2 if o % 2 == 0 else 1] if damaged else [(sha(x[2]), 1)]
+            arrived += [(job(c), f"a{o % 3}", o, name(x), None if x[4] is None else int(x[4]), *u) for u in uploads]
+    got = B.registered_parts(spark, str(tmp_path)).select("job_id", "attempt_id", "step", "key", "size_bytes", "sha256", "seq").collect()
+    assert Counter(map(tuple, got)) == Counter(arrived)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "-1")
+        shuffles = [x for x in plan_of(part_problems(spark, str(tmp_path))).split("\n") if "Exchange" in x]
+    finally:
+        spark.conf.set(limit, was)
+    assert len(shuffles) == 4 and all("hashpartitioning(l_orderkey" in x or "hashpartitioning(o_orderkey" in x for x in shuffles)
+
+
 def best(df, **kw):
     row = C.latest_valid(df, **kw).first()
     return row["step"] if row else None
