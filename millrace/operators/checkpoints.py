@@ -135,9 +135,15 @@ def latest_valid(
     )
 
 
+def _to_rank(manifests: DataFrame, world_size: int | None = None) -> DataFrame:
+    """The columns by which :func:`latest_valid` chooses: it carries all that it is given."""
+    sizes = [] if world_size is None else ["world_size", "compatible_world_sizes"]
+    return manifests.select("job_id", "manifest_id", "step", "validation", "created", *sizes)
+
+
 def lost_work(failures: DataFrame, manifests: DataFrame, world_size: int | None = None) -> DataFrame:
     """Steps lost if each failure restored now; NULL where nothing can be restored."""
-    best = latest_valid(manifests, world_size).select(
+    best = latest_valid(_to_rank(manifests, world_size), world_size).select(
         "job_id", "manifest_id", F.col("step").alias("restore_step")
     )
     lost = F.greatest(F.lit(0).cast("bigint"), F.col("failed_at_step") - F.col("restore_step"))
@@ -148,7 +154,7 @@ def lost_work(failures: DataFrame, manifests: DataFrame, world_size: int | None
 
 def checkpoint_timeline(manifests: DataFrame) -> DataFrame:
     """Manifests by job and step, the one recovery would pick marked."""
-    best = latest_valid(manifests).select("manifest_id", F.lit(True).alias("_best"))
+    best = latest_valid(_to_rank(manifests)).select("manifest_id", F.lit(True).alias("_best"))
     return (
         manifests.join(best, "manifest_id", "left")
         .withColumn("latest_valid", F.coalesce("_best", F.lit(False)))
