@@ -11,6 +11,9 @@ from millrace.queries import query
 
 _M = B.MANIFESTS_SQL
 
+#: What is ranked and returned of a manifest; with ``_SIZES`` where a topology is asked for.
+_RANKED, _SIZES = ["job_id", "manifest_id", "step", "validation", "created"], ["world_size", "compatible_world_sizes"]
+
 
 def _audited(spark, sf):
     return C.audit_manifests(
@@ -56,7 +59,7 @@ def manifest_validation(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {_M} SELECT job_id, manifest_id, step, validation FROM lv",
 )
 def latest_valid(spark: SparkSession, sf: str) -> DataFrame:
-    return C.latest_valid(_valid(spark, sf)).select("job_id", "manifest_id", "step", "validation")
+    return C.latest_valid(_valid(spark, sf).select(*_RANKED)).select("job_id", "manifest_id", "step", "validation")
 
 
 @query(
@@ -66,7 +69,8 @@ def latest_valid(spark: SparkSession, sf: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY step DESC, created DESC, manifest_id DESC) = 1""",
 )
 def latest_valid_topology(spark: SparkSession, sf: str) -> DataFrame:
-    out = C.latest_valid(_valid(spark, sf), world_size=8, require_restore_verified=True)
+    offered = _valid(spark, sf).select(*_RANKED, *_SIZES)
+    out = C.latest_valid(offered, world_size=8, require_restore_verified=True)
     return out.select("job_id", "manifest_id", "step")
 
 
